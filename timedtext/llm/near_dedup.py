@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     alive = sets
     for _ in range(2):
         alone = alive.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("class")).filter("df = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-        alive = written(alive.join(alone, "class", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= F.size("shingles") * (100 - percent)).select("class", "shingles"))
+        alive = written(alive.select("class", "shingles").join(alone, "class", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("own") * 100 <= F.size("shingles") * (100 - percent)).select("class", "shingles", "own"))
     member = member.drop("size").join(alive.select("class"), "class")
     member = member.join(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket")
     weight = member.groupBy("class").agg(F.sum("size").alias("weight"))
@@ -157,11 +157,17 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     member = member.join(far, ["class", "hub"], "left").join(labels.withColumnRenamed("node", "class"), "class", "left")
     member = member.select("bucket", "class", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "class").alias("label"))
     mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    member = written(member.join(mixed.select("bucket"), "bucket"))
-    a, b = (member.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "d", "label"))) for k in "ab")
+    all_of = member.groupBy("class").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")).join(alive.select("class", "own"), "class")
+    member = written(member.join(mixed.select("bucket"), "bucket").join(all_of, "class"))
+    a, b = (member.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "d", "label", "own", "buckets"))) for k in "ab")
     slack = 1 - percent / 100 + 1e-9
-    rest = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (F.abs(F.col("d_a") - F.col("d_b")) <= slack))
-    rest = rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    likely = (F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= slack)
+    # what can be shared is at most the smaller set, and at most what is not a set's own
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    likely &= most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    likely &= F.get(F.array_intersect("buckets_a", "buckets_b"), F.lit(0)) == F.col("bucket")  # a pair comes from one bucket only
+    rest = a.withColumnRenamed("bucket", "bucket_a").join(b, (F.col("bucket_a") == F.col("bucket")) & likely)
+    rest = written(rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti"))
     more = written(_overlaps(rest, alive).filter(f"shared * 100 >= total * {percent}").select("a", "b"))
     if not more.isEmpty():
         labels = components(linked.union(more))

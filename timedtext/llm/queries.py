@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import decontamination, near_dedup, packing, secrets, toxicity
+from timedtext.llm import decontamination, extraction, kdtree, lm_scoring, near_dedup, packing, secrets, sharding, toxicity, warc
 from timedtext.llm.common import id_bucket, prepare
 
 
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.op1(_read(spark, sf_dir, "embeddings"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op2(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op3(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -23,6 +31,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4(_read(spark, sf_dir, "documents"))
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_read(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op6(_read(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -33,10 +49,26 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontamination, op4_secrets, op7_packing, op8_toxicity, op10_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_kdtree,
+        op2_sharding,
+        op3_decontamination,
+        op4_secrets,
+        op5_extraction,
+        op6_warc,
+        op7_packing,
+        op8_toxicity,
+        op9_lm_scoring,
+        op10_near_dedup,
+    )
 }
