@@ -36,6 +36,12 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return rows.groupBy("gram").agg(F.first("a.word").alias("anchor"), (-F.first("a.i")).alias("offset"), F.first("length").alias("length"), F.collect_set("item_id").alias("item_ids"))
 
 
+def _windows(n: int) -> Column:
+    """All windows of n words of the column w."""
+    each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
+    return F.when(F.size("w") >= n, each).otherwise(F.array().cast("array<struct<start:int,length:int,gram:string>>"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row per row of docs: row (a key of this run), doc_id, n_words, hit (sorted places of hit words), item_ids.
 
@@ -58,9 +64,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
         near = near.join(F.broadcast(grams.select("gram", "item_ids")), "gram", "left")
     else:
         lengths = [r[0] for r in grams.select("length").distinct().collect()]  # n values at most
-        windows = [F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i, k=k: F.struct(i.alias("start"), F.lit(k).alias("length"), F.array_join(F.slice("w", i, k), " ").alias("gram"))) for k in lengths]
-        windows = [F.when(F.size("w") >= k, x).otherwise(F.array().cast("array<struct<start:int,length:int,gram:string>>")) for k, x in zip(lengths, windows, strict=True)]
-        near = source.select("row", "doc_id", F.size("w").alias("n_words"), F.inline_outer(F.flatten(F.array(*windows)))).join(grams.select("gram", "item_ids"), "gram", "left")
+        near = source.select("row", "doc_id", F.size("w").alias("n_words"), F.inline_outer(F.flatten(F.array(*map(_windows, lengths))))).join(grams.select("gram", "item_ids"), "gram", "left")
     spans = F.collect_set(F.when(F.col("item_ids").isNotNull(), F.struct("start", "length")))
     rows = near.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))

@@ -44,7 +44,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, p in enumerate((_P, _P_INV)):
-            x = np.full(max(n, 1 << 20), p)
+            x = np.full(max(n, 1 << 19), p)
             x[0] = 1
             _powers[k] = np.cumprod(x, dtype=np.uint64)
     return _powers
@@ -97,7 +97,7 @@ def chained(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def blocks(texts: list[bytes], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many bytes each, to bound what numpy holds."""
     a = total = 0
     for i, t in enumerate(texts):
