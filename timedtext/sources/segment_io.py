@@ -6,7 +6,7 @@ go through Spark's commit protocol, so a half-written result is never seen.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timedtext.functions.timecodes import parse_time, strict_seconds
@@ -28,7 +28,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line number within the file, and line. Files are read whole by one task each, so the order is theirs."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter("line <> ''")
 
 
@@ -42,8 +42,6 @@ def read_segments_strict(spark: SparkSession, path: str) -> DataFrame:
 def read_segments_numbered(spark: SparkSession, path: str) -> DataFrame:
     """id (place among the kept rows, from 0), startzeit, endzeit, text of rows with three fields or more, without the header."""
     rows = _lines(spark, path).withColumn("p", F.split("line", r"\|")).filter((F.size("p") >= 3) & (F.col("line_no") > 0))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("file").orderBy("line_no")
     return rows.select("file", (F.row_number().over(order) - 1).alias("id"), F.get("p", F.lit(0)).alias("startzeit"), F.get("p", F.lit(1)).alias("endzeit"), F.trim(F.get("p", F.lit(2))).alias("text"))
 
