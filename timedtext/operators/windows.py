@@ -180,17 +180,26 @@ def clamp_silence(df: DataFrame, most: float = 2.0, rate: int = 16_000) -> DataF
 def proportional_times(df: DataFrame, pieces: str = "pieces", exact_end: bool = True, floored: bool = False) -> DataFrame:
     """Pieces as rows that share their segment's time by characters; without characters, equally. The last one ends with
     the segment (exact_end) or where the sum of shares ends."""
-    n = F.size(pieces)
-    total = F.aggregate(pieces, F.lit(0), lambda s, p: s + F.length(p))
-    sums = F.transform(F.sequence(F.lit(0), n), lambda k: F.when(total > 0, F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda s, p: s + F.length(p)) / total).otherwise(k / n))
+    kind = "array<struct<text:string,upto:int>>"
+
+    def step(acc: Column, p: Column) -> Column:
+        upto = acc["upto"] + F.length(p)
+        return F.struct(upto.alias("upto"), F.concat(acc["out"], F.array(F.struct(p.alias("text"), upto.alias("upto")))).alias("out"))
+
+    summed = F.aggregate(pieces, F.struct(F.lit(0).alias("upto"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
     kept = [c for c in df.columns if c not in (pieces, "text", "start_sec", "end_sec")]
-    rows = df.filter(n > 0).select(*kept, "start_sec", "end_sec", sums.alias("sums"), n.alias("n"), F.posexplode(pieces).alias("piece", "text"))
-    at = lambda k: F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) * F.get("sums", k)
-    end = at(F.col("piece") + 1)
+    rows = df.select(*kept, "start_sec", "end_sec", summed.alias("__p"))
+    rows = rows.select(*kept, "start_sec", "end_sec", F.size("__p").alias("n"), F.element_at("__p", -1)["upto"].alias("total"), F.posexplode("__p").alias("piece", "__p"))
+    rows = rows.withColumn("upto", F.col("__p.upto")).withColumn("text", F.col("__p.text"))
+
+    def at(chars: Column, k: Column) -> Column:
+        return F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) * F.when(F.col("total") > 0, chars / F.col("total")).otherwise(k / F.col("n"))
+
+    start, end = at(F.col("upto") - F.length("text"), F.col("piece")), at(F.col("upto"), F.col("piece") + 1)
     if exact_end:
         end = F.when(F.col("piece") + 1 == F.col("n"), F.col("end_sec")).otherwise(end)
     down = (lambda c: F.floor(c).cast("double")) if floored else (lambda c: c)
-    return rows.select(*kept, "piece", down(at(F.col("piece"))).alias("start_sec"), down(end).alias("end_sec"), "text")
+    return rows.select(*kept, "piece", down(start).alias("start_sec"), down(end).alias("end_sec"), "text")
 
 
 def timeline(df: DataFrame, min_gap: float = 0.2, least_silence: float = 0.02, mode: str = "target") -> DataFrame:

@@ -110,10 +110,11 @@ def refine_segments(df: DataFrame, spans: DataFrame, words: list[str] = (), lang
         return rows.select(*CORE, "entity_map")
     kept = rows.withColumn("sentences", sp.split_sentences_abbrev(F.col("text"), "de"))
     kept = kept.withColumn("sentences", F.when(F.size("sentences") > 0, F.col("sentences")).otherwise(F.array("text")))
-    pieces = _split(kept, F.col("sentences"))
-    lengths = lambda n: F.aggregate(F.slice("sentences", 1, n), F.lit(0), lambda s, p: s + F.length(p))
-    pieces = pieces.withColumn("entity_map", rebase_entities(F.col("entity_map"), lengths(F.col("piece")), F.length("text")))
+    pieces = _split(kept, F.col("sentences")).drop("sentences")
     inside = Window.partitionBy("media_id", "seq").orderBy("piece")
+    before = F.coalesce(F.sum(F.length("text")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    pieces = pieces.withColumn("before", before)
+    pieces = pieces.withColumn("entity_map", rebase_entities(F.col("entity_map"), F.col("before"), F.length("text"))).drop("before")
     opens = F.when((F.col("piece") == 0) | (tx.word_count(F.col("text")) >= min_words), 1).otherwise(0)
     pieces = pieces.withColumn("part", F.sum(opens).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     groups = pieces.groupBy("media_id", "seq", "part").agg(F.array_sort(F.collect_list(F.struct("piece", "start_sec", "end_sec", "text", "entity_map")), lambda a, b: a["piece"] - b["piece"]).alias("r"))
