@@ -15,6 +15,8 @@ from timedtext.functions import timecodes as tc
 from timedtext.operators import aggregates, attempts, batches, filters, hypotheses, joins, windows
 from timedtext.plans import composites
 from timedtext.sources import segment_io
+from timedtext.sources.shared import shared_folder
+from timedtext.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -569,6 +571,117 @@ def text_vectors(spark, d):
     return batches.text_vectors(fx.turns(spark, d)).select("media_id", "seq", F.size("embedding").alias("dim"))
 
 
+# sources and sinks: written to the shared folder and read back
+
+RAW = ", raw as (select media_id, seq, case when seq % 50 = 7 then 'bad' else printf('%d:%02d:%02d', (case when seq % 50 = 9 then end_sec else start_sec end)::bigint // 3600, (case when seq % 50 = 9 then end_sec else start_sec end)::bigint % 3600 // 60, (case when seq % 50 = 9 then end_sec else start_sec end)::bigint % 60) end as startzeit, printf('%d:%02d:%02d', (case when seq % 50 = 9 then start_sec else end_sec end)::bigint // 3600, (case when seq % 50 = 9 then start_sec else end_sec end)::bigint % 3600 // 60, (case when seq % 50 = 9 then start_sec else end_sec end)::bigint % 60) as endzeit, text from segments)"
+
+
+def _lines(spark, d, name, *columns):
+    """Lines of pipe-delimited fields in the shared folder."""
+    path = shared_folder(spark, name)
+    fx.raw_segments(spark, d).select(F.concat_ws("|", *columns)).write.text(path)
+    return path
+
+
+@query(SEG + RAW + " select media_id::varchar as media_id, seq::varchar as seq, startzeit, endzeit, text from raw")
+def read_segments(spark, d):
+    path = shared_folder(spark, "segments")
+    segment_io.write_segments(fx.raw_segments(spark, d), path)
+    return segment_io.read_segments(spark, path)
+
+
+QUERIES["write_segments"], ORACLE["write_segments"] = read_segments, ORACLE["read_segments"]
+
+
+@query(SEG + ", s as (select start_sec, end_sec, trim(text) as text, text as whole from segments where seq % 50 not in (7, 9)), w as (select end_sec, start_sec, trim(text) as text, text as whole from segments where seq % 50 = 9) select start_sec, end_sec, text from s where not contains(whole, '|') union all select end_sec as start_sec, start_sec as end_sec, text from w where not contains(whole, '|')")
+def read_segments_strict(spark, d):
+    return segment_io.read_segments_strict(spark, _lines(spark, d, "strict", "startzeit", "endzeit", "text"))
+
+
+@query(SEG + RAW + " select startzeit, endzeit, trim(split_part(text, '|', 1)) as text from raw")
+def read_segments_numbered(spark, d):
+    return segment_io.read_segments_numbered(spark, _lines(spark, d, "numbered", "startzeit", "endzeit", "text")).drop("file", "id")
+
+
+@query(SEG + "select media_id * 100000 + seq as original_id, 'chunk' || seq || '.wav' as chunk_path from segments where seq % 11 <> 3")
+def read_manifest(spark, d):
+    clip = F.when(F.col("seq") % 11 != 3, F.concat(F.lit("chunk"), F.col("seq"), F.lit(".wav"))).otherwise("")
+    number = (F.col("media_id") * 100000 + F.col("seq")).cast("string")
+    path = _lines(spark, d, "manifest", "startzeit", "endzeit", F.translate("text", "|", ","), clip, number)
+    return segment_io.read_manifest(spark, path).select("original_id", "chunk_path")
+
+
+@query(fx.with_sql("hypotheses") + "select segment_id, count(*)::bigint as n, max(beam_score_raw) as score from hypotheses group by segment_id")
+def append_hypotheses(spark, d):
+    h = fx.hypotheses(spark, d).groupBy("segment_id").agg(F.collect_list(F.struct("text", F.col("beam_score_raw").alias("score"))).alias("hypotheses")).withColumn("source_text", F.lit("s"))
+    path = shared_folder(spark, "hypotheses")
+    for k in range(2):  # two appends, as of an interrupted run and its successor
+        segment_io.append_hypotheses(h.filter(F.col("segment_id") % 2 == k), path)
+    return spark.read.parquet(path).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+
+
+@query(fx.with_sql("segments", "manifest") + "select media_id, count(*)::bigint as n from manifest group by media_id")
+def append_manifest(spark, d):
+    path = shared_folder(spark, "manifest")
+    for k in range(2):
+        segment_io.append_manifest(fx.manifest(spark, d).filter(F.col("seq") % 2 == k), path)
+    return spark.read.parquet(path).groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(fx.with_sql("speech") + "select media_id, count(*)::bigint as n, round(sum(end_sec - start_sec), 1) as seconds from speech group by media_id")
+def write_speech_intervals(spark, d):
+    path = shared_folder(spark, "speech")
+    segment_io.write_speech_intervals(fx.speech(spark, d), path)
+    back = spark.read.schema("media_id long, start double, end double").json(path)
+    return back.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 1).alias("seconds"))
+
+
+# streams: the events as they would arrive, run until nothing is left
+
+def _arriving(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = streams.stream_segments(spark, f"{d}/events*.parquet", schema)
+    return rows.selectExpr("user_id as media_id", "event_id as seq", "unix_micros(timestamp(ts)) / 1000000.0D as start_sec", "unix_micros(timestamp(ts)) / 1000000.0D + 1 + event_id % 9 as end_sec", "event_type as text", "timestamp(ts) as ts")
+
+
+def _drained(spark, df, name, mode):
+    """All rows that the query gives until its input ends, from a Parquet sink."""
+    path = shared_folder(spark, name)
+    sink = df.writeStream.option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        sink.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+    else:
+        sink.foreachBatch(lambda rows, _: rows.write.mode("append").parquet(f"{path}/rows")).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+@query(fx.with_sql("speech") + "select media_id, seq, event_type as text from speech")
+def stream_segments(spark, d):
+    return _drained(spark, _arriving(spark, d), "arriving", "append").select("media_id", "seq", "text")
+
+
+@query(fx.with_sql("speech") + "select distinct media_id, seq from speech")
+def stream_resume(spark, d):
+    twice = _arriving(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _drained(spark, streams.stream_resume(twice), "resumed", "append").select("media_id", "seq")
+
+
+@query(fx.with_sql("speech") + "select media_id, count(*)::bigint as done from speech group by media_id")
+def stream_progress(spark, d):
+    return _drained(spark, streams.stream_progress(_arriving(spark, d)), "progress", "update").groupBy("media_id").agg(F.max("done").alias("done"))
+
+
+@query("with w as (select user_id as media_id, unnest([epoch_us(ts) // 27000000, epoch_us(ts) // 27000000 - 1]) as k, epoch_us(ts) as t from events) select media_id, k * 27 as part_start, count(*)::bigint as n from w where t < k * 27000000 + 30000000 group by 1, 2")
+def stream_parts(spark, d):
+    rows = _drained(spark, streams.stream_parts(_arriving(spark, d), 30, delay="3650 days"), "parts", "update")
+    return rows.groupBy("media_id", F.unix_seconds("part_start").alias("part_start")).agg(F.max("n").alias("n"))
+
+
+@query()
+def stream_gap_merge(spark, d):
+    return _drained(spark, streams.stream_gap_merge(_arriving(spark, d), 3600, 100_000, 400), "merged", "append")
+
+
 # composites
 
 @query()

@@ -27,9 +27,10 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line number within the file, and line. Files are read whole by one task each, so the order is theirs."""
+    """file, line number within the file, and line, without headers. Files are read whole by one task each, so the order is theirs."""
+    header = F.regexp_replace(F.lower("line"), r"\s", "").startswith("startzeit|")
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter("line <> ''")
+    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter((F.col("line") != "") & ~header)
 
 
 def read_segments_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +42,7 @@ def read_segments_strict(spark: SparkSession, path: str) -> DataFrame:
 
 def read_segments_numbered(spark: SparkSession, path: str) -> DataFrame:
     """id (place among the kept rows, from 0), startzeit, endzeit, text of rows with three fields or more, without the header."""
-    rows = _lines(spark, path).withColumn("p", F.split("line", r"\|")).filter((F.size("p") >= 3) & (F.col("line_no") > 0))
+    rows = _lines(spark, path).withColumn("p", F.split("line", r"\|")).filter(F.size("p") >= 3)
     order = Window.partitionBy("file").orderBy("line_no")
     return rows.select("file", (F.row_number().over(order) - 1).alias("id"), F.get("p", F.lit(0)).alias("startzeit"), F.get("p", F.lit(1)).alias("endzeit"), F.trim(F.get("p", F.lit(2))).alias("text"))
 
@@ -55,7 +56,7 @@ def latest_manifest(rows: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """original_id, startzeit, endzeit, text, chunk_path of rows with four fields and a path; the last row of an id counts."""
-    rows = _lines(spark, path).withColumn("p", F.split("line", r"\|")).filter((F.size("p") >= 4) & (F.col("line_no") > 0))
+    rows = _lines(spark, path).withColumn("p", F.split("line", r"\|")).filter(F.size("p") >= 4)
     field = lambda k: F.trim(F.get("p", F.lit(k)))
     rows = rows.select("line_no", field(0).alias("startzeit"), field(1).alias("endzeit"), field(2).alias("text"), field(3).alias("chunk_path"), F.coalesce(F.get("p", F.lit(4)), F.col("line_no").cast("string")).try_cast("long").alias("original_id"))
     rows = rows.filter("chunk_path <> '' and original_id is not null")
@@ -64,7 +65,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_segments(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "|").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(sep="|", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def flat_hypotheses(nested: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def stream_gap_merge(segments: DataFrame, max_gap: float = 0.5, max_dur: float =
             if now:
                 state.update(now)
                 state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + int(max_gap * 1000) + 1)
-        yield pd.DataFrame(out, columns=["media_id", "start_sec", "end_sec", "text", "n_rows"])
+        if out:
+            yield pd.DataFrame(out, columns=["media_id", "start_sec", "end_sec", "text", "n_rows"])
 
     rows = segments.withWatermark("ts", delay).select("media_id", "seq", "start_sec", "end_sec", "text", "ts")
     return rows.groupBy("media_id").applyInPandasWithState(merge, MERGED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
