@@ -21,7 +21,7 @@ g as (select distinct item_id, n, array_to_string(w[s:s + n - 1], ' ') as gram f
 d as (select doc_id, {_WORDS} as w from documents),
 p as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as s, w from d, (select distinct n from g) where len(w) >= n),
 h as (select doc_id, s, p.n, item_id from (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as gram from p) p join g using (gram)),
-c as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(s, s + n)) as at from h) group by doc_id),
+c as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from h) group by doc_id),
 t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c using (doc_id) left join t using (doc_id)
