@@ -22,15 +22,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: that with the least doc_id."""
+    """One row of each near-duplicate group: that with the least doc_id. Of equal rows one stays; rows with a null
+    doc_id can not be told apart, so all different ones stay if one does."""
     kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    hits = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit") > 0)
-    return docs.select(COLUMNS).join(hits.select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    """Documents without any benchmark window. Rows are told apart by a hash of id and text, so null ids are no matter."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    given = keyed.select(F.col("key").alias("doc_id"), "text")
+    hits = decontamination.contamination(given, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit") > 0)
+    return keyed.join(hits.select(F.col("doc_id").alias("key")), "key", "left_anti").select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
