@@ -13,7 +13,7 @@ def test_stages(spark, tmp_path):
     clean = [(i, t) for i, t in docs if i % 4]
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     rows = [(i, t, "en", "s", len(t)) for i, t in docs]
-    rows += [(500, clean[0][1], "en", "s", 1), (501, f"so {item} it is", "en", "s", 1), (502, "my token=abcdefgh12 here", None, None, None), (503, None, None, None, None), (504, "", None, None, None), rows[1]]
+    rows += [(500, clean[0][1], "en", "s", 1), (501, f"so {item} it is", "en", "s", 1), (502, "my token=abcdefgh12 here", None, None, None), (503, None, None, None, None), (504, "", None, None, None), rows[1], (None, f"{item} of no id", None, None, None), (None, "clean words of no id", None, None, None)]
     d = str(tmp_path)
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"file://{d}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"file://{d}/labels.parquet")
@@ -29,9 +29,10 @@ def test_stages(spark, tmp_path):
             assert kept.columns == corpus_pipeline.COLUMNS
     ids = lambda name: {r.doc_id for r in seen[name].select("doc_id").collect()}
     toxic = {i for i, y in labels if y}
-    assert len(toxic & ids("toxicity")) <= 1 and {i for i, _ in clean} | {500, 501, 502, 503, 504} <= ids("toxicity")
-    assert ids("near_dedup") == ids("toxicity") - {500} and seen["near_dedup"].count() == len(ids("near_dedup"))
+    assert len(toxic & ids("toxicity")) <= 1 and {i for i, _ in clean} | {None, 500, 501, 502, 503, 504} <= ids("toxicity")
+    assert ids("near_dedup") == ids("toxicity") - {500} and seen["near_dedup"].count() == len(ids("near_dedup")) + 1
     assert ids("decontamination") == ids("near_dedup") - {501}
+    assert [r.text for r in seen["decontamination"].filter("doc_id is null").collect()] == ["clean words of no id"]
     texts = {r.doc_id: r.text for r in seen["secrets"].collect()}
     assert set(texts) == ids("decontamination") and texts[502] == "my [REDACTED] here" and texts[503] is None
     assert ids("packing") == ids("decontamination")
