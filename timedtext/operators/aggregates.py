@@ -19,7 +19,8 @@ def selection_report(hyps: DataFrame, chosen: DataFrame) -> DataFrame:
     score = F.col("score").cast("string").try_cast("double")
     a = hyps.agg(F.count_distinct("segment_id").alias("segments"), F.count(F.lit(1)).alias("hypotheses"), F.avg(score).alias("score_mean"), F.median(score).alias("score_median"), F.stddev_pop(score).alias("score_std"))
     b = chosen.agg(F.avg("similarity").alias("similarity_mean"), F.median("similarity").alias("similarity_median"), F.max("similarity").alias("similarity_max"), F.min("similarity").alias("similarity_min"))
-    return a.join(F.broadcast(b), how="full").withColumn("hypotheses_per_segment", F.col("hypotheses") / F.col("segments"))  # one row each
+    both = a.unionByName(b, allowMissingColumns=True)  # one row each
+    return both.agg(*(F.max(c).alias(c) for c in both.columns)).withColumn("hypotheses_per_segment", F.col("hypotheses") / F.col("segments"))
 
 
 def quality_summary(report: DataFrame, threshold: float) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timedtext.functions.text import tts_validity
 
 KEY = ["media_id", "seq"]
-#: Word lists of up to so many rows are broadcast; longer ones are joined through the words of the texts.
-BROADCAST_WORDS = 10_000
+#: Longest word list and glossary that become part of a plan.
+MOST_WORDS, MOST_TERMS = 10_000, 1_000
 
 
 def resume_by_start(segments: DataFrame, finished: DataFrame, by_start: bool = False) -> DataFrame:
@@ -56,27 +58,28 @@ def free_of_spans(matches: DataFrame, spans: DataFrame) -> DataFrame:
     return m.join(s, over, "left_anti")
 
 
-def _bounded(words: DataFrame, least: int) -> DataFrame:
-    """Word lists are small by nature; that is checked before one is broadcast."""
-    if words.limit(least + 1).count() > least:
-        raise ValueError(f"a word list of more than {least} rows: split it, or raise the bound")
-    return F.broadcast(words)
+def _listed(words: DataFrame, most: int) -> list:
+    """Word lists are small by nature; that is checked before one becomes part of a plan."""
+    rows = words.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a word list of more than {most} rows: split it, or raise the bound")
+    return rows
 
 
-def dictionary_hits(segments: DataFrame, words: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
+def dictionary_hits(segments: DataFrame, words: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """media_id, seq, words: which words (column word) each text contains, longest first, case kept."""
-    d = _bounded(words.select("word").distinct(), most)
-    hits = segments.select(*KEY, "text").join(d, F.contains(F.col("text"), F.col("word"))).groupBy(*KEY).agg(F.collect_list("word").alias("w"))
-    by_length = F.array_sort("w", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return hits.select(*KEY, by_length.alias("words"))
-
-
-def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
-    """media_id, seq, glossary: lines "term: options" of the terms that occur as whole words, sorted."""
-    g = _bounded(glossary.select("term", "options").distinct(), most)
-    whole = F.expr(r"text rlike concat('(?iU)\\b\\Q', term, '\\E\\b')")
-    hits = segments.select(*KEY, "text").join(g, whole)
-    return hits.groupBy(*KEY).agg(glossary_text().alias("glossary"))
+    listed = sorted((r["word"] for r in _listed(words.select("word"), most) if r["word"]), key=lambda w: (-len(w), w))
+    every = F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
+    hits = segments.select(*KEY, F.filter(every, lambda w: F.contains(F.col("text"), w)).alias("words"))
+    return hits.filter(F.size("words") > 0)
+
+
+def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """media_id, seq, glossary: lines "- term: options" of the terms that occur as whole words in any case, sorted."""
+    lines = [F.when(F.col("text").rlike(rf"(?iU)\b{re.escape(r['term'])}\b"), f"- {r['term']}: {r['options']}") for r in _listed(glossary.select("term", "options"), most)]
+    every = F.array(*lines) if lines else F.array().cast("array<string>")
+    hits = segments.select(*KEY, F.array_sort(F.filter(every, lambda x: x.isNotNull())).alias("x")).filter(F.size("x") > 0)
+    return hits.select(*KEY, F.array_join("x", "\n").alias("glossary"))
 
 
 def glossary_text():

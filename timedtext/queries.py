@@ -532,7 +532,8 @@ def rebase_entities(spark, d):
 @query(SEG + ", d as (select unnest(['the', 'and', 'des', 'que', 'der', 'una', 'pas', 'with']) as term) select string_agg('- ' || term || ': ' || upper(term), chr(10) order by term) as glossary from (select distinct term from d join segments on contains(text, term))")
 def glossary_text(spark, d):
     g = spark.createDataFrame([(t, t.upper()) for t in TERMS if "." not in t], "term string, options string")
-    used = fx.segments(spark, d).join(F.broadcast(g), F.contains("text", F.col("term"))).select("term", "options").distinct()
+    found = joins.dictionary_hits(fx.segments(spark, d), g.select(F.col("term").alias("word"))).select(F.explode("words").alias("term")).distinct()
+    used = found.join(g, "term")
     return used.agg(joins.glossary_text().alias("glossary"))
 
 
