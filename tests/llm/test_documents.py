@@ -196,6 +196,14 @@ def test_secrets(spark, rows):
     assert secrets.op4(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_secret_places_in_a_text_of_thousands_of_matches(spark):
+    text = " ".join(f"é token={'x' * (5 + i % 9)} AKIA{'Q' * (i % 20)} {'ab0' * (i % 14)}" for i in range(3000))
+    kinds = [("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+    want = sorted((m.start(), k, m.end(), kind) for k, (kind, p, g, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m[g]) >= least)
+    row = secrets.op4(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["spans"] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     one = spark.createDataFrame([(1, SECRETS[0]), (2, SECRETS[0]), (3, "clean")], "doc_id long, text string")

@@ -7,6 +7,7 @@ findings of all present rule versions back to every row that holds the blob.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,20 +37,53 @@ RULES = (
 )
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 SPANS = "array<struct<start:int,end:int>>"
+#: Matches summed at once.
+RUN = 256
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's result reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _total(lengths: Column, first: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(lengths, first, n), F.lit(0), lambda s, x: s + x)
+
+
+def _sums_before(lengths: Column) -> tuple[Callable[[Column, Column], Column], Column]:
+    """(sum before a place, given the sums before runs; those sums): whole runs first, then the rest of the place's own."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / RUN).cast("int")), lambda k: _total(lengths, k * RUN + 1, F.lit(RUN)))
+    at = _bound(runs, lambda u: F.transform(u, lambda _, k: _total(u, F.lit(1), k)))
+    return lambda place, sums: F.get(sums, F.floor(place / RUN).cast("int")) + _total(lengths, place - place % RUN + 1, place % RUN), at
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Code-point spans of a rule's matches: what stands between matches and the matches' lengths give the places."""
-    found, parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    total = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-    start = lambda i: total(parts, i + 1) + total(found, i)
-    spans = F.transform(found, lambda m, i: F.struct(start(i).cast("int").alias("start"), (start(i) + F.length(m)).cast("int").alias("end"), F.length(F.get(value, i)).alias("n")))
-    spans = F.transform(F.filter(spans, lambda s: s["n"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    """Code-point spans of a rule's matches: what stands between matches and the matches' lengths give the places.
+
+    Patterns are run once a text, and places are summed by runs, so texts with very many matches stay cheap.
+    """
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
+    every = lambda group: lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)))
+    cut = F.struct(every(0).alias("found"), every(rule.group).alias("value"), lengths(F.split(text, rule.pattern, -1)).alias("between"))
+
+    def spans(c: Column) -> Column:
+        steps = F.zip_with(F.slice(c["between"], 1, F.size(c["found"])), c["found"], lambda a, b: a + b)
+
+        def placed(s: Column) -> Column:
+            before, at = _sums_before(s)
+
+            def one(n: Column, i: Column, r: Column) -> Column:
+                start = before(i, r) + F.get(c["between"], i)
+                return F.when(F.get(c["value"], i) >= rule.least, F.struct(start.cast("int").alias("start"), (start + n).cast("int").alias("end")))
+
+            return _bound(at, lambda r: F.filter(F.transform(c["found"], lambda n, i: one(n, i, r)), lambda x: x.isNotNull()))
+
+        return _bound(steps, placed)
+
     may = text.rlike(rule.pattern)
     for i, x in enumerate(rule.needs):
         some = F.contains(text, F.lit(x)) if i == 0 else some | F.contains(text, F.lit(x))
-    return F.when((some & may) if rule.needs else may, spans).otherwise(F.array().cast(SPANS))
+    return F.when((some & may) if rule.needs else may, _bound(cut, spans)).otherwise(F.array().cast(SPANS))
 
 
 def scan_unseen(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
