@@ -52,6 +52,21 @@ SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 ENDED = "regexp_matches(trim(text), '[.!?][\"''”’»]?$')"
 WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
 
+def _without(text: str, patterns: list[str]) -> str:
+    for p in patterns:
+        text = f"regexp_replace({text}, '{p}', '', 'gi')"
+    return text
+
+
+def _sanitized(patterns: list[str]) -> str:
+    t = rf"regexp_replace(regexp_replace({_without("coalesce(text, '')", patterns)}, '\s+', ' ', 'g'), '\s*[,.]\s*[,.]+', '.', 'g')"
+    t = SQUEEZE.format(rf"regexp_replace({t}, '^[,.\s]+|[,.\s]+$', '', 'g')")
+    return SQUEEZE.format(rf"replace(case when regexp_matches({t}, '^\p{{Ll}}') then upper(({t})[1]) || ({t})[2:] else {t} end, '|', ',')")
+
+
+LED = rf"trim(regexp_replace({SQUEEZE.format('text')}, '^[.!?,:;]\s*', ''))"
+LED = rf"case when regexp_matches({LED}, '(?i)^({'|'.join(tx.LANGUAGE_WORDS)})([^\p{{L}}\p{{M}}\p{{N}}_]|$)') then trim(regexp_replace({LED}, '(?i)^({'|'.join(tx.LANGUAGE_WORDS)})\s*[.:]?\s*', '')) else {LED} end"
+
 _scalar("escape_fullwidth", tx.escape_fullwidth, "translate(text, '|\"''', '︱＂＇')")
 _scalar("quote_to_apostrophe", tx.quote_to_apostrophe, "replace(text, '\"', '''')")
 _scalar("strip_trailing_ellipsis", tx.strip_trailing_ellipsis, r"regexp_replace(text, '\.\.\.$', '')")
@@ -62,10 +77,10 @@ _scalar("is_complete_sentence", tx.is_complete_sentence, ENDED)
 _scalar("complete_sentence", tx.complete_sentence, f"case when trim(text) = '' or {ENDED} then trim(text) else trim(text) || '.' end")
 _scalar("token_estimate", lambda t: tx.token_estimate(t, 200), "least(length(text) // 4, 200)::int")
 _scalar("word_count", tx.word_count, WORDS.format("text") + "::int")
-_scalar("clean_translation", tx.clean_translation)
-_scalar("sanitize_text", tx.sanitize_text)
-_scalar("sanitize_keep_placeholders", tx.sanitize_keep_placeholders)
-_scalar("strip_lang_prefix", lambda t: tx.strip_lang_prefix(F.concat(F.lit("<2de> "), t), "de"))
+_scalar("clean_translation", tx.clean_translation, SQUEEZE.format(r"regexp_replace(regexp_replace(text, '\.{2,}', '', 'g'), '\s*-\s*', ' ', 'g')"))
+_scalar("sanitize_text", tx.sanitize_text, _sanitized(tx.PLACEHOLDERS_ALL))
+_scalar("sanitize_keep_placeholders", tx.sanitize_keep_placeholders, _sanitized(tx.PLACEHOLDERS_KEPT_OUT))
+_scalar("strip_lang_prefix", lambda t: tx.strip_lang_prefix(F.concat(F.lit("<2de> "), t), "de"), f"(select upper(v[1]) || v[2:] from (select {LED} as v))")
 _scalar("collapse_repeats", tx.collapse_repeats)
 _scalar("split_sentences_simple", sp.split_sentences_simple)
 _scalar("split_sentences_abbrev", lambda t: sp.split_sentences_abbrev(t, "en"))
@@ -149,14 +164,29 @@ def capped_speed(spark, d):
     return _rounded(m.select("media_id", "seq", "s.speed", "s.capped"), "speed")
 
 
-@query()
+@query(fx.with_sql("segments", "manifest") + """, f as (select media_id, seq, actual_sec / 4 as f from manifest),
+n as (select *, greatest(ceil(log2(f) - 1e-12) - 1, 0)::int as up, greatest(ceil(-log2(f) - 1e-12) - 1, 0)::int as down from f),
+r as (select *, f / pow(2.0, up) * pow(2.0, down) as rest from n)
+select media_id, seq, case when f is null or f <= 0 then 'atempo=1.0' when f between 0.5 and 2 then format('atempo={:.6f}', round(f, 6)) else array_to_string(list_concat(list_transform(range(down), lambda i: 'atempo=0.5'), list_transform(range(up), lambda i: 'atempo=2.0'), case when abs(rest - 1) > 0.001 then [format('atempo={:.6f}', round(rest, 6))] else [] end), ',') end as value from r""")
 def tempo_chain(spark, d):
     return fx.manifest(spark, d).select("media_id", "seq", tc.tempo_chain(F.col("actual_sec") / 4).alias("value"))
 
 
 # windows
 
-@query()
+#: Chunks by a walk over each medium's rows in order.
+GAP_MERGE = SEG.replace("with ", "with recursive ", 1) + """, r as (select *, row_number() over (partition by media_id order by start_sec, seq) as rn, trim(coalesce(text, '')) as t from segments),
+w as (select media_id, seq, rn, start_sec, end_sec, t, 1::bigint as k, start_sec as opened, length(t) as chars from r where rn = 1 union all
+  select x.media_id, x.seq, x.rn, x.start_sec, x.end_sec, x.t, case when x.j then x.k else x.k + 1 end, case when x.j then x.opened else x.start_sec end, case when x.j then x.longer else length(x.t) end
+  from (select y.*, coalesce(gap between 0 and 0.5 and end_sec - opened <= 60 and longer <= 400, false) as j
+    from (select r.media_id, r.seq, r.rn, r.start_sec, r.end_sec, r.t, w.k, w.opened, r.start_sec - w.end_sec as gap, w.chars + length(r.t) + (case when w.chars > 0 and length(r.t) > 0 then 1 else 0 end) as longer
+      from w join r on r.media_id = w.media_id and r.rn = w.rn + 1) y) x),
+c as (select media_id, arg_min(seq, rn) as seq, arg_min(start_sec, rn) as start_sec, arg_max(end_sec, rn) as end_sec, coalesce(string_agg(case when t <> '' then t end, ' ' order by rn), '') as text, count(*)::int as n_rows from w group by media_id, k),
+m as (select * from c where text <> '')
+"""
+
+
+@query(GAP_MERGE + "select * from m")
 def gap_merge(spark, d):
     return windows.gap_merge(fx.segments(spark, d), 0.5, 60, 400)
 
@@ -230,7 +260,14 @@ def proportional_times(spark, d):
     return _rounded(windows.proportional_times(s), "start_sec", "end_sec")
 
 
-@query()
+TIMELINE = fx.with_sql("segments", "manifest").replace("with ", "with recursive ", 1) + """, r as (select *, row_number() over (partition by media_id order by start_sec, seq) as rn from manifest),
+w as (select media_id, seq, rn, start_sec, end_sec, start_sec < 0 as had_overlap, case when start_sec < 0 then 0.2::double else start_sec end as e, case when start_sec < 0 then 0.2::double else start_sec end as gap, case when start_sec < 0 then 0.2::double else start_sec end + actual_sec as running from r where rn = 1 union all
+  select media_id, seq, rn, start_sec, end_sec, late, e, e - before, e + actual_sec
+  from (select r.*, w.running as before, r.start_sec < w.running as late, case when r.start_sec < w.running then w.running + 0.2::double else r.start_sec end as e from w join r on r.media_id = w.media_id and r.rn = w.rn + 1) x)
+"""
+
+
+@query(TIMELINE + "select media_id, seq, start_sec, end_sec, round(e, 4) as effective_start, round(case when gap > 0.02 then gap else 0 end, 4) as silence, had_overlap, round(running, 4) as effective_end from w")
 def timeline(spark, d):
     return _rounded(windows.timeline(fx.manifest(spark, d), mode="actual"), "effective_start", "silence", "effective_end")
 
@@ -417,7 +454,7 @@ def polish_summary(spark, d):
     return _rounded(aggregates.polish_summary(attempts.polish_decision(fx.judged(spark, d), fx.attempts(spark, d))), "mean_before", "mean_after")
 
 
-@query()
+@query(GAP_MERGE + ", a as (select media_id, count(*) as rows_read, count_if(start_sec <= end_sec)::bigint as rows_valid from segments group by 1), b as (select media_id, count(*) as rows_final from m group by 1) select media_id, rows_read, rows_valid, coalesce(rows_final, 0)::bigint as rows_final from a left join b using (media_id)")
 def merge_stats(spark, d):
     s = fx.segments(spark, d)
     return aggregates.merge_stats(s, windows.gap_merge(s, 0.5, 60, 400))
@@ -433,7 +470,7 @@ def grammar_change_count(spark, d):
     return aggregates.grammar_change_count(fx.turns(spark, d).withColumn("corrected", F.trim("text")), "text", "corrected")
 
 
-@query()
+@query(TIMELINE + "select media_id, count(*) as clips, count_if(had_overlap)::bigint as overlaps, 0::bigint as failed from w group by 1")
 def overlap_stats(spark, d):
     return aggregates.overlap_stats(windows.timeline(fx.manifest(spark, d), mode="actual"))
 
