@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from timedtext.llm import common, decontamination, near_dedup, packing, secrets, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least similarity of near copies, and bands enough that a pair of just that is missed with probability 7e-6.
+NEAR_PERCENT, NEAR_BANDS = 80, 30
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that with the least doc_id. Of equal rows one stays; rows with a null
     doc_id can not be told apart, so all different ones stay if one does."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, bands=NEAR_BANDS, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct()
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
     return rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(COLUMNS)
 

@@ -47,3 +47,13 @@ def test_stages_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, d).count() == 0
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(104)]
+    other = [*words[:50], "x", *words[51:75], "y", *words[76:]]  # 90 of 110 shingles are shared: 0.818
+    less = [f"v{i}" for i in range(104)]
+    apart = [w + "z" if i in (20, 50, 80) else w for i, w in enumerate(less)]  # 85 of 115: 0.739
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, other, less, apart))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert {r.doc_id for r in kept.collect()} == {0, 2, 3}

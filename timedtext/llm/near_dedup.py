@@ -5,8 +5,8 @@ Steps, all on classes of documents with equal shingle sets (copies never multipl
 1. Signatures. Two permutations: sigma sends a shingle to a place in [0, 2**20), pi is a table over those places;
    coordinate k is the least pi[(sigma + k) mod 2**20], so one table read circularly shifted gives all of them.
 2. Banding: equal bands put classes in one bucket.
-3. Exact pruning: a class with more than 15 % shingles that no other candidate has can't link with any (its overlap
-   is at most its other shingles, and a link needs 85 % of the union). Repeated once, as pruning frees shingles.
+3. Exact pruning (by 85 %, or percent): a class with more than 15 % shingles that no other candidate has can't link with
+   any (its overlap is at most its other shingles, and a link needs 85 % of the union). Repeated once, as pruning frees shingles.
 4. Each bucket links its members to its hub (the member in most buckets), verified on full sets; components follow.
 5. What a bucket still holds of different components is compared pairwise, but for pairs that sizes or the triangle
    inequality of Jaccard distances to the hub rule out. So no link of a candidate pair is lost and no group is
