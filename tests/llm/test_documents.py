@@ -113,6 +113,20 @@ def test_packing(rows, docs):
     assert len(bins) <= -(-sum(r.length for r in got) // 256) * 1.05 + 1
 
 
+def test_packing_of_the_added_token(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(packing.public_tokenizers.path("byte_bpe_50k.json")))
+    given = ["end of page <|endoftext|> next page", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b\n<|endoftext|>\n", "<|endoftext", "<|ENDOFTEXT|> it's  ", "日本<|endoftext|>é " * 300]
+    want = Counter()
+    for d, t in enumerate(given):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 256 or 256, len(ids) + 1, 256)] if len(ids) > 256 else [0, len(ids)]
+        want.update((d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    got = packing.pack(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), capacity=256).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -29,6 +29,8 @@ END_ID = 2
 BLOCK = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 5, 4
 OPEN_BELOW = 0.97
+#: The added token of the tokenizer file, which the rank file leaves out.
+SPECIAL = {"<|endoftext|>": 50256}
 
 _encoders: dict[str, tiktoken.Encoding] = {}
 
@@ -37,12 +39,12 @@ def encoder(ranks: str) -> tiktoken.Encoding:
     """The byte-level vocabulary of a rank file; it gives the ids of the tokenizer file of the same vocabulary."""
     if ranks not in _encoders:
         pairs = (line.split() for line in open(ranks, "rb"))
-        _encoders[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+        _encoders[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens=SPECIAL)
     return _encoders[ranks]
 
 
 def token_ids(text: str, ranks: str) -> np.ndarray:
-    return np.append(encoder(ranks).encode_to_numpy(text, disallowed_special=()), END_ID).astype("<u4")
+    return np.append(encoder(ranks).encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4")
 
 
 def _pieces(ranks: str, capacity: int):
