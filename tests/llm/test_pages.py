@@ -61,6 +61,15 @@ def test_extraction_in_other_layouts():
     assert extraction.main_text(page, w, step, {}) == "Title Hello there, this is a text."
 
 
+def test_extraction_reads_on_behind_embedded_elements():
+    texts = lambda page: [b[1] for b in extraction.leaf_blocks(page)]
+    for x in ("<svg-icon></svg-icon>", "<object-view></object-view>", "<template-x>", "<script-x></script-x>", '<svg viewBox="0 0" />', "<math/>", "<object data='a'/>", "<style>p{}</style >", "<script>'<p>no</p>'</script x>"):
+        assert texts(f"<article><p>one</p>{x}<p>two</p></article>") == ["one", "two"]
+    assert texts("<p>a <math><mi>x</mi></math> b") == ["a", "x", "b"] and texts("<noscript><p>c</p></noscript><object>d</object>") == ["c", "d"]
+    paths = {b[1]: b[0] for b in extraction.leaf_blocks("<article><svg/><p>e</p><template><p>f</p></template><p>g <object>h</object> i</article>")}
+    assert paths["e"] == ("t:article", "t:p") and paths["f"] == ("t:article", "t:template", "t:p") and paths["i"] == paths["g"] == ("t:article", "t:p")
+
+
 def test_warc_round_trip(pages):
     rows, df = pages
     got = Counter(tuple(r) for r in warc.op6(df).collect())

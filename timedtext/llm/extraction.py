@@ -29,12 +29,14 @@ SAMPLE = 150
 DIM, EPOCHS, RATE, DECAY = 1 << 13, 6, 0.3, 1e-4
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul div center".split())
+#: Elements that blocks have as ancestors but that end no paragraph; written self-closing they are empty.
+EMBEDDED = frozenset("noscript template svg math object".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split()), "option": frozenset(["option"])}
 ENDS_P = BLOCK_TAGS - frozenset("html head body button label".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(?:[!?/]|[a-zA-Z])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -76,7 +78,7 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(" ")
         if tag == "a":
             in_link = not m[2]
-        if tag not in BLOCK_TAGS:
+        if tag not in BLOCK_TAGS and tag not in EMBEDDED:
             continue
         flush()
         if m[2]:
@@ -88,7 +90,7 @@ def leaf_blocks(page: str) -> list[Block]:
             closes = CLOSES.get(tag, frozenset()) | (frozenset(["p"]) if tag in ENDS_P else frozenset())
             while stack and stack[-1][0] in closes:
                 stack.pop()
-            if tag not in VOID_TAGS:
+            if tag not in VOID_TAGS and not (tag in EMBEDDED and m[4].endswith("/")):
                 words = [f"t:{tag}"]
                 for name, value in ATTRIBUTE.findall(m[4]):
                     words += [f"c:{x}" for x in re.findall(r"[a-z]+", value.lower())] if name else []
