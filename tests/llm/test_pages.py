@@ -70,6 +70,17 @@ def test_extraction_reads_on_behind_embedded_elements():
     assert paths["e"] == ("t:article", "t:p") and paths["f"] == ("t:article", "t:template", "t:p") and paths["i"] == paths["g"] == ("t:article", "t:p")
 
 
+def test_extraction_where_few_pages_or_none_name_their_article(spark):
+    plain = '<html><body><div class="navbar"><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></div><div class="article-content"><h2>Title {i}</h2><p>Hello there, this is text number {i} of the table.</p></div><div class="sidebar"><p>Some more links here.</p></div><div id="footer">&copy; all rights</div></body></html>'
+    bare = "<main>{i}</main>"  # names an article and has nothing beside it
+    rows = [(i, "u", plain.format(i=i)) for i in range(30)]
+    want = {i: f"Title {i} Hello there, this is text number {i} of the table." for i in range(30)}
+    for more in ([], [(100 + i, "v", bare.format(i=i)) for i in range(9)], [(100 + i, "v", bare.format(i=i)) for i in range(9)] + [(200 + i, "w", PAGE.format(i=i)) for i in range(3)]):
+        got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows + more, SCHEMA), sample=3).collect()}
+        assert {i: got[i] for i in range(30)} == want
+        assert all(got[i] == f"Head {i - 200} First & {i - 200} bold, with spaces. Second para {i - 200} of it." for i in got if i >= 200)
+
+
 def test_warc_round_trip(pages):
     rows, df = pages
     got = Counter(tuple(r) for r in warc.op6(df).collect())

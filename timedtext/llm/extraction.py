@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from timedtext.llm.common import prepare
 
-#: Pages that label the training set, those with the least hashed ids.
+#: Pages that label the training set: of those that label themselves, the ones with the least hashed ids.
 SAMPLE = 150
+#: With fewer of them, invented articles make up the number.
+FEW = 20
 DIM, EPOCHS, RATE, DECAY = 1 << 13, 6, 0.3, 1e-4
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul div center".split())
@@ -203,6 +206,19 @@ def random_layout(title: str, texts: list[str], noise: list[str], rng: np.random
     return f"<html><body>{''.join(map(aside, noise[:cut]))}<div {named(MAIN_WORDS)}>{top}{body}</div>{''.join(map(aside, noise[cut:]))}</body></html>"
 
 
+def invented(n: int) -> list[tuple[list[str], list[str]]]:
+    """Articles of made-up words (title, then paragraphs), each with short texts that stand beside it."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 8))) for _ in range(500)]
+    say = lambda most: " ".join(rng.choices(words, k=rng.randint(1, most))).capitalize()
+    return [([say(9), *(say(60) + "." for _ in range(rng.randint(1, 6)))], [say(12) + rng.choice(["", "."]) for _ in range(6)]) for _ in range(n)]
+
+
+def labels_itself(page: str) -> bool:
+    y = self_labels(leaf_blocks(page))
+    return bool(sum(y)) and not all(y)
+
+
 def training_set(pages: list[str]) -> list[tuple[list[list[int]], np.ndarray]]:
     """Features and labels of self-labelled pages and of their articles in other layouts."""
     cases, known = [], []
@@ -212,6 +228,7 @@ def training_set(pages: list[str]) -> list[tuple[list[list[int]], np.ndarray]]:
         if sum(y) and not all(y):
             cases.append((blocks, y))
             known.append(([b[1] for b, on in zip(blocks, y, strict=True) if on], [b[1] for b, on in zip(blocks, y, strict=True) if not on]))
+    known += invented(FEW - len(known))
     for k, (texts, _) in enumerate(known):
         other = [x for j in range(1, 10) for x in known[(k + j) % len(known)][1] if x not in texts]
         longer = [x for x in known[(k + 3) % len(known)][0] if x not in texts]
@@ -266,15 +283,26 @@ def _extracted(model):
     return run
 
 
+def _self_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(map(labels_itself, batch.column("html").to_pylist()), pa.bool_()))
+
+
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages.
 
-    Null or block-less html gives an empty text. Repeated rows are extracted alike. If no page of the sample names its
-    article, the weights are 0 and every block counts as main text. Other columns are not read.
+    Null or block-less html gives an empty text. Repeated rows are extracted alike. Where fewer than FEW pages of the
+    table name their article, the field is fitted on invented ones too. Other columns are not read.
     """
     spark = prepare(pages.sparkSession)
-    keyed = pages.filter("html is not null").select("page_id", "html", F.xxhash64("page_id", "url").alias("key"))
-    least = keyed.select("key").distinct().orderBy("key").limit(sample)
-    rows = keyed.join(F.broadcast(least), "key").groupBy("key").agg(F.min("html").alias("html")).collect()  # as many as the sample
-    model = fit([r["html"] for r in sorted(rows, key=lambda r: r["key"])])
+    named = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s/>]")).select("html", F.xxhash64("page_id", "url").alias("key"))
+
+    def least(rows: DataFrame) -> list[str]:  # as many as the sample
+        keys = rows.select("key").distinct().orderBy("key").limit(sample)
+        return [r["html"] for r in sorted(rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("html").alias("html")).collect(), key=lambda r: r["key"])]
+
+    found = least(named)
+    if len(found) == sample and not all(map(labels_itself, found)):  # others may stand behind those that do not
+        found = least(named.mapInArrow(_self_labelled, "html string, key long"))
+    model = fit(found)
     return pages.select("page_id", "url", "html").mapInArrow(_extracted(spark.sparkContext.broadcast(model)), "page_id long, url string, text string, n_chars long")
