@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from timedtext import fixtures as fx
+from timedtext import queries as segment_queries
 from timedtext.operators import attempts, batches, hypotheses, joins, windows
 from timedtext.plans import composites
 from timedtext.sources import segment_io
@@ -119,6 +120,15 @@ def test_other_streams(spark, tmp_path):
     assert sum(r.n for r in run(streams.stream_gap_sessions(read()), "sessions", "complete")) == 10
 
 
+def test_registered_resume_keeps_files_out_of_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams.stream_segments, "__defaults__", (1,))
+    for k, day in enumerate((9, 5, 1)):
+        rows = [(k, 10 * k + i, f"2024-01-0{day} 00:00:0{i}", "x") for i in range(3)]
+        spark.createDataFrame(rows, "user_id long, event_id long, ts string, event_type string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events.parquet")
+    got = segment_queries.stream_resume(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.media_id, r.seq) for r in got) == [(k, 10 * k + i) for k in range(3) for i in range(3)]
+
+
 def test_assembly_plan(spark):
     rows = [(1, 0, 0.0, 2.0, "a", "p0", 4.0), (1, 1, 2.0, 4.0, "b", "p1", 1.0)]
     plan = composites.assembly_plan(spark.createDataFrame(rows, SEGMENT + ", chunk_path string, actual_sec double")).orderBy("seq").collect()
