@@ -356,3 +356,16 @@ def test_lm_is_causal_scores_once_and_learns():
             ends.append(-net.log_p(x, real).mean())
         net.p[name][at] = was
         assert np.isclose((ends[0] - ends[1]) / 2e-5, g[name][at], rtol=0.02, atol=1e-4)
+
+
+def test_lm_sees_31_ids_at_most_and_8_at_least():
+    seq = np.random.default_rng(3).integers(0, 9, 60)
+    net = lm_scoring.Network(1)
+    before = net.log_p(*lm_scoring.windows([seq]))
+    changes = []
+    for k in range(60):
+        other = seq.copy()
+        other[k] = 9
+        changes.append(np.flatnonzero(np.abs(net.log_p(*lm_scoring.windows([other])) - before) > 1e-7))
+    assert 23 in changes[0] and 24 not in changes[0]
+    assert all(i in changes[i - 8] for i in range(8, 60)) and 47 in changes[16]
