@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from timedtext.llm import decontamination, lm_scoring, near_dedup, packing, secrets, sharding, toxicity
+from timedtext.llm import attention, decontamination, lm_scoring, near_dedup, packing, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -302,70 +303,136 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(d.limit(0), none).count() == 0
 
 
+def plain_log_p(net, seq):
+    """log10 probability of one text's ids, place by place, straight from the definition of the network."""
+    p, total = {k: v.astype(np.float64) for k, v in net.p.items()}, 0.0
+    seq = [attention.PAD] * attention.CONTEXT + [int(i) for i in seq]
+    for t in range(attention.CONTEXT, len(seq)):
+        i = (t - attention.CONTEXT) % attention.SPAN
+        begin = t - i - attention.CONTEXT
+        q = p["q"][seq[t - 1]]
+        s = np.array([q @ p["k"][seq[begin + j]] / attention.DIM**0.5 + p["pos"][i, j] for j in range(i + attention.CONTEXT)])
+        a = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        o = sum(x * p["v"][seq[begin + j]] for j, x in enumerate(a))
+        h = np.maximum(o @ p["w1"] + p["b1"] + p["r"][seq[t - 1]], 0)
+        c, m = divmod(seq[t], attention.SIDE)
+        for logits, k in ((h @ p["wc"] + p["bc"], c), (h @ p["wm"][c] + p["bm"][c], m)):
+            total += logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+    return total / np.log(10)
+
+
+def plain_ids(text, ranks):
+    """Subword ids of a text, word by word."""
+    return [int(i) for w in (text or "").encode().lower().split() for i in packing.encoder(ranks).encode(" " + w.decode(), disallowed_special=())]
+
+
 def test_lm_base_and_score(spark, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "STEPS", 30)
-    given = [(r[0], r[1]) for r in rows]
+    models = []
+    monkeypatch.setattr(lm_scoring, "trained", lambda *a, f=lm_scoring.trained: models.append(f(*a)) or models[-1])
+    given = [(r[0], r[1]) for r in rows] + [(900, "wide\u00a0space \u3000 and <|endoftext|> \u2003\u2003 in it's words")]
     got = lm_scoring.score(crowded(spark.createDataFrame(given, "doc_id long, text string")), frequent=40).collect()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     words = lambda t: [*(t or "").encode().lower().split(), None]
     count = Counter(w for d, t in given if not held(d) for w in words(t))
     total, distinct = sum(count.values()), len(count)
+    (net, place, tail), ranks = models[0], str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     want = Counter()
     for d, t in given:
         w = words(t)
         base = sum(np.log10((count[x] + 1) / (total + distinct + 1)) for x in w)
-        want[d, held(d), len(w), sum(count[x] > 0 for x in w), total, round(base, 4)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score <= 0 and r.score >= r.base_score - np.log10(len(lm_scoring.WEIGHTS)) - 1e-6 for r in got)
+        ids = plain_ids(t, ranks)
+        score = plain_log_p(net, [*place[ids], attention.END] if ids else [attention.END]) + sum(tail[i] for i in ids if place[i] == attention.OTHER) / np.log(10)
+        want[d, held(d), len(w), sum(count[x] > 0 for x in w), total, round(base, 4), round(score / len(w), 3)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score / r.n_tokens, 3)) for r in got) == want
+
+
+def test_lm_probabilities_of_ids_sum_to_one():
+    counts = np.zeros(5000, np.int64)
+    counts[::3] = 7
+    place, tail = lm_scoring.vocabulary(counts)
+    assert sorted(place[place != attention.OTHER]) == list(range(attention.OTHER))
+    assert np.isclose(np.exp(tail[place == attention.OTHER]).sum(), 1)
 
 
 def test_lm_of_nothing(spark):
     assert lm_scoring.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lm_without_training_rows(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    r = lm_scoring.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
+    assert r.held_out and (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and -99 < r.score < 0
+
+
+def test_lm_averages_many_models(spark):
+    size = len(lm_scoring.packed(attention.Network())) // 4
+    given = [(k, float(k), np.full(size, k, np.float32).tobytes()) for k in (0, 1, 2, 64, 65, 5000)]
+    got = lm_scoring.averaged(spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in given], lm_scoring.MODELS))
+    assert np.allclose(np.frombuffer(got, np.float32), sum(k * k for k, _, _ in given) / sum(k for k, _, _ in given), rtol=1e-4)
+
+
+def test_lm_learns_from_a_share_of_all_texts(spark, monkeypatch):
+    """Beyond the sample too: with other texts behind it the model is another one."""
+    monkeypatch.setattr(lm_scoring, "STEPS", 5)
+    monkeypatch.setattr(lm_scoring, "SHARE", 2)
+    scores = []
+    for word in ("other", "words"):
+        given = [(i, "some plain text of words") for i in range(40)] + [(i, f"{word} {word} text") for i in range(40, 80)]
+        scores.append([r.score for r in lm_scoring.score(spark.createDataFrame(given, "doc_id long, text string"), sample=3).filter("doc_id < 40").collect()])
+    assert scores[0] != scores[1]
+
+
+def lm_windows(seqs):
+    return attention.windows(np.concatenate(seqs), np.array([len(s) for s in seqs]))
+
+
 def test_lm_is_causal_scores_once_and_learns():
     rng = np.random.default_rng(0)
-    seqs = [rng.integers(0, 9, n) for n in (1, 5, 16, 17, 100)]
-    x, real = lm_scoring.windows(seqs)
-    assert x[:, lm_scoring.CONTEXT :][real].tolist() == np.concatenate(seqs).tolist()
-    net = lm_scoring.Network(1)
-    before = net.log_p(x, real)
+    seqs = [rng.integers(0, 9, n) for n in (1, 5, 16, 17, 24, 25, 100)]
+    x, text = lm_windows(seqs)
+    scored = x[:, attention.CONTEXT :]
+    assert scored[scored != attention.PAD].tolist() == np.concatenate(seqs).tolist()
+    assert np.bincount(text, (scored != attention.PAD).sum(axis=1)).tolist() == [len(s) for s in seqs]
+    net = attention.Network(1)
+    before = net.log_p(x)
+    assert np.allclose([before[text == k].sum() / np.log(10) for k in range(len(seqs))], [plain_log_p(net, s) for s in seqs], rtol=1e-4)
     y = x.copy()
     y[:, -1] = 3  # what comes last can't change what stands before
-    same = real.copy()
-    same[:, -1] = False
-    assert np.allclose(net.log_p(y, same), before[same.ravel()[real.ravel()]], atol=1e-5)
-    every = np.repeat(x[:1], lm_scoring.IDS, 0)
-    every[:, lm_scoring.CONTEXT] = np.arange(lm_scoring.IDS)
-    first = np.zeros((lm_scoring.IDS, lm_scoring.SPAN), bool)
-    first[:, 0] = True
-    assert np.isclose(np.exp(net.log_p(every, first)).sum(), 1, atol=1e-4)
-    pattern = [np.tile(np.arange(6), 30)]
-    x, real = lm_scoring.windows(pattern)
-    net.train(x, real, 150)
-    assert net.log_p(x, real).mean() > -0.5
-    for name in net.NAMES:  # gradients against differences
-        net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, real = lm_scoring.windows(seqs)
-    _, g = net.gradients(x, real)
+    assert np.allclose(net.log_p(y)[:, :-1], before[:, :-1], atol=1e-5)
+    every = np.repeat(x[:1], attention.IDS, 0)
+    every[:, attention.CONTEXT] = np.arange(attention.IDS)
+    assert np.isclose(np.exp(net.log_p(every)[:, 0]).sum(), 1, atol=1e-4)
+    x, _ = lm_windows([np.tile(np.arange(6), 30)])
+    net.train(x, 150, 0.01)
+    assert net.log_p(x).mean() > -0.5
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}  # gradients against differences
+    x, _ = lm_windows(seqs)
+    _, tokens, g = net.gradients(x)
     for name in net.NAMES:
         at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         was, ends = net.p[name][at], []
         for e in (1e-5, -1e-5):
             net.p[name][at], net.ready = was + e, None
-            ends.append(-net.log_p(x, real).mean())
+            ends.append(-net.log_p(x).sum() / tokens)
         net.p[name][at] = was
         assert np.isclose((ends[0] - ends[1]) / 2e-5, g[name][at], rtol=0.02, atol=1e-4)
 
 
 def test_lm_sees_31_ids_at_most_and_8_at_least():
-    seq = np.random.default_rng(3).integers(0, 9, 60)
-    net = lm_scoring.Network(1)
-    before = net.log_p(*lm_scoring.windows([seq]))
+    seq = np.arange(100) % 50
+    net = attention.Network(1)
+    before = net.log_p(lm_windows([seq])[0]).ravel()[:100]
     changes = []
-    for k in range(60):
+    for k in range(100):
         other = seq.copy()
-        other[k] = 9
-        changes.append(np.flatnonzero(np.abs(net.log_p(*lm_scoring.windows([other])) - before) > 1e-7))
-    assert 23 in changes[0] and 24 not in changes[0]
-    assert all(i in changes[i - 8] for i in range(8, 60)) and 47 in changes[16]
+        other[k] = 99
+        changes.append(np.flatnonzero(np.abs(net.log_p(lm_windows([other])[0]).ravel()[:100] - before) > 1e-7))
+    reach = [max(c) - k for k, c in enumerate(changes[:60])]
+    assert max(reach) == attention.SEEN and min(reach) >= attention.CONTEXT and all(min(c) == k for k, c in enumerate(changes))
+
+
+def test_lm_network_alone_beats_the_base(spark):
+    """On texts that it has not learnt from."""
+    got = lm_scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").groupBy().sum("score", "base_score").first()
+    assert got[0] > got[1]
