@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from timedtext.llm import attention, decontamination, lm_scoring, near_dedup, packing, secrets, sharding, toxicity
+from timedtext.llm import attention, common, decontamination, lm_scoring, near_dedup, packing, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,12 +70,62 @@ def near_model(rows):
     return [(d, len(s), min(groups[root(i)]) if root(i) in groups else None) for i, ((d, *_), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-def test_near_duplicates(rows, docs):
+@pytest.mark.parametrize("hot", [common.HOT_ROWS, 2])
+def test_near_duplicates(rows, docs, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     got = near_dedup.near_duplicates(crowded(docs)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(near_model(rows))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.component_id is not None)
 
 
+def test_near_duplicates_in_chains_and_templates(spark, monkeypatch):
+    """Groups that grow step by step, and pages of one template that must not meet pair by pair."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    out, base = [], [word() for _ in range(120)]
+    for k in range(120):  # each is close to the one before, ends are far apart
+        base = [*base[1:], word()]
+        out.append(" ".join(base))
+        if k % 3 == 0:
+            out.append(" ".join(base[:100]) + " " + " ".join(word() for _ in range(1 + k % 6)))
+    template = [word() for _ in range(400)]
+    out += [" ".join(template + [word() for _ in range(56)]) for _ in range(150)]
+    rows, made = list(enumerate(out)), []
+    rng.shuffle(rows)
+    monkeypatch.setattr(near_dedup, "unlinked_pairs", lambda some, percent, f=near_dedup.unlinked_pairs: made.append((some.count(), f(some, percent))) or made[-1][1])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(near_model(rows))
+    assert made[0][0] > 100 and made[0][1].count() < 1000  # the chain has some hundreds; the template alone has 11 175 pairs
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Against all pairs, for sets of many sizes and both thresholds."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, 40))]
+    for _ in range(150):
+        s = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.append(rng.choice(s, max(1, len(s) - int(rng.integers(0, 4))), replace=False), rng.integers(0, 60, rng.integers(0, 4)))))
+    sets = [frozenset(map(int, s)) for s in {tuple(s.tolist()) for s in sets}]
+    given = spark.createDataFrame([(k, k % 40, sorted(s)) for k, s in enumerate(sets)], "class long, label long, shingles array<long>")
+    for percent in (80, 85):
+        got = {frozenset(r) for r in near_dedup.unlinked_pairs(given, percent).collect()}
+        want = {frozenset((i, j)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if i % 40 != j % 40 and 100 * len(a & b) >= percent * len(a | b)}
+        assert len(want) > 20 and want <= got
+
+
+def test_joins_on_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, key) for k, key in enumerate([1] * 9 + [2] * 2 + [3] + [None] * 5 + [4] * 4)], "id long, k long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c"), (None, "d")], "k long, v string")
+    want = Counter((r.id, r.k, r.v) for r in rows.join(table, "k", "left").collect())
+    assert Counter((r.id, r.k, r.v) for r in common.keyed(rows, table, "k").collect()) == want
+    some = Counter((r.id, r.k, r.v) for r in rows.join(table, "k").collect())
+    assert Counter((r.id, r.k, r.v) for r in common.keyed(rows, table, "k", how="inner").collect()) == some
+    assert Counter((r.id, r.k, r.v) for r in common.salted(rows, table, "k", per=2).collect()) == some
+    named = rows.selectExpr("id", "cast(k as string) as k")
+    assert Counter(r.v for r in common.keyed(named, table.selectExpr("cast(k as string) as k", "v"), "k").collect()) == Counter(v for _, _, v in want.elements())
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     only = near_dedup.near_duplicates(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).collect()

@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Keys joined by broadcast in keyed(), at most, and the rows from which a key counts as hot.
+HOT_KEYS, HOT_ROWS = 1000, 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,11 +26,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(base)
+    """A new path under the folder that the driver and all executors share: spark.checkpoint.dir, or what setCheckpointDir named.
+
+    Without either, the warehouse is taken, which tables need to be shared too.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -54,3 +56,41 @@ def text_bytes(name: str = "text") -> Column:
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def keyed(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, how: str = "left") -> DataFrame:
+    """rows joined with table on key, where table has at most one row per key; no key's rows all go to one task.
+
+    counts (key, n) says how many rows each key has and is worked out if not given. The HOT_KEYS most frequent keys are
+    joined by broadcast, so rows of a key that holds more than a thousandth of all stay where they are; the others are
+    joined by shuffle. Rows with a null key match nothing and are dealt out at random. how is left or inner.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.filter(F.col(key).isNotNull()).select(key, "n").orderBy(F.desc("n")).limit(HOT_KEYS).collect()
+    hot = [r[key] for r in most if r["n"] >= HOT_ROWS]
+    added = [c for c in table.columns if c != key]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    cold_key = F.when(F.col(key).isNotNull() & ~is_hot, F.col(key)) if hot else F.col(key)
+    # a row that is not to meet the cold part gets a key of its own, told apart by a second column
+    own = F.monotonically_increasing_id().cast(rows.schema[key].dataType)
+    left = rows.withColumn("__cold", cold_key.isNotNull()).withColumn("__key", F.coalesce(cold_key, own))
+    cold = table.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.lit(True).alias("__cold"), *added)
+    if not hot:
+        out = left.join(cold, ["__key", "__cold"], how)
+        return out.select(*rows.columns, *added)
+    few = table.filter(F.col(key).isin(hot)).select(key, F.lit(True).alias("__met"), *(F.col(c).alias(f"__{c}") for c in added))
+    out = left.join(F.broadcast(few), key, "left").join(cold.withColumn("__also", F.lit(True)), ["__key", "__cold"], "left")
+    if how == "inner":
+        out = out.filter("__met or __also")
+    return out.select(*rows.columns, *(F.coalesce(f"__{c}", c).alias(c) for c in added))
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, per: int = 512) -> DataFrame:
+    """rows joined (inner) with a table of wide values, a row per key: for every `per` rows of a key its value is dealt out once more."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.select(key, "n", F.ceil(F.col("n") / per).cast("int").alias("__parts"))
+    dealt = keyed(rows, parts.select(key, "__parts"), key, counts, "inner")
+    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int")).drop("__parts")
+    copies = table.join(parts.select(key, "__parts"), key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    return dealt.join(copies.drop("__parts"), [key, "__salt"]).drop("__salt")

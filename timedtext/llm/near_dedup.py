@@ -8,9 +8,11 @@ Steps, all on classes of documents with equal shingle sets (copies never multipl
 3. Exact pruning (by 85 %, or percent): a class with more than 15 % shingles that no other candidate has can't link with
    any (its overlap is at most its other shingles, and a link needs 85 % of the union). Repeated once, as pruning frees shingles.
 4. Each bucket links its members to its hub (the member in most buckets), verified on full sets; components follow.
-5. What a bucket still holds of different components is compared pairwise, but for pairs that sizes or the triangle
-   inequality of Jaccard distances to the hub rule out. So no link of a candidate pair is lost and no group is
-   expanded into all its pairs.
+5. Classes of buckets that still hold different components are compared where they can link at all: a pair of 85 %
+   shares one of the rarest shingles of both (prefix filter), so pages that share a template and differ in their own
+   words never meet. Pairs of one component are not made either. Every link of a candidate pair is found.
+
+Joins on keys that many rows can share (class, bucket, hub, label, shingle) go through common.keyed and common.salted.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import prepare, text_bytes, written
+from timedtext.llm.common import keyed, prepare, salted, text_bytes, written
 from timedtext.llm.words import blocks, chained, mix, words_of
 
 PLACES = 1 << 20
@@ -100,12 +102,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable over edges (a, b). Least labels of neighbours, then of labels, until nothing changes."""
     pairs = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    degree = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
     labels = written(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = written(new.join(jump, "next", "left").select("node", "label", F.least("next", "far").alias("next")))
+        near = keyed(pairs, labels.withColumnRenamed("node", "b"), "b", degree, "inner").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        new = written(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
+        new = keyed(new, labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
+        new = written(new.select("node", "label", F.least("next", "far").alias("next")))
         done = new.filter(F.col("label") != F.col("next")).isEmpty()
         labels = new.select("node", F.col("next").alias("label"))
         if done:
@@ -113,12 +116,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b): their distance as shared and union sizes, on full sets."""
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
+    """Of pairs (a, b): sizes of what their full sets share and of their union."""
+    both = salted(pairs.select("a", "b"), sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = salted(both, sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).alias("total"))
 
 
+def unlinked_pairs(some: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different label that can reach percent, of rows (class, label, shingles): no pair that does is left out.
+
+    Shingles are ordered by how many classes have them. A set of n shingles can link to one at least as large only by
+    one of its n - ceil(2t/(1+t) n) + 1 rarest, and to one at most as large by one of its n - ceil(t n) + 1 rarest.
+    """
+    n = F.size("shingles")
+    each = written(some.select("class", "label", n.alias("n"), F.explode("shingles").alias("s")))
+    df = written(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    each = keyed(each, df.select("s", F.col("n").alias("df")), "s", df, "inner")
+    by_class = Window.partitionBy("class")
+    rank = F.row_number().over(by_class.orderBy("df", "s")) + F.col("n") - F.count(F.lit(1)).over(by_class)
+    each = each.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    least = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    each = written(each.select("s", "class", "label", "n", (F.col("rank") <= F.col("n") - least + 1).alias("small")))
+    mixed = each.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("open"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and open")
+    each = written(keyed(each, mixed.select("s", "lo"), "s", mixed.select("s", "n"), "inner").drop("lo"))
+    # which labels meet at a shingle, then their members: members of one label are not paired
+    meet = each.filter("small").select("s", F.col("label").alias("label_a")).distinct().join(each.select("s", F.col("label").alias("label_b")).distinct(), "s")
+    meet = meet.filter("label_a <> label_b")
+    a, b = (each.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "label", "n", "small"))) for k in "ab")
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.struct("n_a", "class_a") < F.struct("n_b", "class_b"))
+    pairs = meet.join(a.filter("small_a"), ["s", "label_a"]).join(b, ["s", "label_b"]).filter(fits)
+    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id of the group), kept.
 
@@ -126,53 +156,46 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     equals another's (then that group's id). Repeated rows are members of one class. A row is kept when its doc_id
     is its component_id; a null doc_id is kept if nothing gives it a component. Other columns of docs are not read.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = docs.select("doc_id", text_bytes("text").alias("bytes"))
     signed = written(source.mapInArrow(_signed(bands, rows), "doc_id long, n_shingles long, class long, bands array<long>"))
     # one document stands for each class of equal sets
-    classes = written(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    one = signed.filter("class is not null").groupBy("class")
+    classes = written(one.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     member = classes.select("class", "n", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    member = written(member.join(shared, "bucket"))
+    shared = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    member = written(keyed(member, shared.select("bucket", F.col("n").alias("size")), "bucket", shared, "inner"))
     candidates = member.select("class").distinct().join(classes.select("class", "rep"), "class")
     text = source.join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("bytes")
     sets = text.mapInArrow(_sets, "class long, shingles array<long>").join(candidates.select("class"), "class", "left_semi")
-    sets = written(sets.dropDuplicates(["class"]))
-    alive = sets
+    alive = sets = written(sets.dropDuplicates(["class"]))
     for _ in range(2):
-        alone = alive.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("class")).filter("df = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-        alive = written(alive.select("class", "shingles").join(alone, "class", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("own") * 100 <= F.size("shingles") * (100 - percent)).select("class", "shingles", "own"))
+        alone = alive.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("class"))
+        alone = alone.filter("df = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+        alive = alive.select("class", "shingles").join(alone, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        alive = written(alive.filter(F.col("own") * 100 <= F.size("shingles") * (100 - percent)).select("class", "shingles"))
     member = member.drop("size").join(alive.select("class"), "class")
-    member = member.join(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket")
+    size = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    member = written(keyed(member, size.select("bucket", F.col("n").alias("size")), "bucket", size, "inner"))
     weight = member.groupBy("class").agg(F.sum("size").alias("weight"))
-    member = written(member.join(weight, "class").select("bucket", "class", "n", "weight"))
-    hub = member.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"), F.max_by("n", F.struct("weight", "class")).alias("hub_n"))
-    member = written(member.join(hub, "bucket"))
-    star = member.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    star = written(_overlaps(star, alive))
+    member = written(member.join(weight, "class").select("bucket", "class", "weight"))
+    hub = member.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"))
+    member = written(keyed(member, hub, "bucket", size, "inner"))
+    star = written(_overlaps(member.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), alive))
     linked = star.filter(f"shared * 100 >= total * {percent}").select("a", "b")
     labels = components(linked)
-    # a bucket's members of different components, with their distances to its hub
-    far = star.select(F.col("a").alias("class"), F.col("b").alias("hub"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    member = member.join(far, ["class", "hub"], "left").join(labels.withColumnRenamed("node", "class"), "class", "left")
-    member = member.select("bucket", "class", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "class").alias("label"))
+    member = member.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
     mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    all_of = member.groupBy("class").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")).join(alive.select("class", "own"), "class")
-    member = written(member.join(mixed.select("bucket"), "bucket").join(all_of, "class"))
-    a, b = (member.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "d", "label", "own", "buckets"))) for k in "ab")
-    slack = 1 - percent / 100 + 1e-9
-    likely = (F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= slack)
-    # what can be shared is at most the smaller set, and at most what is not a set's own
-    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
-    likely &= most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    likely &= F.get(F.array_intersect("buckets_a", "buckets_b"), F.lit(0)) == F.col("bucket")  # a pair comes from one bucket only
-    rest = a.withColumnRenamed("bucket", "bucket_a").join(b, (F.col("bucket_a") == F.col("bucket")) & likely)
-    rest = written(rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti"))
-    more = written(_overlaps(rest, alive).filter(f"shared * 100 >= total * {percent}").select("a", "b"))
+    rest = keyed(member, mixed.select("bucket", "lo"), "bucket", size, "inner").select("class", "label").distinct()
+    pairs = unlinked_pairs(rest.join(alive, "class"), percent).join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti")
+    more = written(_overlaps(written(pairs), alive).filter(f"shared * 100 >= total * {percent}").select("a", "b"))
     if not more.isEmpty():
         labels = components(linked.union(more))
-    least = labels.join(classes.select(F.col("class").alias("node"), "rep"), "node")
-    least = least.join(least.groupBy("label").agg(F.min("rep").alias("component")), "label").select(F.col("node").alias("class"), "component")
+    least = written(labels.join(classes.select(F.col("class").alias("node"), "rep"), "node"))
+    group = least.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n"))
+    least = keyed(least, group.select("label", "component"), "label", group.select("label", "n")).select(F.col("node").alias("class"), "component")
     known = classes.join(least, "class", "left").filter("component is not null or copies > 1").select("class", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "class").join(known, "class", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    out = keyed(signed.select("doc_id", "n_shingles", "class"), known, "class", classes.select("class", F.col("copies").alias("n")))
+    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept)
