@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from timedtext.llm.common import prepare, written
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 512, 128
+#: Blocks that meet a shard's tree together after their first search, so that it is sent and unpacked once for all of them.
+TOGETHER = 8
 SCALE = 256
 HITS = "query_id long, vec_id long, score long"
 
@@ -95,32 +97,48 @@ def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarr
 
 
 def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One tree for each vector length of the shard; of rows with one vec_id the least vector counts."""
+    """One tree for each vector length of the shard."""
     out: dict[int, dict] = {}
-    pdf = pdf.assign(v=[tuple(np.asarray(e, np.float64)) for e in pdf["embedding"]]).sort_values(["vec_id", "v"]).drop_duplicates("vec_id")
-    for n, part in pdf.groupby(pdf["v"].map(len)):
-        out[int(n)] = build(part["vec_id"].to_numpy(np.int64), scaled(list(part["v"])))
+    for n, part in pdf.sort_values("vec_id").groupby(pdf["embedding"].map(len)):
+        out[int(n)] = build(part["vec_id"].to_numpy(np.int64), scaled(list(part["embedding"])))
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "trees": [pickle.dumps(out)]})
 
 
-def _searched(k: int, first: bool):
+def _found(trees: dict, ids: np.ndarray, vectors: list, kth: np.ndarray, skip: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    lengths, best = np.array([len(v) for v in vectors]), [[] for _ in ids]
+    for n in trees.keys() & set(lengths.tolist()):
+        at = np.flatnonzero((lengths == n) & ~skip)
+        if len(at):
+            for i, hits in zip(at, search(trees[n], ids[at], scaled([vectors[i] for i in at]), kth[at], k), strict=True):
+                best[i] = hits
+    return best
+
+
+def _first_searched(k: int):
+    """Of each block in its home shard: the hits, and the k-th score of each query (or minus infinity)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block, shard, blob, ids, vectors, kth in zip(pdf["block"], pdf["shard"], pdf["trees"], pdf["ids"], pdf["vectors"], pdf["kth"], strict=True):
-                trees, ids = pickle.loads(blob), np.asarray(ids, np.int64)
-                lengths = np.array([len(v) for v in vectors])
-                best: list[list[tuple[int, int]]] = [[] for _ in ids]
-                for n in trees.keys() & set(lengths.tolist()):
-                    at = np.flatnonzero(lengths == n)
-                    least = np.asarray(kth, np.float64)[at] if len(kth) else np.full(len(at), -np.inf)
-                    for i, hits in zip(at, search(trees[n], ids[at], scaled([vectors[i] for i in at]), least, k), strict=True):
-                        best[i] = hits
-                if first:
-                    limit = [float(b[-1][0]) if len(b) == k else -np.inf for b in best]
-                    yield pd.DataFrame({"block": [block], "home": [shard], "ids": [ids], "vectors": [vectors], "kth": [limit], "hits": [[{"query_id": int(q), "vec_id": -v, "score": s} for q, b in zip(ids, best, strict=True) for s, v in b]]})
-                else:
-                    rows = [(int(q), -v, s) for q, b in zip(ids, best, strict=True) for s, v in b]
-                    yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            for block, shard, blob, ids, vectors in zip(pdf["block"], pdf["shard"], pdf["trees"], pdf["ids"], pdf["vectors"], strict=True):
+                ids = np.asarray(ids, np.int64)
+                best = _found(pickle.loads(blob), ids, vectors, np.full(len(ids), -np.inf), np.zeros(len(ids), bool), k)
+                hits = [{"query_id": int(q), "vec_id": -v, "score": s} for q, b in zip(ids, best, strict=True) for s, v in b]
+                kth = [float(b[-1][0]) if len(b) == k else -np.inf for b in best]
+                yield pd.DataFrame({"block": [block], "ids": [ids], "vectors": [vectors], "homes": [np.full(len(ids), shard)], "kth": [kth], "hits": [hits]})
+
+    return run
+
+
+def _searched(k: int):
+    """Hits of the blocks' queries in a shard that is not their home."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for shard, blob, ids, vectors, homes, kth in zip(pdf["shard"], pdf["trees"], pdf["ids"], pdf["vectors"], pdf["homes"], pdf["kth"], strict=True):
+                ids = np.asarray(ids, np.int64)
+                best = _found(pickle.loads(blob), ids, vectors, np.asarray(kth, np.float64), np.asarray(homes) == shard, k)
+                rows = [(int(q), -v, s) for q, b in zip(ids, best, strict=True) for s, v in b]
+                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
@@ -130,23 +148,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both frames have vec_id and embedding. Rows with a null id, or a vector that is null or holds null or non-finite
     components, take no part; only vectors of the query's length are compared. Ties go to the smaller vec_id; of rows
-    with one vec_id one counts. Fewer than k candidates give fewer rows.
+    with one vec_id that with the least vector counts. Fewer than k candidates give fewer rows.
     """
     spark = prepare(vectors.sparkSession)
     whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), F.lit(False)))
-    points = vectors.filter(whole).select("vec_id", "embedding")
-    asked = queries.filter(whole).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    # of rows with one vec_id the least vector counts, as a query and as a candidate
+    ready = lambda df: df.filter(whole).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    points = ready(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = ready(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     shards = max(1, -(-points.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     keyed = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     trees = written(keyed.groupBy("shard").applyInPandas(_trees, "shard long, trees binary"))
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
     asked = asked.select("block", F.col("x.vec_id").alias("ids"), F.col("x.embedding").alias("vectors"))
-    at_home = asked.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("kth", F.array().cast("array<double>"))
-    schema = f"block long, home long, ids array<long>, vectors array<array<float>>, kth array<double>, hits array<struct<{HITS.replace(' ', ':').replace(',:', ',')}>>"
-    first = written(at_home.join(trees, "shard").mapInPandas(_searched(k, True), schema))
-    onward = first.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
-    more = onward.select("block", F.col("shard").cast("long").alias("shard"), "ids", "vectors", "kth").join(trees, "shard").mapInPandas(_searched(k, False), HITS)
+    at_home = asked.withColumn("shard", F.pmod("block", F.lit(shards)))
+    schema = "block long, ids array<long>, vectors array<array<double>>, homes array<long>, kth array<double>, hits array<struct<query_id:long,vec_id:long,score:long>>"
+    first = written(at_home.join(trees, "shard").mapInPandas(_first_searched(k), schema))
+    parts = (F.flatten(F.collect_list(c)).alias(c) for c in ("ids", "vectors", "homes", "kth"))
+    onward = first.groupBy(F.floor(F.col("block") / TOGETHER).alias("group")).agg(*parts)
+    onward = onward.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    more = onward.join(trees, "shard").mapInPandas(_searched(k), HITS)
     hits = first.select(F.inline("hits")).unionByName(more)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
