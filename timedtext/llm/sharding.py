@@ -14,10 +14,12 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import prepare
+from timedtext.llm.common import prepare, written
 
 SHARDS, VIRTUAL_NODES = 16, 128
 PLACES = 1 << 14
+#: Parts in which the rows of one place are ranked.
+SUBS = 64
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES, places: int = PLACES) -> list[tuple[int, int]]:
@@ -59,18 +61,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NO
     """One row per row of docs: doc_id, size, text_crc32, home_shard, shard, slot.
 
     size is the text's UTF-8 bytes plus 1; null texts count as empty, null ids as one key. Repeated rows are separate
-    rows of one place, told apart by rank; equal ones are interchangeable. Other columns are not read.
+    rows of one place, told apart by rank; equal ones are interchangeable. Other columns are not read. Rows of one place
+    are ranked in SUBS parts, equal rows as one, so a key that many rows share is no single task's work.
     """
     spark = prepare(docs.sparkSession)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int")
-    counts = {r["place"]: r["n"] for r in docs.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}  # PLACES rows at most
-    goes = spark.createDataFrame(plan(counts, shards, virtual_nodes), "place int, home_shard int, lo long, hi long, shard int, base long")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place.alias("place"))
-    order = Window.partitionBy("place").orderBy("doc_id", "text_crc32", "size")
-    rows = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int").alias("place")
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place)
+    equal = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    equal = written(equal.withColumn("sub", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(SUBS)).cast("int")))
+    parts = equal.groupBy("place", "sub").agg(F.sum("n").alias("n"))
+    counts = {r["place"]: r["n"] for r in parts.groupBy("place").agg(F.sum("n").alias("n")).collect()}  # PLACES rows at most
+    goes = spark.createDataFrame(plan(counts, shards, virtual_nodes), "place int, home_shard int, lo long, hi long, shard int, base long")
+    before = F.sum("n").over(Window.partitionBy("place").orderBy("sub")) - F.col("n")  # SUBS rows a place at most
+    parts = parts.select("place", "sub", before.alias("before"))
+    order = Window.partitionBy("place", "sub").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = equal.withColumn("first", F.sum("n").over(order) - F.col("n")).join(parts, ["place", "sub"])
+    first = F.col("before") + F.col("first")
+    rows = ranked.select("doc_id", "size", "text_crc32", F.col("place").alias("at"), F.explode(F.sequence(first, first + F.col("n") - 1)).alias("rank"))
     goes = F.broadcast(goes)  # a row per place and, at most, one more per shard that fills up
-    out = rows.join(goes, (rows["place"] == goes["place"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") <= F.col("hi")))
+    out = rows.join(goes, (F.col("at") == F.col("place")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") <= F.col("hi")))
     return out.select("doc_id", "size", "text_crc32", "home_shard", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
