@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import ascii_lower, prepare
+from timedtext.llm.common import ascii_lower, prepare, written
 
 WINDOW = 10
-#: Benchmark windows up to this many are broadcast (some 200 bytes each); more are joined by shuffle.
+#: Pairs of a benchmark window and an item that has it, up to this many, are broadcast (some 200 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 50_000
 #: ASCII characters that stand between words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,24 +49,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
     strings in order. Other columns of docs and benchmark are not read.
     """
     prepare(docs.sparkSession)
-    grams = benchmark_windows(benchmark, n).cache()
-    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("w"))
-    no_places = F.array().cast("array<int>")
-    if grams.count() <= BROADCAST_WINDOWS:
+    grams = written(benchmark_windows(benchmark, n))
+    pairs = grams.agg(F.coalesce(F.sum(F.size("item_ids")), F.lit(0))).first()[0]
+    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    if pairs <= BROADCAST_WINDOWS:
         anchors = grams.groupBy("anchor").agg(F.collect_set(F.struct("offset", "length")).alias("places"))
         words = [r[0] for r in anchors.select("anchor").toLocalIterator()]  # no more than the windows just counted
-        found = F.filter(F.transform("w", lambda w, i: F.when(w.isin(words), i + 1)), lambda i: i.isNotNull()) if words else no_places
-        at = source.select("row", "doc_id", "w", F.size("w").alias("n_words"), F.explode_outer(found).alias("at"))
-        at = at.withColumn("w", F.when(F.col("at").isNotNull(), F.col("w"))).withColumn("anchor", F.get("w", F.col("at") - 1))
-        near = at.join(F.broadcast(anchors), "anchor", "left").withColumn("p", F.explode_outer("places")).withColumn("start", F.col("at") - F.col("p.offset"))
-        inside = (F.col("start") >= 1) & (F.col("start") + F.col("p.length") - 1 <= F.size("w"))
-        near = near.select("row", "doc_id", "n_words", "start", F.col("p.length").alias("length"), F.when(inside, F.array_join(F.slice("w", F.col("start"), F.col("p.length")), " ")).alias("gram"))
+        # of a place where an anchor stands only the words around it are carried on: n - 1 before it and behind it
+        around = lambda i: F.slice("w", F.greatest(i - n + 2, F.lit(1)), F.least(i, F.lit(n - 1)) + n)
+        place = lambda w, i: F.when(w.isin(words), F.struct((i + 1).alias("at"), around(i).alias("near")))
+        none = F.array().cast("array<struct<at:int,near:array<string>>>")
+        found = F.filter(F.transform("w", place), lambda p: p.isNotNull()) if words else none
+        at = source.select("row", "doc_id", "n_words", F.explode_outer(found).alias("p"))
+        at = at.select("row", "doc_id", "n_words", "p.at", "p.near", F.least("p.at", F.lit(n)).alias("here"))  # here: the anchor's place in near
+        near = at.withColumn("anchor", F.get("near", F.col("here") - 1)).join(F.broadcast(anchors), "anchor", "left").withColumn("p", F.explode_outer("places"))
+        near = near.withColumn("start", F.col("at") - F.col("p.offset")).withColumn("first", F.col("here") - F.col("p.offset"))
+        inside = (F.col("first") >= 1) & (F.col("first") + F.col("p.length") - 1 <= F.size("near"))
+        gram = F.when(inside, F.array_join(F.slice("near", F.col("first"), F.col("p.length")), " ")).alias("gram")
+        near = near.select("row", "doc_id", "n_words", "start", F.col("p.length").alias("length"), gram)
         near = near.join(F.broadcast(grams.select("gram", "item_ids")), "gram", "left")
     else:
         lengths = [r[0] for r in grams.select("length").distinct().collect()]  # n values at most
-        near = source.select("row", "doc_id", F.size("w").alias("n_words"), F.inline_outer(F.flatten(F.array(*map(_windows, lengths))))).join(grams.select("gram", "item_ids"), "gram", "left")
+        every = F.inline_outer(F.flatten(F.array(*map(_windows, lengths))))
+        near = source.select("row", "doc_id", "n_words", every).join(grams.select("gram", "item_ids"), "gram", "left")
     spans = F.collect_set(F.when(F.col("item_ids").isNotNull(), F.struct("start", "length")))
-    rows = near.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
+    items = F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids")
+    rows = near.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("spans"), items)
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
     return rows.select("row", "doc_id", "n_words", places.alias("hit"), F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))).alias("item_ids"))
 
