@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import prepare, shared_folder
+from timedtext.llm.common import keyed, prepare, shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -93,12 +93,14 @@ def scan_unseen(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -
     seen = spark.read.schema(LEDGER).parquet(ledger)
     now = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
     blobs = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     if seen.isEmpty():
-        due = blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("due", F.array(*(F.lit(r.name) for r in rules)))
+        due = once.withColumn("due", F.array(*(F.lit(r.name) for r in rules)))
     else:
-        lacks = blobs.select("blob").distinct().select("blob", F.inline(now)).join(seen, ["blob", "rule", "version"], "left_anti").groupBy("blob").agg(F.collect_set("rule").alias("due"))
-        due = blobs.join(lacks, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("due").alias("due"))
-    results = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("due", r.name), spans_of(F.col("text"), r)).alias("spans")) for r in rules))
+        lacks = blobs.select("blob").distinct().select("blob", F.inline(now)).join(seen, ["blob", "rule", "version"], "left_anti")
+        due = once.join(lacks.groupBy("blob").agg(F.collect_set("rule").alias("due")), "blob")
+    scan = lambda r: F.when(F.array_contains("due", r.name), spans_of(F.col("text"), r))
+    results = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), scan(r).alias("spans")) for r in rules))
     due.select("blob", F.inline(results)).filter("spans is not null").write.mode("append").parquet(ledger)
 
 
@@ -115,10 +117,10 @@ def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     present = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.version)))
     rows = spark.read.schema(LEDGER).parquet(ledger).filter((F.size("spans") > 0) & (F.col("version") == present[F.col("rule")]))
     rows = rows.select("blob", "rule", F.inline("spans")).select("blob", F.struct("start", rank[F.col("rule")].alias("rank"), "end", F.col("rule").alias("kind")).alias("x"))
-    found = rows.groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans"))
+    found = written(rows.groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans")))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "__blob")]
-    keyed = docs.select(*kept, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__blob"))
-    out = keyed.join(found.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    rows = docs.select(*kept, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__blob"))
+    out = keyed(rows, found.withColumnRenamed("blob", "__blob"), "__blob", rows.groupBy("__blob").agg(F.count(F.lit(1)).alias("n")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return out.select(*kept, F.coalesce("spans", empty).alias("spans"))
 
