@@ -16,7 +16,9 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from timedtext.llm.common import prepare
 
 #: Pages that label the training set: of those that label themselves, the ones with the least hashed ids.
 SAMPLE = 150
+#: Characters of a page, and elements around a block, beyond which a page is not learnt from (it is extracted like any other).
+LONGEST, DEEPEST = 1 << 20, 200
 #: With fewer of them, invented articles make up the number.
 FEW = 20
 DIM, EPOCHS, RATE, DECAY = 1 << 13, 6, 0.3, 1e-4
@@ -46,14 +50,34 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 SPACE = re.compile(r"\s+")
 
-Block = tuple[tuple[str, ...], str, int]
+
+
+class Node:
+    """An open element: its parent, its tag, and those of its features that no ancestor has. Blocks share their ancestors."""
+
+    __slots__ = ("parent", "tag", "new", "names", "score", "states")
+
+    def __init__(self, parent: Node | None, tag: str, new: tuple[str, ...], names: tuple[str, ...]):
+        self.parent, self.tag, self.new, self.names = parent, tag, new, names
+        self.score: float | None = None
+        self.states: tuple[bool, bool] | None = None
+
+    def up(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
+
+#: (innermost open element, text, characters inside links)
+Block = tuple[Node, str, int]
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """(ancestor features from the root, text, characters inside links) of each block that has text."""
+    """Each block that has text. Work and memory grow with the page alone, however deep its elements are nested."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+    stack = [Node(None, "", (), ())]
+    opened: Counter[str] = Counter()  # tags and features of the stack
     parts: list[str] = []
     linked, in_link = 0, False
 
@@ -62,9 +86,13 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((path, text, linked))
+                out.append((stack[-1], text, linked))
             parts, linked = [], 0
 
+    def close() -> None:
+        node = stack.pop()
+        opened.subtract((f"<{node.tag}", *node.names))
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -85,21 +113,23 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened[f"<{tag}"]:
+                last = stack[-1].tag == tag
+                close()
+                if last:
                     break
         else:
             closes = CLOSES.get(tag, frozenset()) | (frozenset(["p"]) if tag in ENDS_P else frozenset())
-            while stack and stack[-1][0] in closes:
-                stack.pop()
+            while stack[-1].tag in closes:
+                close()
             if tag not in VOID_TAGS and not (tag in EMBEDDED and m[4].endswith("/")):
                 words = [f"t:{tag}"]
-                for name, value in ATTRIBUTE.findall(m[4]):
-                    words += [f"c:{x}" for x in re.findall(r"[a-z]+", value.lower())] if name else []
-                stack.append((tag, tuple(words)))
+                for _, value in ATTRIBUTE.findall(m[4]):
+                    words += [f"c:{x}" for x in re.findall(r"[a-z]+", value.lower())]
+                names = tuple(dict.fromkeys(words))
+                stack.append(Node(stack[-1], tag, tuple(w for w in names if not opened[w]), names))
+                opened.update((f"<{tag}", *names))
         in_link = False
-        path = tuple(w for _, ws in stack for w in ws)
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -111,26 +141,38 @@ _places: dict[str, int] = {}
 
 def _place(feature: str) -> int:
     if feature not in _places:
+        if len(_places) > 100_000:
+            _places.clear()
         _places[feature] = zlib.crc32(feature.encode()) % DIM
     return _places[feature]
 
 
-def path_places(path: tuple[str, ...]) -> list[int]:
-    own = [w for w in path[::-1] if w.startswith("t:")][:1]
-    return [_place(x) for x in {*path, *(f"leaf {w}" for w in own)}]
+def node_score(node: Node, w: np.ndarray) -> float:
+    """Sum of the weights of all ancestors' features, and of the innermost tag as such; sums are kept at the nodes."""
+    todo = []
+    for n in node.up():
+        if n.score is not None:
+            break
+        todo.append(n)
+    for n in reversed(todo):
+        n.score = (n.parent.score if n.parent else 0.0) + sum(float(w[_place(x)]) for x in n.new)
+    return node.score + (float(w[_place(f"leaf t:{node.tag}")]) if node.tag else 0.0)
 
 
 def text_places(text: str, linked: int) -> list[int]:
     n = len(text)
     share = min(linked / n, 1.0)
-    facts = [f"length {int(math.log2(n))}", f"links {int(share * 3.99)}", f"words {min(text.count(' '), 8)}", f"ends {text[-1] if not text[-1].isalnum() else 'a'}"]
+    last = text[-1] if not text[-1].isalnum() else "a"
+    facts = [f"length {int(math.log2(n))}", f"links {int(share * 3.99)}", f"words {min(text.count(' '), 8)}", f"ends {last}"]
     if "©" in text:
         facts.append("copyright")
     return [_place(x) for x in facts]
 
 
 def places(block: Block) -> list[int]:
-    return path_places(block[0]) + text_places(block[1], block[2])
+    node, text, linked = block
+    path = [_place(x) for n in node.up() for x in n.new]
+    return path + ([_place(f"leaf t:{node.tag}")] if node.tag else []) + text_places(text, linked)
 
 
 def gradient(x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +207,29 @@ def viterbi(x: list[float], step: list[list[float]]) -> list[int]:
     return label[::-1]
 
 
-MAIN, ASIDE = re.compile(r"t:(article|main)$"), re.compile(r"t:(nav|aside|footer|header|form|title|button|select)$|c:(ads?|advert\w*|comments?|sidebar|menu|nav\w*|footer|cookie\w*|notice|banner|promo|related|share)$")
+MAIN = re.compile(r"t:(article|main)$")
+ASIDE = re.compile(
+    r"t:(nav|aside|footer|header|form|title|button|select)$"
+    r"|c:(ads?|advert\w*|comments?|sidebar|menu|nav\w*|footer|cookie\w*|notice|banner|promo|related|share)$"
+)
+
+
+def _states(node: Node) -> tuple[bool, bool]:
+    """Whether the node is in an article, and whether it is in what stands beside one; kept at the nodes."""
+    todo = []
+    for n in node.up():
+        if n.states is not None:
+            break
+        todo.append(n)
+    for n in reversed(todo):
+        main, aside = n.parent.states if n.parent else (False, False)
+        n.states = main or any(map(MAIN.match, n.names)), aside or any(map(ASIDE.match, n.names))
+    return node.states
 
 
 def self_labels(blocks: list[Block]) -> list[int]:
     """Of a page whose markup names its article: blocks in article or main and in nothing that stands beside it."""
-    return [int(any(MAIN.match(w) for w in path) and not any(ASIDE.match(w) for w in path)) for path, _, _ in blocks]
+    return [int(main and not aside) for main, aside in (_states(b[0]) for b in blocks)]
 
 
 def layouts(title: str, texts: list[str], noise: list[str]) -> Iterator[str]:
@@ -215,17 +274,19 @@ def invented(n: int) -> list[tuple[list[str], list[str]]]:
 
 
 def labels_itself(page: str) -> bool:
-    y = self_labels(leaf_blocks(page))
-    return bool(sum(y)) and not all(y)
+    """Whether a page's markup names its article and something else; pages too long or too deep to learn from do not count."""
+    blocks = leaf_blocks(page) if len(page) <= LONGEST else []
+    y = self_labels(blocks)
+    return 0 < sum(y) < len(y) and all(sum(1 for _ in islice(b[0].up(), DEEPEST + 1)) <= DEEPEST for b in blocks)
 
 
 def training_set(pages: list[str]) -> list[tuple[list[list[int]], np.ndarray]]:
     """Features and labels of self-labelled pages and of their articles in other layouts."""
     cases, known = [], []
     for page in pages:
-        blocks = leaf_blocks(page)
-        y = self_labels(blocks)
-        if sum(y) and not all(y):
+        if labels_itself(page):
+            blocks = leaf_blocks(page)
+            y = self_labels(blocks)
             cases.append((blocks, y))
             known.append(([b[1] for b, on in zip(blocks, y, strict=True) if on], [b[1] for b, on in zip(blocks, y, strict=True) if not on]))
     known += invented(FEW - len(known))
@@ -238,7 +299,7 @@ def training_set(pages: list[str]) -> list[tuple[list[list[int]], np.ndarray]]:
         for page in [*layouts(texts[0], texts[1:] or texts, noise), *(random_layout(texts[0], texts[1:] or texts, x, rng) for x in some)]:
             blocks = leaf_blocks(page)
             inside = set(texts)
-            cases.append((blocks, [int(b[1] in inside and "t:title" not in b[0]) for b in blocks]))
+            cases.append((blocks, [int(b[1] in inside and b[0].tag != "title") for b in blocks]))
     return [([places(b) for b in blocks], np.array(y)) for blocks, y in cases if blocks]
 
 
@@ -261,24 +322,19 @@ def fit(pages: list[str], epochs: int = EPOCHS) -> tuple[np.ndarray, list[list[f
     return w, step.tolist()
 
 
-def main_text(page: str, w: np.ndarray, step: list[list[float]], memo: dict) -> str:
+def main_text(page: str, w: np.ndarray, step: list[list[float]]) -> str:
     blocks = leaf_blocks(page)
-    scores = []
-    for path, text, linked in blocks:
-        if path not in memo:
-            memo[path] = float(w[path_places(path)].sum())
-        scores.append(memo[path] + sum(w[p] for p in text_places(text, linked)))
+    scores = [node_score(node, w) + float(sum(w[p] for p in text_places(text, linked))) for node, text, linked in blocks]
     return " ".join(b[1] for b, on in zip(blocks, viterbi(scores, step), strict=True) if on)
 
 
 def _extracted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (w, step), memo = model.value, {}
+        w, step = model.value
         for batch in batches:
-            if len(memo) > 100_000:
-                memo.clear()
-            texts = [main_text(h or "", w, step, memo) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            texts = [main_text(h or "", w, step) for h in batch.column("html").to_pylist()]
+            cells = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, names=["page_id", "url", "text", "n_chars"])
 
     return run
 
@@ -295,7 +351,8 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     table name their article, the field is fitted on invented ones too. Other columns are not read.
     """
     spark = prepare(pages.sparkSession)
-    named = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s/>]")).select("html", F.xxhash64("page_id", "url").alias("key"))
+    named = pages.filter((F.length("html") <= LONGEST) & F.col("html").rlike(r"(?i)<(article|main)[\s/>]"))
+    named = named.select("html", F.xxhash64("page_id", "url").alias("key"))
 
     def least(rows: DataFrame) -> list[str]:  # as many as the sample
         keys = rows.select("key").distinct().orderBy("key").limit(sample)
