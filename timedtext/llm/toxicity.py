@@ -113,11 +113,13 @@ class _Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights learnt from labelled rows outside the held-out fifth. Null labels and ids are left out; of repeated
-    label rows of one document the largest label counts, and of repeated documents each one is a case."""
+    label rows of one document the largest label counts, and of repeated documents the least text: a case per id."""
     learn = labels.filter("doc_id is not null and toxic is not null").filter(id_bucket(F.col("doc_id"), 5) != 0)
     learn = learn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("key", F.xxhash64("doc_id"))
     learn = learn.orderBy("key", "doc_id").limit(sample)  # bounded by the parameter, so safe to broadcast
-    cases = docs.select("doc_id", text_bytes("text").alias("bytes")).join(F.broadcast(learn), "doc_id").select("key", "bytes", F.col("toxic").cast("int"))
+    cases = docs.select("doc_id", text_bytes("text").alias("bytes")).join(F.broadcast(learn), "doc_id")
+    cases = cases.groupBy("doc_id").agg(F.first("key").alias("key"), F.min("bytes").alias("bytes"), F.first("toxic").cast("int").alias("toxic"))
+    cases = cases.select("key", "bytes", "toxic")
     rows = cases.repartition(1).mapInArrow(_fitted, "place long, weight double").toPandas()
     bias = rows.loc[rows["place"] < 0, "weight"]
     rows = rows[rows["place"] >= 0]
