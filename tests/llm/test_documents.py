@@ -231,6 +231,23 @@ def test_decontamination(spark, rows, monkeypatch, bound):
     assert Counter(tuple(r) for r in got.collect()) == Counter(want)
 
 
+def test_decontamination_of_long_texts_full_of_anchors(spark):
+    """Work grows with the text: an anchor carries only the words around it."""
+    item = "alpha beta gamma delta epsilonic zeta eta theta iota kappa lambda"
+    text = " ".join(["epsilonic"] * 100_000 + item.split() + ["epsilonic"] * 100_000)
+    got = decontamination.op3(spark.createDataFrame([(1, text), (2, "epsilonic")], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got.collect()} == {1: (200_011, 11, 1), 2: (1, 0, 0)}
+
+
+def test_decontamination_by_a_phrase_in_every_item(spark, monkeypatch):
+    phrase = "one two three four five six seven eight nine tenth"
+    bench = spark.createDataFrame([(i, f"{phrase} own{i}") for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {phrase} y"), (2, f"{phrase} own7 {phrase}"), (3, "one two three")], "doc_id long, text string")
+    for bound in (10_000, 100):  # 61 windows, 120 pairs of window and item
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", bound)
+        assert {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.op3(docs, bench).collect()} == {1: (10, 60), 2: (21, 60), 3: (0, 0)}
+
+
 def test_decontamination_of_nothing(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.op3(docs, empty).filter("contaminated").count() == 0
@@ -307,6 +324,41 @@ def test_sharding(rows, docs):
     assert all(sorted(x) == list(range(len(x))) for x in held.values())
 
 
+def plain_ring_walk(counts, shards):
+    """(place, rank) -> shard and slot, row by row: the next virtual node clockwise whose shard has room."""
+    nodes, total = sharding.ring(shards), sum(counts.values())
+    room, out = [total // shards + (s < total % shards) for s in range(shards)], {}
+    used = [0] * shards
+    for place in sorted(counts):
+        at = next((k for k, (p, _) in enumerate(nodes) if p >= place), 0)
+        for rank in range(counts[place]):
+            k = at
+            while used[nodes[k][1]] >= room[nodes[k][1]]:
+                k = (k + 1) % len(nodes)
+            s = nodes[k][1]
+            out[place, rank] = (s, used[s])
+            used[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 5, 16])
+def test_plan_is_the_walk_round_the_ring(shards):
+    rng = random.Random(shards)
+    counts = {rng.randrange(sharding.PLACES): rng.choice([1, 2, 3, 200]) for _ in range(150)}
+    got = {(p, lo + k): (s, base + k) for p, _, lo, hi, s, base in sharding.plan(counts, shards) for k in range(hi - lo + 1)}
+    assert got == plain_ring_walk(counts, shards)
+
+
+def test_sharding_of_one_key_and_of_nothing(spark):
+    rows = [(None, f"text {i % 40}") for i in range(300)] + [(7, "same")] * 100 + [(i, None) for i in range(50)]
+    got = sharding.op2(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((d, len(t or "") + 1) for d, t in rows)
+    assert len({(r.shard, r.slot) for r in got}) == len(rows)
+    sizes = Counter(r.shard for r in got)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1 and max(r.slot for r in got) == max(sizes.values()) - 1
+    assert sharding.op2(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_ring_moves_little():
     counts = {p: 40 for p in range(0, sharding.PLACES, 7)}
     def owner(shards):
@@ -353,6 +405,48 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(d.limit(0), none).count() == 0
 
 
+def test_toxicity_fit_is_ftrl_proximal():
+    """Against the recurrence, coordinate by coordinate, over dictionaries."""
+    docs, labels = labelled(40)
+    given, y = [t.encode() for _, t in docs] + [b""], [v for _, v in labels] + [0]
+    at, w, bias = toxicity.fit(given, y, epochs=2)
+    features = []
+    for t in given:
+        kinds = toxicity.feature_places(toxicity.words_of([t], toxicity.ALNUM))
+        features.append({int(p) for _, places in kinds for p in places})
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return (np.sign(z[i]) * toxicity.L1 - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    share = (sum(y) + 0.5) / (len(y) + 2)
+    b, b_n = float(np.log(share / (1 - share))), 1.0
+    for _ in range(2):
+        for fs, v in zip(features, y, strict=True):
+            ws = {i: weight(i) for i in fs}
+            g = 1 / (1 + np.exp(-(b + sum(ws.values())))) - v
+            for i in fs:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * ws[i]
+                n[i] += g * g
+            b_n += g * g
+            b -= 0.1 * g / b_n**0.5
+    want = {i: weight(i) for i in z if abs(z[i]) > toxicity.L1 + 1e-3}
+    got = dict(zip(at.tolist(), w.tolist(), strict=True))
+    assert len(want) > 5 and all(np.isclose(got[i], v, rtol=1e-2, atol=1e-3) for i, v in want.items()) and np.isclose(bias, b, atol=1e-3)
+
+
+def test_toxicity_of_a_very_long_text_and_repeated_rows(spark):
+    docs, labels = labelled(200)
+    long = " ".join(["plain words here"] * 100_000)
+    d = spark.createDataFrame(docs + [docs[1]] * 500 + [(7777, long), (7778, long + " vilestema vilestembo vilestemci")], "doc_id long, text string")
+    got = toxicity.score_toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert got.count() == len(docs) + 502
+    score = {r.doc_id: r.score for r in got.filter("doc_id > 7000").collect()}
+    assert score[7777] < 0.5 < score[7778]
+
+
 def plain_log_p(net, seq):
     """log10 probability of one text's ids, place by place, straight from the definition of the network."""
     p, total = {k: v.astype(np.float64) for k, v in net.p.items()}, 0.0

@@ -3,7 +3,9 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -58,7 +60,7 @@ def test_extraction_in_other_layouts():
         pages.append(f'<html><head><title>{say(5)}</title></head><body><nav><ul>{links}</ul></nav><div class="ad">{say(9)}</div><article><h1>{say(9)[:-1]}</h1>{body}</article><footer>&copy; {word()} {say(12)}</footer></body></html>')
     w, step = extraction.fit(pages)
     page = "<html><body><div class='navbar'><a href=x>Home</a></div><div class='article-content'><h2>Title</h2><p>Hello there, this is a text.</p></div><div class='sidebar'><p>Some more links here.</p></div><div class='comment-list'><p>My comment is here, too.</p></div></body></html>"
-    assert extraction.main_text(page, w, step, {}) == "Title Hello there, this is a text."
+    assert extraction.main_text(page, w, step) == "Title Hello there, this is a text."
 
 
 def test_extraction_reads_on_behind_embedded_elements():
@@ -66,7 +68,7 @@ def test_extraction_reads_on_behind_embedded_elements():
     for x in ("<svg-icon></svg-icon>", "<object-view></object-view>", "<template-x>", "<script-x></script-x>", '<svg viewBox="0 0" />', "<math/>", "<object data='a'/>", "<style>p{}</style >", "<script>'<p>no</p>'</script x>"):
         assert texts(f"<article><p>one</p>{x}<p>two</p></article>") == ["one", "two"]
     assert texts("<p>a <math><mi>x</mi></math> b") == ["a", "x", "b"] and texts("<noscript><p>c</p></noscript><object>d</object>") == ["c", "d"]
-    paths = {b[1]: b[0] for b in extraction.leaf_blocks("<article><svg/><p>e</p><template><p>f</p></template><p>g <object>h</object> i</article>")}
+    paths = {b[1]: tuple(x for n in reversed(list(b[0].up())) for x in n.names) for b in extraction.leaf_blocks("<article><svg/><p>e</p><template><p>f</p></template><p>g <object>h</object> i</article>")}
     assert paths["e"] == ("t:article", "t:p") and paths["f"] == ("t:article", "t:template", "t:p") and paths["i"] == paths["g"] == ("t:article", "t:p")
 
 
@@ -81,6 +83,31 @@ def test_extraction_where_few_pages_or_none_name_their_article(spark):
         assert all(got[i] == f"Head {i - 200} First & {i - 200} bold, with spaces. Second para {i - 200} of it." for i in got if i >= 200)
 
 
+def test_extraction_of_deep_and_long_pages():
+    """Time grows with the page, not with depth times length; nothing is cut off."""
+    w, step = extraction.fit([PAGE.format(i=i) for i in range(30)], epochs=2)
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        page = "<article>" + "<div class='c'>x" * n + "</nav>" * n + "</article>"
+        blocks = extraction.leaf_blocks(page)
+        assert len(blocks) == n and sum(1 for _ in blocks[-1][0].up()) == n + 2
+        assert set(extraction.main_text(page, w, step).split()) <= {"x"}
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+    long = "<article>" + "<p>Some text of it, here.</p>" * 50_000 + "</article>"
+    assert extraction.main_text(long, w, step).count("text of it") == 50_000
+
+
+def test_features_of_a_block_are_its_ancestors_once():
+    blocks = extraction.leaf_blocks('<div class="a b"><div class="b c"><p id=x>one</p></div><p>two</p></div><p>three')
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=extraction.DIM)
+    for block, want in zip(blocks, ({"t:div", "c:a", "c:b", "c:c", "t:p", "c:x", "leaf t:p"}, {"t:div", "c:a", "c:b", "t:p", "leaf t:p"}, {"t:p", "leaf t:p"}), strict=True):
+        assert np.isclose(extraction.node_score(block[0], w), sum(w[extraction._place(x)] for x in want))
+        assert sorted(extraction.places(block)) == sorted([extraction._place(x) for x in want] + extraction.text_places(block[1], block[2]))
+
+
 def test_warc_round_trip(pages):
     rows, df = pages
     got = Counter(tuple(r) for r in warc.op6(df).collect())
@@ -97,18 +124,60 @@ def test_warc_round_trip(pages):
     assert warc.op6(df.limit(0)).count() == 0
 
 
+def test_warc_archives_are_bounded_and_dated(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    rows = [(i, "http://x/\u3000 y" if i == 5 else f"http://x/{i}", f"{i} " * 200, "2021-02-03 04:05:06") for i in range(60)]
+    rows += [(100, "http://long", "z" * 2_000_000, None)] + [(200 + i, "http://copy", "copy", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").selectExpr("page_id", "url", "html", "timestamp(at) as at").repartition(2)
+    path = str(tmp_path / "archives")
+    warc.write_archives(df, f"file://{path}", captured="at")
+    got = warc.read_archives(spark, f"file://{path}").collect()
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
+    assert Counter(r.record_type for r in got) == {"response": 62, "revisit": 299} and {r.refers_to for r in got if r.record_type == "revisit"} == {200}
+    files = list((tmp_path / "archives").glob("*.gz"))
+    records = [r for f in files for r in warc.read_warc(io.BufferedReader(gzip.open(f)))]
+    assert len(files) > 30 and len(records) == len(rows)
+    assert Counter(f["WARC-Date"] for f, _ in records) == {"2021-02-03T04:05:06Z": 60, "2024-01-01T00:00:00Z": 301}
+    assert "http://x/%E3%80%80%20y" in {f["WARC-Target-URI"] for f, _ in records}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_lines_and_lengths(version):
     records = [warc.page_record(i, f"http://a/{i}", b) for i, b in enumerate([b"", b"\n\nhttp://trap 0.0.0.0 20200101000000 text/html 5\n", b"x" * 999])]
     back = list(warc.read_arc(warc.arc_file(records, version)))
     assert [(f["URL"], c) for f, c in back] == [(u, c) for u, _, c in records]
     data = b"".join(warc.warc_record(f, c, None if k else 7) + b"\r\n\r\n" for k, (f, c) in enumerate(back))
-    fields = [f for f, _ in warc.read_warc(data)]
+    fields = [f for f, _ in warc.read_warc(io.BytesIO(data))]
     assert [f["WARC-Type"] for f in fields] == ["revisit", "response", "response"]
     assert fields[1]["WARC-Date"] == "2024-01-01T00:00:00Z" and fields[1]["WARC-Record-ID"].startswith("<urn:uuid:")
     assert gzip.decompress(gzip.compress(data)) == data
     with pytest.raises(ValueError):
-        list(warc.read_warc(data[:-3]))
+        list(warc.read_warc(io.BytesIO(data[:-3])))
+
+
+def plain_top_k(table):
+    want = {}
+    for q in (i for i in table if i % 50 == 0):
+        best = sorted((-int(table[q] @ v), i) for i, v in table.items() if i != q and len(v) == len(table[q]))[:5]
+        want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    return {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_over_many_shards(spark, monkeypatch, kind):
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 200)
+    monkeypatch.setattr(kdtree, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=5)]) for i in range(1200)]
+    rows += [(100, [9.0] * 5), (100, [-9.0] * 5), (101, [8.0] * 5)]  # ids with two vectors: the least counts
+    least = {}
+    for i, e in rows:
+        least[i] = min(least.get(i, e), e)
+    table = {i: np.floor(256 * np.array(e, np.float32 if kind == "float" else np.float64).astype(float)) for i, e in least.items()}
+    got = {}
+    for r in kdtree.op1(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {k: sorted(v) for k, v in got.items()} == plain_top_k(table)
 
 
 def test_top_k(spark):
@@ -121,11 +190,7 @@ def test_top_k(spark):
     for r in kdtree.op1(df).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     table = {i: np.floor(256 * np.array(e, np.float32).astype(float)) for i, e in rows if i is not None and e and None not in e and np.isfinite(e).all()}
-    want = {}
-    for q in (i for i in table if i % 50 == 0):
-        best = sorted((-int(table[q] @ v), i) for i, v in table.items() if i != q and len(v) == len(table[q]))[:5]
-        want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert {k: sorted(v) for k, v in got.items()} == plain_top_k(table)
     assert kdtree.op1(df.limit(0)).count() == 0
 
 
