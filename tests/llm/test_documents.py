@@ -92,7 +92,7 @@ def test_near_duplicates_in_chains_and_templates(spark, monkeypatch):
     out += [" ".join(template + [word() for _ in range(56)]) for _ in range(150)]
     rows, made = list(enumerate(out)), []
     rng.shuffle(rows)
-    monkeypatch.setattr(near_dedup, "unlinked_pairs", lambda some, percent, f=near_dedup.unlinked_pairs: made.append((some.count(), f(some, percent))) or made[-1][1])
+    monkeypatch.setattr(near_dedup, "unlinked_pairs", lambda some, *a, f=near_dedup.unlinked_pairs: made.append((some.count(), f(some, *a))) or made[-1][1])
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(near_model(rows))
     assert made[0][0] > 100 and made[0][1].count() < 1000  # the chain has some hundreds; the template alone has 11 175 pairs
@@ -106,11 +106,38 @@ def test_prefixes_lose_no_pair(spark):
         s = sets[rng.integers(len(sets))]
         sets.append(np.unique(np.append(rng.choice(s, max(1, len(s) - int(rng.integers(0, 4))), replace=False), rng.integers(0, 60, rng.integers(0, 4)))))
     sets = [frozenset(map(int, s)) for s in {tuple(s.tolist()) for s in sets}]
-    given = spark.createDataFrame([(k, k % 40, sorted(s)) for k, s in enumerate(sets)], "class long, label long, shingles array<long>")
-    for percent in (80, 85):
-        got = {frozenset(r) for r in near_dedup.unlinked_pairs(given, percent).collect()}
-        want = {frozenset((i, j)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if i % 40 != j % 40 and 100 * len(a & b) >= percent * len(a | b)}
-        assert len(want) > 20 and want <= got
+    like = lambda a, b: 100 * len(a & b) / len(a | b)
+    for percent, homes in ((80, 1), (85, 1), (80, 4), (85, 4), (80, len(sets))):
+        # labels as the star leaves them: what is linked to its home has the home's
+        home = [k % homes if homes < len(sets) else k for k in range(len(sets))]
+        label = [home[k] if like(s, sets[home[k]]) >= percent else 1000 + k for k, s in enumerate(sets)]
+        given = spark.createDataFrame([(k, label[k], home[k], sorted(s)) for k, s in enumerate(sets)], "class long, label long, home long, shingles array<long>")
+        hubs = given.filter("class = home").selectExpr("home", "shingles as hub_shingles")
+        pairs = near_dedup.unlinked_pairs(given, hubs, percent).collect()
+        got = {frozenset(r) for r in pairs}
+        want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if label[i] != label[j] and i != home[j] and j != home[i] and like(sets[i], sets[j]) >= percent}
+        assert len(want) > 20 and want <= got and len(pairs) == len(got)
+
+
+def test_near_copies_that_miss_their_hub_do_not_meet_pair_by_pair(spark):
+    """Copies of one text with four changes each, too far from it and from each other."""
+    rng = random.Random(8)
+    hub = list(range(200))
+    out = [(0, 0, 0, hub)]
+    for k in range(1, 400):
+        s = set(hub)
+        for e in range(6):
+            at = rng.randrange(196)
+            s -= set(range(at, at + 5))
+            s |= {10_000 + k * 100 + e * 5 + i for i in range(5)}
+        out.append((k, k, 0, sorted(s)))
+    given = spark.createDataFrame(out, "class long, label long, home long, shingles array<long>")
+    pairs = near_dedup.unlinked_pairs(given, given.filter("class = 0").selectExpr("home", "shingles as hub_shingles"), 80)
+    sets = [set(s) for *_, s in out]
+    assert all(len(s & sets[0]) * 100 < 80 * len(s | sets[0]) for s in sets[1:])
+    got = {frozenset(r) for r in pairs.collect()}
+    want = {frozenset((i, j)) for i in range(1, 400) for j in range(1, i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert want <= got and len(got) < 8000  # of 79 401
 
 
 def test_joins_on_hot_keys(spark, monkeypatch):

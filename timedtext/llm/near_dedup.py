@@ -8,9 +8,11 @@ Steps, all on classes of documents with equal shingle sets (copies never multipl
 3. Exact pruning (by 85 %, or percent): a class with more than 15 % shingles that no other candidate has can't link with
    any (its overlap is at most its other shingles, and a link needs 85 % of the union). Repeated once, as pruning frees shingles.
 4. Each bucket links its members to its hub (the member in most buckets), verified on full sets; components follow.
-5. Classes of buckets that still hold different components are compared where they can link at all: a pair of 85 %
-   shares one of the rarest shingles of both (prefix filter), so pages that share a template and differ in their own
-   words never meet. Pairs of one component are not made either. Every link of a candidate pair is found.
+5. Classes of buckets that still hold different components are compared where they can link at all, by one of two
+   prefix filters. Over whole sets: a pair of 85 % shares one of the rarest shingles of both, so pages that share a
+   template and differ in their own words never meet. Over differences from a common hub: a pair of which one is not
+   linked to the hub shares what it differs in, so near copies of one text whose changes lie apart never meet. For each
+   hub the filter that makes fewer pairs is taken. Pairs of one component are not made. No link of classes compared is lost.
 
 Joins on keys that many rows can share (class, bucket, hub, label, shingle) go through common.keyed and common.salted.
 """
@@ -123,30 +125,82 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).alias("total"))
 
 
-def unlinked_pairs(some: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different label that can reach percent, of rows (class, label, shingles): no pair that does is left out.
+def _rarest_first(each: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Rows (class, s, …, and n, how many s the class has) that other classes of the same keys have too, with the place of s among the class's, rarest first."""
+    counts = each.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tagged = each.withColumn("__at", F.xxhash64(*keys, "s"))
+    df = written(counts.select(F.xxhash64(*keys, "s").alias("__at"), "n").groupBy("__at").agg(F.max("n").alias("n")))
+    tagged = keyed(tagged, df.select("__at", F.col("n").alias("df")), "__at", df, "inner").drop("__at")
+    by_class = Window.partitionBy("class")
+    # what no other class has comes first, so it only shifts the others
+    rank = F.row_number().over(by_class.orderBy("df", "s")) + F.col(n) - F.count(F.lit(1)).over(by_class)
+    return tagged.withColumn("rank", rank)
+
 
-    Shingles are ordered by how many classes have them. A set of n shingles can link to one at least as large only by
-    one of its n - ceil(2t/(1+t) n) + 1 rarest, and to one at most as large by one of its n - ceil(t n) + 1 rarest.
+def _set_prefixes(some: DataFrame, percent: int) -> DataFrame:
+    """s, class, label, home, n, small: the shingles by which a set can meet others; small if it can meet larger ones by it.
+
+    A set of n shingles can link to one at least as large only by one of its n - ceil(2t/(1+t) n) + 1 rarest, and to
+    one at most as large by one of its n - ceil(t n) + 1 rarest.
     """
-    n = F.size("shingles")
-    each = written(some.select("class", "label", n.alias("n"), F.explode("shingles").alias("s")))
-    df = written(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    each = keyed(each, df.select("s", F.col("n").alias("df")), "s", df, "inner")
-    by_class = Window.partitionBy("class")
-    rank = F.row_number().over(by_class.orderBy("df", "s")) + F.col("n") - F.count(F.lit(1)).over(by_class)
-    each = each.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    each = some.select("class", "label", "home", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = _rarest_first(written(each), [], "n").filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     least = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
-    each = written(each.select("s", "class", "label", "n", (F.col("rank") <= F.col("n") - least + 1).alias("small")))
-    mixed = each.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("open"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and open")
-    each = written(keyed(each, mixed.select("s", "lo"), "s", mixed.select("s", "n"), "inner").drop("lo"))
-    # which labels meet at a shingle, then their members: members of one label are not paired
-    meet = each.filter("small").select("s", F.col("label").alias("label_a")).distinct().join(each.select("s", F.col("label").alias("label_b")).distinct(), "s")
-    meet = meet.filter("label_a <> label_b")
-    a, b = (each.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "label", "n", "small"))) for k in "ab")
+    return written(each.select("s", "class", "label", "home", "n", (F.col("rank") <= F.col("n") - least + 1).alias("small")))
+
+
+def _difference_prefixes(some: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """s, class, label, home, far, tight: what a class and its hub do not share, as far as the class can meet others by it.
+
+    With W = 100 * missing + percent * own shingles and K = (100 - percent) * the hub's, a class is linked to the hub
+    when W <= K, else far. Two classes a, b of one hub link only if they share at least (Wa + Wb - K) / (100 + percent)
+    of their differences. Of two with different labels one is far, so a class that is near meets it only by more than
+    W / (100 + percent) of its differences, as two far ones do (tight); a far one meets near ones by (W - K) / (100 + percent).
+    """
+    rows = salted(some.filter("class <> home").select("class", "label", "home", "shingles"), hubs, "home")
+    missing, own = F.array_except("hub_shingles", "shingles"), F.array_except("shingles", "hub_shingles")
+    rows = rows.select("class", "label", "home", F.size("hub_shingles").alias("n_hub"), missing.alias("missing"), own.alias("own"))
+    w, k, scale = 100 * F.size("missing") + percent * F.size("own"), (100 - percent) * F.col("n_hub"), 100 + percent
+    rows = rows.select("class", "label", "home", w.alias("w"), k.alias("k"), F.concat("missing", "own").alias("differs"))
+    rows = rows.select("class", "label", "home", "w", "k", F.size("differs").alias("n"), F.explode("differs").alias("s"))
+    each = _rarest_first(written(rows), ["home"], "n")
+    far, mine = F.col("w") > F.col("k"), F.floor(F.col("w") / scale) + 1
+    tight = F.col("rank") <= F.col("n") - mine + 1
+    wide = F.col("rank") <= F.col("n") - F.greatest(F.ceil((F.col("w") - F.col("k")) / scale), F.lit(1)) + 1
+    return written(each.filter(tight | (far & wide)).select("s", "class", "label", "home", far.alias("far"), tight.alias("tight")))
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str], group: list[str], fits) -> DataFrame:
+    """Pairs (a, b) of rows that agree in on and whose groups differ in every column; members of one group are not paired."""
+    two = lambda df, k: df.select(*on, *(F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in on))
+    a, b = two(a, "a"), two(b, "b")
+    ga, gb = [f"{c}_a" for c in group], [f"{c}_b" for c in group]
+    meet = a.select(*on, *ga).distinct().join(b.select(*on, *gb).distinct(), on)
+    for c in group:
+        meet = meet.filter(F.col(f"{c}_a") != F.col(f"{c}_b"))
+    pairs = meet.join(a, [*on, *ga]).join(b, [*on, *gb]).filter(fits)
+    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+
+def unlinked_pairs(some: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different label that can reach percent, of rows (class, label, home, shingles): no pair that does
+    is left out, but for those of a class and its home, which are compared before. hubs: home, hub_shingles."""
+    sets, differences = _set_prefixes(some, percent), _difference_prefixes(some, hubs, percent)
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    by_sets = sets.groupBy("home", "s").agg((count("small") * F.count(F.lit(1))).alias("x")).groupBy("home").agg(F.sum("x").alias("by_sets"))
+    far, near = F.expr("far"), F.expr("not far and tight")
+    of_far = F.count_if(far) * F.count_if(near) + F.count_if(far & F.col("tight")) * F.count_if(far & F.col("tight"))
+    by_differences = differences.groupBy("home", "s").agg(of_far.alias("x")).groupBy("home").agg(F.sum("x").alias("by_differences"))
+    choice = by_sets.join(by_differences, "home", "left").select("home", (F.coalesce("by_differences", F.lit(0)) < F.col("by_sets")).alias("differ"))
+    choice = written(choice)
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.struct("n_a", "class_a") < F.struct("n_b", "class_b"))
-    pairs = meet.join(a.filter("small_a"), ["s", "label_a"]).join(b, ["s", "label_b"]).filter(fits)
-    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    apart = _met(sets.filter("small"), sets, ["s"], ["label", "home"], fits)
+    together = keyed(sets, choice, "home", how="inner").filter("not differ").drop("differ")
+    together = _met(together.filter("small"), together, ["home", "s"], ["label"], fits)
+    by_hub = written(keyed(differences, choice, "home", how="inner").filter("differ").drop("differ"))
+    mixed = _met(by_hub.filter("far"), by_hub.filter("not far and tight"), ["home", "s"], ["label"], F.lit(True))
+    distant = _met(by_hub.filter("far and tight"), by_hub.filter("far and tight"), ["home", "s"], ["label"], F.col("class_a") < F.col("class_b"))
+    return apart.union(together).union(mixed).union(distant).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, percent: int = PERCENT) -> DataFrame:
@@ -168,26 +222,30 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     candidates = member.select("class").distinct().join(classes.select("class", "rep"), "class")
     text = source.join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("bytes")
     sets = text.mapInArrow(_sets, "class long, shingles array<long>").join(candidates.select("class"), "class", "left_semi")
-    alive = sets = written(sets.dropDuplicates(["class"]))
-    for _ in range(2):
-        alone = alive.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("class"))
+    sets = written(sets.dropDuplicates(["class"]))
+    alive = sets.select("class", F.size("shingles").alias("n"))
+    for _ in range(2):  # as numbers only: what is pruned frees shingles of others
+        alone = sets.join(alive.select("class"), "class").select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("class"))
         alone = alone.filter("df = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-        alive = alive.select("class", "shingles").join(alone, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        alive = written(alive.filter(F.col("own") * 100 <= F.size("shingles") * (100 - percent)).select("class", "shingles"))
+        alive = written(alive.join(alone, "class", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select("class", "n"))
+    alive = written(sets.join(alive.select("class"), "class").select("class", "shingles"))
     member = member.drop("size").join(alive.select("class"), "class")
     size = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     member = written(keyed(member, size.select("bucket", F.col("n").alias("size")), "bucket", size, "inner"))
     weight = member.groupBy("class").agg(F.sum("size").alias("weight"))
     member = written(member.join(weight, "class").select("bucket", "class", "weight"))
-    hub = member.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"))
+    hub = member.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"), F.max("weight").alias("hub_weight"))
     member = written(keyed(member, hub, "bucket", size, "inner"))
     star = written(_overlaps(member.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), alive))
     linked = star.filter(f"shared * 100 >= total * {percent}").select("a", "b")
     labels = components(linked)
-    member = member.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
+    member = member.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "hub", "hub_weight", F.coalesce("label", "class").alias("label"))
     mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    rest = keyed(member, mixed.select("bucket", "lo"), "bucket", size, "inner").select("class", "label").distinct()
-    pairs = unlinked_pairs(rest.join(alive, "class"), percent).join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti")
+    home = F.max_by("hub", F.struct("hub_weight", "hub")).alias("home")
+    rest = keyed(member, mixed.select("bucket", "lo"), "bucket", size, "inner").groupBy("class", "label").agg(home)
+    rest = written(rest.join(alive, "class"))
+    hubs = rest.select("home").distinct().join(alive.select(F.col("class").alias("home"), F.col("shingles").alias("hub_shingles")), "home")
+    pairs = unlinked_pairs(rest, hubs, percent).join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti")
     more = written(_overlaps(written(pairs), alive).filter(f"shared * 100 >= total * {percent}").select("a", "b"))
     if not more.isEmpty():
         labels = components(linked.union(more))
