@@ -71,26 +71,35 @@ def keyed(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None
     hot = [r[key] for r in most if r["n"] >= HOT_ROWS]
     added = [c for c in table.columns if c != key]
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
-    cold_key = F.when(F.col(key).isNotNull() & ~is_hot, F.col(key)) if hot else F.col(key)
+    added_cold = table.filter(F.col(key).isNotNull())
+    if how == "inner":
+        cold_rows = rows.filter(F.col(key).isNotNull() & ~is_hot).join(added_cold, key).select(*rows.columns, *added)
+        if not hot:
+            return cold_rows
+        few = F.broadcast(table.filter(F.col(key).isin(hot)))
+        return cold_rows.unionByName(rows.filter(is_hot).join(few, key).select(*rows.columns, *added))
     # a row that is not to meet the cold part gets a key of its own, told apart by a second column
+    cold_key = F.when(F.col(key).isNotNull() & ~is_hot, F.col(key))
     own = F.monotonically_increasing_id().cast(rows.schema[key].dataType)
     left = rows.withColumn("__cold", cold_key.isNotNull()).withColumn("__key", F.coalesce(cold_key, own))
-    cold = table.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.lit(True).alias("__cold"), *added)
+    cold = added_cold.select(F.col(key).alias("__key"), F.lit(True).alias("__cold"), *added)
     if not hot:
-        out = left.join(cold, ["__key", "__cold"], how)
-        return out.select(*rows.columns, *added)
-    few = table.filter(F.col(key).isin(hot)).select(key, F.lit(True).alias("__met"), *(F.col(c).alias(f"__{c}") for c in added))
-    out = left.join(F.broadcast(few), key, "left").join(cold.withColumn("__also", F.lit(True)), ["__key", "__cold"], "left")
-    if how == "inner":
-        out = out.filter("__met or __also")
+        return left.join(cold, ["__key", "__cold"], "left").select(*rows.columns, *added)
+    few = table.filter(F.col(key).isin(hot)).select(key, *(F.col(c).alias(f"__{c}") for c in added))
+    out = left.join(F.broadcast(few), key, "left").join(cold, ["__key", "__cold"], "left")
     return out.select(*rows.columns, *(F.coalesce(f"__{c}", c).alias(c) for c in added))
 
 
-def salted(rows: DataFrame, table: DataFrame, key: str, per: int = 512) -> DataFrame:
-    """rows joined (inner) with a table of wide values, a row per key: for every `per` rows of a key its value is dealt out once more."""
+def dealt(rows: DataFrame, table: DataFrame, key: str, salt: str, per: int = 512) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is in the table, and the table, both with a salt: for every `per` rows of a key its table row is there once more."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.select(key, "n", F.ceil(F.col("n") / per).cast("int").alias("__parts"))
-    dealt = keyed(rows, parts.select(key, "__parts"), key, counts, "inner")
-    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int")).drop("__parts")
-    copies = table.join(parts.select(key, "__parts"), key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    return dealt.join(copies.drop("__parts"), [key, "__salt"]).drop("__salt")
+    parts = counts.select(key, F.ceil(F.col("n") / per).cast("int").alias("__parts"))
+    salted_rows = keyed(rows, parts, key, counts, "inner").withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int"))
+    copies = table.join(parts, key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    return salted_rows.drop("__parts"), copies.drop("__parts")
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, per: int = 512) -> DataFrame:
+    """rows joined (inner) with a table of wide values, a row per key: rows of a hot key go to several tasks."""
+    rows, table = dealt(rows, table, key, "__salt", per)
+    return rows.join(table, [key, "__salt"]).drop("__salt")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import keyed, prepare, salted, text_bytes, written
+from timedtext.llm.common import dealt, keyed, prepare, salted, text_bytes, written
 from timedtext.llm.words import blocks, chained, mix, words_of
 
 PLACES = 1 << 20
@@ -119,8 +119,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b): sizes of what their full sets share and of their union."""
-    both = salted(pairs.select("a", "b"), sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = salted(both, sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
+    side = lambda k: sets.select(F.col("class").alias(k), F.col("shingles").alias(f"s{k}"))
+    pairs, of_a = dealt(written(pairs.select("a", "b")), side("a"), "a", "__salt_a")
+    pairs, of_b = dealt(pairs, side("b"), "b", "__salt_b")
+    both = pairs.join(of_a, ["a", "__salt_a"]).join(of_b, ["b", "__salt_b"])
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).alias("total"))
 
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     rest = written(rest.join(alive, "class"))
     hubs = rest.select("home").distinct().join(alive.select(F.col("class").alias("home"), F.col("shingles").alias("hub_shingles")), "home")
     pairs = unlinked_pairs(rest, hubs, percent).join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti")
-    more = written(_overlaps(written(pairs), alive).filter(f"shared * 100 >= total * {percent}").select("a", "b"))
+    more = written(_overlaps(pairs, alive).filter(f"shared * 100 >= total * {percent}").select("a", "b"))
     if not more.isEmpty():
         labels = components(linked.union(more))
     least = written(labels.join(classes.select(F.col("class").alias("node"), "rep"), "node"))
