@@ -9,6 +9,7 @@ from timedtext.functions import entities as en
 from timedtext.functions import splitting as sp
 from timedtext.functions import text as tx
 from timedtext.functions import timecodes as tc
+from timedtext.plans import composites
 
 
 def each(spark, values, make, kind="string"):
@@ -113,6 +114,19 @@ def test_protect_and_restore(spark):
     assert [r.back for r in rows] == [r.t for r in rows]
 
 
+def test_protect_every_name_and_by_confidence(spark):
+    df = spark.createDataFrame([("Anna met Bo. Anna and Bo left Rome", [(0, 4, "PER"), (9, 11, "PER"), (30, 34, "GPE")])], "t string, s array<struct<start:int,end:int,label:string>>")
+    p = df.select("t", en.protect(F.col("t"), [], F.col("s"), F.lit("de"), style="name").alias("p")).select("t", "p.*")
+    r = p.select("*", en.restore_entities(F.col("text"), F.col("entity_map")).alias("back")).first()
+    assert r.text == "__NAME_0_4__ met __NAME_9_11__. __NAME_0_4__ and __NAME_9_11__ left Rome" and r.back == r.t
+    seg = spark.createDataFrame([(1, 0, 0.0, 1.0, "Anna in Rome")], "media_id long, seq int, start_sec double, end_sec double, text string")
+    spans = spark.createDataFrame([(1, 0, 0, 4, "PERSON", 0.84), (1, 0, 8, 12, "GPE", None)], "media_id long, seq int, start int, end int, label string, confidence double")
+    assert composites.protect_spans(seg, spans, style="entity").first().text == "Anna in __ENTITY_GPE_0__"
+    assert composites.protect_spans(seg, spans, style="entity", least_confidence=0.5).first().text == "__ENTITY_PERSON_1__ in __ENTITY_GPE_0__"
+    flags = spark.createDataFrame([("PERSON",), ("DATE",), (None,)], "l string").select(en.should_translate(F.col("l")).alias("x")).collect()
+    assert [r.x for r in flags] == [False, True, True]
+
+
 def test_many_and_damaged_placeholders(spark):
     m = {f"<extra_id_{k}>": (f"E{k}", "ORG", 0, 1, "en") for k in range(12)}
     df = spark.createDataFrame([("<extra_id_1> <extra_id_10> < Extra ID 11 > &lt;extra_id_2&gt;  x", m)], f"t string, m map<string,{ENTITY}>")

@@ -32,6 +32,22 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in segment_io.read_segments_strict(spark, str(tmp_path / "t.csv")).collect()] == [(61.5, 62.0, "x")]
 
 
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """Files of many blocks, empty lines and line ends of two kinds."""
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        lines = ["Startzeit|Endzeit|Text"] + [f"0:00:0{i % 10}|0:01:00|{name} {i}" if i % 7 else ("" if i % 2 else "broken") for i in range(3000)]
+        (tmp_path / f"{name}.csv").write_bytes(end.join(lines).encode())
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = segment_io.read_segments_numbered(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    for name in "ab":
+        mine = sorted((r.id, r.text) for r in got if r.file.endswith(f"{name}.csv"))
+        assert mine == list(enumerate(f"{name} {i}" for i in range(3000) if i % 7))
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("0:00:01", "0:00:02", 'a "quoted" text')], "startzeit string, endzeit string, text string")
     for _ in range(2):
@@ -51,12 +67,25 @@ def test_joins(spark):
     assert [r.seq for r in joins.resume_by_start(seg, done).orderBy("seq").collect()] == [1, 2]
     assert [r.seq for r in joins.resume_by_start(seg, done, by_start=True).collect()] == [2]
     assert [r.seq for r in joins.resume_by_id(seg, done).collect()] == [2]
-    with pytest.raises(ValueError):
-        joins.dictionary_hits(seg, spark.createDataFrame([(str(i),) for i in range(5)], "word string"), most=3)
     hits = joins.glossary_hits(seg, spark.createDataFrame([("end", "Ende"), ("ex", "x"), ("THE", "der")], "term string, options string")).collect()
     assert [(r.seq, r.glossary) for r in hits] == [(2, "- THE: der\n- end: Ende")]
 
 
+def test_word_lists_of_any_length(spark):
+    """Lists beyond the bound are joined, with the same rows."""
+    texts = ["one text here", "...", "the end", "The É of straße, ÉND", "a", "", None, "x.y (z) [q] \\E end", "one text here"]
+    seg = spark.createDataFrame([(1, k, 0.0, 1.0, t) for k, t in enumerate(texts)], SEGMENT)
+    words = spark.createDataFrame([(w,) for w in ["one", "text", "ext h", "the", "É", "e", "straße", "", "zzz", "(z)", "one", None]], "word string")
+    terms = [("end", "Ende"), ("THE", "der"), ("É", "e"), ("x.y", "p"), ("text here", "t"), ("a", "b"), ("nd", "no"), ("E", "f"), (None, "n")]
+    glossary = spark.createDataFrame(terms, "term string, options string")
+    for hits, listed in ((joins.dictionary_hits, words), (joins.glossary_hits, glossary)):
+        small, large = (sorted(map(repr, hits(seg, listed, **k).collect())) for k in ({}, {"most": 2}))
+        assert small == large and len(small) >= 5
+    got = {r.seq: r.words for r in joins.dictionary_hits(seg, words, most=0).collect()}
+    assert got == {k: sorted((w for w in {"one", "text", "ext h", "the", "É", "e", "straße", "zzz", "(z)"} if w in t), key=lambda w: (-len(w), w)) for k, t in enumerate(texts) if t and any(w in t for w in ["one", "e", "É"])}
+    assert joins.dictionary_hits(seg, words.limit(0)).count() == 0
+
+
 def test_attempts(spark):
     tries = spark.createDataFrame([(1, 0, "a", 0.4), (1, 1, "b", 0.8), (1, 2, "c", 0.9), (2, 0, "d", 0.2), (2, 1, "i cannot", 0.9), (3, 0, "e", 0.0), (4, 0, "f", 0.5), (4, 1, "g", 0.5)], "segment_id long, attempt int, text string, similarity double")
     src = spark.createDataFrame([(i, f"s{i}") for i in range(1, 6)], "segment_id long, source_text string")
@@ -141,7 +170,10 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["close_context", "combined_hypothesis_score", "first_acceptable_attempt", "proportional_times", "quality_summary", "protect_spans"])
+@pytest.mark.parametrize("name", [
+    "close_context", "combined_hypothesis_score", "first_acceptable_attempt", "proportional_times", "quality_summary", "protect_spans",
+    "split_text", "force_merge_short", "close_context_dedup", "merge_transcript", "format_for_tts", "refine_segments", "assembly_plan", "entity_issues",
+])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("documents", "events", "embeddings", "conversations"):

@@ -1,6 +1,7 @@
 """Operators over ordered segments against sequential models on random rows."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -149,6 +150,38 @@ def test_timeline(segments, mode):
     assert all(x[0] != y[0] or y[1] >= x[1] for x, y in zip(order, order[1:], strict=False))
 
 
+def test_timeline_of_clips_that_overlap_for_long(spark):
+    """Islands are found by a bound on the running end: it must never open one too early."""
+    rng, rows = random.Random(9), []
+    for m in range(6):
+        at = 0.0
+        for k in range(300):
+            at += rng.choice([0.0, 0.1, 0.3, 2.0]) * (m % 3 + 1)
+            rows.append((m, k, round(at, 3), round(at + rng.choice([0.0, 0.05, 0.7, 1.3, -0.5]), 3), "x"))
+    want = []
+    for m in range(6):
+        running = 0.0
+        for r in sorted((r for r in rows if r[0] == m), key=lambda r: (r[2], r[1])):
+            late = r[2] < running
+            eff = running + 0.2 if late else r[2]
+            want.append((m, r[1], round(eff, 6), late))
+            running = eff + (r[3] - r[2])
+    out = windows.timeline(spark.createDataFrame(rows, SEGMENT)).withColumn("effective_start", F.round("effective_start", 6))
+    compare(out, want, "media_id", "seq", "effective_start", "had_overlap")
+
+
+def test_folds_over_one_long_medium_are_linear(spark):
+    """Twice the rows of a medium take about twice the time."""
+    took = {}
+    for n in (1_000, 15_000, 30_000):
+        rows = spark.range(n).selectExpr("1L as media_id", "cast(id as int) as seq", "id * 1.0D as start_sec", "id * 1.0D + 1.3 as end_sec", "concat('Wort ', id) as text")
+        began = time.time()
+        for df in (windows.timeline(rows), windows.close_context_dedup(rows), windows.gap_merge(rows, 0.5, 1e9, 1 << 30)):
+            df.write.format("noop").mode("overwrite").save()
+        took[n] = time.time() - began
+    assert took[30_000] < 3.2 * took[15_000]
+
+
 def test_proportional_times_are_contiguous(spark):
     rows = [(1, 0, 10.0, 20.0, ["abcd", "ef", "ghijkl"]), (1, 1, 20.0, 26.0, ["", ""]), (1, 2, 30.0, 30.0, ["x"]), (2, 0, 0.0, 7.0, [])]
     df = spark.createDataFrame(rows, "media_id long, seq int, start_sec double, end_sec double, pieces array<string>")

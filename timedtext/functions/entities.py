@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels worth protecting, those whose loss is reported, and the number of placeholders.
-TARGET_LABELS = ["CARDINAL", "DATE", "EVENT", "FACILITY", "GPE", "LANGUAGE", "LAW", "NORP", "NUM", "ORG", "PER", "PERSON", "PRODUCT", "TIME", "WORK_OF_ART"]
-IMPORTANT_LABELS = ["GPE", "ORG", "PERSON", "PRODUCT"]
+# Labels worth protecting, those whose loss is reported, those kept as they are, and the number of placeholders.
+TARGET_LABELS = [
+    "PERSON", "PER", "ORG", "WORK_OF_ART", "EVENT", "PRODUCT", "LAW", "GPE", "FACILITY", "LANGUAGE", "NORP", "TIME", "DATE", "NUM", "CARDINAL",
+]
+IMPORTANT_LABELS = ["PERSON", "ORG", "GPE", "PRODUCT"]
+UNTRANSLATED_LABELS = ["PERSON", "PER", "ORG", "ORGANIZATION", "GPE", "PRODUCT"]
+NAME_LABELS = ["PER", "PERSON"]
+LEAST_CONFIDENCE = 0.85
 PLACEHOLDERS = 100
 # End of fixed values.
 
@@ -33,41 +38,66 @@ def _name(style: str, k: Column, label: Column, start: Column, end: Column) -> C
     raise ValueError(f"unknown placeholder style {style!r}")
 
 
+def should_translate(label: Column) -> Column:
+    """Whether an entity of that label is to be translated: names of people, places, organisations and products are not."""
+    return ~F.coalesce(label, F.lit("")).isin(UNTRANSLATED_LABELS)
+
+
 def _cut(text: Column, start: Column, end: Column, by: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), start), by, F.substring(text, end + 1, F.length(text)))
 
 
-def protect(text: Column, words: list[str], spans: Column, language: Column, labels: list[str] | None = None, most: int = PLACEHOLDERS, style: str = "extra_id") -> Column:
+def protect(
+    text: Column, words: list[str], spans: Column, language: Column, labels: list[str] | None = None, most: int = PLACEHOLDERS, style: str = "extra_id"
+) -> Column:
     """struct(text, entity_map): words (longest first) and then spans, from the last to the first, behind placeholders.
 
     spans is an array of struct(start, end, label); its offsets refer to the text after word protection. All
     occurrences of a word share one placeholder. At most ``most`` placeholders are given; labels outside the list stay.
+    Style name protects every occurrence of each person's name, from the first span to the last.
     """
+    given = F.coalesce(text, F.lit(""))
     entities = F.array().cast(f"array<struct<key:string,value:{ENTITY}>>")
-    acc = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).alias("k"), entities.alias("found"))
-    empty = F.trim(F.coalesce(text, F.lit(""))) == ""
-    ordered = F.array(*(F.lit(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))) if words else F.array().cast("array<string>")
-    entity = lambda t, label, a, b: F.struct(t.alias("text"), label.alias("label"), a.cast("int").alias("start"), b.cast("int").alias("end"), language.alias("language"))
+    acc = F.struct(given.alias("text"), F.lit(0).alias("k"), entities.alias("found"))
+    ordered = sorted(set(words), key=lambda w: (-len(w), w))
+
+    def placed(acc: Column, new_text: Column, key: Column, found: Column, label: Column, start: Column, end: Column) -> Column:
+        place = [start.cast("int").alias("start"), end.cast("int").alias("end")]
+        value = F.struct(found.alias("text"), label.alias("label"), *place, language.alias("language"))
+        row = F.struct(key.alias("key"), value.alias("value"))
+        return F.struct(new_text.alias("text"), (acc["k"] + 1).alias("k"), F.concat(acc["found"], F.array(row)).alias("found"))
 
     def word(acc: Column, w: Column) -> Column:
         at = F.position(w, acc["text"]) - 1
         key = _name(style, acc["k"], F.lit("CUSTOM"), at, at + F.length(w))
-        row = F.struct(key.alias("key"), entity(w, F.lit("CUSTOM"), at, at + F.length(w)).alias("value"))
-        new = F.struct(F.replace(acc["text"], w, key).alias("text"), (acc["k"] + 1).alias("k"), F.concat(acc["found"], F.array(row)).alias("found"))
+        new = placed(acc, F.replace(acc["text"], w, key), key, w, F.lit("CUSTOM"), at, at + F.length(w))
         return F.when((at >= 0) & (acc["k"] < most), new).otherwise(acc)
 
     def span(acc: Column, s: Column) -> Column:
         key = _name(style, acc["k"], s["label"], s["start"], s["end"])
-        row = F.struct(key.alias("key"), entity(F.substring(acc["text"], s["start"] + 1, s["end"] - s["start"]), s["label"], s["start"], s["end"]).alias("value"))
-        new = F.struct(_cut(acc["text"], s["start"], s["end"], key).alias("text"), (acc["k"] + 1).alias("k"), F.concat(acc["found"], F.array(row)).alias("found"))
+        found = F.substring(acc["text"], s["start"] + 1, s["end"] - s["start"])
+        new = placed(acc, _cut(acc["text"], s["start"], s["end"], key), key, found, s["label"], s["start"], s["end"])
         return F.when(acc["k"] < most, new).otherwise(acc)
 
-    acc = F.aggregate(ordered, acc, word)
-    wanted = F.filter(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,label:string>>")), lambda s: s["label"].isin(labels or TARGET_LABELS) & (s["start"] >= 0) & (s["end"] > s["start"]))
-    last_first = F.transform(F.sort_array(F.transform(wanted, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))), asc=False), lambda s: s)
-    done = F.aggregate(last_first, acc, span)
-    none = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.create_map().cast(ENTITY_MAP).alias("entity_map"))
-    return F.when(empty, none).otherwise(F.struct(done["text"].alias("text"), F.map_from_entries(done["found"]).alias("entity_map")))
+    def every_name(acc: Column, s: Column) -> Column:
+        key = _name(style, acc["k"], s["label"], s["start"], s["end"])
+        new = placed(acc, F.replace(acc["text"], s["name"], key), key, s["name"], s["label"], s["start"], s["end"])
+        return F.when((acc["k"] < most) & (F.trim(s["name"]) != ""), new).otherwise(acc)
+
+    acc = F.aggregate(F.array(*map(F.lit, ordered)) if ordered else F.array().cast("array<string>"), acc, word)
+    wanted = labels or (NAME_LABELS if style == "name" else TARGET_LABELS)
+    spans = F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,label:string>>"))
+    spans = F.filter(spans, lambda s: s["label"].isin(wanted) & (s["start"] >= 0) & (s["end"] > s["start"]))
+    if style == "name":
+        name = lambda s: F.substring(given, s["start"] + 1, s["end"] - s["start"]).alias("name")
+        named = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), name(s))
+        done = F.aggregate(F.sort_array(F.transform(spans, named)), acc, every_name)
+    else:
+        plain = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))
+        done = F.aggregate(F.sort_array(F.transform(spans, plain), asc=False), acc, span)
+    none = F.struct(given.alias("text"), F.create_map().cast(ENTITY_MAP).alias("entity_map"))
+    found = F.struct(done["text"].alias("text"), F.map_from_entries(done["found"]).alias("entity_map"))
+    return F.when(F.trim(given) == "", none).otherwise(found)
 
 
 def restore_entities(text: Column, entity_map: Column) -> Column:

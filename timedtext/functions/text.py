@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 # What machine translation leaves behind in texts.
 PLACEHOLDERS_KEPT_OUT = [r"__ENTITY_[A-Z_]+_\d+__", r"__CUSTOM_PATTERN_\d+__", r"__NAME_\d+_\d+__", r"__ABBR_\d+__", r"__NUM_\d+__", r"\[PLACEHOLDER\]", r"\[MASK\]"]
 PLACEHOLDERS_ALL = [*PLACEHOLDERS_KEPT_OUT[:5], r"__[A-Z_]+_\d+__", *PLACEHOLDERS_KEPT_OUT[5:], r"<2[a-z]{2}>", r"<[0-9][a-z]{2}>"]
-REFUSALS = ["as a language model", "as an ai", "i am not able", "i am unable", "i cannot", "i cannot provide a translation", "i do not have the ability", "i'm not able", "i'm unable", "my purpose is to", "refuse to translate"]
-FORBIDDEN_TEXTS = ["de", "de.", "dt>", "en", "en.", "es", "fr"]
+REFUSALS = [
+    "i cannot", "i am unable", "i'm unable", "i am not able", "i'm not able", "as an ai", "as a language model", "my purpose is to",
+    "i do not have the ability", "i cannot provide a translation", "refuse to translate",
+]
+FORBIDDEN_TEXTS = ["de", "en", "fr", "es", "dt>", "de.", "en."]
 LANGUAGE_WORDS = ["de", "en", "fr", "es", "it"]
 # End of fixed values.
 

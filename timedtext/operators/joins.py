@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timedtext.functions.text import tts_validity
 
 KEY = ["media_id", "seq"]
-#: Longest word list and glossary that become part of a plan.
+#: Longest word list and glossary that become part of a plan; longer ones are joined.
 MOST_WORDS, MOST_TERMS = 10_000, 1_000
 
 
@@ -58,27 +58,67 @@ def free_of_spans(matches: DataFrame, spans: DataFrame) -> DataFrame:
     return m.join(s, over, "left_anti")
 
 
-def _listed(words: DataFrame, most: int) -> list:
-    """Word lists are small by nature; that is checked before one becomes part of a plan."""
+def _short_list(words: DataFrame, most: int) -> list | None:
+    """The rows of a list that is short enough to become part of a plan."""
     rows = words.distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a word list of more than {most} rows: split it, or raise the bound")
-    return rows
+    return rows if len(rows) <= most else None
+
+
+def _candidates(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Pairs of a text (column t) and a term (column term) whose first three characters stand somewhere in the text.
+
+    The pairs are found by joining these characters, without the texts, so that a list may be of any length.
+    """
+    first = lambda n: F.substring("term", 1, n)
+    sizes = [r[0] for r in terms.select(F.least(F.length("term"), F.lit(3))).distinct().collect()]  # three at most
+    keyed = terms.withColumn("__gram", first(3)).select("term", "__gram")
+    rows = texts.withColumn("__row", F.xxhash64("media_id", "seq", "t"))
+
+    def grams(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), i, F.lit(n)))
+
+    every = rows.select("__row", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("__gram"))
+    found = every.join(keyed, "__gram").select("__row", "term").distinct()
+    return rows.join(found, "__row").drop("__row")
 
 
 def dictionary_hits(segments: DataFrame, words: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """media_id, seq, words: which words (column word) each text contains, longest first, case kept."""
-    listed = sorted((r["word"] for r in _listed(words.select("word"), most) if r["word"]), key=lambda w: (-len(w), w))
-    every = F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
-    hits = segments.select(*KEY, F.filter(every, lambda w: F.contains(F.col("text"), w)).alias("words"))
-    return hits.filter(F.size("words") > 0)
+    """media_id, seq, words: which words (column word) each text contains, longest first, case kept.
+
+    Up to most words are looked for in every text; longer lists are joined by the words' first characters.
+    """
+    words = words.select("word").filter("word <> ''").distinct()
+    listed = _short_list(words, most)
+    longest_first = lambda ws: sorted(ws, key=lambda w: (-len(w), w))
+    if listed is not None:
+        every = F.array(*map(F.lit, longest_first(r["word"] for r in listed))) if listed else F.array().cast("array<string>")
+        hits = segments.select(*KEY, F.filter(every, lambda w: F.contains(F.col("text"), w)).alias("words"))
+        return hits.filter(F.size("words") > 0)
+    pairs = _candidates(segments.select(*KEY, F.col("text").alias("t")).filter("t <> ''"), words.select(F.col("word").alias("term")))
+    ranked = F.sort_array(F.collect_set(F.struct((-F.length("term")).alias("n"), "term")))
+    return pairs.filter(F.contains("t", "term")).groupBy(*KEY).agg(F.transform(ranked, lambda x: x["term"]).alias("words"))
 
 
 def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """media_id, seq, glossary: lines "- term: options" of the terms that occur as whole words in any case, sorted."""
-    lines = [F.when(F.col("text").rlike(rf"(?iU)\b{re.escape(r['term'])}\b"), f"- {r['term']}: {r['options']}") for r in _listed(glossary.select("term", "options"), most)]
-    every = F.array(*lines) if lines else F.array().cast("array<string>")
-    hits = segments.select(*KEY, F.array_sort(F.filter(every, lambda x: x.isNotNull())).alias("x")).filter(F.size("x") > 0)
+    """media_id, seq, glossary: lines "- term: options" of the terms that occur as whole words, sorted; case counts for nothing.
+
+    Up to most terms are looked for in every text; longer lists are joined by the terms' first characters.
+    """
+    glossary = glossary.select("term", "options").filter("term <> ''").distinct()
+    texts = segments.select(*KEY, F.lower("text").alias("t"))
+    line = F.concat(F.lit("- "), F.col("shown"), F.lit(": "), F.col("options"))
+    listed = _short_list(glossary, most)
+    if listed is not None:
+        found = lambda term: F.contains("t", F.lit(term.lower())) & F.col("t").rlike(rf"(?U)\b{re.escape(term.lower())}\b")
+        lines = [F.when(found(r["term"]), f"- {r['term']}: {r['options']}") for r in listed]
+        every = F.array(*lines) if lines else F.array().cast("array<string>")
+        hits = texts.select(*KEY, F.array_sort(F.filter(every, lambda x: x.isNotNull())).alias("x")).filter(F.size("x") > 0)
+    else:
+        terms = glossary.select(F.col("term").alias("shown"), F.lower("term").alias("term"), "options")
+        pairs = _candidates(texts.filter("t <> ''"), terms.select("term").distinct())
+        whole = F.concat(F.lit(r"(?U)\b\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+        pairs = pairs.filter(F.contains("t", "term")).filter(F.rlike("t", whole)).join(terms, "term")
+        hits = pairs.groupBy(*KEY).agg(F.sort_array(F.collect_set(line)).alias("x"))
     return hits.select(*KEY, F.array_join("x", "\n").alias("glossary"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from timedtext.functions.entities import merge_maps
+from timedtext.functions.folds import fold
 from timedtext.functions.text import word_count
 
 # Words that continue a sentence, in the short and the long list.
@@ -44,16 +45,17 @@ def gap_merge(df: DataFrame, max_gap: float = 0.5, max_dur: float = 15.0, max_ch
     gap = F.col("start_sec") - F.lag("end_sec").over(order())
     islands = df.withColumn("island", F.sum(F.when((gap >= 0) & (gap <= max_gap), 0).otherwise(1)).over(so_far()))
     rows = islands.groupBy("media_id", "island").agg(F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "text"))).alias("rows"))
-    start = F.struct(F.array().cast("array<int>").alias("part"), F.lit(-1).alias("k"), F.lit(0.0).alias("begin"), F.lit(0).alias("chars"))
 
-    def step(acc: Column, r: Column) -> Column:
+    def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
         n = F.length(F.trim(F.coalesce(r["text"], F.lit(""))))
         longer = acc["chars"] + n + F.when((acc["chars"] > 0) & (n > 0), 1).otherwise(0)
         joins = (acc["k"] >= 0) & (r["end_sec"] - acc["begin"] <= max_dur) & (longer <= max_chars)
         k = F.when(joins, acc["k"]).otherwise(acc["k"] + 1)
-        return F.struct(F.concat(acc["part"], F.array(k)).alias("part"), k.alias("k"), F.when(joins, acc["begin"]).otherwise(r["start_sec"]).alias("begin"), F.when(joins, longer).otherwise(n).alias("chars"))
+        begin, chars = F.when(joins, acc["begin"]).otherwise(r["start_sec"]), F.when(joins, longer).otherwise(n)
+        return {"k": k, "begin": begin, "chars": chars}, k
 
-    parts = rows.withColumn("part", F.aggregate("rows", start, step, lambda acc: acc["part"]))
+    start = {"k": F.lit(-1), "begin": F.lit(0.0), "chars": F.lit(0)}
+    parts = rows.withColumn("part", fold("rows", start, "int", step))
     parts = parts.select("media_id", "island", F.explode(F.arrays_zip("rows", "part")).alias("x")).select("media_id", "island", "x.part", "x.rows.*")
     return _joined(parts, ["island", "part"]).filter("text <> ''")
 
@@ -130,16 +132,16 @@ def close_context_dedup(df: DataFrame, participles: bool = False) -> DataFrame:
     tidy = lambda t: F.regexp_replace(t, r"^[ .]+", "")
     ended = lambda t: F.when((t == "") | t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
 
-    def step(acc: Column, r: Column) -> Column:
+    def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
         t = F.trim(F.coalesce(r["text"], F.lit("")))
-        starts = t.rlike(r"(?i)^(?:[A-Za-zÄÖÜäöüß]+end|[A-Za-z]+nd)\b") if participles else _lower_first(t) | _starts_with(t, CONJUNCTIONS_LONG, False)
-        needs = starts | ~t.rlike(r"[.!?]$")
-        before = acc["last"]
-        own = F.when(before.isNull(), t).when(needs, tidy(t)).when(F.startswith(t, before), tidy(F.substring(t, F.length(before) + 1, F.length(t)))).otherwise(t)
-        out = ended(own)
-        return F.struct(out.alias("last"), F.concat(acc["out"], F.array(out)).alias("out"))
-
-    texts = F.aggregate("rows", F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+        participle = t.rlike(r"(?i)^(?:[A-Za-zÄÖÜäöüß]+end|[A-Za-z]+nd)\b")
+        starts = participle if participles else _lower_first(t) | _starts_with(t, CONJUNCTIONS_LONG, False)
+        needs, before = starts | ~t.rlike(r"[.!?]$"), acc["last"]
+        rest = tidy(F.substring(t, F.length(before) + 1, F.length(t)))
+        own = F.when(before.isNull(), t).when(needs, tidy(t)).when(F.startswith(t, before), rest).otherwise(t)
+        return {"last": ended(own)}, ended(own)
+
+    texts = fold("rows", {"last": F.lit(None).cast("string")}, "string", step)
     rows = rows.select("media_id", F.explode(F.arrays_zip("rows", texts.alias("out"))).alias("x"))
     return rows.select("media_id", "x.rows.seq", "x.rows.start_sec", "x.rows.end_sec", F.col("x.out").alias("text"))
 
@@ -180,13 +182,12 @@ def clamp_silence(df: DataFrame, most: float = 2.0, rate: int = 16_000) -> DataF
 def proportional_times(df: DataFrame, pieces: str = "pieces", exact_end: bool = True, floored: bool = False) -> DataFrame:
     """Pieces as rows that share their segment's time by characters; without characters, equally. The last one ends with
     the segment (exact_end) or where the sum of shares ends."""
-    kind = "array<struct<text:string,upto:int>>"
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column) -> tuple[dict[str, Column], Column]:
         upto = acc["upto"] + F.length(p)
-        return F.struct(upto.alias("upto"), F.concat(acc["out"], F.array(F.struct(p.alias("text"), upto.alias("upto")))).alias("out"))
+        return {"upto": upto}, F.struct(p.alias("text"), upto.alias("upto"))
 
-    summed = F.aggregate(pieces, F.struct(F.lit(0).alias("upto"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    summed = fold(pieces, {"upto": F.lit(0)}, "struct<text:string,upto:int>", step)
     kept = [c for c in df.columns if c not in (pieces, "text", "start_sec", "end_sec")]
     rows = df.select(*kept, "start_sec", "end_sec", summed.alias("__p"))
     rows = rows.select(*kept, "start_sec", "end_sec", F.size("__p").alias("n"), F.element_at("__p", -1)["upto"].alias("total"), F.posexplode("__p").alias("piece", "__p"))
@@ -208,19 +209,31 @@ def timeline(df: DataFrame, min_gap: float = 0.2, least_silence: float = 0.02, m
     mode target: a clip takes end - start; actual: its actual_sec.
     """
     length = F.col("end_sec") - F.col("start_sec") if mode == "target" else F.col("actual_sec")
-    rows = df.withColumn("dur", length.cast("double")).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "dur"))).alias("rows"))
-    kind = "array<struct<effective_start:double,silence:double,had_overlap:boolean>>"
-
-    def step(acc: Column, r: Column) -> Column:
-        over = r["start_sec"] < acc["running"]
-        eff = F.when(over, acc["running"] + min_gap).otherwise(r["start_sec"])
-        gap = eff - acc["running"]
-        item = F.struct(eff.alias("effective_start"), F.when(gap > least_silence, gap).otherwise(0.0).alias("silence"), over.alias("had_overlap"))
-        return F.struct((eff + r["dur"]).alias("running"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    out = F.aggregate("rows", F.struct(F.lit(0.0).alias("running"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    rows = rows.select("media_id", F.explode(F.arrays_zip("rows", out.alias("out"))).alias("x"))
-    return rows.select("media_id", "x.rows.seq", "x.rows.start_sec", "x.rows.end_sec", "x.out.*", (F.col("x.out.effective_start") + F.col("x.rows.dur")).alias("effective_end"))
+    rows = df.select("media_id", "seq", "start_sec", "end_sec", length.cast("double").alias("dur"))
+    # the end of what was laid so far is at most `latest`: every clip since some start, each with the gap before it
+    upto = F.sum(F.greatest(F.col("dur"), F.lit(0.0)) + max(min_gap, 0.0)).over(so_far())
+    rows = rows.withColumn("upto", upto).withColumn("before", F.coalesce(F.lag("upto").over(order()), F.lit(0.0)))
+    latest = F.col("upto") + F.max(F.col("start_sec") - F.col("before")).over(so_far())
+    latest = F.greatest(latest, F.col("upto"))  # time begins at 0
+    rows = rows.withColumn("latest", latest)
+    free = F.col("start_sec") >= F.coalesce(F.lag("latest").over(order()), F.lit(0.0)) + 1e-3  # sums of doubles are not exact
+    rows = rows.withColumn("island", F.sum(F.when(free, 1).otherwise(0)).over(so_far()))
+    items = F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "dur")))
+    rows = rows.groupBy("media_id", "island").agg(items.alias("rows"))
+
+    def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
+        eff = F.when(r["start_sec"] < acc["running"], acc["running"] + min_gap).otherwise(r["start_sec"])
+        return {"running": eff + r["dur"]}, eff
+
+    # before the first island nothing runs; any other begins when what was before has ended
+    first = F.when(F.col("island") == 0, 0.0).otherwise(F.get("rows", F.lit(0))["start_sec"])
+    rows = rows.withColumn("eff", fold("rows", {"running": first}, "double", step))
+    rows = rows.select("media_id", F.explode(F.arrays_zip("rows", "eff")).alias("x")).select("media_id", "x.rows.*", F.col("x.eff").alias("effective_start"))
+    rows = rows.withColumn("effective_end", F.col("effective_start") + F.col("dur"))
+    running = F.coalesce(F.lag("effective_end").over(order()), F.lit(0.0))
+    gap = F.col("effective_start") - running
+    rows = rows.withColumn("silence", F.when(gap > least_silence, gap).otherwise(0.0)).withColumn("had_overlap", F.col("start_sec") < running)
+    return rows.select("media_id", "seq", "start_sec", "end_sec", "effective_start", "silence", "had_overlap", "effective_end")
 
 
 def batch_ids(df: DataFrame, size: int) -> DataFrame:

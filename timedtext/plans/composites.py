@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from timedtext.functions import splitting as sp
 from timedtext.functions import text as tx
-from timedtext.functions.entities import entity_issues, merge_maps, protect, rebase_entities, restore_entities
+from timedtext.functions.entities import LEAST_CONFIDENCE, entity_issues, merge_maps, protect, rebase_entities, restore_entities
+from timedtext.functions.folds import fold
 from timedtext.functions.timecodes import capped_speed, tempo_chain
 from timedtext.operators import aggregates, attempts, filters, hypotheses, joins, windows
 
@@ -45,16 +46,15 @@ def format_for_tts(df: DataFrame, max_chars: int = 150, min_words: int = 3, lang
     next; final points become an ellipsis. No word is lost."""
     sentences = _renumbered(_split(filters.drop_invalid_times(df).select(*CORE), sp.split_sentences_abbrev(F.col("text"), lang), exact_end=False))
     rows = sentences.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start_sec", "end_sec", "text"))).alias("rows"))
-    start = F.struct(F.array().cast("array<int>").alias("part"), F.lit(-1).alias("k"), F.lit(0).alias("chars"), F.lit(0).alias("words"), F.lit(False).alias("closed"))
 
-    def step(acc: Column, r: Column) -> Column:
-        n, w = F.length(r["text"]), tx.word_count(r["text"])
-        fits = (acc["chars"] + 1 + n <= max_chars) & ~acc["closed"]
-        joins_group = (acc["k"] >= 0) & fits
+    def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
+        n = F.length(r["text"])
+        joins_group = (acc["k"] >= 0) & (acc["chars"] + 1 + n <= max_chars)
         k = F.when(joins_group, acc["k"]).otherwise(acc["k"] + 1)
-        return F.struct(F.concat(acc["part"], F.array(k)).alias("part"), k.alias("k"), F.when(joins_group, acc["chars"] + 1 + n).otherwise(n).alias("chars"), F.when(joins_group, acc["words"] + w).otherwise(w).alias("words"), F.lit(False).alias("closed"))
+        return {"k": k, "chars": F.when(joins_group, acc["chars"] + 1 + n).otherwise(n)}, k
 
-    parts = rows.select("media_id", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step, lambda acc: acc["part"]).alias("part"))).alias("x"))
+    part = fold("rows", {"k": F.lit(-1), "chars": F.lit(0)}, "int", step)
+    parts = rows.select("media_id", F.explode(F.arrays_zip("rows", part.alias("part"))).alias("x"))
     parts = parts.select("media_id", "x.part", "x.rows.*")
     groups = windows._joined(parts, ["part"]).drop("n_rows")
     absorbed = _absorb_forward(groups, min_words)
@@ -64,15 +64,15 @@ def format_for_tts(df: DataFrame, max_chars: int = 150, min_words: int = 3, lang
 def _absorb_forward(df: DataFrame, min_words: int) -> DataFrame:
     """A group absorbs the rows after it until it has min_words."""
     rows = df.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "text"))).alias("rows"))
-    start = F.struct(F.array().cast("array<int>").alias("part"), F.lit(-1).alias("k"), F.lit(0).alias("words"))
 
-    def step(acc: Column, r: Column) -> Column:
+    def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
         w = tx.word_count(r["text"])
         goes_on = (acc["k"] >= 0) & (acc["words"] < min_words)
         k = F.when(goes_on, acc["k"]).otherwise(acc["k"] + 1)
-        return F.struct(F.concat(acc["part"], F.array(k)).alias("part"), k.alias("k"), F.when(goes_on, acc["words"] + w).otherwise(w).alias("words"))
+        return {"k": k, "words": F.when(goes_on, acc["words"] + w).otherwise(w)}, k
 
-    parts = rows.select("media_id", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step, lambda acc: acc["part"]).alias("part"))).alias("x"))
+    part = fold("rows", {"k": F.lit(-1), "words": F.lit(0)}, "int", step)
+    parts = rows.select("media_id", F.explode(F.arrays_zip("rows", part.alias("part"))).alias("x"))
     return windows._joined(parts.select("media_id", "x.part", "x.rows.*"), ["part"]).drop("n_rows")
 
 
@@ -82,18 +82,24 @@ def format_for_tts_split(df: DataFrame, max_chars: int = 150, min_words: int = 4
     return windows.force_merge_short(pieces, 0.0, min_words) if merge_short else pieces.select(*CORE)
 
 
-def protect_spans(df: DataFrame, spans: DataFrame, words: list[str] = (), style: str = "extra_id", language: str = "en") -> DataFrame:
-    """Texts with words and entity spans (media_id, seq, start, end, label) behind placeholders, and their entity_map."""
-    each = spans.groupBy("media_id", "seq").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label")).alias("__spans"))
-    rows = df.join(each, ["media_id", "seq"], "left")
+def protect_spans(
+    df: DataFrame, spans: DataFrame, words: list[str] = (), style: str = "extra_id", language: str = "en", least_confidence: float = LEAST_CONFIDENCE
+) -> DataFrame:
+    """Texts with words and entity spans (media_id, seq, start, end, label) behind placeholders, and their entity_map.
+
+    Where spans have a confidence, those below least_confidence stay in the text; a null one counts as sure.
+    """
+    if "confidence" in spans.columns:
+        spans = spans.filter(F.coalesce("confidence", F.lit(1.0)) >= least_confidence)
+    place = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label")
+    rows = df.join(spans.groupBy("media_id", "seq").agg(F.collect_list(place).alias("__spans")), ["media_id", "seq"], "left")
     p = protect(F.col("text"), list(words), F.col("__spans"), F.lit(language), style=style)
     return rows.withColumn("__p", p).withColumn("text", F.col("__p.text")).withColumn("entity_map", F.col("__p.entity_map")).drop("__p", "__spans")
 
 
 def format_translation(df: DataFrame, spans: DataFrame, max_chars: int = 150, lang: str = "de") -> tuple[DataFrame, DataFrame]:
     """(segments, issues): bad rows dropped, entities protected and restored, texts split, cleaned and timed."""
-    rows = protect_spans(filters.drop_invalid_times(df).select(*CORE), spans)
-    rows = rows.withColumn("protected", F.col("text")).join(df.select("media_id", "seq", F.col("text").alias("original")), ["media_id", "seq"])
+    rows = protect_spans(filters.drop_invalid_times(df).select(*CORE, F.col("text").alias("original")), spans).withColumn("protected", F.col("text"))
     rows = rows.withColumn("text", restore_entities(F.col("protected"), F.col("entity_map")))
     issues = rows.select("media_id", "seq", F.explode(entity_issues(F.col("original"), F.col("protected"), F.col("protected"), F.col("text"), F.col("entity_map"))).alias("issue"))
     pieces = F.filter(F.transform(sp.split_text(F.col("text"), max_chars, 4, lang), tx.sanitize_text), lambda t: t != "")

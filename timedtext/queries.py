@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timedtext import fixtures as fx
+from timedtext import sqltext as st
 from timedtext.functions import entities as en
 from timedtext.functions import splitting as sp
 from timedtext.functions import text as tx
@@ -81,14 +82,14 @@ _scalar("clean_translation", tx.clean_translation, SQUEEZE.format(r"regexp_repla
 _scalar("sanitize_text", tx.sanitize_text, _sanitized(tx.PLACEHOLDERS_ALL))
 _scalar("sanitize_keep_placeholders", tx.sanitize_keep_placeholders, _sanitized(tx.PLACEHOLDERS_KEPT_OUT))
 _scalar("strip_lang_prefix", lambda t: tx.strip_lang_prefix(F.concat(F.lit("<2de> "), t), "de"), f"(select upper(v[1]) || v[2:] from (select {LED} as v))")
-_scalar("collapse_repeats", tx.collapse_repeats)
-_scalar("split_sentences_simple", sp.split_sentences_simple)
-_scalar("split_sentences_abbrev", lambda t: sp.split_sentences_abbrev(t, "en"))
-_scalar("pack_words", lambda t: sp.pack_words(t, 60))
-_scalar("pack_sentences", lambda t: sp.pack_sentences(sp.split_sentences_simple(t), 120))
-_scalar("split_text", lambda t: sp.split_text(t, 120))
-_scalar("split_clauses", lambda t: sp.split_clauses(t, 30, 5))
-_scalar("pattern_entities", lambda t: F.to_json(en.pattern_entities(F.concat(F.lit("user7 Nick_K12 "), t))))
+_scalar("collapse_repeats", tx.collapse_repeats, st.collapse_repeats("text"))
+_scalar("split_sentences_simple", sp.split_sentences_simple, st.split_sentences_simple("text"))
+_scalar("split_sentences_abbrev", lambda t: sp.split_sentences_abbrev(t, "en"), st.split_sentences_abbrev("text", "en"))
+_scalar("pack_words", lambda t: sp.pack_words(t, 60), st.pack_words("text", 60, 3))
+_scalar("pack_sentences", lambda t: sp.pack_sentences(sp.split_sentences_simple(t), 120), st.pack_sentences(st.split_sentences_simple("text"), 120, 3))
+_scalar("split_text", lambda t: sp.split_text(t, 120), st.split_text("text", 120, 4, "de"))
+_scalar("split_clauses", lambda t: sp.split_clauses(t, 30, 5), st.split_clauses("text", 30, 5))
+_scalar("pattern_entities", lambda t: F.to_json(en.pattern_entities(F.concat(F.lit("user7 Nick_K12 "), t))), st.pattern_entities("('user7 Nick_K12 ' || text)"))
 _scalar("tts_validity", lambda t: tx.tts_validity(t, True)["reason"], f"case when trim(text) = '' then 'empty' when not regexp_matches(text, '[\\p{{L}}\\p{{N}}]') then 'no letters or digits' when length(trim(text)) < 3 then 'too short' when {WORDS.format('text')} < 4 then 'too few words' else 'ok' end")
 
 
@@ -164,7 +165,7 @@ def capped_speed(spark, d):
     return _rounded(m.select("media_id", "seq", "s.speed", "s.capped"), "speed")
 
 
-@query()  # SQL rounds halves of the sixth place in another way
+@query(fx.with_sql("segments", "manifest") + f"select media_id, seq, {st.tempo('actual_sec / 4')} as value from manifest")
 def tempo_chain(spark, d):
     return fx.manifest(spark, d).select("media_id", "seq", tc.tempo_chain(F.col("actual_sec") / 4).alias("value"))
 
@@ -188,7 +189,7 @@ def gap_merge(spark, d):
     return windows.gap_merge(fx.segments(spark, d), 0.5, 60, 400)
 
 
-@query()
+@query(SEG + ", " + st.force_merged("segments", 10, 8, "f") + " select * from f")
 def force_merge_short(spark, d):
     return windows.force_merge_short(fx.segments(spark, d).drop("lang"), 10, 8)
 
@@ -219,7 +220,20 @@ def prepend_context(spark, d):
     return windows.prepend_context(fx.segments(spark, d)).select("media_id", "seq", "text")
 
 
-@query()
+def _dedup_sql() -> str:
+    t = "trim(coalesce(x.r.text, ''))"
+    needs = rf"(regexp_matches({t}, '^\p{{Ll}}') or regexp_matches({t}, '(?i)^({'|'.join(windows.CONJUNCTIONS_LONG)})') or not regexp_matches({t}, '[.!?]$'))"
+    tidy = lambda v: f"regexp_replace({v}, '^[ .]+', '')"
+    cut = tidy(f"substr({t}, length(a.last) + 1)")
+    own = f"case when a.last is null then {t} when {needs} then {tidy(t)} when starts_with({t}, a.last) then {cut} else {t} end"
+    ended = st.let(own, lambda v: f"case when {v} = '' or regexp_matches({v}, '[.!?]$') then {v} else {v} || '.' end", "own")
+    texts = st.fold("rows", {"last": "null::varchar"}, "varchar", {"last": ended}, ended)
+    rows = "select media_id, list({'seq': seq, 'start_sec': start_sec, 'end_sec': end_sec, 'text': text} order by start_sec, seq) as rows from segments group by media_id"
+    each = f"select media_id, unnest(rows) as r, unnest({texts}) as text from l"
+    return SEG + f", l as ({rows}) select media_id, r.seq, r.start_sec, r.end_sec, text from ({each})"
+
+
+@query(_dedup_sql())
 def close_context_dedup(spark, d):
     return windows.close_context_dedup(fx.segments(spark, d))
 
@@ -257,13 +271,24 @@ def proportional_times(spark, d):
     return _rounded(windows.proportional_times(s), "start_sec", "end_sec")
 
 
-TIMELINE = fx.with_sql("segments", "manifest").replace("with ", "with recursive ", 1) + """, r as (select *, row_number() over (partition by media_id order by start_sec, seq) as rn from manifest),
-w as (select media_id, seq, rn, start_sec, end_sec, start_sec < 0 as had_overlap, case when start_sec < 0 then 0.2::double else start_sec end as e, case when start_sec < 0 then 0.2::double else start_sec end as gap, case when start_sec < 0 then 0.2::double else start_sec end + actual_sec as running from r where rn = 1 union all
-  select media_id, seq, rn, start_sec, end_sec, late, e, e - before, e + actual_sec
-  from (select r.*, w.running as before, r.start_sec < w.running as late, case when r.start_sec < w.running then w.running + 0.2::double else r.start_sec end as e from w join r on r.media_id = w.media_id and r.rn = w.rn + 1) x)
+def _laid(source: str, length: str) -> str:
+    """w: where each row of source is laid, by a walk over each medium's rows in order."""
+    first = "case when start_sec < 0 then 0.2::double else start_sec end"
+    late = "case when r.start_sec < w.running then w.running + 0.2::double else r.start_sec end"
+    step = f"select r.*, w.running as before, r.start_sec < w.running as late, {late} as e from w join r on r.media_id = w.media_id and r.rn = w.rn + 1"
+    return f""", r as (select *, row_number() over (partition by media_id order by start_sec, seq) as rn from {source}),
+w as (select media_id, seq, rn, start_sec, end_sec, start_sec < 0 as had_overlap, {first} as e, {first} as gap, {first} + {length} as running from r where rn = 1 union all
+  select media_id, seq, rn, start_sec, end_sec, late, e, e - before, e + {length} from ({step}) x)
 """
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+TIMELINE = _recursive(fx.with_sql("segments", "manifest")) + _laid("manifest", "actual_sec")
+
+
 @query(TIMELINE + "select media_id, seq, start_sec, end_sec, round(e, 4) as effective_start, round(case when gap > 0.02 then gap else 0 end, 4) as silence, had_overlap, round(running, 4) as effective_end from w")
 def timeline(spark, d):
     return _rounded(windows.timeline(fx.manifest(spark, d), mode="actual"), "effective_start", "silence", "effective_end")
@@ -386,7 +411,13 @@ def dictionary_hits(spark, d):
     return joins.dictionary_hits(fx.segments(spark, d), words)
 
 
-@query(SEG + ", d as (select unnest(['the', 'and', 'des', 'que', 'der', 'una', 'pas', 'with']) as term) select media_id, seq, string_agg('- ' || term || ': ' || upper(term), chr(10) order by term) as glossary from segments join d on regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])' || term || '($|[^\\p{L}\\p{N}_])') group by media_id, seq")
+def _glossary_sql() -> str:
+    terms = [t for t in TERMS if "." not in t]
+    lines = ", ".join(rf"case when regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_]){t}($|[^\p{{L}}\p{{N}}_])') then '- {t}: {t.upper()}' end" for t in sorted(terms))
+    return SEG + f"select * from (select media_id, seq, array_to_string(list_filter([{lines}], lambda x: x is not null), chr(10)) as glossary from segments) where glossary <> ''"
+
+
+@query(_glossary_sql())
 def glossary_hits(spark, d):
     g = spark.createDataFrame([(t, t.upper()) for t in TERMS if "." not in t], "term string, options string")
     return joins.glossary_hits(fx.segments(spark, d), g)
@@ -512,7 +543,63 @@ def protect_spans(spark, d):
     return composites.protect_spans(fx.segments(spark, d), fx.entity_spans(spark, d)).select("media_id", "seq", "text")
 
 
-@query()
+def _json(entries: str) -> str:
+    """The text of an entity map, of a list of structs with key, t, label, a, b, lang."""
+    shown = """'"' || e.key || '":{"text":"' || e.t || '","label":"' || e.label || '","start":' || e.a || ',"end":' || e.b || ',"language":"' || e.lang || '"}'"""
+    return f"'{{' || array_to_string(list_transform({entries}, lambda e: {shown}), ',') || '}}'"
+
+
+def _key(k: str) -> str:
+    return f"('<extra_id_' || {k} || '>')"
+
+
+#: Segments with two words and, in every fourth, the first word behind placeholders: word by word, then the span.
+PROTECTED = (
+    SEG
+    + r", p0 as (select media_id, seq, text as given, case when seq % 4 = 0 then regexp_extract(text, '^[\p{L}\p{N}_]+') else '' end as w from segments),"
+    + f"""
+p1 as (select *, strpos(given, 'the') as at1, replace(given, 'the', {_key('0')}) as text1 from p0),
+p2 as (select *, strpos(text1, 'und') as at2, (at1 > 0)::int as k1, replace(text1, 'und', {_key('(at1 > 0)::int')}) as text2 from p1),
+p3 as (select *, k1 + (at2 > 0)::int as k2, substr(text2, 1, length(w)) as found from p2),
+p4 as (select *, case when w <> '' then {_key('k2')} || substr(text2, length(w) + 1) else text2 end as text,
+  case when at1 > 0 then [{{'key': {_key('0')}, 't': 'the', 'label': 'CUSTOM', 'a': at1 - 1, 'b': at1 + 2, 'lang': 'en'}}] else [] end
+  || case when at2 > 0 then [{{'key': {_key('k1')}, 't': 'und', 'label': 'CUSTOM', 'a': at2 - 1, 'b': at2 + 2, 'lang': 'en'}}] else [] end
+  || case when w <> '' then [{{'key': {_key('k2')}, 't': found, 'label': 'PERSON', 'a': 0, 'b': length(w), 'lang': 'en'}}] else [] end as entries from p3),
+protected as (select *, {_json('entries')} as map from p4)
+"""
+)
+
+
+def _restored(text: str) -> str:
+    mended = rf"regexp_replace({text}, '(?i)(?:&lt;|<)\s*extra[_\s-]*id[_\s-]*(\d+)\s*(?:&gt;|>)', '<extra_id_\1>', 'g')"
+    each = "list_transform(entries, lambda e: {'v': '', 'key': e.key, 't': e.t})"
+    out = f"(list_reduce({each}, lambda a, x: {{'v': replace(a.v, x.key, x.t), 'key': '', 't': ''}}, {{'v': {mended}, 'key': '', 't': ''}})).v"
+    return f"case when len(entries) > 0 then {SQUEEZE.format(out)} else {text} end"
+
+
+def _rebased_sql() -> str:
+    moved = "list_transform(entries, lambda e: {'key': e.key, 't': e.t, 'label': e.label, 'a': greatest(e.a - 10, 0), 'b': greatest(e.a - 10, 0) + e.b - e.a, 'lang': e.lang})"
+    return PROTECTED + f"select media_id, seq, {_json(f'list_filter({moved}, lambda e: e.a < 40)')} as entity_map from protected"
+
+
+def _issues_sql() -> str:
+    find = lambda t: f"regexp_extract_all({t}, '<extra_id_\\d+>')"
+    text_of = lambda kind, xs: f"list_transform({xs}, lambda e: '{kind}: ' || e.t)"
+    named = lambda kind, xs: f"list_transform({xs}, lambda v: '{kind}: ' || v)"
+    labels = ", ".join(f"'{x}'" for x in en.IMPORTANT_LABELS)
+    unprotected = "list_filter(entries, lambda e: contains(original, e.t) and not contains(text, e.key))"
+    lost = f"list_sort(list_distinct(list_filter({find('text')}, lambda v: not list_contains({find('translated')}, v))))"
+    missing = f"list_filter(entries, lambda e: e.label in ({labels}) and not contains(restored, e.t))"
+    broken = f"list_filter({missing}, lambda e: contains(e.t, ' ') and len(list_filter(string_split(e.t, ' '), lambda v: contains(restored, v))) > 0)"
+    every = " || ".join([text_of("not protected", unprotected), named("placeholder lost", lost), named("placeholder left", f"list_distinct({find('restored')})"), text_of("missing", missing), text_of("broken up", broken)])
+    return (
+        PROTECTED
+        + f", q as (select *, {_restored('text')} as original, case when seq % 8 = 0 then replace(text, '<extra_id_0>', '') else text end as translated from protected)"
+        + f", r as (select *, {_restored('translated')} as restored from q) select media_id, seq, unnest({every}) as issue from r"
+    )
+
+
+@query(PROTECTED + "select media_id, seq, text, map as entity_map from protected")
 def protect_words(spark, d):
     return _protected(spark, d).select("media_id", "seq", "text", en.entity_map_to_json(F.col("entity_map")).alias("entity_map"))
 
@@ -527,15 +614,14 @@ QUERIES["reapply_entities"], ORACLE["reapply_entities"] = None, ORACLE["protect_
 
 
 def reapply_entities(spark, d):
-    p = composites.protect_spans(fx.segments(spark, d), fx.entity_spans(spark, d))
-    original = fx.segments(spark, d).select("media_id", "seq", F.col("text").alias("original"))
-    return p.join(original, ["media_id", "seq"]).select("media_id", "seq", en.reapply_entities(F.col("original"), F.col("entity_map")).alias("text"))
+    p = composites.protect_spans(fx.segments(spark, d).withColumn("original", F.col("text")), fx.entity_spans(spark, d))
+    return p.select("media_id", "seq", en.reapply_entities(F.col("original"), F.col("entity_map")).alias("text"))
 
 
 QUERIES["reapply_entities"] = reapply_entities
 
 
-@query()
+@query(_issues_sql())
 def entity_issues(spark, d):
     p = _protected(spark, d).withColumn("original", en.restore_entities(F.col("text"), F.col("entity_map")))
     lost = F.when(F.col("seq") % 8 == 0, F.replace("text", F.lit("<extra_id_0>"), F.lit(""))).otherwise(F.col("text"))
@@ -551,13 +637,13 @@ def lost_placeholders(spark, d):
     return p.select("media_id", "seq", en.lost_placeholders(F.col("text"), translated).alias("lost"))
 
 
-@query(SEG + r"select media_id, seq, case when seq % 4 = 0 and regexp_matches(text, '^[\p{L}\p{N}_]') then 1 else 0 end::int as entities from segments")
+@query(PROTECTED + "select media_id, seq, map as entity_map from protected")
 def entity_map_json(spark, d):
-    p = composites.protect_spans(fx.segments(spark, d), fx.entity_spans(spark, d))
-    return p.select("media_id", "seq", F.size(en.entity_map_from_json(en.entity_map_to_json(F.col("entity_map")))).alias("entities"))
+    there = en.entity_map_from_json(en.entity_map_to_json(F.col("entity_map")))
+    return _protected(spark, d).select("media_id", "seq", en.entity_map_to_json(there).alias("entity_map"))
 
 
-@query()
+@query(_rebased_sql())
 def rebase_entities(spark, d):
     p = _protected(spark, d)
     return p.select("media_id", "seq", en.entity_map_to_json(en.rebase_entities(F.col("entity_map"), F.lit(10), F.lit(40))).alias("entity_map"))
@@ -587,10 +673,11 @@ def flat_hypotheses(spark, d):
     return segment_io.flat_hypotheses(nested).drop("source_text")
 
 
-@query("select vec_id, len(embedding)::int as dim from embeddings")
+@query("select vec_id, len(embedding)::int as dim, list_transform(embedding, lambda x: round(x::double, 4)) as numbers from embeddings")
 def export_embeddings(spark, d):
     e = segment_io.export_embeddings(spark.read.parquet(f"{d}/embeddings.parquet"))
-    return e.select("vec_id", F.size(F.from_json("embedding_text", "array<float>")).alias("dim"))
+    back = F.from_json("embedding_text", "array<float>")
+    return e.select("vec_id", F.size(back).alias("dim"), F.transform(back, lambda x: F.round(x.cast("double"), 4)).alias("numbers"))
 
 
 @query(TRN + "select media_id, seq, text || '!' as text from turns")
@@ -646,21 +733,22 @@ def read_manifest(spark, d):
     return segment_io.read_manifest(spark, path).select("original_id", "chunk_path")
 
 
-@query(fx.with_sql("hypotheses") + "select segment_id, count(*)::bigint as n, max(beam_score_raw) as score from hypotheses group by segment_id")
+@query(fx.with_sql("hypotheses") + "select segment_id, hypothesis_id::int as hypothesis_id, text, beam_score_raw as score from hypotheses")
 def append_hypotheses(spark, d):
-    h = fx.hypotheses(spark, d).groupBy("segment_id").agg(F.collect_list(F.struct("text", F.col("beam_score_raw").alias("score"))).alias("hypotheses")).withColumn("source_text", F.lit("s"))
+    each = F.sort_array(F.collect_list(F.struct("hypothesis_id", "text", F.col("beam_score_raw").alias("score"))))
+    h = fx.hypotheses(spark, d).groupBy("segment_id").agg(F.transform(each, lambda x: F.struct(x["text"].alias("text"), x["score"].alias("score"))).alias("hypotheses"))
     path = shared_folder(spark, "hypotheses")
     for k in range(2):  # two appends, as of an interrupted run and its successor
-        segment_io.append_hypotheses(h.filter(F.col("segment_id") % 2 == k), path)
-    return spark.read.parquet(path).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+        segment_io.append_hypotheses(h.withColumn("source_text", F.lit("s")).filter(F.col("segment_id") % 2 == k), path)
+    return spark.read.parquet(path).select("segment_id", "hypothesis_id", "text", "score")
 
 
-@query(fx.with_sql("segments", "manifest") + "select media_id, count(*)::bigint as n from manifest group by media_id")
+@query(fx.with_sql("segments", "manifest") + "select media_id, seq, start_sec, end_sec, text, chunk_path, round(actual_sec, 4) as actual_sec from manifest")
 def append_manifest(spark, d):
     path = shared_folder(spark, "manifest")
     for k in range(2):
         segment_io.append_manifest(fx.manifest(spark, d).filter(F.col("seq") % 2 == k), path)
-    return spark.read.parquet(path).groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(spark.read.parquet(path), "actual_sec")
 
 
 @query(fx.with_sql("speech") + "select media_id, count(*)::bigint as n, round(sum(end_sec - start_sec), 1) as seconds from speech group by media_id")
@@ -686,7 +774,8 @@ def _drained(spark, df, name, mode):
     if mode == "append":
         sink.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
     else:
-        sink.foreachBatch(lambda rows, _: rows.write.mode("append").parquet(f"{path}/rows")).start().awaitTermination()
+        # a batch that is tried again replaces what it has written
+        sink.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={k}")).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
@@ -719,41 +808,134 @@ def stream_gap_merge(spark, d):
 
 # composites
 
-@query()
+ROUNDED = "select media_id, seq, round(start_sec, 4) as start_sec, round(end_sec, 4) as end_sec, text from {}"
+
+
+#: Rows whose times parse and are in order.
+RAW0 = ", raw0 as (select media_id, seq, start_sec, end_sec, text from segments where seq % 50 not in (7, 9)), "
+
+
+def _merge_sql() -> str:
+    """Three rounds of merging by gap and splitting with floored times, then short ones joined."""
+    parts, rows = [], "raw0"
+    for k in range(3):
+        parts.append(st.gap_merged(rows, 0.5, 60, 400, f"g{k}"))
+        pieces = f"case when length(text) > 400 then {st.split_capped('text', 400)} else [text] end"
+        parts.append(st.timed(f"g{k}", pieces, f"t{k}", kept="media_id, seq, n"))
+        down = lambda c: f"case when long then floor({c})::double else {c} end as {c}"
+        parts.append(f"d{k} as (select media_id, seq, piece, {down('start_sec')}, {down('end_sec')}, text from (select t.*, length(g.text) > 400 as long from t{k} t join g{k} g using (media_id, seq)))")
+        rows = f"r{k}"
+        parts.append(st.renumbered(f"d{k}", rows))
+    return SEG + RAW0 + ", ".join([*parts, st.force_merged(rows, 3, 3, "f")]) + " select * from f"
+
+
+def _tts_sql() -> str:
+    n, w = "length(x.r.text)", st.count_words("x.r.text")
+    joins = f"(a.k >= 0 and a.chars + 1 + {n} <= 400)"
+    step = {"k": f"case when {joins} then a.k else a.k + 1 end", "chars": f"(case when {joins} then a.chars + 1 + {n} else {n} end)::bigint"}
+    packed = st.parted("u", {"k": "-1::bigint", "chars": "0::bigint"}, step, "p")
+    on = "(a.k >= 0 and a.words < 5)"
+    step = {"k": f"case when {on} then a.k else a.k + 1 end", "words": f"(case when {on} then a.words + {w} else {w} end)::bigint"}
+    absorbed = st.parted("q", {"k": "-1::bigint", "words": "0::bigint"}, step, "b")
+    sentences = st.timed("segments", st.split_sentences_abbrev("text", "de"), "t", exact_end=False)
+    group = lambda source, name: f"{name} as (select * exclude (n_rows, part) from (select {st.joined('part')} from {source} group by media_id, part))"
+    dots = r"select * replace (trim(regexp_replace(trim(text), '\.+$', '...')) as text) from z"
+    return SEG + ", " + ",\n".join([sentences, st.renumbered("t", "u"), packed, group("p", "q"), absorbed, group("b", "z")]) + ", y as (" + dots + ") " + ROUNDED.format("y")
+
+
+def _translation_sql() -> str:
+    """The first word of each fourth segment is protected and restored, which squeezes the blanks of its text."""
+    word = r"regexp_matches(text, '^[\p{L}\p{N}_]')"
+    restored = rf"s as (select media_id, seq, start_sec, end_sec, case when seq % 4 = 0 and {word} then trim(regexp_replace(text, '\s+', ' ', 'g')) else text end as text from segments)"
+    clean = _sanitized(tx.PLACEHOLDERS_ALL).replace("coalesce(text, '')", "coalesce(one, '')")
+    pieces = f"list_filter(list_transform({st.split_text('text', 400, 4, 'de')}, lambda one: {clean}), lambda p: p <> '')"
+    return SEG + f", {restored}, {st.timed('s', pieces, 't')}, {st.renumbered('t', 'u')} " + ROUNDED.format("u")
+
+
+_RAW_SPEED = "case when actual_sec > 0.01 and end_sec - start_sec > 0.01 then actual_sec / (end_sec - start_sec) else 1 end"
+ASSEMBLY = (
+    _recursive(fx.with_sql("segments", "manifest"))
+    + f", v as (select *, {_RAW_SPEED} as raw, greatest(0.9, least(1.3, {_RAW_SPEED})) as kept from manifest)"
+    + ", played as (select *, round(kept, 9) as speed, abs(kept - raw) > 0.01 as capped, actual_sec / round(kept, 9) as played_sec from v)"
+    + _laid("played", "played_sec")
+    + "select w.media_id, w.seq, w.start_sec, w.end_sec, round(e, 4) as effective_start, round(case when gap > 0.02 then gap else 0 end, 4) as silence, had_overlap,"
+    + f" round(running, 4) as effective_end, chunk_path, round(actual_sec, 4) as actual_sec, round(speed, 4) as speed, capped, {st.tempo('speed')} as tempo"
+    + " from w join played using (media_id, seq)"
+)
+
+
+@query(_merge_sql())
 def merge_transcript(spark, d):
     return composites.merge_transcript(segment_io.typed_segments(fx.raw_segments(spark, d)), 3, 60, 0.5, 400, 3)
 
 
-@query()
+@query(_tts_sql())
 def format_for_tts(spark, d):
     return _rounded(composites.format_for_tts(fx.segments(spark, d), 400, 5), "start_sec", "end_sec")
 
 
-@query()
+@query(SEG + ", " + st.timed("segments", st.split_text("text", 400, 4, "de"), "t") + ", " + st.renumbered("t", "u") + ", " + st.force_merged("u", 0, 4, "f") + " " + ROUNDED.format("f"))
 def format_for_tts_split(spark, d):
     return _rounded(composites.format_for_tts_split(fx.segments(spark, d), 400), "start_sec", "end_sec")
 
 
-@query()
+@query(_translation_sql())
 def format_translation(spark, d):
     return _rounded(composites.format_translation(fx.segments(spark, d), fx.entity_spans(spark, d), 400)[0], "start_sec", "end_sec")
 
 
-@query()
+def _refined_sql() -> str:
+    """The first word of each fourth segment is protected and restored; its entry of the map goes along, the last of a group counting."""
+    word, o = r"regexp_extract(text, '^[\p{L}\p{N}_]+')", "order by start_sec, seq"
+    fragile = r"(regexp_matches(t, '^\p{Ll}') or regexp_matches(t, '(?i)^(und|aber|oder|doch)($|[^\p{L}\p{N}_])')) and not regexp_matches(before, '[.!?]$') and not regexp_matches(t, '^[0-9]')"
+    clean = _sanitized(tx.PLACEHOLDERS_KEPT_OUT)
+    sentences = st.let(st.split_sentences_abbrev("text", "de"), lambda v: f"case when len({v}) > 0 then {v} else [text] end", "found")
+    steps = [
+        f"a as (select media_id, seq, start_sec, end_sec, text, case when seq % 4 = 0 then nullif({word}, '') end as w from segments)",
+        f"b as (select * replace (case when w is not null then {SQUEEZE.format('text')} else text end as text) from a)",
+        f"c as (select *, trim(text) as t, lag(trim(text)) over {st.ORDER} as before from b)",
+        f"e as (select *, sum(case when before is not null and ({fragile}) then 0 else 1 end) over {st.SO_FAR} as part from c)",
+        f"g as (select {st.joined('part')}, last(w {o}) filter (where w is not null) as w from e group by media_id, part)",
+        f"h as (select media_id, seq, start_sec, end_sec, {clean} as text, w from g)",
+        st.timed("h", sentences, "i", kept="media_id, seq, w"),
+        f"j as (select *, case when piece = 0 or {st.count_words('text')} >= 3 then 1 else 0 end as opens, case when length(text) > 0 then w end as m from i)",
+        "k as (select *, sum(opens) over (partition by media_id, seq order by piece rows unbounded preceding) as part from j)",
+        "l as (select media_id, seq, part::int as piece, first(start_sec order by k.piece) as start_sec, last(end_sec order by k.piece) as end_sec, string_agg(text, ' ' order by k.piece) as text, last(m order by k.piece) filter (where m is not null) as m from k group by media_id, seq, part)",
+        st.renumbered("l", "z", ", m"),
+    ]
+    one = "[{'key': '<extra_id_0>', 't': m, 'label': 'PERSON', 'a': 0, 'b': length(m), 'lang': 'de'}]"
+    shown = f"case when m is null then '{{}}' else {_json(one)} end as entity_map"
+    return SEG + ", " + ",\n".join(steps) + f" select media_id, seq, round(start_sec, 4) as start_sec, round(end_sec, 4) as end_sec, text, {shown} from z"
+
+
+@query(_refined_sql())
 def refine_segments(spark, d):
     r = composites.refine_segments(fx.segments(spark, d), fx.entity_spans(spark, d))
     return _rounded(r.withColumn("entity_map", en.entity_map_to_json(F.col("entity_map"))), "start_sec", "end_sec")
 
 
 def _pairs(spark, d):
-    h = fx.hypotheses(spark, d).filter("hypothesis_id = 1").select("segment_id", "text", "embedding")
-    return h.join(fx.sources(spark, d).drop("source_text"), "segment_id")
+    """Every hypothesis but the source's own, as a segment of its own, with the source's vector."""
+    h = fx.hypotheses(spark, d).filter("hypothesis_id > 0").join(fx.sources(spark, d).drop("source_text"), "segment_id")
+    return h.select((F.col("segment_id") * 5 + F.col("hypothesis_id")).alias("segment_id"), "text", "embedding", "source_embedding")
 
 
-@query(HYP + ", a as (select event_id // 3 as segment_id, max(round(((event_id * 7919) % 1000)::double / 1000.0, 3)) as m from events group by 1) select z.segment_id, round(similarity, 4) as similarity, similarity < 0.6 as low from z where hypothesis_id = 1")
+def _evaluated_sql() -> str:
+    """FOLD gives the corrections; the report joins those that were accepted."""
+    pairs = ", pairs as (select segment_id * 5 + hypothesis_id as segment_id, text, similarity from z where hypothesis_id > 0)"
+    better = FOLD.replace("from judged j", "from pairs j").replace("select segment_id, s0", ", f as (select segment_id, s0") + ")"
+    status = "case when p.similarity < 0.6 then 'Niedrig (' else 'OK (' end || printf('%.3f', p.similarity) || ')'"
+    flag = "case when f.segment_id is not null then 'AUTO-CORRECTED' when p.similarity < 0.6 then 'CHECK MANUALLY' else '' end"
+    return (
+        fx.with_sql("hypotheses", "attempts") + SIM + pairs + better
+        + f" select p.segment_id, coalesce(f.text, p.text) as text, round(p.similarity, 4) as similarity, round(f.similarity, 4) as corrected_similarity, {status} as status, {flag} as flag"
+        + " from pairs p left join (select * from f where flag = 'AUTO-CORRECTED') f using (segment_id)"
+    )
+
+
+@query(_evaluated_sql())
 def evaluate_quality(spark, d):
-    report, _ = composites.evaluate_quality(_pairs(spark, d), fx.attempts(spark, d), 0.6)
-    return report.select("segment_id", F.round("similarity", 4).alias("similarity"), (F.col("similarity") < 0.6).alias("low"))
+    return _rounded(composites.evaluate_quality(_pairs(spark, d), fx.attempts(spark, d), 0.6)[0], "similarity", "corrected_similarity")
 
 
 @query(ORACLE["polish_summary"])
@@ -761,7 +943,7 @@ def polish(spark, d):
     return _rounded(composites.polish(fx.judged(spark, d), fx.attempts(spark, d))[1], "mean_before", "mean_after")
 
 
-@query()
+@query(fx.with_sql("segments", "hypotheses") + SIM + ", b as (select segment_id, arg_max(text, {'s': round(similarity, 9), 'h': -hypothesis_id}) as best from z group by 1) select media_id, seq, segment_id, coalesce(best, text) as text from (select media_id, seq, media_id as segment_id, text from segments) s left join b using (segment_id)")
 def select_best(spark, d):
     seg = fx.segments(spark, d).select("media_id", "seq", F.col("media_id").alias("segment_id"), "text")
     return composites.select_best(seg, fx.sources(spark, d), fx.hypotheses(spark, d).withColumn("score", F.col("beam_score_raw")))[0]
@@ -772,7 +954,7 @@ def prepare_translation(spark, d):
     return composites.prepare_translation(fx.segments(spark, d), fx.progress(spark, d)).select("media_id", "seq", "batch", "place")
 
 
-@query()
+@query(ASSEMBLY)
 def assembly_plan(spark, d):
     return _rounded(composites.assembly_plan(fx.manifest(spark, d)), "effective_start", "silence", "effective_end", "actual_sec", "speed")
 

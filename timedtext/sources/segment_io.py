@@ -26,11 +26,25 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _placed(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows (file, block, …) with their place in the file, from 0: rows of earlier blocks of the file, and those before in the block.
+
+    No task sees more than one block of a file; of whole files only counts by block are put in order.
+    """
+    inside = Window.partitionBy("file", "block").orderBy(order)
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("__before"))
+    numbered = rows.withColumn("__inside", F.row_number().over(inside) - 1).join(before, ["file", "block"])
+    return numbered.withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line number within the file, and line, without headers. Files are read whole by one task each, so the order is theirs."""
+    """file, block, line number within the file, and line, without headers and empty lines; files are read in blocks."""
     header = F.regexp_replace(F.lower("line"), r"\s", "").startswith("startzeit|")
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter((F.col("line") != "") & ~header)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.option("lineSep", "\n").text(path).select(*place, F.regexp_replace("value", r"\r$", "").alias("line"))
+    rows = _placed(rows.withColumn("__order", F.monotonically_increasing_id()), "__order", "line_no").drop("__order")
+    return rows.filter((F.col("line") != "") & ~header)
 
 
 def read_segments_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +57,9 @@ def read_segments_strict(spark: SparkSession, path: str) -> DataFrame:
 def read_segments_numbered(spark: SparkSession, path: str) -> DataFrame:
     """id (place among the kept rows, from 0), startzeit, endzeit, text of rows with three fields or more, without the header."""
     rows = _lines(spark, path).withColumn("p", F.split("line", r"\|")).filter(F.size("p") >= 3)
-    order = Window.partitionBy("file").orderBy("line_no")
-    return rows.select("file", (F.row_number().over(order) - 1).alias("id"), F.get("p", F.lit(0)).alias("startzeit"), F.get("p", F.lit(1)).alias("endzeit"), F.trim(F.get("p", F.lit(2))).alias("text"))
+    rows = _placed(rows, "line_no", "id")
+    field = lambda k: F.get("p", F.lit(k))
+    return rows.select("file", "id", field(0).alias("startzeit"), field(1).alias("endzeit"), F.trim(field(2)).alias("text"))
 
 
 def latest_manifest(rows: DataFrame) -> DataFrame:

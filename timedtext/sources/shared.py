@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """spark.checkpoint.dir names the folder; only where it is unset, as in tests, a local one is taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path under spark.checkpoint.dir or what setCheckpointDir named; without either, under the warehouse, which is shared too."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
