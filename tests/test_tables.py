@@ -1,5 +1,7 @@
 """Sources, joins, attempts, n-best selection, batches, streaming, and the entry points."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,35 @@ def test_combined_score(spark):
     assert got == {(1, 0): (0.4, False), (1, 1): (0.6, True), (1, 2): (None, False), (2, 0): (0.0, True)}
 
 
+def murmur3(data, seed=42):
+    """The published 32-bit hash."""
+    mask, h = (1 << 32) - 1, seed
+    turn = lambda x, k: (x << k | x >> (32 - k)) & mask
+    body = len(data) // 4 * 4
+    for i in range(0, body, 4):
+        k = turn(int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (turn(h ^ k, 13) * 5 + 0xE6546B64) & mask
+    if data[body:]:
+        h ^= turn(int.from_bytes(data[body:], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h ^= len(data)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * by & mask
+    return h ^ h >> 16
+
+
+def test_text_vectors(spark):
+    texts = ["One two one", "straße, É!", "", None, "a a a a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in batches.text_vectors(df, 64).collect():
+        words = re.findall(r"\w+", (texts[r.i] or "").lower())
+        want = [0.0] * 64
+        for w in words + [" ".join(p) for p in zip(words, words[1:], strict=False)]:
+            h = murmur3(w.encode())
+            want[(h - (1 << 32) if h >> 31 else h) % 64] += 1
+        norm = sum(x * x for x in want) ** 0.5
+        assert r.embedding == pytest.approx([x / norm if norm else 0.0 for x in want], abs=1e-6)
+
+
 def test_map_batches_keeps_failing_rows(spark):
     def fussy(texts):
         if "bad" in texts:

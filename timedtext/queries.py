@@ -690,7 +690,7 @@ def map_batches(spark, d):
 
 @query()
 def text_vectors(spark, d):
-    return batches.text_vectors(fx.turns(spark, d)).select("media_id", "seq", F.size("embedding").alias("dim"))
+    return batches.text_vectors(fx.turns(spark, d)).select("media_id", "seq", "embedding")
 
 
 # sources and sinks: written to the shared folder and read back
@@ -973,4 +973,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy("lang")
 
 
-QUERIES["flagship"] = flagship
+def _flagship_sql() -> str:
+    merged = RAW0 + st.gap_merged("raw0", 0.5, 60, 400, "m")
+    columns = "lang, count(*) as chunks, sum(n_rows)::bigint as segments, round(avg(end_sec - start_sec), 4) as mean_seconds, max(length(text))::int as longest"
+    return SEG + merged + f" select {columns} from m join (select distinct media_id, lang from segments) using (media_id) group by lang"
+
+
+QUERIES["flagship"], ORACLE["flagship"] = flagship, _flagship_sql()

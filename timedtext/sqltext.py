@@ -187,7 +187,7 @@ def gap_merged(source: str, gap: float, most_dur: float, most_chars: int, name:
     step = {"k": f"case when {joins} then a.k else a.k + 1 end", "beg": f"case when {joins} then a.beg else x.r.start_sec end", "fin": "x.r.end_sec"}
     step["chars"] = f"(case when {joins} then {longer} else {n} end)::bigint"
     merged = f"select {joined('part')} from {name}_p group by media_id, part"
-    return f"{parted(source, start, step, f'{name}_p')},\n{name} as (select * exclude (n_rows, part) from ({merged}) where text <> '')"
+    return f"{parted(source, start, step, f'{name}_p')},\n{name} as (select * exclude (part) from ({merged}) where text <> '')"
 
 
 def tempo(factor: str) -> str:
