@@ -148,7 +148,8 @@ def test_joins_on_hot_keys(spark, monkeypatch):
     assert Counter((r.id, r.k, r.v) for r in common.keyed(rows, table, "k").collect()) == want
     some = Counter((r.id, r.k, r.v) for r in rows.join(table, "k").collect())
     assert Counter((r.id, r.k, r.v) for r in common.keyed(rows, table, "k", how="inner").collect()) == some
-    assert Counter((r.id, r.k, r.v) for r in common.salted(rows, table, "k", per=2).collect()) == some
+    assert Counter((r.id, r.k, r.v) for r in common.keyed(rows, table, "k", {}, "inner").collect()) == some
+    assert common.hot_keys(common.counted(rows, "k"), "k") == {1: 3, 4: 2}
     named = rows.selectExpr("id", "cast(k as string) as k")
     assert Counter(r.v for r in common.keyed(named, table.selectExpr("cast(k as string) as k", "v"), "k").collect()) == Counter(v for _, _, v in want.elements())
 

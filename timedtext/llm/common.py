@@ -7,9 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-#: Keys joined by broadcast in keyed(), at most, and the rows from which a key counts as hot.
-HOT_KEYS, HOT_ROWS = 1000, 256
+#: Keys that hot_keys() tells at most, the rows from which a key counts as hot, and the parts that its rows are dealt to at most.
+HOT_KEYS, HOT_ROWS, HOT_PARTS = 200, 256, 1024
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,48 +59,31 @@ def id_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def keyed(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, how: str = "left") -> DataFrame:
+def hot_keys(counts: DataFrame, key: str) -> dict:
+    """The most frequent keys of counts (key, n), and into how many parts the rows of each are to be dealt."""
+    most = counts.filter(F.col(key).isNotNull()).select(key, "n").orderBy(F.desc("n")).limit(HOT_KEYS).collect()
+    return {r[key]: min(HOT_PARTS, -(-r["n"] // HOT_ROWS)) for r in most if r["n"] >= HOT_ROWS}
+
+
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def keyed(rows: DataFrame, table: DataFrame, key: str, hot: dict | None = None, how: str = "left") -> DataFrame:
     """rows joined with table on key, where table has at most one row per key; no key's rows all go to one task.
 
-    counts (key, n) says how many rows each key has and is worked out if not given. The HOT_KEYS most frequent keys are
-    joined by broadcast, so rows of a key that holds more than a thousandth of all stay where they are; the others are
-    joined by shuffle. Rows with a null key match nothing and are dealt out at random. how is left or inner.
+    hot is what hot_keys() says of the rows, and is worked out if not given. A hot key's rows are dealt to several parts
+    by a salt, and its table row is there once for each; every other key holds less than a HOT_KEYS-th of the rows.
+    Rows with a null key match nothing and are dealt out too. how is left or inner.
     """
-    if counts is None:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    most = counts.filter(F.col(key).isNotNull()).select(key, "n").orderBy(F.desc("n")).limit(HOT_KEYS).collect()
-    hot = [r[key] for r in most if r["n"] >= HOT_ROWS]
+    hot = hot_keys(counted(rows, key), key) if hot is None else hot
+    name = lambda c: f"`{c}`"
     added = [c for c in table.columns if c != key]
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
-    added_cold = table.filter(F.col(key).isNotNull())
-    if how == "inner":
-        cold_rows = rows.filter(F.col(key).isNotNull() & ~is_hot).join(added_cold, key).select(*rows.columns, *added)
-        if not hot:
-            return cold_rows
-        few = F.broadcast(table.filter(F.col(key).isin(hot)))
-        return cold_rows.unionByName(rows.filter(is_hot).join(few, key).select(*rows.columns, *added))
-    # a row that is not to meet the cold part gets a key of its own, told apart by a second column
-    cold_key = F.when(F.col(key).isNotNull() & ~is_hot, F.col(key))
-    own = F.monotonically_increasing_id().cast(rows.schema[key].dataType)
-    left = rows.withColumn("__cold", cold_key.isNotNull()).withColumn("__key", F.coalesce(cold_key, own))
-    cold = added_cold.select(F.col(key).alias("__key"), F.lit(True).alias("__cold"), *added)
-    if not hot:
-        return left.join(cold, ["__key", "__cold"], "left").select(*rows.columns, *added)
-    few = table.filter(F.col(key).isin(hot)).select(key, *(F.col(c).alias(f"__{c}") for c in added))
-    out = left.join(F.broadcast(few), key, "left").join(cold, ["__key", "__cold"], "left")
-    return out.select(*rows.columns, *(F.coalesce(f"__{c}", c).alias(c) for c in added))
-
-
-def dealt(rows: DataFrame, table: DataFrame, key: str, salt: str, per: int = 512) -> tuple[DataFrame, DataFrame]:
-    """rows whose key is in the table, and the table, both with a salt: for every `per` rows of a key its table row is there once more."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.select(key, F.ceil(F.col("n") / per).cast("int").alias("__parts"))
-    salted_rows = keyed(rows, parts, key, counts, "inner").withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int"))
-    copies = table.join(parts, key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    return salted_rows.drop("__parts"), copies.drop("__parts")
-
-
-def salted(rows: DataFrame, table: DataFrame, key: str, per: int = 512) -> DataFrame:
-    """rows joined (inner) with a table of wide values, a row per key: rows of a hot key go to several tasks."""
-    rows, table = dealt(rows, table, key, "__salt", per)
-    return rows.join(table, [key, "__salt"]).drop("__salt")
+    parts = F.create_map(*(F.lit(x) for kv in hot.items() for x in kv)) if hot else None
+    told = [name(f.name) for f in rows.schema if isinstance(f.dataType, AtomicType)]  # others are not needed, or have no hash
+    of = F.pmod(F.xxhash64(*told), F.coalesce(parts[F.col(key)], F.lit(1))) if hot else F.lit(0)
+    nowhere = F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))
+    left = rows.withColumn("__salt", F.when(F.col(key).isNull(), nowhere).otherwise(of).cast("int"))
+    table = table.filter(F.col(key).isNotNull())
+    copies = F.sequence(F.lit(0), F.coalesce(parts[F.col(key)], F.lit(1)) - 1) if hot else F.array(F.lit(0))
+    return left.join(table.withColumn("__salt", F.explode(copies)), [key, "__salt"], how).select(*map(name, rows.columns), *added)

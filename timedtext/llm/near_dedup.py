@@ -14,7 +14,7 @@ Steps, all on classes of documents with equal shingle sets (copies never multipl
    linked to the hub shares what it differs in, so near copies of one text whose changes lie apart never meet. For each
    hub the filter that makes fewer pairs is taken. Pairs of one component are not made. No link of classes compared is lost.
 
-Joins on keys that many rows can share (class, bucket, hub, label, shingle) go through common.keyed and common.salted.
+Joins on keys that many rows can share (class, bucket, hub, label, shingle) go through common.keyed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import dealt, keyed, prepare, salted, text_bytes, written
+from timedtext.llm.common import counted, hot_keys, keyed, prepare, text_bytes, written
 from timedtext.llm.words import blocks, chained, mix, words_of
 
 PLACES = 1 << 20
@@ -104,13 +104,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable over edges (a, b). Least labels of neighbours, then of labels, until nothing changes."""
     pairs = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    degree = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    hot = hot_keys(counted(pairs, "b"), "b")
     labels = written(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = keyed(pairs, labels.withColumnRenamed("node", "b"), "b", degree, "inner").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = keyed(pairs, labels.withColumnRenamed("node", "b"), "b", hot, "inner").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = written(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
-        new = keyed(new, labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
-        new = written(new.select("node", "label", F.least("next", "far").alias("next")))
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
+        new = keyed(new, jump, "next").select("node", "label", F.least("next", "far").alias("next"))
+        new = written(new)
         done = new.filter(F.col("label") != F.col("next")).isEmpty()
         labels = new.select("node", F.col("next").alias("label"))
         if done:
@@ -119,24 +120,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b): sizes of what their full sets share and of their union."""
+    pairs = written(pairs.select("a", "b"))
     side = lambda k: sets.select(F.col("class").alias(k), F.col("shingles").alias(f"s{k}"))
-    pairs, of_a = dealt(written(pairs.select("a", "b")), side("a"), "a", "__salt_a")
-    pairs, of_b = dealt(pairs, side("b"), "b", "__salt_b")
-    both = pairs.join(of_a, ["a", "__salt_a"]).join(of_b, ["b", "__salt_b"])
+    hot = hot_keys(counted(pairs, "b"), "b")
+    both = keyed(keyed(pairs, side("a"), "a", how="inner"), side("b"), "b", hot, "inner")
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).alias("total"))
 
 
 def _rarest_first(each: DataFrame, keys: list[str], n: str) -> DataFrame:
     """Rows (class, s, …, and n, how many s the class has) that other classes of the same keys have too, with the place of s among the class's, rarest first."""
-    counts = each.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tagged = each.withColumn("__at", F.xxhash64(*keys, "s"))
-    df = written(counts.select(F.xxhash64(*keys, "s").alias("__at"), "n").groupBy("__at").agg(F.max("n").alias("n")))
-    tagged = keyed(tagged, df.select("__at", F.col("n").alias("df")), "__at", df, "inner").drop("__at")
+    each = written(each.withColumn("__at", F.xxhash64(*keys, "s")))
+    df = written(counted(each, "__at").filter("n > 1"))
+    each = keyed(each, df.select("__at", F.col("n").alias("df")), "__at", hot_keys(df, "__at"), "inner").drop("__at")
     by_class = Window.partitionBy("class")
     # what no other class has comes first, so it only shifts the others
     rank = F.row_number().over(by_class.orderBy("df", "s")) + F.col(n) - F.count(F.lit(1)).over(by_class)
-    return tagged.withColumn("rank", rank)
+    return each.withColumn("rank", rank)
 
 
 def _set_prefixes(some: DataFrame, percent: int) -> DataFrame:
@@ -146,12 +146,12 @@ def _set_prefixes(some: DataFrame, percent: int) -> DataFrame:
     one at most as large by one of its n - ceil(t n) + 1 rarest.
     """
     each = some.select("class", "label", "home", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    each = _rarest_first(written(each), [], "n").filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    each = _rarest_first(each, [], "n").filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     least = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
     return written(each.select("s", "class", "label", "home", "n", (F.col("rank") <= F.col("n") - least + 1).alias("small")))
 
 
-def _difference_prefixes(some: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+def _difference_prefixes(some: DataFrame, hubs: DataFrame, hot: dict, percent: int) -> DataFrame:
     """s, class, label, home, far, tight: what a class and its hub do not share, as far as the class can meet others by it.
 
     With W = 100 * missing + percent * own shingles and K = (100 - percent) * the hub's, a class is linked to the hub
@@ -159,13 +159,13 @@ def _difference_prefixes(some: DataFrame, hubs: DataFrame, percent: int) -> Data
     of their differences. Of two with different labels one is far, so a class that is near meets it only by more than
     W / (100 + percent) of its differences, as two far ones do (tight); a far one meets near ones by (W - K) / (100 + percent).
     """
-    rows = salted(some.filter("class <> home").select("class", "label", "home", "shingles"), hubs, "home")
+    rows = keyed(some.filter("class <> home").select("class", "label", "home", "shingles"), hubs, "home", hot, "inner")
     missing, own = F.array_except("hub_shingles", "shingles"), F.array_except("shingles", "hub_shingles")
     rows = rows.select("class", "label", "home", F.size("hub_shingles").alias("n_hub"), missing.alias("missing"), own.alias("own"))
     w, k, scale = 100 * F.size("missing") + percent * F.size("own"), (100 - percent) * F.col("n_hub"), 100 + percent
     rows = rows.select("class", "label", "home", w.alias("w"), k.alias("k"), F.concat("missing", "own").alias("differs"))
     rows = rows.select("class", "label", "home", "w", "k", F.size("differs").alias("n"), F.explode("differs").alias("s"))
-    each = _rarest_first(written(rows), ["home"], "n")
+    each = _rarest_first(rows, ["home"], "n")
     far, mine = F.col("w") > F.col("k"), F.floor(F.col("w") / scale) + 1
     tight = F.col("rank") <= F.col("n") - mine + 1
     wide = F.col("rank") <= F.col("n") - F.greatest(F.ceil((F.col("w") - F.col("k")) / scale), F.lit(1)) + 1
@@ -187,9 +187,9 @@ def _met(a: DataFrame, b: DataFrame, on: list[str], group: list[str], fits) -> D
 def unlinked_pairs(some: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different label that can reach percent, of rows (class, label, home, shingles): no pair that does
     is left out, but for those of a class and its home, which are compared before. hubs: home, hub_shingles."""
-    sets, differences = _set_prefixes(some, percent), _difference_prefixes(some, hubs, percent)
-    count = lambda c: F.sum(F.col(c).cast("long"))
-    by_sets = sets.groupBy("home", "s").agg((count("small") * F.count(F.lit(1))).alias("x")).groupBy("home").agg(F.sum("x").alias("by_sets"))
+    hot = hot_keys(counted(some, "home"), "home")
+    sets, differences = _set_prefixes(some, percent), _difference_prefixes(some, hubs, hot, percent)
+    by_sets = sets.groupBy("home", "s").agg((F.count_if("small") * F.count(F.lit(1))).alias("x")).groupBy("home").agg(F.sum("x").alias("by_sets"))
     far, near = F.expr("far"), F.expr("not far and tight")
     of_far = F.count_if(far) * F.count_if(near) + F.count_if(far & F.col("tight")) * F.count_if(far & F.col("tight"))
     by_differences = differences.groupBy("home", "s").agg(of_far.alias("x")).groupBy("home").agg(F.sum("x").alias("by_differences"))
@@ -197,9 +197,9 @@ def unlinked_pairs(some: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     choice = written(choice)
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.struct("n_a", "class_a") < F.struct("n_b", "class_b"))
     apart = _met(sets.filter("small"), sets, ["s"], ["label", "home"], fits)
-    together = keyed(sets, choice, "home", how="inner").filter("not differ").drop("differ")
+    together = keyed(sets, choice, "home", hot, "inner").filter("not differ").drop("differ")
     together = _met(together.filter("small"), together, ["home", "s"], ["label"], fits)
-    by_hub = written(keyed(differences, choice, "home", how="inner").filter("differ").drop("differ"))
+    by_hub = written(keyed(differences, choice, "home", hot, "inner").filter("differ").drop("differ"))
     mixed = _met(by_hub.filter("far"), by_hub.filter("not far and tight"), ["home", "s"], ["label"], F.lit(True))
     distant = _met(by_hub.filter("far and tight"), by_hub.filter("far and tight"), ["home", "s"], ["label"], F.col("class_a") < F.col("class_b"))
     return apart.union(together).union(mixed).union(distant).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     classes = written(one.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     member = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    member = written(keyed(member, shared.select("bucket", F.col("n").alias("size")), "bucket", shared, "inner"))
+    hot = hot_keys(shared, "bucket")
+    member = written(keyed(member, shared.select("bucket", F.col("n").alias("size")), "bucket", hot, "inner"))
     candidates = member.select("class").distinct().join(classes.select("class", "rep"), "class")
     text = source.join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("bytes")
     sets = text.mapInArrow(_sets, "class long, shingles array<long>").join(candidates.select("class"), "class", "left_semi")
@@ -231,20 +232,17 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
         alone = alone.filter("df = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
         alive = written(alive.join(alone, "class", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select("class", "n"))
     alive = written(sets.join(alive.select("class"), "class").select("class", "shingles"))
-    member = member.drop("size").join(alive.select("class"), "class")
-    size = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    member = written(keyed(member, size.select("bucket", F.col("n").alias("size")), "bucket", size, "inner"))
-    weight = member.groupBy("class").agg(F.sum("size").alias("weight"))
-    member = written(member.join(weight, "class").select("bucket", "class", "weight"))
-    hub = member.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"), F.max("weight").alias("hub_weight"))
-    member = written(keyed(member, hub, "bucket", size, "inner"))
+    member = member.join(alive.select("class"), "class")
+    member = written(member.join(member.groupBy("class").agg(F.sum("size").alias("weight")), "class").select("bucket", "class", "weight"))
+    hub = member.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"), F.max("weight").alias("hub_weight"), F.count(F.lit(1)).alias("n"))
+    member = written(keyed(member, hub.filter("n > 1").drop("n"), "bucket", hot, "inner"))
     star = written(_overlaps(member.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), alive))
     linked = star.filter(f"shared * 100 >= total * {percent}").select("a", "b")
     labels = components(linked)
     member = member.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "hub", "hub_weight", F.coalesce("label", "class").alias("label"))
     mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     home = F.max_by("hub", F.struct("hub_weight", "hub")).alias("home")
-    rest = keyed(member, mixed.select("bucket", "lo"), "bucket", size, "inner").groupBy("class", "label").agg(home)
+    rest = keyed(member, mixed.select("bucket", "lo"), "bucket", hot, "inner").groupBy("class", "label").agg(home)
     rest = written(rest.join(alive, "class"))
     hubs = rest.select("home").distinct().join(alive.select(F.col("class").alias("home"), F.col("shingles").alias("hub_shingles")), "home")
     pairs = unlinked_pairs(rest, hubs, percent).join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti")
@@ -253,9 +251,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
         labels = components(linked.union(more))
     least = written(labels.join(classes.select(F.col("class").alias("node"), "rep"), "node"))
     group = least.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n"))
-    least = keyed(least, group.select("label", "component"), "label", group.select("label", "n")).select(F.col("node").alias("class"), "component")
+    least = keyed(least, group.select("label", "component"), "label", hot_keys(group, "label")).select(F.col("node").alias("class"), "component")
     known = classes.join(least, "class", "left").filter("component is not null or copies > 1").select("class", F.coalesce("component", "rep").alias("component"))
-    out = keyed(signed.select("doc_id", "n_shingles", "class"), known, "class", classes.select("class", F.col("copies").alias("n")))
+    hot = hot_keys(classes.select("class", F.col("copies").alias("n")), "class")
+    out = keyed(signed.select("doc_id", "n_shingles", "class"), known, "class", hot)
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
     return out.select("doc_id", "n_shingles", "component_id", kept)

@@ -120,7 +120,7 @@ def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     found = written(rows.groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans")))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "__blob")]
     rows = docs.select(*kept, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__blob"))
-    out = keyed(rows, found.withColumnRenamed("blob", "__blob"), "__blob", rows.groupBy("__blob").agg(F.count(F.lit(1)).alias("n")))
+    out = keyed(rows, found.withColumnRenamed("blob", "__blob"), "__blob")
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return out.select(*kept, F.coalesce("spans", empty).alias("spans"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import keyed, prepare, shared_folder, written
+from timedtext.llm.common import hot_keys, keyed, prepare, shared_folder, written
 
 CAPTURED, ADDRESS = "20240101000000", "0.0.0.0"
 V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, path: str, captured: str | None = None) ->
     mean, most = (total[0] / total[1], total[2]) if total[1] else (1, 1)
     per_file = max(1, int(min(ARCHIVE_BYTES / mean, MOST_BYTES / most)))
     copied = copied.filter("n > 1")
-    rows = keyed(rows, copied.select("key", "first"), "key", copied.select("key", "n"))
+    rows = keyed(rows, copied.select("key", "first"), "key", hot_keys(copied, "key"))
     rows = rows.select("page_id", "url", "html", "date", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     out = rows.mapInArrow(_converted, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
     out.option("maxRecordsPerFile", per_file).text(path)
