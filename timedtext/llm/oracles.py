@@ -54,4 +54,14 @@ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRST
 case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from b
 """
 
-ORACLE = {"op1_kdtree": OP1, "op3_decontamination": OP3, "op4_secrets": OP4, "op6_warc": OP6}
+OP12 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = v.label as same, v.vec_id, list_dot_product(a.e, v.e)::bigint as score from v a join v on v.vec_id <> a.vec_id and len(v.e) = len(a.e) where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same),
+n as (select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score where place <= 5)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+ORACLE = {"op1_kdtree": OP1, "op3_decontamination": OP3, "op4_secrets": OP4, "op6_warc": OP6, "op12_hard_negatives": OP12}

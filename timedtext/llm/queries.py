@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import decontamination, extraction, kdtree, lm_scoring, near_dedup, packing, secrets, sharding, toxicity, warc
+from timedtext.llm import decontamination, extraction, hard_negatives, kdtree, lm_scoring, mixing, near_dedup, packing, secrets, sharding, toxicity, warc
 from timedtext.llm.common import id_bucket, prepare
 
 
@@ -57,6 +57,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op11(_read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op12(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,5 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_lm_scoring,
         op10_near_dedup,
+        op11_mixing,
+        op12_hard_negatives,
     )
 }
