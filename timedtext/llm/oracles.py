@@ -64,4 +64,19 @@ n as (select p.anchor_id, positive_id, vec_id as negative_id, positive_score, sc
 select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
 """
 
-ORACLE = {"op1_kdtree": OP1, "op3_decontamination": OP3, "op4_secrets": OP4, "op6_warc": OP6, "op12_hard_negatives": OP12}
+OP13 = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from p),
+t as (select lang, sum(len(w))::hugeint as n from w group by lang),
+f as (select lang, d, phrase, count(*)::hugeint as f from (select lang, d, unnest(list_transform(range(1, len(w) - d + 2), lambda i: array_to_string(w[i:i + d - 1], ' '))) as phrase from w, (select unnest(range(1, 6)) as d)) group by all having count(*) >= 100),
+c as (select *, string_split(phrase, ' ') as w from f where d > 1),
+m as (select lang, phrase, max(f) as most from (select lang, f, unnest([array_to_string(w[1:d - 1], ' '), array_to_string(w[2:d], ' ')]) as phrase from c where d > 2) group by all),
+k as (select lang, phrase, f as a, w, unnest(range(1, d)) as k, d from c left join m using (lang, phrase) where most is null or most < f),
+s as (select k.lang, k.phrase, a, k, l.f as l, r.f as r, t.n, 1000 * a * t.n // (l.f * r.f) as score from k join t using (lang)
+  join f l on l.lang = k.lang and l.phrase = array_to_string(k.w[1:k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(k.w[k + 1:k.d], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b) where rank <= 2000
+"""
+
+ORACLE = {"op1_kdtree": OP1, "op3_decontamination": OP3, "op4_secrets": OP4, "op6_warc": OP6, "op12_hard_negatives": OP12, "op13_collocations": OP13}

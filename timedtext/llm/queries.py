@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import decontamination, extraction, hard_negatives, kdtree, lm_scoring, mixing, near_dedup, packing, secrets, sharding, toxicity, warc
+from timedtext.llm import collocations, decontamination, extraction, hard_negatives, kdtree, lm_scoring, mixing, near_dedup, packing, secrets, sharding, toxicity, warc
 from timedtext.llm.common import id_bucket, prepare
 
 
@@ -65,6 +65,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.op12(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op13(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_near_dedup,
         op11_mixing,
         op12_hard_negatives,
+        op13_collocations,
     )
 }
