@@ -32,8 +32,8 @@ LONGEST, LEAST_COUNT, TOP = 5, 100, 2000
 BUCKETS, ROUTE_ROWS, HOT_ROWS = 1 << 16, 1 << 18, 1 << 19
 #: Frequent words (8 bytes each) up to which their numbers are sent to all tasks, to leave out rare words; beyond it, none are left out.
 MOST_FREQUENT = 4_000_000
-#: Bytes of text that numpy works on at once, distinct words kept before they are handed on, and suffixes sorted at once.
-BLOCK_BYTES, FLUSH_WORDS, FLUSH_SUFFIXES = 8 << 20, 400_000, 2_000_000
+#: Bytes of text that numpy works on at once, and suffixes sorted before they travel.
+BLOCK_BYTES, FLUSH_SUFFIXES = 4 << 20, 1_000_000
 #: Parts below this size are sorted outright.
 SMALL = 4096
 #: Words longer than this are hashed whole.
@@ -131,40 +131,28 @@ COUNTED = "kind int, h long, second long, lang string, word binary, n long"
 
 
 def _counts(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Words with their counts (kind 1), and suffixes by bucket of their first two, three and four words (kinds 2 to 4), of a task."""
+    """Words with their counts (kind 1) of each block, and suffixes of a task by bucket of their first two, three and four words (kinds 2 to 4)."""
+    names = ["kind", "h", "second", "lang", "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = np.zeros((LONGEST, BUCKETS), np.int64)
-        held: dict[tuple[int, int], list] = {}
-
-        def handed() -> pa.RecordBatch:
-            keys = np.array(list(held), np.uint64).reshape(-1, 2).view(np.int64)
-            langs, words, ns = zip(*held.values(), strict=True) if held else ((), (), ())
-            cols = [pa.array(np.ones(len(held), np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(ns, pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["kind", "h", "second", "lang", "word", "n"])
-
         for langs, texts in _blocks(batches):
             w = Words(langs, texts, seed, both=True)
             order = np.argsort(w.number, kind="stable")
             a, b = w.number[order], w.second[order]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
-            for i, n in zip(order[first].tolist(), np.diff(first, append=len(a)).tolist(), strict=True):
-                key = (int(w.number[i]), int(w.second[i]))
-                if key in held:
-                    held[key][2] += n
-                else:
-                    held[key] = [langs[w.row[i]], w.buf[w.start[i] : w.start[i] + w.size[i]].tobytes(), n]
+            at, n = order[first], np.diff(first, append=len(a))
+            of = [langs[r] for r in w.row[at].tolist()]
+            word = [w.buf[x:y].tobytes() for x, y in zip(w.start[at].tolist(), (w.start[at] + w.size[at]).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(w.number[at].view(np.int64)), pa.array(w.second[at].view(np.int64)), pa.array(of, pa.string()), pa.array(word, pa.binary()), pa.array(n)], names)
+            del order, a, b, of, word
             s = w.suffixes(w.number, LONGEST)
             for d in range(2, LONGEST):
                 buckets[d] += np.bincount((_bucket(s, d) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            if len(held) > FLUSH_WORDS:
-                yield handed()
-        yield handed()
         for d in range(2, LONGEST):
             some = np.flatnonzero(buckets[d])
             nothing = pa.nulls(len(some))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), d, np.int32)), pa.array(some), pa.array(np.zeros(len(some), np.int64)), nothing.cast(pa.string()), nothing.cast(pa.binary()), pa.array(buckets[d][some])], ["kind", "h", "second", "lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), d, np.int32)), pa.array(some), pa.array(np.zeros(len(some), np.int64)), nothing.cast(pa.string()), nothing.cast(pa.binary()), pa.array(buckets[d][some])], names)
 
     return run
 
