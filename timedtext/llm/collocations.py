@@ -238,7 +238,8 @@ def partitions(words: np.ndarray, n: np.ndarray, level: np.ndarray, least: int)
                 found += [(int(r), e + 1, int(c)) for r, c in zip(rows[first[keep]], count[keep], strict=True)]
             continue
         values = words[d][rows]
-        pivot = np.sort(values[:: max(1, len(values) // 9)])[4]
+        some = np.sort(values[:: max(1, len(values) // 9)])
+        pivot = some[len(some) // 2]
         same = rows[values == pivot]
         total, deep = int(n[same].sum()), bool((level[same] > d + 1).any())
         if d and (total >= least or deep):
