@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from timedtext import fixtures as fx
 from timedtext import queries as segment_queries
-from timedtext.operators import attempts, batches, hypotheses, joins, windows
+from timedtext.operators import attempts, batches, hypotheses, joins
 from timedtext.plans import composites
 from timedtext.sources import segment_io
 from timedtext.streaming import streams
@@ -146,40 +146,6 @@ def test_map_batches_keeps_failing_rows(spark):
         batches.map_batches(df, fussy, on_error="raise").collect()
 
 
-def stream_of(spark, path, rows):
-    df = spark.createDataFrame(rows, SEGMENT).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("start_sec")))
-    df.orderBy("start_sec").coalesce(1).write.mode("append").parquet(path)
-    return df.schema
-
-
-def test_stream_gap_merge_equals_batch(spark, tmp_path):
-    rows = [(m, k, k * 1.0 + (m * k % 3) * 0.2, k * 1.0 + 0.8, f"w{k}") for m in range(4) for k in range(30)]
-    schema = stream_of(spark, f"{tmp_path}/in", rows)
-    stream_of(spark, f"{tmp_path}/in", [(99, 0, 500.0, 501.0, "late"), (98, 0, 900.0, 901.0, "later")])
-    merged = streams.stream_gap_merge(streams.stream_segments(spark, f"{tmp_path}/in", schema, 1), 0.5, 5, 40)
-    q = merged.writeStream.format("memory").queryName("merged").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = windows.gap_merge(spark.createDataFrame(rows, SEGMENT), 0.5, 5, 40)
-    got = {(r.media_id, round(r.start_sec, 3), r.text) for r in spark.table("merged").filter("media_id < 90").collect()}
-    assert got == {(r.media_id, round(r.start_sec, 3), r.text) for r in want.collect()}
-
-
-def test_other_streams(spark, tmp_path):
-    rows = [(1, k % 5, float(k), k + 1.0, "x") for k in range(10)]
-    schema = stream_of(spark, f"{tmp_path}/in", rows)
-    read = lambda: streams.stream_segments(spark, f"{tmp_path}/in", schema)
-
-    def run(df, name, mode):
-        df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-        return spark.table(name).collect()
-
-    assert len(run(streams.stream_resume(read()), "resumed", "append")) == 5
-    assert run(streams.stream_progress(read()), "progress", "update")[0].done == 10
-    parts = run(streams.stream_parts(read(), 6), "parts", "update")
-    assert sum(r.n for r in parts) == 20
-    assert sum(r.n for r in run(streams.stream_gap_sessions(read()), "sessions", "complete")) == 10
-
-
 def test_registered_resume_keeps_files_out_of_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams.stream_segments, "__defaults__", (1,))
     for k, day in enumerate((9, 5, 1)):

@@ -673,7 +673,7 @@ def flat_hypotheses(spark, d):
     return segment_io.flat_hypotheses(nested).drop("source_text")
 
 
-@query("select vec_id, len(embedding)::int as dim, list_transform(embedding, lambda x: round(x::double, 4)) as numbers from embeddings")
+@query("select vec_id, len(embedding)::int as dim, list_transform(embedding, lambda x: round(x::double, 4) + 0.0) as numbers from embeddings")
 def export_embeddings(spark, d):
     e = segment_io.export_embeddings(spark.read.parquet(f"{d}/embeddings.parquet"))
     back = F.from_json("embedding_text", "array<float>")
@@ -767,16 +767,25 @@ def _arriving(spark, d):
     return rows.selectExpr("user_id as media_id", "event_id as seq", "unix_micros(timestamp(ts)) / 1000000.0D as start_sec", "unix_micros(timestamp(ts)) / 1000000.0D + 1 + event_id % 9 as end_sec", "event_type as text", "timestamp(ts) as ts")
 
 
+def _shuffled(spark, d, parts=4):
+    """The events as parts that arrive one after the other, each with rows of all times, and a last row from far ahead, of
+    medium -1, that lets the watermark pass all of them."""
+    path = shared_folder(spark, "shuffled")
+    rows = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id as media_id", "event_id as seq", "unix_micros(timestamp(ts)) / 1000000.0D as start_sec", "unix_micros(timestamp(ts)) / 1000000.0D + 1 + event_id % 9 as end_sec", "event_type as text", "timestamp(ts) as ts")
+    part = F.pmod(F.xxhash64("seq"), F.lit(parts))
+    for k in range(parts):
+        rows.filter(part == k).write.mode("append").parquet(path)
+    last = spark.range(1).selectExpr("-1L as media_id", "0L as seq", "7258118400.0D as start_sec", "7258118400.0D as end_sec", "'end' as text", "timestamp '2200-01-01 00:00:00' as ts")
+    last.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema)).write.mode("append").parquet(path)
+    return streams.stream_segments(spark, path, rows.schema, files_per_batch=16)
+
+
 def _drained(spark, df, name, mode):
-    """All rows that the query gives until its input ends, from a Parquet sink."""
+    """All rows that the query gives until its input ends, from a table that they are appended to."""
     path = shared_folder(spark, name)
-    sink = df.writeStream.option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True)
-    if mode == "append":
-        sink.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
-    else:
-        # a batch that is tried again replaces what it has written
-        sink.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={k}")).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+    with streams.with_rocksdb(spark):
+        streams.stream_append(df, f"{path}/rows", f"{path}/state", name, mode).trigger(availableNow=True).start().awaitTermination()
+    return streams.read_appended(spark, f"{path}/rows", df.schema).drop("writer", "batch_id")
 
 
 @query(fx.with_sql("speech") + "select media_id, seq, event_type as text from speech")
@@ -790,9 +799,12 @@ def stream_resume(spark, d):
     return _drained(spark, streams.stream_resume(twice, delay="3650 days"), "resumed", "append").select("media_id", "seq")
 
 
-@query(fx.with_sql("speech") + "select media_id, count(*)::bigint as done from speech group by media_id")
+@query(fx.with_sql("speech") + "select media_id, count(*)::bigint as done, case when media_id % 3 <> 1 then count(*) + media_id % 3 end::bigint as expected, coalesce(media_id % 3 <> 2, true) as complete from speech group by media_id")
 def stream_progress(spark, d):
-    return _drained(spark, streams.stream_progress(_arriving(spark, d)), "progress", "update").groupBy("media_id").agg(F.max("done").alias("done"))
+    """Of the media, by id modulo 3: as many rows as expected, expected not known, and two more expected."""
+    expected = fx.speech(spark, d).groupBy("media_id").agg((F.count(F.lit(1)) + F.col("media_id") % 3).alias("expected")).filter("media_id % 3 <> 1")
+    rows = _drained(spark, streams.stream_progress(_arriving(spark, d), expected, "3650 days"), "progress", "update")
+    return rows.groupBy("media_id").agg(F.max_by(F.struct("done", "expected", "complete"), "done").alias("x")).select("media_id", "x.*")
 
 
 @query("with w as (select user_id as media_id, unnest([epoch_us(ts) // 27000000, epoch_us(ts) // 27000000 - 1]) as k, epoch_us(ts) as t from events) select media_id, k * 27 as part_start, count(*)::bigint as n from w where t < k * 27000000 + 30000000 group by 1, 2")
@@ -801,9 +813,34 @@ def stream_parts(spark, d):
     return rows.groupBy("media_id", F.unix_seconds("part_start").alias("part_start")).agg(F.max("n").alias("n"))
 
 
-@query()
+SPOKEN = fx.with_sql("speech") + ", spoken as (select media_id, seq, start_sec, end_sec, event_type as text from speech), "
+
+
+@query(SPOKEN + st.gap_merged("spoken", 3600, 100_000, 400, "m") + " select media_id, seq, start_sec, end_sec, text, n_rows from m")
 def stream_gap_merge(spark, d):
-    return _drained(spark, streams.stream_gap_merge(_arriving(spark, d), 3600, 100_000, 400), "merged", "append")
+    merged = streams.stream_gap_merge(_shuffled(spark, d), 3600, 100_000, 400, delay="3650 days")
+    return _drained(spark, merged, "merged", "append").filter("media_id >= 0")
+
+
+@query(SPOKEN + """ l as (select *, lag(start_sec) over (partition by media_id order by start_sec, seq) as before from spoken),
+i as (select *, sum(case when start_sec - before < 7200 then 0 else 1 end) over (partition by media_id order by start_sec, seq rows unbounded preceding) as island from l)
+select media_id, min(start_sec) as begin, max(start_sec) + 7200 as "end", count(*)::bigint as n from i group by media_id, island""")
+def stream_gap_sessions(spark, d):
+    sessions = _drained(spark, streams.stream_gap_sessions(_shuffled(spark, d), "2 hours", delay="3650 days"), "sessions", "append").filter("media_id >= 0")
+    return sessions.select("media_id", *((F.unix_micros(c) / 1_000_000.0).alias(c) for c in ("begin", "end")), "n")
+
+
+@query(fx.with_sql("speech") + "select media_id, seq, start_sec, event_type as text from speech")
+def stream_append(spark, d):
+    """Two streams append to one table; the second starts anew after its first run's last commit was lost."""
+    path, rows = shared_folder(spark, "appended"), _arriving(spark, d)
+    for k in range(2):
+        mine = rows.filter(F.col("seq") % 2 == k)
+        streams.stream_append(mine, f"{path}/rows", f"{path}/state{k}", f"half{k}").trigger(availableNow=True).start().awaitTermination()
+    back = streams.read_appended(spark, f"{path}/rows", rows.schema)
+    first = back.filter("writer = 'half1' and batch_id = 0").drop("writer", "batch_id")
+    streams.append_batch(segment_io.settled(first, f"{path}/again"), 0, f"{path}/rows", "half1")  # a batch that is tried again
+    return streams.read_appended(spark, f"{path}/rows", rows.schema).select("media_id", "seq", "start_sec", "text")
 
 
 # composites

@@ -106,6 +106,12 @@ def write_speech_intervals(df: DataFrame, path: str) -> None:
     df.select("media_id", F.col("start_sec").alias("start"), F.col("end_sec").alias("end")).write.mode("overwrite").json(path)
 
 
+def settled(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table at path (in the shared folder): what is computed from them no longer depends on how they came."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def typed_segments(df: DataFrame) -> DataFrame:
     """Raw text times parsed; rows whose times do not parse keep nulls."""
     return df.withColumn("start_sec", parse_time(F.col("startzeit"))).withColumn("end_sec", parse_time(F.col("endzeit")))
