@@ -121,5 +121,5 @@ def test_other_streams(spark, tmp_path):
     assert len(run(spark, streams.stream_resume(read()), f"{tmp_path}/resumed")) == 5
     parts = run(spark, streams.stream_parts(read(), 6), f"{tmp_path}/parts", "update")
     assert sum(r.n for r in parts) == 20
-    sessions = run(spark, streams.stream_gap_sessions(read()), f"{tmp_path}/sessions", "update")
+    sessions = run(spark, streams.stream_gap_sessions(read()), f"{tmp_path}/sessions", "complete")
     assert sum(r.n for r in sessions) == 10

@@ -63,6 +63,37 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/j").select("start", "end").first() == (0.5, 1.0)
 
 
+def test_hypotheses_of_old_and_new_runs(spark, tmp_path):
+    path = f"{tmp_path}/h"
+    old = spark.createDataFrame([(1, "s", [("a", 0.5)])], "segment_id int, source_text string, hypotheses array<struct<text:string,score:float>>")
+    new = "segment_id long, source_text string, hypotheses array<struct<text:string,score:double,is_best:boolean,detail:struct<tokens:long,more:struct<x:int>>>>"
+    wider = "segment_id long, source_text string, hypotheses array<struct<text:string,beam_score_raw:float,detail:struct<more:struct<y:int>,tokens:int>>>"
+    segment_io.append_hypotheses(old, path)
+    segment_io.append_hypotheses(spark.createDataFrame([(2, "t", [("b", 0.25, True, (7, (1,))), ("c", None, False, None)])], new), path)
+    segment_io.append_hypotheses(spark.createDataFrame([(3, "u", [("d", -1.0, ((5,), 9))])], wider), path)
+    segment_io.append_hypotheses(old, path)  # what has fewer columns than the table
+    rows = segment_io.read_hypotheses(spark, path)
+    assert rows.columns == [*segment_io.HYPOTHESIS, "detail"]
+    told = rows.select("segment_id", "text", "score", "beam_score_raw", "is_best", "detail.tokens", "detail.more.x", "detail.more.y").collect()
+    none = (None,) * 5
+    assert sorted(map(tuple, told), key=str) == [(1, "a", 0.5, *none), (1, "a", 0.5, *none), (2, "b", 0.25, None, True, 7, 1, None), (2, "c", None, None, False, None, None, None), (3, "d", None, -1.0, None, 9, None, 5)]
+    clash = spark.createDataFrame([(4, "v", [("e", "x")])], "segment_id long, source_text string, hypotheses array<struct<text:string,detail:string>>")
+    with pytest.raises(ValueError, match="detail"):
+        segment_io.append_hypotheses(clash, path)
+
+
+def test_no_line_is_lost(spark, tmp_path):
+    f = tmp_path / "s.csv"
+    lines = ["0:00:01|0:00:02|a", "0:00:01|0:00:02", "x|0:00:02|b", "0:00:03|0:99:00|c", "0:00:03|0:00:04|d|e", '0:00:05|0:00:06|"q | r"', "0:00:07|0:00:08|", "|0:00:02|"]
+    f.write_text("\n".join(["Start Zeit|EndZeit |Text", *lines]) + "\n")
+    good, bad = segment_io.read_segments_checked(spark, str(f))
+    assert sorted((r.start_sec, r.end_sec, r.text) for r in good.collect()) == [(1.0, 2.0, "a"), (5.0, 6.0, "q | r"), (7.0, 8.0, "")]
+    assert sorted((r.reason, r.line) for r in bad.collect()) == sorted([("malformed", lines[1]), ("start does not parse", lines[2]), ("end does not parse", lines[3]), ("malformed", lines[4]), ("start does not parse", lines[7])])
+    assert (good.count(), bad.count(), bad.select("reason").distinct().count()) == (3, 5, 3)  # whatever columns are asked for
+    with pytest.raises(ValueError):
+        segment_io.read_segments_checked(spark, str(f), ["a", "b", "text"])
+
+
 def test_joins(spark):
     seg = spark.createDataFrame([(1, 0, 1.2, 2.0, "one text here"), (1, 1, 1.7, 3.0, "..."), (1, 2, 5.0, 6.0, "the end")], SEGMENT)
     done = seg.filter("seq = 0")

@@ -743,6 +743,50 @@ def append_hypotheses(spark, d):
     return spark.read.parquet(path).select("segment_id", "hypothesis_id", "text", "score")
 
 
+@query(fx.with_sql("hypotheses") + """select segment_id, hypothesis_id::int as hypothesis_id, text, beam_score_raw as score, case when segment_id % 3 > 0 then beam_score_raw end as beam_score_raw,
+case when segment_id % 3 = 2 then hypothesis_id = 0 end as is_best, case when segment_id % 3 = 1 then num_tokens end as tokens, case when segment_id % 3 = 2 then text end as shown from hypotheses""")
+def read_hypotheses(spark, d):
+    """Three runs append, each with other columns; a struct of the second has other fields in the third."""
+    path, h = shared_folder(spark, "evolving"), fx.hypotheses(spark, d)
+    best = (F.col("hypothesis_id") == 0).alias("is_best")
+    tokens, shown = F.struct(F.col("num_tokens").alias("tokens")).alias("detail"), F.struct(F.col("text").alias("shown")).alias("detail")
+    for k, more in enumerate(([], ["beam_score_raw", tokens], [F.col("beam_score_raw").cast("float").alias("beam_score_raw"), best, shown])):
+        each = F.struct("hypothesis_id", "text", F.col("beam_score_raw").alias("score"), *more)
+        lists = h.filter(F.col("segment_id") % 3 == k).groupBy("segment_id").agg(F.array_sort(F.collect_list(each), lambda a, b: (a["hypothesis_id"] - b["hypothesis_id"]).cast("int")).alias("hypotheses"))
+        lists = lists.withColumn("hypotheses", F.transform("hypotheses", lambda x: x.dropFields("hypothesis_id"))).withColumn("source_text", F.lit("s"))
+        segment_io.append_hypotheses(lists, path)
+    rows = segment_io.read_hypotheses(spark, path).withColumn("beam_score_raw", F.round("beam_score_raw", 1))
+    return rows.select("segment_id", "hypothesis_id", "text", "score", "beam_score_raw", "is_best", "detail.tokens", "detail.shown")
+
+
+BROKEN = SEG + RAW + """, plain as (select media_id, seq, startzeit, endzeit, translate(text, '|"', '') as t from raw),
+broken as (select *, seq % 13 = 3 as cut, seq % 17 = 5 and seq % 13 <> 3 as long from plain)
+"""
+
+
+def _broken(spark, d):
+    """Segments of which some lines lack fields and some have one too many; some times do not parse."""
+    fields = ["media_id", "seq", "startzeit", "endzeit", F.translate("text", '|"', "")]
+    line = F.when(F.col("seq") % 13 == 3, F.concat_ws("|", *fields[:3])).when(F.col("seq") % 17 == 5, F.concat_ws("|", *fields, F.lit("more"))).otherwise(F.concat_ws("|", *fields))
+    path = shared_folder(spark, "broken")
+    fx.raw_segments(spark, d).select(line).write.text(path)
+    return segment_io.read_segments_checked(spark, path, ["media_id", "seq", "startzeit", "endzeit", "text"])
+
+
+_CLOCK = "({0}.split(':')[1]::bigint * 3600 + {0}.split(':')[2]::bigint * 60 + {0}.split(':')[3]::bigint)::double"
+
+
+@query(BROKEN + f"select media_id::varchar as media_id, seq::varchar as seq, startzeit, endzeit, t as text, {_CLOCK.format('startzeit')} as start_sec, {_CLOCK.format('endzeit')} as end_sec from broken where not cut and not long and startzeit <> 'bad'")
+def read_segments_checked(spark, d):
+    return _broken(spark, d)[0]
+
+
+@query(BROKEN + """select case when cut then media_id || '|' || seq || '|' || startzeit else media_id || '|' || seq || '|' || startzeit || '|' || endzeit || '|' || t || case when long then '|more' else '' end end as line,
+case when cut or long then 'malformed' else 'start does not parse' end as reason from broken where cut or long or startzeit = 'bad'""")
+def rejected_segments(spark, d):
+    return _broken(spark, d)[1].drop("file")
+
+
 @query(fx.with_sql("segments", "manifest") + "select media_id, seq, start_sec, end_sec, text, chunk_path, round(actual_sec, 4) as actual_sec from manifest")
 def append_manifest(spark, d):
     path = shared_folder(spark, "manifest")

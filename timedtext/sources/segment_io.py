@@ -6,8 +6,10 @@ go through Spark's commit protocol, so a half-written result is never seen.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from timedtext.functions.timecodes import parse_time, strict_seconds
 
@@ -26,6 +28,29 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def read_segments_checked(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, rejects) from one reading of the files, so that no line is lost.
+
+    Segments are the rows of read_segments with start_sec and end_sec, where both times parse. Rejects are all others: file,
+    line, reason. The reason is malformed (more fields or fewer than the header; line is as in the file), or start or end
+    does not parse (line is the fields again). Files without a header need the names of their columns.
+    """
+    options = {"sep": "|", "header": columns is None, "quote": '"', "escape": '"'}
+    names = normalise_header(spark.read.options(**options).csv(path)).columns if columns is None else columns
+    if missing := [c for c in REQUIRED if c not in names]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    schema = StructType([StructField(c, StringType()) for c in [*names, "__line"]])
+    # without column pruning, so that both frames tell malformed lines by all their fields
+    read = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="__line", columnPruning=False).schema(schema).csv(path)
+    rows = typed_segments(read.withColumn("file", F.col("_metadata.file_path")))
+    reason = F.when(F.col("__line").isNotNull(), "malformed").when(F.col("start_sec").isNull(), "start does not parse").when(F.col("end_sec").isNull(), "end does not parse")
+    rows = rows.withColumn("reason", reason)
+    fields = F.array_join(F.array(*(F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names)), "|")
+    rejects = rows.filter("reason is not null").select("file", F.coalesce("__line", fields).alias("line"), "reason")
+    segments = rows.filter("reason is null").withColumn("text", F.coalesce("text", F.lit("")))
+    return segments.drop("__line", "reason", "file"), rejects
+
+
 def _placed(rows: DataFrame, order: str, name: str) -> DataFrame:
     """rows (file, block, …) with their place in the file, from 0: rows of earlier blocks of the file, and those before in the block.
 
@@ -89,8 +114,55 @@ def flat_hypotheses(nested: DataFrame) -> DataFrame:
     return rows.select("segment_id", "source_text", "hypothesis_id", "h.*")
 
 
+#: Columns of a hypotheses table with their types; those after text may be missing in what is appended.
+HYPOTHESIS = {
+    "segment_id": "bigint", "source_text": "string", "hypothesis_id": "int", "text": "string",
+    "score": "double", "beam_score_raw": "double", "beam_score_norm": "double", "sts_score": "double", "is_best": "boolean",
+}
+
+
+def _as_in(value: Column, mine: DataType, theirs: DataType, name: str) -> Column:
+    """value in the type that a table has it in; structs keep the fields that the table lacks. Values that do not fit raise."""
+    if isinstance(mine, StructType) and isinstance(theirs, StructType):
+        known = {f.name: f.dataType for f in theirs.fields}
+        fields = [_as_in(value[f.name], f.dataType, known.get(f.name, f.dataType), f"{name}.{f.name}").alias(f.name) for f in mine.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(mine, ArrayType) and isinstance(theirs, ArrayType):
+        return F.transform(value, lambda x: _as_in(x, mine.elementType, theirs.elementType, name))
+    if isinstance(mine, StructType | ArrayType | MapType) != isinstance(theirs, StructType | ArrayType | MapType):
+        raise ValueError(f"column {name} is {mine.simpleString()} here and {theirs.simpleString()} in the table")
+    return value if mine == theirs else value.cast(theirs)
+
+
+def _merged_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The columns of all files of a Parquet table, or None where there is none yet."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_hypotheses(nested: DataFrame, path: str) -> None:
-    flat_hypotheses(nested).write.mode("append").parquet(path)
+    """Appends nested n-best lists as flat rows, with the optional columns that they have.
+
+    What is appended may have fewer columns than the table, or more, in structs too; a column that the table has is
+    written in the table's type. Lists with other fields before do not hinder: read_hypotheses gives all columns to all rows.
+    """
+    flat = flat_hypotheses(nested)
+    theirs = {name: StructType.fromDDL(f"x {kind}")["x"].dataType for name, kind in HYPOTHESIS.items()}
+    if there := _merged_schema(flat.sparkSession, path):
+        theirs |= {f.name: f.dataType for f in there.fields}
+    flat.select(*(_as_in(F.col(f"`{f.name}`"), f.dataType, theirs.get(f.name, f.dataType), f.name).alias(f.name) for f in flat.schema.fields)).write.mode("append").parquet(path)
+
+
+def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a hypotheses table whose parts may have different columns: first the known ones, null where a part lacks
+    them, then others by name. Fields that a part's structs lack are null too."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    known = [F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in HYPOTHESIS.items()]
+    return rows.select(*known, *(f"`{c}`" for c in sorted(set(rows.columns) - set(HYPOTHESIS))))
 
 
 def append_manifest(df: DataFrame, path: str) -> None:
