@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timedtext.sources.segment_io import settled
+from timedtext.sources.shared import shared_folder
+
 
 def completion_status(expected: DataFrame, output: DataFrame) -> DataFrame:
     """media_id, complete, current, expected. expected has media_id and expected (null: unknown, then complete)."""
@@ -14,13 +17,57 @@ def completion_status(expected: DataFrame, output: DataFrame) -> DataFrame:
     return rows.select("media_id", complete.alias("complete"), F.col("current_rows").alias("current"), "expected")
 
 
+#: Ranges into which a round of exact_median deals its values, and values that are few enough to be looked at themselves.
+RANGES, FEW = 4096, 4096
+#: What infinite values count as while ranges are told.
+_LARGEST = 1.7976931348623157e308
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column of numbers, null and NaN left out; the mean of the two in the middle if they are two.
+
+    A round deals the values to ranges between the least and the greatest and counts them (RANGES rows for any table); the
+    next goes on with the range in which the middle lies, until its values are all equal or few. No task or driver
+    ever holds more than that; each round reads the column once.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    rows = rows.select(F.greatest(F.least("v", F.lit(_LARGEST)), F.lit(-_LARGEST)).alias("v"))
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+
+    def ranked(rank: int, low: float, high: float) -> float:
+        """The value of a rank, from 0, among those from low to high."""
+        while low < high:
+            here = rows.filter(F.col("v").between(low, high))
+            width = high / 2 - low / 2
+            at = F.least(F.floor((F.col("v") / 2 - F.lit(low / 2)) / F.lit(width) * RANGES), F.lit(RANGES - 1)) if width else (F.col("v") > low).cast("long")
+            counts = here.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+            for r in sorted(counts, key=lambda r: r["at"]):
+                if rank < r["n"]:
+                    low, high = r["low"], r["high"]
+                    break
+                rank -= r["n"]
+            if low < high and r["n"] <= FEW:
+                return sorted(x["v"] for x in rows.filter(F.col("v").between(low, high)).collect())[rank]
+        return low
+
+    told = [ranked(k, low, high) for k in sorted({(n - 1) // 2, n // 2})]
+    told = [v if abs(v) < _LARGEST else v * 2 for v in told]
+    return told[0] if len(told) == 1 else told[0] / 2 + told[1] / 2
+
+
 def selection_report(hyps: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Counts, statistics of all scores (unparsable ones left out), and of the chosen similarities."""
+    """Counts, statistics of all scores (unparsable ones left out), and of the chosen similarities; medians are exact."""
+    spark, folder = hyps.sparkSession, shared_folder(hyps.sparkSession, "scores")
     score = F.col("score").cast("string").try_cast("double")
-    a = hyps.agg(F.count_distinct("segment_id").alias("segments"), F.count(F.lit(1)).alias("hypotheses"), F.avg(score).alias("score_mean"), F.median(score).alias("score_median"), F.stddev_pop(score).alias("score_std"))
-    b = chosen.agg(F.avg("similarity").alias("similarity_mean"), F.median("similarity").alias("similarity_median"), F.max("similarity").alias("similarity_max"), F.min("similarity").alias("similarity_min"))
-    both = a.unionByName(b, allowMissingColumns=True)  # one row each
-    return both.agg(*(F.max(c).alias(c) for c in both.columns)).withColumn("hypotheses_per_segment", F.col("hypotheses") / F.col("segments"))
+    hyps = settled(hyps.select("segment_id", F.when(~F.isnan(score), score).alias("score")), f"{folder}/all")
+    chosen = settled(chosen.select(F.col("similarity").cast("double").alias("similarity")), f"{folder}/chosen")
+    a = hyps.agg(F.count_distinct("segment_id").alias("segments"), F.count(F.lit(1)).alias("hypotheses"), F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"))
+    b = chosen.agg(F.avg("similarity").alias("similarity_mean"), F.max("similarity").alias("similarity_max"), F.min("similarity").alias("similarity_min"))
+    medians = spark.createDataFrame([(exact_median(hyps, "score"), exact_median(chosen, "similarity"))], "score_median double, similarity_median double")
+    every = a.unionByName(b, allowMissingColumns=True).unionByName(medians, allowMissingColumns=True)  # one row each
+    return every.agg(*(F.max(c).alias(c) for c in every.columns)).withColumn("hypotheses_per_segment", F.col("hypotheses") / F.col("segments"))
 
 
 def quality_summary(report: DataFrame, threshold: float) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from timedtext.functions.text import tts_validity
+from timedtext.sources.shared import importable
 
 KEY = ["media_id", "seq"]
-#: Longest word list and glossary that become part of a plan; longer ones are joined.
-MOST_WORDS, MOST_TERMS = 10_000, 1_000
+#: Words of one automaton, which is broadcast, and terms up to which their table is.
+MOST_WORDS, MOST_TERMS = 500_000, 200_000
 
 
 def resume_by_start(segments: DataFrame, finished: DataFrame, by_start: bool = False) -> DataFrame:
@@ -58,68 +64,90 @@ def free_of_spans(matches: DataFrame, spans: DataFrame) -> DataFrame:
     return m.join(s, over, "left_anti")
 
 
-def _short_list(words: DataFrame, most: int) -> list | None:
-    """The rows of a list that is short enough to become part of a plan."""
-    rows = words.distinct().limit(most + 1).collect()
-    return rows if len(rows) <= most else None
+@lru_cache(maxsize=4)
+def _automaton(number: int, words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Built once in each worker; number tells lists apart."""
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
 
 
-def _candidates(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Pairs of a text (column t) and a term (column term) whose first three characters stand somewhere in the text.
+class _Hits:
+    """Which words of a broadcast list a batch of texts contains: one pass over each text, however many words there are."""
 
-    The pairs are found by joining these characters, without the texts, so that a list may be of any length.
-    """
-    first = lambda n: F.substring("term", 1, n)
-    sizes = [r[0] for r in terms.select(F.least(F.length("term"), F.lit(3))).distinct().collect()]  # three at most
-    keyed = terms.withColumn("__gram", first(3)).select("term", "__gram")
-    rows = texts.withColumn("__row", F.xxhash64("media_id", "seq", "t"))
-
-    def grams(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), i, F.lit(n)))
+    def __init__(self, number: int, words: Broadcast) -> None:
+        self.number, self.words = number, words
 
-    every = rows.select("__row", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("__gram"))
-    found = every.join(keyed, "__gram").select("__row", "term").distinct()
-    return rows.join(found, "__row").drop("__row")
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _automaton(self.number, self.words.value)
+        for batch in batches:
+            hits = [sorted({w for _, w in found.iter(t)}, key=lambda w: (-len(w), w)) if t and len(found) else [] for t in batch.column("text").to_pylist()]
+            some = pa.array([len(h) > 0 for h in hits], pa.bool_())
+            kept = pa.RecordBatch.from_arrays([batch.column(KEY[0]), batch.column(KEY[1]), pa.array(hits, pa.list_(pa.string()))], [*KEY, "words"])
+            yield kept.filter(some)
 
 
 def dictionary_hits(segments: DataFrame, words: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """media_id, seq, words: which words (column word) each text contains, longest first, case kept.
 
-    Up to most words are looked for in every text; longer lists are joined by the words' first characters.
+    The words become an automaton that reads each text once. A list of more than most words is cut by a hash into lists of
+    about so many, each with an automaton of its own; what these find in a segment is put together. Null and empty words
+    are in no text; a segment without any has no row.
     """
+    spark = importable(segments.sparkSession)
     words = words.select("word").filter("word <> ''").distinct()
-    listed = _short_list(words, most)
-    longest_first = lambda ws: sorted(ws, key=lambda w: (-len(w), w))
-    if listed is not None:
-        every = F.array(*map(F.lit, longest_first(r["word"] for r in listed))) if listed else F.array().cast("array<string>")
-        hits = segments.select(*KEY, F.filter(every, lambda w: F.contains(F.col("text"), w)).alias("words"))
-        return hits.filter(F.size("words") > 0)
-    pairs = _candidates(segments.select(*KEY, F.col("text").alias("t")).filter("t <> ''"), words.select(F.col("word").alias("term")))
-    ranked = F.sort_array(F.collect_set(F.struct((-F.length("term")).alias("n"), "term")))
-    return pairs.filter(F.contains("t", "term")).groupBy(*KEY).agg(F.transform(ranked, lambda x: x["term"]).alias("words"))
+    n = words.count()
+    lists = max(1, -(-n // max(most, 1)))
+    texts = segments.select(*KEY, "text")
+    schema = StructType([*texts.select(*KEY).schema.fields, StructField("words", ArrayType(StringType()))])
+    parts = []
+    for k in range(lists):
+        mine = words.filter(F.pmod(F.xxhash64("word"), F.lit(lists)) == k) if lists > 1 else words
+        listed = spark.sparkContext.broadcast(tuple(sorted(r["word"] for r in mine.collect())))
+        parts.append(texts.mapInArrow(_Hits(listed._jbroadcast.id(), listed), schema))
+    if lists == 1:
+        return parts[0]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    ranked = F.sort_array(F.flatten(F.collect_list(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))))
+    return every.groupBy(*KEY).agg(ranked.alias("x")).select(*KEY, F.transform("x", lambda x: x["w"]).alias("words"))
 
 
 def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """media_id, seq, glossary: lines "- term: options" of the terms that occur as whole words, sorted; case counts for nothing.
 
-    Up to most terms are looked for in every text; longer lists are joined by the terms' first characters.
+    The words of a text are looked up in a table of the terms by their first word, and what else a term has is checked in
+    place; so a text meets only terms of which it has the first word. The table is broadcast up to most terms; a longer one
+    is joined by shuffle, without the texts, which meet their terms afterwards. A term without any letter or digit is
+    looked for in every text.
     """
     glossary = glossary.select("term", "options").filter("term <> ''").distinct()
-    texts = segments.select(*KEY, F.lower("text").alias("t"))
-    line = F.concat(F.lit("- "), F.col("shown"), F.lit(": "), F.col("options"))
-    listed = _short_list(glossary, most)
-    if listed is not None:
-        found = lambda term: F.contains("t", F.lit(term.lower())) & F.col("t").rlike(rf"(?U)\b{re.escape(term.lower())}\b")
-        lines = [F.when(found(r["term"]), f"- {r['term']}: {r['options']}") for r in listed]
-        every = F.array(*lines) if lines else F.array().cast("array<string>")
-        hits = texts.select(*KEY, F.array_sort(F.filter(every, lambda x: x.isNotNull())).alias("x")).filter(F.size("x") > 0)
+    n = glossary.count()
+    first = F.regexp_extract(F.lower("term"), r"(?U)\w+", 0)  # stands in a text as a word of its own wherever the term does
+    entry = F.struct(F.lower("term").alias("term"), F.concat(F.lit("- "), F.col("term"), F.lit(": "), F.col("options")).alias("line"))
+    table = glossary.groupBy(first.alias("__word")).agg(F.collect_list(entry).alias("__terms"))
+    texts = segments.select(*KEY, F.lower("text").alias("t")).filter("t <> ''")
+    wordless = bool(table.filter("__word = ''").limit(1).count())
+    tokens = F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?U)\w+"), F.lit(0)))
+    tokens = F.concat(tokens, F.array(F.lit(""))) if wordless else tokens
+    if n <= most:
+        met = texts.withColumn("__word", F.explode(tokens)).join(F.broadcast(table), "__word")
     else:
-        terms = glossary.select(F.col("term").alias("shown"), F.lower("term").alias("term"), "options")
-        pairs = _candidates(texts.filter("t <> ''"), terms.select("term").distinct())
-        whole = F.concat(F.lit(r"(?U)\b\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-        pairs = pairs.filter(F.contains("t", "term")).filter(F.rlike("t", whole)).join(terms, "term")
-        hits = pairs.groupBy(*KEY).agg(F.sort_array(F.collect_set(line)).alias("x"))
-    return hits.select(*KEY, F.array_join("x", "\n").alias("glossary"))
+        texts = texts.withColumn("__row", F.xxhash64(*KEY, "t"))
+        found = texts.select("__row", F.explode(tokens).alias("__word")).distinct().join(table, "__word").drop("__word")
+        met = texts.join(found, "__row").drop("__row")
+
+    def whole(x: Column) -> Column:
+        quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(x["term"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+        return F.contains(F.col("t"), x["term"]) & F.rlike(F.col("t"), quoted)
+
+    lines = F.transform(F.filter("__terms", whole), lambda x: x["line"])
+    hits = met.select(*KEY, lines.alias("x")).filter(F.size("x") > 0)
+    hits = hits.groupBy(*KEY).agg(F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_list("x"))), lambda x: x.isNotNull())).alias("x"))
+    return hits.filter(F.size("x") > 0).select(*KEY, F.array_join("x", "\n").alias("glossary"))
 
 
 def glossary_text():

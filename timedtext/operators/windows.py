@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from timedtext.functions.entities import merge_maps
 from timedtext.functions.folds import fold
 from timedtext.functions.text import word_count
+from timedtext.sources.segment_io import settled
+from timedtext.sources.shared import shared_folder
 
 # Words that continue a sentence, in the short and the long list.
 CONJUNCTIONS = ["und", "aber", "oder", "doch"]
@@ -60,26 +62,50 @@ def gap_merge(df: DataFrame, max_gap: float = 0.5, max_dur: float = 15.0, max_ch
     return _joined(parts, ["island", "part"]).filter("text <> ''")
 
 
+def _short_merged(df: DataFrame, min_dur: float, min_words: int) -> DataFrame:
+    """One pass of force_merge_short, with n_rows: how many segments each came from."""
+    words = word_count(F.col("text"))
+    valid = F.coalesce(F.col("start_sec") <= F.col("end_sec"), F.lit(False))
+    enough = (F.round(F.col("end_sec") - F.col("start_sec"), 3) >= min_dur) & (words >= min_words)
+    rows = df.withColumn("rn", F.row_number().over(order()))
+    head = (F.round(F.col("end_sec") - F.first("start_sec").over(so_far()), 3) >= min_dur) & (F.sum(words).over(so_far()) >= min_words)
+    rows = rows.withColumn("head", head).withColumn("opens", ~valid | enough)
+    rows = rows.withColumn("head_end", F.min(F.when(F.col("head"), F.col("rn"))).over(Window.partitionBy("media_id")))
+    first = F.col("rn") == 1
+    rows = rows.withColumn("part", F.sum(F.when(first | ((F.col("rn") > F.col("head_end")) & F.col("opens")), 1).otherwise(0)).over(so_far()))
+    return _joined(rows, ["part"])
+
+
 def force_merge_short(df: DataFrame, min_dur: float = 3.0, min_words: int = 3, passes: int = 1) -> DataFrame:
     """Segments that are too short, or have too few words, join the one before; a short first one absorbs what follows
     until it is long enough; a sole segment stays. Segments with invalid times open a group of their own.
 
-    One pass is final when ends do not decrease; more passes are for media where they do.
+    One pass is final when ends do not decrease; force_merge_stable is for media where they do.
     """
     for _ in range(passes):
-        words = word_count(F.col("text"))
-        valid = F.coalesce(F.col("start_sec") <= F.col("end_sec"), F.lit(False))
-        enough = (F.round(F.col("end_sec") - F.col("start_sec"), 3) >= min_dur) & (words >= min_words)
-        rows = df.withColumn("rn", F.row_number().over(order()))
-        head = (F.round(F.col("end_sec") - F.first("start_sec").over(so_far()), 3) >= min_dur) & (F.sum(words).over(so_far()) >= min_words)
-        rows = rows.withColumn("head", head).withColumn("opens", ~valid | enough)
-        rows = rows.withColumn("head_end", F.min(F.when(F.col("head"), F.col("rn"))).over(Window.partitionBy("media_id")))
-        first = F.col("rn") == 1
-        rows = rows.withColumn("part", F.sum(F.when(first | ((F.col("rn") > F.col("head_end")) & F.col("opens")), 1).otherwise(0)).over(so_far()))
-        df = _joined(rows, ["part"]).drop("n_rows")
+        df = _short_merged(df, min_dur, min_words).drop("n_rows")
     return df
 
 
+def force_merge_stable(df: DataFrame, min_dur: float = 3.0, min_words: int = 3) -> DataFrame:
+    """force_merge_short again and again until it changes no medium.
+
+    A pass is written, which cuts the plan, and the next takes only media that still change; each has fewer rows than before.
+    """
+    folder, ended, k = shared_folder(df.sparkSession, "passes"), [], 0
+    while True:
+        active = F.max(F.col("n_rows") > 1).over(Window.partitionBy("media_id"))
+        now = settled(_short_merged(df, min_dur, min_words).withColumn("active", active).drop("n_rows"), f"{folder}/{k}")
+        ended.append(now.filter(~F.col("active")).drop("active"))
+        df, k = now.filter("active").drop("active"), k + 1
+        if not df.limit(1).count():
+            break
+    every = ended[0]
+    for part in ended[1:]:
+        every = every.unionByName(part)
+    return every
+
+
 def _starts_with(text: Column, words: list[str], boundary: bool = True) -> Column:
     return text.rlike(rf"(?iU)^({'|'.join(words)}){chr(92) + 'b' if boundary else ''}")
 

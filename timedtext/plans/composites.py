@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from timedtext.functions import splitting as sp
@@ -11,6 +11,8 @@ from timedtext.functions.entities import LEAST_CONFIDENCE, entity_issues, merge_
 from timedtext.functions.folds import fold
 from timedtext.functions.timecodes import capped_speed, tempo_chain
 from timedtext.operators import aggregates, attempts, filters, hypotheses, joins, windows
+from timedtext.sources import segment_io
+from timedtext.sources.shared import shared_folder
 
 CORE = ["media_id", "seq", "start_sec", "end_sec", "text"]
 
@@ -25,20 +27,73 @@ def _split(df: DataFrame, pieces: Column, exact_end: bool = True, floored: bool
     return windows.proportional_times(df.withColumn("pieces", pieces), exact_end=exact_end, floored=floored)
 
 
+def _merge_round(rows: DataFrame, max_dur: float, max_gap: float, max_chars: int, least: int = 3) -> DataFrame:
+    """One round: merged by gap, split where too long (times floored). protected: too long, but of too few words to be split;
+    active: the round has changed a row of this medium."""
+    merged = windows.gap_merge(rows, max_gap, max_dur, max_chars)
+    long = merged.withColumn("long", F.length("text") > max_chars)
+    # inside let the splitting is worked out by itself; as part of the generated code it would pass the limit of a method
+    long = long.withColumn("pieces", sp.let(F.struct("text", "long"), lambda r: F.when(r["long"], sp.split_capped(r["text"], max_chars)).otherwise(F.array(r["text"]))))
+    down = lambda c: F.when(F.col("long"), F.floor(c).cast("double")).otherwise(F.col(c))
+    changed = (F.col("n_rows") > 1) | (down("start_sec") != F.col("start_sec")) | (down("end_sec") != F.col("end_sec"))
+    long = long.withColumn("changed", changed).withColumn("protected", F.col("long") & (tx.word_count(F.col("text")) < least))
+    split = windows.proportional_times(long.drop("n_rows")).withColumn("start_sec", down("start_sec")).withColumn("end_sec", down("end_sec"))
+    active = F.max(F.col("changed") | (F.col("piece") > 0)).over(Window.partitionBy("media_id"))
+    return _renumbered(split.withColumn("active", active)).select(*CORE, "protected", "active")
+
+
+def _merged_rounds(rows: DataFrame, max_dur: float, max_gap: float, max_chars: int, iterations: int) -> DataFrame:
+    """Rows after so many rounds, with protected.
+
+    Each round is written, which cuts the plan, and goes on with the media that it has changed: a round that changes nothing
+    would change nothing again. The first round drops empty chunks, which is told from no row, so every medium has two.
+    """
+    folder, ended = shared_folder(rows.sparkSession, "rounds"), []
+    for k in range(iterations):
+        now = segment_io.settled(_merge_round(rows, max_dur, max_gap, max_chars), f"{folder}/{k}")
+        goes_on = F.col("active") if k else F.lit(True)
+        if k + 1 == iterations or not now.filter(goes_on).limit(1).count():
+            ended.append(now)
+            break
+        ended.append(now.filter(~goes_on))
+        rows = now.filter(goes_on).select(*CORE)
+    every = ended[0] if ended else rows.withColumn("protected", F.lit(False))
+    for part in ended[1:]:
+        every = every.unionByName(part)
+    return every.select(*CORE, "protected")
+
+
 def merge_transcript(df: DataFrame, min_dur: float = 3, max_dur: float = 15, max_gap: float = 0.5, max_chars: int = 150, iterations: int = 10, min_words: int = 3) -> DataFrame:
-    """Raw segments to chunks: merged by gap, split where too long (times floored), so often; then short ones merged.
+    """Raw segments to chunks: merged by gap, split where too long (times floored), so often, or until a medium stays as it
+    is; then short ones merged until none is left to merge.
+
+    Rounds differ from one another since floored times change the gaps. They are worked off when this is called.
+    """
+    rows = _merged_rounds(filters.drop_invalid_times(df).select(*CORE), max_dur, max_gap, max_chars, iterations)
+    return windows.force_merge_stable(rows.select(*CORE), min_dur, min_words)
+
+
+def merge_report(df: DataFrame, min_dur: float = 3, max_dur: float = 15, max_gap: float = 0.5, max_chars: int = 150, iterations: int = 10, min_words: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(chunks, report) of merge_transcript; the report has one row: rows_read, rows_valid, rows_final, rows_protected.
 
-    Each round differs from the one before since floored times change the gaps, so rounds are not skipped.
+    Rows are counted as they pass through the plans that merge them, not by reading them again. rows_protected counts those of
+    the last round that are too long but not split, having fewer than three words.
     """
-    rows = filters.drop_invalid_times(df).select(*CORE)
-    for _ in range(iterations):
-        merged = windows.gap_merge(rows, max_gap, max_dur, max_chars).drop("n_rows")
-        long = merged.withColumn("long", F.length("text") > max_chars)
-        pieces = F.when(F.col("long"), sp.split_capped(F.col("text"), max_chars)).otherwise(F.array("text"))
-        split = _split(long, pieces)
-        down = lambda c: F.when(F.col("long"), F.floor(c).cast("double")).otherwise(F.col(c))
-        rows = _renumbered(split.withColumn("start_sec", down("start_sec")).withColumn("end_sec", down("end_sec"))).select(*CORE)
-    return windows.force_merge_short(rows, min_dur, min_words)
+    read, final = Observation(), Observation()
+    valid = F.coalesce(F.col("start_sec") <= F.col("end_sec"), F.lit(False))
+    seen = df.observe(read, F.count(F.lit(1)).alias("rows_read"), F.count_if(valid).alias("rows_valid"))
+    rows = _merged_rounds(filters.drop_invalid_times(seen).select(*CORE), max_dur, max_gap, max_chars, max(iterations, 1))
+    rows = rows.observe(final, F.count_if("protected").alias("rows_protected"))
+    chunks = windows.force_merge_stable(rows.select(*CORE), min_dur, min_words)
+    spark = df.sparkSession
+    merged = Observation()
+    chunks = chunks.observe(merged, F.count(F.lit(1)).alias("rows_final"))
+    chunks = segment_io.settled(chunks, f"{shared_folder(spark, 'merged')}/rows")
+    told = {**read.get, **merged.get, **final.get}
+    return chunks, spark.createDataFrame([tuple(told[k] for k in REPORT)], ", ".join(f"{k} long" for k in REPORT))
+
+
+REPORT = ("rows_read", "rows_valid", "rows_final", "rows_protected")
 
 
 def format_for_tts(df: DataFrame, max_chars: int = 150, min_words: int = 3, lang: str = "de") -> DataFrame:

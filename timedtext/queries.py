@@ -896,18 +896,24 @@ ROUNDED = "select media_id, seq, round(start_sec, 4) as start_sec, round(end_sec
 RAW0 = ", raw0 as (select media_id, seq, start_sec, end_sec, text from segments where seq % 50 not in (7, 9)), "
 
 
+#: Rounds of merging and splitting, as by default.
+ROUNDS = 10
+
+
 def _merge_sql() -> str:
-    """Three rounds of merging by gap and splitting with floored times, then short ones joined."""
+    """Rounds of merging by gap and splitting with floored times, then short ones joined, three times over."""
     parts, rows = [], "raw0"
-    for k in range(3):
+    for k in range(ROUNDS):
         parts.append(st.gap_merged(rows, 0.5, 60, 400, f"g{k}"))
-        pieces = f"case when length(text) > 400 then {st.split_capped('text', 400)} else [text] end"
-        parts.append(st.timed(f"g{k}", pieces, f"t{k}", kept="media_id, seq, n"))
+        parts.append(f"l{k} as materialized (select *, length(text) > 400 as long from g{k})")
+        pieces = f"case when long then {st.split_capped('text', 400)} else [text] end"
+        parts.append(st.timed(f"l{k}", pieces, f"t{k}", kept="media_id, seq, n, long"))
         down = lambda c: f"case when long then floor({c})::double else {c} end as {c}"
-        parts.append(f"d{k} as (select media_id, seq, piece, {down('start_sec')}, {down('end_sec')}, text from (select t.*, length(g.text) > 400 as long from t{k} t join g{k} g using (media_id, seq)))")
+        parts.append(f"d{k} as (select media_id, seq, piece, {down('start_sec')}, {down('end_sec')}, text from t{k})")
         rows = f"r{k}"
-        parts.append(st.renumbered(f"d{k}", rows))
-    return SEG + RAW0 + ", ".join([*parts, st.force_merged(rows, 3, 3, "f")]) + " select * from f"
+        parts.append(st.renumbered(f"d{k}", rows).replace(f"{rows} as (", f"{rows} as materialized (", 1))
+    parts += [st.force_merged(rows, 3, 3, "f0"), st.force_merged("f0", 3, 3, "f1"), st.force_merged("f1", 3, 3, "f")]
+    return SEG + RAW0 + ", ".join(parts)
 
 
 def _tts_sql() -> str:
@@ -945,9 +951,17 @@ ASSEMBLY = (
 )
 
 
-@query(_merge_sql())
+@query(_merge_sql() + " select * from f")
 def merge_transcript(spark, d):
-    return composites.merge_transcript(segment_io.typed_segments(fx.raw_segments(spark, d)), 3, 60, 0.5, 400, 3)
+    return composites.merge_transcript(segment_io.typed_segments(fx.raw_segments(spark, d)), 3, 60, 0.5, 400, ROUNDS)
+
+
+_LAST = f"l{ROUNDS - 1}"
+
+
+@query(_merge_sql() + f" select (select count(*) from segments) as rows_read, (select count(*) from raw0) as rows_valid, (select count(*) from f) as rows_final, (select count(*) from {_LAST} where long and {st.count_words('text')} < 3) as rows_protected")
+def merge_report(spark, d):
+    return composites.merge_report(segment_io.typed_segments(fx.raw_segments(spark, d)), 3, 60, 0.5, 400, ROUNDS)[1]
 
 
 @query(_tts_sql())
@@ -1035,6 +1049,17 @@ def prepare_translation(spark, d):
     return composites.prepare_translation(fx.segments(spark, d), fx.progress(spark, d)).select("media_id", "seq", "batch", "place")
 
 
+@query(
+    SEG
+    + f", good as (select media_id, seq, start_sec, end_sec, {_sanitized(tx.PLACEHOLDERS_ALL)} as text from segments where (media_id + seq) % 3 <> 0 and end_sec > start_sec and length(trim(text)) >= 3 and lower(trim(text)) not in ('de', 'en', 'fr', 'es', 'dt>', 'de.', 'en.'))"
+    + " select media_id, seq, start_sec, end_sec, text from segments where (media_id + seq) % 3 = 0 union all select * from good"
+)
+def finish_translation(spark, d):
+    rows = fx.segments(spark, d).select(*composites.CORE)
+    old = (F.col("media_id") + F.col("seq")) % 3 == 0
+    return composites.finish_translation(rows.filter(~old), rows.filter(old))
+
+
 @query(ASSEMBLY)
 def assembly_plan(spark, d):
     return _rounded(composites.assembly_plan(fx.manifest(spark, d)), "effective_start", "silence", "effective_end", "actual_sec", "speed")

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from timedtext.sources.shared import importable
+
 
 def stream_segments(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files as they come; the sink's checkpoint remembers which are done."""
@@ -116,6 +118,7 @@ def stream_gap_merge(segments: DataFrame, max_gap: float = 0.5, max_dur: float =
     are dropped. A chunk goes out when a row that passed the watermark does not fit, or when the watermark has passed its
     end by the gap. Needs the RocksDB state store (with_rocksdb).
     """
+    importable(segments.sparkSession)
     rows = segments.withWatermark("ts", delay).select("media_id", F.col("seq").cast("long").alias("seq"), "start_sec", "end_sec", "text", "ts")
     return rows.groupBy("media_id").transformWithStateInPandas(OrderedMerge(max_gap, max_dur, max_chars), MERGED, "append", "eventTime")
 
@@ -161,6 +164,7 @@ def stream_progress(segments: DataFrame, expected: DataFrame | None = None, dela
     as complete. A medium's count is kept until the watermark (the latest ts, less delay) is ttl past its last row. Rows that
     may arrive twice are to go through stream_resume first. Needs the RocksDB state store (with_rocksdb).
     """
+    importable(segments.sparkSession)
     rows = segments.withWatermark("ts", delay).select("media_id", "ts").groupBy("media_id")
     done = rows.transformWithStateInPandas(Progress(int(ttl.total_seconds() * 1000)), "media_id long, done long", "update", "eventTime")
     if expected is None:
