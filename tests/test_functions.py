@@ -1,6 +1,7 @@
 """Scalar functions on hand cases and against models."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,16 @@ def test_entity_checks(spark):
     assert r.a == "<extra_id_0> runs" and r.b["<extra_id_0>"].end == 9 and r.c == {}
     found = spark.createDataFrame([("see KittyK38 and bob12 ok",)], "t string").select(en.pattern_entities(F.col("t")).alias("x")).first().x
     assert [(s.start, s.end, s.text) for s in found] == [(4, 12, "KittyK38"), (17, 22, "bob12")]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Packing and entity search over texts of thousands of parts: twice the text, about twice the time."""
+    took = {}
+    for n in (200, 20_000, 40_000):
+        text = "user7 goes. It is K12_K1 und nun, " * (n // 7)
+        df = spark.createDataFrame([(text,)], "t string")
+        began = time.time()
+        for c in (sp.split_clauses(F.col("t"), 30, 5), sp.pack_sentences(sp.split_sentences_simple(F.col("t")), 120), en.pattern_entities(F.col("t"))):
+            df.select(F.size(c)).collect()
+        took[n] = time.time() - began
+    assert took[40_000] < 3.5 * took[20_000]

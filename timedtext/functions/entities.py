@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timedtext.functions.folds import fold
+
 # Labels worth protecting, those whose loss is reported, those kept as they are, and the number of placeholders.
 TARGET_LABELS = [
     "PERSON", "PER", "ORG", "WORK_OF_ART", "EVENT", "PRODUCT", "LAW", "GPE", "FACILITY", "LANGUAGE", "NORP", "TIME", "DATE", "NUM", "CARDINAL",
@@ -165,10 +167,23 @@ def merge_maps(maps: Column) -> Column:
 
 def pattern_entities(text: Column) -> Column:
     """Array of struct(start, end, text) of handle-like tokens, in order, without those inside an earlier one."""
+    place = "struct<start:int,end:int,text:string>"
+
     def places(pattern: str) -> Column:
         found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-        total = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-        return F.transform(found, lambda m, i: F.struct((total(parts, i + 1) + total(found, i)).cast("int").alias("start"), (total(parts, i + 1) + total(found, i) + F.length(m)).cast("int").alias("end"), m.alias("text")))
 
-    both = F.array_sort(F.array_distinct(F.concat(places(HANDLE), places(NAME_WITH_DIGITS))))
-    return F.filter(both, lambda s: ~F.exists(both, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & ((o["start"] < s["start"]) | (o["end"] > s["end"]))))
+        def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            start = acc["at"] + F.length(x["before"])
+            end = start + F.length(x["text"])
+            return {"at": end}, F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))
+
+        pairs = F.filter(F.zip_with(found, parts, lambda m, p: F.struct(m.alias("text"), p.alias("before"))), lambda x: x["text"].isNotNull())
+        return fold(pairs, {"at": F.lit(0)}, place, step)
+
+    def outside(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        # longer ones come first where two begin alike, so one that ends no later than any before it lies inside that one
+        return {"reach": F.greatest(acc["reach"], x["x"]["end"])}, F.when(x["x"]["end"] > acc["reach"], x["x"])
+
+    both = F.array_distinct(F.concat(places(HANDLE), places(NAME_WITH_DIGITS)))
+    ordered = F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x.alias("x"))))
+    return F.filter(fold(ordered, {"reach": F.lit(-1)}, place, outside), lambda x: x.isNotNull())

@@ -154,20 +154,29 @@ def close_context_dedup(df: DataFrame, participles: bool = False) -> DataFrame:
     first two) keeps its own text without leading blanks and points; any other loses a prefix equal to the output
     before it. An empty text stays empty.
     """
-    rows = df.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "text"))).alias("rows"))
     tidy = lambda t: F.regexp_replace(t, r"^[ .]+", "")
     ended = lambda t: F.when((t == "") | t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
 
-    def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
-        t = F.trim(F.coalesce(r["text"], F.lit("")))
+    def needing(t: Column) -> Column:
         participle = t.rlike(r"(?i)^(?:[A-Za-zÄÖÜäöüß]+end|[A-Za-z]+nd)\b")
         starts = participle if participles else _lower_first(t) | _starts_with(t, CONJUNCTIONS_LONG, False)
-        needs, before = starts | ~t.rlike(r"[.!?]$"), acc["last"]
+        return starts | ~t.rlike(r"[.!?]$")
+
+    # what a row that needs context gives does not depend on the one before it, so an island begins there
+    rn = F.row_number().over(order())
+    rows = df.select("media_id", "start_sec", "seq", "end_sec", _stripped().alias("t")).withColumn("needs", needing(F.col("t")))
+    rows = rows.withColumn("island", F.sum(F.when(F.col("needs") & (rn > 1), 1).otherwise(0)).over(so_far()))
+    items = F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "t", "needs")))
+    rows = rows.groupBy("media_id", "island").agg(items.alias("rows"))
+
+    def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
+        t, before = r["t"], acc["last"]
         rest = tidy(F.substring(t, F.length(before) + 1, F.length(t)))
-        own = F.when(before.isNull(), t).when(needs, tidy(t)).when(F.startswith(t, before), rest).otherwise(t)
+        own = F.when(before.isNull(), t).when(r["needs"], tidy(t)).when(F.startswith(t, before), rest).otherwise(t)
         return {"last": ended(own)}, ended(own)
 
-    texts = fold("rows", {"last": F.lit(None).cast("string")}, "string", step)
+    first = F.when(F.col("island") > 0, F.lit(""))  # any text: a row that needs context does not look at it
+    texts = fold("rows", {"last": first}, "string", step)
     rows = rows.select("media_id", F.explode(F.arrays_zip("rows", texts.alias("out"))).alias("x"))
     return rows.select("media_id", "x.rows.seq", "x.rows.start_sec", "x.rows.end_sec", F.col("x.out").alias("text"))
 
@@ -229,13 +238,13 @@ def proportional_times(df: DataFrame, pieces: str = "pieces", exact_end: bool =
     return rows.select(*kept, "piece", down(start).alias("start_sec"), down(end).alias("end_sec"), "text")
 
 
-def timeline(df: DataFrame, min_gap: float = 0.2, least_silence: float = 0.02, mode: str = "target") -> DataFrame:
+def timeline(df: DataFrame, min_gap: float = 0.2, least_silence: float = 0.02, mode: str = "target", kept: list[str] = ()) -> DataFrame:
     """Where each clip is laid so that none overlaps: effective start, silence before it, had_overlap.
 
-    mode target: a clip takes end - start; actual: its actual_sec.
+    mode target: a clip takes end - start; actual: its actual_sec. Columns named in kept go along.
     """
     length = F.col("end_sec") - F.col("start_sec") if mode == "target" else F.col("actual_sec")
-    rows = df.select("media_id", "seq", "start_sec", "end_sec", length.cast("double").alias("dur"))
+    rows = df.select("media_id", "seq", "start_sec", "end_sec", length.cast("double").alias("dur"), F.struct(F.lit(0).alias("__none"), *kept).alias("kept"))
     # the end of what was laid so far is at most `latest`: every clip since some start, each with the gap before it
     upto = F.sum(F.greatest(F.col("dur"), F.lit(0.0)) + max(min_gap, 0.0)).over(so_far())
     rows = rows.withColumn("upto", upto).withColumn("before", F.coalesce(F.lag("upto").over(order()), F.lit(0.0)))
@@ -244,7 +253,7 @@ def timeline(df: DataFrame, min_gap: float = 0.2, least_silence: float = 0.02, m
     rows = rows.withColumn("latest", latest)
     free = F.col("start_sec") >= F.coalesce(F.lag("latest").over(order()), F.lit(0.0)) + 1e-3  # sums of doubles are not exact
     rows = rows.withColumn("island", F.sum(F.when(free, 1).otherwise(0)).over(so_far()))
-    items = F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "dur")))
+    items = F.sort_array(F.collect_list(F.struct("start_sec", "seq", "end_sec", "dur", "kept")))
     rows = rows.groupBy("media_id", "island").agg(items.alias("rows"))
 
     def step(acc: Column, r: Column) -> tuple[dict[str, Column], Column]:
@@ -259,7 +268,7 @@ def timeline(df: DataFrame, min_gap: float = 0.2, least_silence: float = 0.02, m
     running = F.coalesce(F.lag("effective_end").over(order()), F.lit(0.0))
     gap = F.col("effective_start") - running
     rows = rows.withColumn("silence", F.when(gap > least_silence, gap).otherwise(0.0)).withColumn("had_overlap", F.col("start_sec") < running)
-    return rows.select("media_id", "seq", "start_sec", "end_sec", "effective_start", "silence", "had_overlap", "effective_end")
+    return rows.select("media_id", "seq", "start_sec", "end_sec", "effective_start", "silence", "had_overlap", "effective_end", *(F.col(f"kept.{c}") for c in kept))
 
 
 def batch_ids(df: DataFrame, size: int) -> DataFrame:

@@ -223,8 +223,5 @@ def assembly_plan(manifest: DataFrame, mode: str = "actual") -> DataFrame:
     rows = manifest.withColumn("target_sec", F.col("end_sec") - F.col("start_sec"))
     speed = capped_speed(F.col("actual_sec"), F.col("target_sec"))
     rows = rows.withColumn("speed", F.round(speed["speed"], 9)).withColumn("capped", speed["capped"]).withColumn("played_sec", F.col("actual_sec") / F.col("speed"))
-    plan = windows.timeline(rows.select("media_id", "seq", "start_sec", "end_sec", F.col("played_sec").alias("actual_sec")), mode=mode)
-    rest = rows.select("media_id", "seq", "chunk_path", "actual_sec", "speed", "capped", tempo_chain(F.col("speed")).alias("tempo"))
-    return plan.join(rest, ["media_id", "seq"])
-
-
+    rows = rows.withColumn("tempo", tempo_chain(F.col("speed"))).withColumn("clip_sec", F.col("actual_sec")).withColumn("actual_sec", F.col("played_sec"))
+    return windows.timeline(rows, mode=mode, kept=["chunk_path", "clip_sec", "speed", "capped", "tempo"]).withColumnRenamed("clip_sec", "actual_sec")
