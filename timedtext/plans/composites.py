@@ -199,10 +199,12 @@ def polish(pairs: DataFrame, tries: DataFrame, skip_threshold: float = 0.9) -> t
     return decisions, aggregates.polish_summary(decisions)
 
 
-def select_best(segments: DataFrame, sources: DataFrame, hyps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(segments with their best hypothesis, report, highest and lowest)."""
+def select_best(segments: DataFrame, sources: DataFrame, hyps: DataFrame, report: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(segments with their best hypothesis, report, highest and lowest). The report's medians take rounds over the scores
+    when this is called; without report it is None."""
     best = hypotheses.best_hypothesis_by_similarity(sources, hyps)
-    return hypotheses.apply_best(segments, best), aggregates.selection_report(hyps, best), hypotheses.top_bottom_segments(best)
+    told = aggregates.selection_report(hyps, best) if report else None
+    return hypotheses.apply_best(segments, best), told, hypotheses.top_bottom_segments(best)
 
 
 def prepare_translation(segments: DataFrame, finished: DataFrame, batch: int = 32) -> DataFrame:

@@ -1041,7 +1041,7 @@ def polish(spark, d):
 @query(fx.with_sql("segments", "hypotheses") + SIM + ", b as (select segment_id, arg_max(text, {'s': round(similarity, 9), 'h': -hypothesis_id}) as best from z group by 1) select media_id, seq, segment_id, coalesce(best, text) as text from (select media_id, seq, media_id as segment_id, text from segments) s left join b using (segment_id)")
 def select_best(spark, d):
     seg = fx.segments(spark, d).select("media_id", "seq", F.col("media_id").alias("segment_id"), "text")
-    return composites.select_best(seg, fx.sources(spark, d), fx.hypotheses(spark, d).withColumn("score", F.col("beam_score_raw")))[0]
+    return composites.select_best(seg, fx.sources(spark, d), fx.hypotheses(spark, d).withColumn("score", F.col("beam_score_raw")), report=False)[0]
 
 
 @query(fx.with_sql("segments", "progress") + ", t as (select s.* from segments s anti join progress using (media_id, seq)), n as (select media_id, seq, row_number() over (partition by media_id order by start_sec, seq) - 1 as place from t) select media_id, seq, place // 32 as batch, place::int as place from n")
