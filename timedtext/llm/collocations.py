@@ -33,7 +33,7 @@ BUCKETS, ROUTE_ROWS, HOT_ROWS = 1 << 16, 1 << 18, 1 << 19
 #: Frequent words (8 bytes each) up to which their numbers are sent to all tasks, to leave out rare words; beyond it, none are left out.
 MOST_FREQUENT = 4_000_000
 #: Bytes of text that numpy works on at once, and suffixes sorted before they travel.
-BLOCK_BYTES, FLUSH_SUFFIXES = 4 << 20, 1_000_000
+BLOCK_BYTES, FLUSH_SUFFIXES = 2 << 20, 500_000
 #: Parts below this size are sorted outright.
 SMALL = 4096
 #: Words longer than this are hashed whole.
