@@ -78,6 +78,32 @@ def test_near_duplicates(rows, docs, monkeypatch, hot):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.component_id is not None)
 
 
+def thue_morse(n):
+    """Two words over a and b, one the complement of the other: polynomials modulo 2**64 can not tell them apart."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_stay_apart(spark):
+    given = [(2 * n + k, f"see {w} end") for n in (64, 1024, 70_000) for k, w in enumerate(thue_morse(n))]
+    blocks = [("a" * 64, "b" * 64), ("ab" * 32, "ba" * 32)]
+    given += [(i, "".join(x if c == "a" else y for c in w)) for i, (w, (x, y)) in enumerate(((w, b) for w in thue_morse(1024) for b in blocks), 1)]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == Counter(near_model(given))
+    hashes = near_dedup.words_of([t.encode() for _, t in given])
+    assert len(set(hashes.hash.tolist())) == len({w for _, t in given for w in t.split()})
+
+
+def test_word_hashes_know_case_and_prefixes():
+    from timedtext.llm.words import ALNUM, words_of
+
+    long = "xY" * 200
+    w = words_of([f"Abc abC abcd {long}".encode(), b"", f"{long.lower()} ab".encode()], ALNUM)
+    assert w.hash[0] == w.hash[1] != w.hash[2] and w.hash[3] == w.hash[4] and w.row.tolist() == [0, 0, 0, 0, 2, 2]
+    first = w.prefixes(3)
+    assert first[0] == first[1] == first[2] != first[3] and first[3] == first[4] and len({*first.tolist(), *w.hash.tolist()}) == 3 + 4
+
+
 def test_near_duplicates_in_chains_and_templates(spark, monkeypatch):
     """Groups that grow step by step, and pages of one template that must not meet pair by pair."""
     rng = random.Random(5)
@@ -341,6 +367,26 @@ def test_redaction(spark):
         assert r.out == (r.text if r.text is None else want + r.text[at:])
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_redaction_of_thousands_of_overlapping_spans(spark, monkeypatch, block):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    rng = random.Random(4)
+    text = "".join(rng.choice("aé日😀 \n") for _ in range(20_000))
+    starts = sorted(rng.randrange(19_900) for _ in range(1500))
+    spans = [(a, 0, a + rng.randint(1, 60 if a % 9 == 0 else 6), "hex") for a in starts] + [(19_990, 0, 20_000, "hex")]
+    schema = "text string, spans array<struct<start:int,rank:int,end:int,kind:string>>"
+    got = spark.createDataFrame([(text, spans), ("", []), (None, []), ("all", [(0, 0, 3, "hex")])], schema).repartition(1)
+    want, at = "", 0
+    for a, _, b, _ in spans:
+        if b > at:
+            want += (text[at:a] + "[REDACTED]") if a >= at else ""
+            at = b
+    out = {r.text: r.out for r in got.select("text", secrets.redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
+    assert out == {text: want + text[at:], "": "", None: None, "all": "[REDACTED]"}
+
+
 def test_sharding(rows, docs):
     got = sharding.op2(crowded(docs)).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
@@ -544,14 +590,14 @@ def test_lm_averages_many_models(spark):
     assert np.allclose(np.frombuffer(got, np.float32), sum(k * k for k, _, _ in given) / sum(k for k, _, _ in given), rtol=1e-4)
 
 
-def test_lm_learns_from_a_share_of_all_texts(spark, monkeypatch):
+@pytest.mark.parametrize("share", [1, 2])
+def test_lm_learns_from_a_share_of_all_texts(spark, monkeypatch, share):
     """Beyond the sample too: with other texts behind it the model is another one."""
     monkeypatch.setattr(lm_scoring, "STEPS", 5)
-    monkeypatch.setattr(lm_scoring, "SHARE", 2)
     scores = []
     for word in ("other", "words"):
         given = [(i, "some plain text of words") for i in range(40)] + [(i, f"{word} {word} text") for i in range(40, 80)]
-        scores.append([r.score for r in lm_scoring.score(spark.createDataFrame(given, "doc_id long, text string"), sample=3).filter("doc_id < 40").collect()])
+        scores.append([r.score for r in lm_scoring.score(spark.createDataFrame(given, "doc_id long, text string"), sample=3, share=share).filter("doc_id < 40").collect()])
     assert scores[0] != scores[1]
 
 

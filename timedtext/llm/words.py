@@ -1,7 +1,8 @@
 """Words of many texts at once as 64-bit hashes, computed with numpy over the joined bytes.
 
-A word's hash is a polynomial over its bytes (A-Z lower-cased), taken from prefix sums modulo 2**64 and mixed
-at the end, so neither the number of words nor their lengths cost Python steps.
+A word's hash is the sum of a random value for each of its bytes (A-Z lower-cased) and that byte's place in the word,
+taken from prefix sums and mixed at the end, so neither the number of words nor their lengths cost Python steps. Values of
+different places have nothing in common, so no regular words share a hash, as they do under a polynomial modulo 2**64.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _A = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(16)]
 
 
@@ -25,12 +25,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _table(separators: range | list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+#: Places of a word that have random values of their own in a table; those of the places behind them are mixed from these.
+PLACES = 64
+
+
+def _table(separators: range | list[int]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(256, bool)
     inside[list(separators)] = False
-    value = mix(np.arange(1, 257, dtype=np.uint64) * _P)
-    value[65:91] = value[97:123]
-    return inside, value
+    value = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _P).reshape(PLACES, 256)
+    value[:, 65:91] = value[:, 97:123]
+    return inside, value.ravel()
 
 
 #: Words are runs of anything but ASCII white space.
@@ -38,17 +42,6 @@ SPACED = _table([0x20, *range(0x09, 0x0E)])
 #: Words are runs of ASCII letters and digits and of everything beyond ASCII.
 ALNUM = _table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, p in enumerate((_P, _P_INV)):
-            x = np.full(max(n, 1 << 19), p)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers
-
 
 @dataclass
 class Words:
@@ -59,15 +52,27 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # of each text, and the total at the end
-    _sums: np.ndarray
+    _sums: np.ndarray  # of the values of all words' bytes, one word behind the other
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hash of the first n bytes of each word, or of the whole word if it is shorter."""
-        return self._span(self.start, np.minimum(self.start + n, self.end), np.uint64(n))
+        return self._hashed(np.minimum(self.end - self.start, n), np.uint64(n))
 
-    def _span(self, a: np.ndarray, b: np.ndarray, salt: np.uint64) -> np.ndarray:
+    def _hashed(self, n: np.ndarray, salt: np.uint64) -> np.ndarray:
+        length = self.end - self.start
+        at = np.cumsum(length) - length
         with np.errstate(over="ignore"):
-            return mix((self._sums[b] - self._sums[a]) * _power_tables(len(self._sums))[1][a] + (b - a).astype(np.uint64) * _A[1] + salt)
+            return mix(self._sums[at + n] - self._sums[at] + n.astype(np.uint64) * _A[1] + salt)
+
+
+def _values(letters: np.ndarray, length: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Value of each byte at its place, of words that stand one behind the other."""
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(length) - length, length)
+    out = value[(place % PLACES) * 256 + letters]
+    far = np.flatnonzero(place >= PLACES)
+    with np.errstate(over="ignore"):
+        out[far] = mix(out[far] + (place[far] // PLACES).astype(np.uint64) * _A[1])
+    return out
 
 
 def words_of(texts: list[bytes], kind: tuple[np.ndarray, np.ndarray] = SPACED) -> Words:
@@ -76,14 +81,14 @@ def words_of(texts: list[bytes], kind: tuple[np.ndarray, np.ndarray] = SPACED) -
     in_word = inside[buf]
     edge = np.flatnonzero(in_word[1:] != in_word[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(value[buf] * _power_tables(len(buf) + 1)[0][: len(buf)], dtype=np.uint64, out=sums[1:])
+    letters = buf[in_word]
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(_values(letters, end - start, value), dtype=np.uint64, out=sums[1:])
     bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
     first = np.searchsorted(start, bounds)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     w = Words(np.empty(0, np.uint64), row, start, end, first, sums)
-    w.hash = w._span(start, end, np.uint64(0))
+    w.hash = w._hashed(end - start, np.uint64(0))
     return w
 
 
