@@ -37,8 +37,8 @@ RULES = (
 )
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 SPANS = "array<struct<start:int,end:int>>"
-#: Matches summed at once.
-RUN = 256
+#: Matches summed at once, and code points of a text in one block when it is masked.
+RUN, BLOCK = 256, 4096
 
 
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -125,11 +125,42 @@ def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     return out.select(*kept, F.coalesce("spans", empty).alias("spans"))
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text cut into blocks; reads only the blocks that hold them."""
+    a, b = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    read = F.array_join(F.slice(blocks, a + 1, b - a + 1), "")
+    return F.when(end > start, F.substring(read, start - a * BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+
+def _ends_before(ends: Column) -> Callable[[Column, Column], Column]:
+    """Greatest end before a place, given the greatest ends before each run of RUN places."""
+    return lambda place, runs: F.greatest(F.lit(0), F.get(runs, F.floor(place / RUN).cast("int")), F.array_max(F.slice(ends, place - place % RUN + 1, place % RUN)))
+
+
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with every span replaced by the mark; overlapping spans by one."""
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))).alias("out"), s["end"].alias("at")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    """The text with every span replaced by the mark; overlapping spans by one. Null stays null.
+
+    spans are in order of their starts. What stands between them is cut from blocks of the text and joined once.
+    """
+    cut = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
+        F.transform(spans, lambda s: s["start"]).alias("start"),
+        F.transform(spans, lambda s: s["end"]).alias("end"),
+        F.length(text).alias("n"),
+    )
+
+    def masked(c: Column) -> Column:
+        before = _ends_before(c["end"])
+        of_runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(c["end"]) / RUN).cast("int")), lambda k: F.array_max(F.slice(c["end"], k * RUN + 1, F.lit(RUN))))
+        runs = _bound(of_runs, lambda most: F.transform(most, lambda _, k: F.array_max(F.slice(most, F.lit(1), k))))
+
+        def pieces(r: Column) -> Column:
+            piece = lambda at, start: F.when(start >= at, F.concat(_between(c["blocks"], at, start), F.lit(mark))).otherwise(F.lit(""))
+            return F.transform(c["start"], lambda start, i: _bound(before(i, r), lambda at: piece(at, start)))
+
+        return F.concat(_bound(runs, lambda r: F.array_join(pieces(r), "")), _between(c["blocks"], F.array_max(c["end"]), c["n"]))
+
+    return F.when(F.size(spans) > 0, _bound(cut, masked)).otherwise(text)
 
 
 def op4(docs: DataFrame) -> DataFrame:
