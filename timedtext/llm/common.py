@@ -29,10 +29,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new path under the folder that the driver and all executors share: spark.checkpoint.dir, or what setCheckpointDir named.
 
-    Without either, the warehouse is taken, which tables need to be shared too.
+    Without either, a local session takes its warehouse, and any other is an error: its machines share no other folder.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
