@@ -3,6 +3,8 @@ secrets are masked, and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with the columns of ``documents``; the last
 one returns the packing. The caller writes each result as Parquet and hands what it reads back to the next stage.
+
+Every stage reads COLUMNS only, so further columns of any name are ignored, and the empty table gives the empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ NEAR_PERCENT, NEAR_BANDS = 80, 30
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 by the classifier, learnt from the labels."""
+    """Documents scored below 0.5 by the classifier, learnt from the labels.
+
+    Null and empty texts are scored as texts without words; a score of just 0.5 goes. Repeated rows share one score, so
+    all of them stay or go. Rows with a null doc_id are scored and never learnt from. Without labels all stay.
+    """
     scored = toxicity.score_toxicity(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.filter("score < 0.5").select(COLUMNS)
 
@@ -40,13 +46,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark; n_chars follows the text."""
+    """All rows, each secret replaced by a mark; n_chars follows the text where it changes.
+
+    Null and empty texts stay as they are, with their n_chars; repeated rows are masked alike. Secrets of two kinds that
+    overlap become one mark.
+    """
     found = secrets.findings(docs.select(COLUMNS))
     text = secrets.redacted(F.col("text"), F.col("spans"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece: all rows packed into sequences of 1024 tokens. Null and empty texts are pieces of their end alone;
+    repeated rows are packed as often as they stand there; long texts are cut; of equal fits any may be taken."""
     return packing.pack(docs)
 
 
