@@ -199,7 +199,6 @@ def test_packing(rows, docs):
 
     got = packing.pack(crowded(docs), capacity=256).collect()
     tok = Tokenizer.from_file(str(packing.public_tokenizers.path("byte_bpe_50k.json")))
-    tok.encode_special_tokens = True
     want = Counter()
     for d, t, *_ in rows:
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -251,6 +250,58 @@ def test_crossover_keeps_every_document_once():
     assert max(best) + 1 <= min(len(p[0]) for p in parents)
 
 
+def fewest_bins(sizes, capacity):
+    """By trying every bin for every item."""
+    def go(k, loads):
+        if len(loads) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(loads)
+            return
+        for j in range(len(loads)):
+            if loads[j] + sizes[k] <= capacity:
+                go(k + 1, [*loads[:j], loads[j] + sizes[k], *loads[j + 1 :]])
+        go(k + 1, [*loads, sizes[k]])
+
+    best = [len(sizes) + 1]
+    go(0, [])
+    return best[0]
+
+
+def test_packing_of_few_documents_is_the_best_there_is():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 7, 8):
+        for _ in range(8):
+            sizes = [int(x) for x in rng.integers(1, 60, n)]
+            label = packing.evolve(sizes, [], 100, 8, 3, 1)
+            loads = Counter()
+            for k, x in zip(label, sizes, strict=True):
+                loads[k] += x
+            assert max(loads.values()) <= 100 and len(loads) == fewest_bins(sizes, 100)
+
+
+def test_fullest_is_the_largest_sum_below():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes, room = [int(x) for x in rng.integers(1, 40, 8)], int(rng.integers(0, 120))
+        sums = [sum(x for k, x in enumerate(sizes) if m >> k & 1) for m in range(1 << 8)]
+        got = packing.fullest(list(range(8)), sizes, room)
+        assert len(set(got)) == len(got) and sum(sizes[i] for i in got) == max(s for s in sums if s <= room)
+
+
+def test_the_genetic_search_saves_bins_that_best_fit_needs():
+    saved = 0
+    for seed in range(12):
+        sizes = [int(x) for x in np.random.default_rng(seed).integers(20, 700, 300)]
+        bins, room = [], []
+        packing.best_fit(sorted(range(300), key=lambda i: -sizes[i]), sizes, bins, room, 1024)
+        label = packing.evolve(sizes, [], 1024, packing.GENERATIONS, packing.POPULATION, 1)
+        assert max(sum(s for s, k in zip(sizes, label, strict=True) if k == j) for j in set(label)) <= 1024
+        assert len(set(label)) <= len(room)
+        saved += len(room) - len(set(label))
+    assert saved > 0
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

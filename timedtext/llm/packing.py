@@ -3,8 +3,9 @@
 Pieces of full length fill a sequence each. The rest is dealt at random into blocks of bounded size; each block is
 evolved by several islands, whose best packings migrate round the ring between epochs. A packing is its bins: a
 crossover injects whole well-filled bins of one parent into the other, drops bins that hold one of their documents
-twice, and puts the displaced documents into the best-fitting bins. Bins that stay under-filled are opened again and
-packed together at a second level, so that the blocks' loose ends do not add up.
+twice, and puts the displaced documents into the best-fitting bins. A mutation empties the bins with most room and some
+others and fills them anew, each as full as its documents allow, which moves the room of many bins into one. Bins that
+stay under-filled are opened again and packed together at a second level, so that the blocks' loose ends do not add up.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,9 @@ from timedtext.llm.common import prepare, written
 CAPACITY = 1024
 END_ID = 2
 BLOCK = 2048
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 5, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 8, 3
+#: Bins that a mutation empties: so many with most room, and as many others.
+EMPTIED = 3
 OPEN_BELOW = 0.97
 #: The added token of the tokenizer file, which the rank file leaves out.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -116,6 +120,60 @@ def crossover(into: tuple, source: tuple, sizes: list[int], capacity: int, rng:
     return new, free
 
 
+def fullest(items: list[int], sizes: list[int], room: int) -> list[int]:
+    """Items whose sizes have the largest sum that is not above room; items named first are preferred."""
+    reach, mask = [1], (1 << room + 1) - 1  # bit s: some of the items so far add up to s
+    for i in items:
+        reach.append(reach[-1] | reach[-1] << sizes[i] & mask)
+    left, taken = reach[-1].bit_length() - 1, []
+    for i, before in zip(reversed(items), reversed(reach[:-1]), strict=True):
+        if not before >> left & 1:
+            taken.append(i)
+            left -= sizes[i]
+    return taken
+
+
+def exchange(bins: list[list[int]], room: list[int], loose: list[int], sizes: list[int]) -> None:
+    """Where a bin has room, give it one or two loose documents for as many or more of its own that fill it less."""
+    by_sum: dict[int, tuple[int, ...]] = {}
+    for k in sorted((k for k, r in enumerate(room) if r), key=lambda k: -room[k]):
+        if not by_sum:
+            by_sum = {sizes[i] + sizes[j]: (i, j) for i, j in combinations(loose, 2)} | {sizes[i]: (i,) for i in loose}
+            one = sum(1 << x for x in {sizes[i] for i in loose})
+            any_two = sum(1 << x for x in by_sum)
+        few = sorted(bins[k], key=lambda i: -sizes[i])[:6]
+        best, out = 0, ()
+        for own in (*combinations(few, 2), *((i,) for i in few)):
+            had = sum(sizes[i] for i in own)
+            most = ((any_two if len(own) > 1 else one) & (1 << had + room[k] + 1) - 1).bit_length() - 1
+            if most - had > best:
+                best, out, come = most - had, own, by_sum[most]
+        if best:
+            bins[k] = [i for i in bins[k] if i not in out] + list(come)
+            room[k] -= best
+            loose[:] = [i for i in loose if i not in come] + list(out)
+            by_sum = {}
+
+
+def mutate(parent: tuple, sizes: list[int], capacity: int, rng: np.random.Generator) -> tuple:
+    """Empty the EMPTIED bins with most room and as many others, exchange, then fill bins anew round the largest left."""
+    bins, room = parent
+    order = np.argsort(room, kind="stable")[::-1]
+    emptied = {int(k) for k in (*order[:EMPTIED], *rng.permutation(order[EMPTIED:])[:EMPTIED])}
+    new = [list(b) for k, b in enumerate(bins) if k not in emptied]
+    free = [r for k, r in enumerate(room) if k not in emptied]
+    loose = [i for k in emptied for i in bins[k]]
+    exchange(new, free, loose, sizes)
+    loose.sort(key=lambda i: -sizes[i])
+    while loose:
+        inside = [loose[0], *fullest(loose[1:], sizes, capacity - sizes[loose[0]])]
+        new.append(inside)
+        free.append(capacity - sum(sizes[i] for i in inside))
+        gone = set(inside)
+        loose = [i for i in loose if i not in gone]
+    return new, free
+
+
 def _solution(label: list[int], sizes: list[int], capacity: int) -> tuple:
     bins: dict[int, list[int]] = {}
     for i, k in enumerate(label):
@@ -142,7 +200,7 @@ def evolve(sizes: list[int], elites: list[list[int]], capacity: int, generations
             break
         a, b = rng.choice(len(group), 2, replace=False)
         for x, y in ((a, b), (b, a)):
-            child = crossover(group[x], group[y], sizes, capacity, rng)
+            child = mutate(crossover(group[x], group[y], sizes, capacity, rng), sizes, capacity, rng)
             if score(child) > score(group[-1]):
                 group[-1] = child
                 group.sort(key=score, reverse=True)
