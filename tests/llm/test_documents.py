@@ -353,6 +353,20 @@ def test_decontamination_by_a_phrase_in_every_item(spark, monkeypatch):
         assert {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.op3(docs, bench).collect()} == {1: (10, 60), 2: (21, 60), 3: (0, 0)}
 
 
+def test_decontamination_plan_does_not_grow_with_the_benchmark(spark, monkeypatch):
+    """Words of the benchmark are not written into the plan; a filter so small that it lets most words pass changes no row."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * 5 + k}" for k in range(30))) for i in range(40)], "doc_id long, text string")
+    texts = [(i, " ".join(f"word{i * 3 + k}" for k in range(15))) for i in range(60)]
+    sizes, rows = [], []
+    for n in (3, 60, 60):
+        got = decontamination.op3(docs, spark.createDataFrame(texts[:n], "item_id long, text string"))
+        sizes.append(len(got._jdf.queryExecution().logical().toJSON()))
+        rows.append(Counter(map(tuple, got.collect())))
+        if n == 60:
+            monkeypatch.setattr(decontamination, "FILTER_BITS", 64)
+    assert sizes[1] < 1.1 * sizes[0] + 1000 and rows[1] == rows[2] != rows[0]
+
+
 def test_decontamination_of_nothing(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.op3(docs, empty).filter("contaminated").count() == 0

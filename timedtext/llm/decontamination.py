@@ -17,6 +17,8 @@ from timedtext.llm.common import ascii_lower, prepare, written
 WINDOW = 10
 #: Pairs of a benchmark window and an item that has it, up to this many, are broadcast (some 200 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 50_000
+#: Bits of the filter that tells places where an anchor may stand from the others. Its size, and the plan's, does not grow with the benchmark.
+FILTER_BITS = 1 << 20
 #: ASCII characters that stand between words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,6 +44,20 @@ def _windows(n: int) -> Column:
     return F.when(F.size("w") >= n, each).otherwise(F.array().cast("array<struct<start:int,length:int,gram:string>>"))
 
 
+def _bit(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(FILTER_BITS))
+
+
+def _may_be(anchors: DataFrame) -> Column:
+    """An array of longs, FILTER_BITS bits: that of a word is set if the word is an anchor, and by chance of few others."""
+    bits = anchors.select(_bit(F.col("anchor")).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("k"))
+    words = bits.agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("v")).collect()  # FILTER_BITS / 64 rows at most
+    longs = ["0"] * (FILTER_BITS >> 6)
+    for k, v in words:
+        longs[k] = str(v)
+    return F.split(F.lit(" ".join(longs)), " ").cast("array<long>")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row per row of docs: row (a key of this run), doc_id, n_words, hit (sorted places of hit words), item_ids.
 
@@ -54,12 +70,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
     source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
     if pairs <= BROADCAST_WINDOWS:
         anchors = grams.groupBy("anchor").agg(F.collect_set(F.struct("offset", "length")).alias("places"))
-        words = [r[0] for r in anchors.select("anchor").toLocalIterator()]  # no more than the windows just counted
+        bits = _may_be(anchors)
         # of a place where an anchor stands only the words around it are carried on: n - 1 before it and behind it
         around = lambda i: F.slice("w", F.greatest(i - n + 2, F.lit(1)), F.least(i, F.lit(n - 1)) + n)
-        place = lambda w, i: F.when(w.isin(words), F.struct((i + 1).alias("at"), around(i).alias("near")))
-        none = F.array().cast("array<struct<at:int,near:array<string>>>")
-        found = F.filter(F.transform("w", place), lambda p: p.isNotNull()) if words else none
+        set_in = lambda b: F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
+        place = lambda w, i: F.when(set_in(_bit(w)), F.struct((i + 1).alias("at"), around(i).alias("near")))
+        found = F.filter(F.transform("w", place), lambda p: p.isNotNull())
         at = source.select("row", "doc_id", "n_words", F.explode_outer(found).alias("p"))
         at = at.select("row", "doc_id", "n_words", "p.at", "p.near", F.least("p.at", F.lit(n)).alias("here"))  # here: the anchor's place in near
         near = at.withColumn("anchor", F.get("near", F.col("here") - 1)).join(F.broadcast(anchors), "anchor", "left").withColumn("p", F.explode_outer("places"))
