@@ -22,7 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from timedtext.llm.common import prepare
@@ -30,9 +30,9 @@ from timedtext.llm.common import prepare
 #: Pages that label the training set: of those that label themselves, the ones with the least hashed ids.
 SAMPLE = 150
 #: Characters of a page, and elements around a block, beyond which a page is not learnt from (it is extracted like any other).
-LONGEST, DEEPEST = 1 << 20, 200
+LONGEST, DEEPEST = 1 << 18, 200
 #: With fewer of them, invented articles make up the number.
-FEW = 20
+FEW = 60
 DIM, EPOCHS, RATE, DECAY = 1 << 13, 6, 0.3, 1e-4
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul div center".split())
@@ -163,7 +163,7 @@ def text_places(text: str, linked: int) -> list[int]:
     n = len(text)
     share = min(linked / n, 1.0)
     last = text[-1] if not text[-1].isalnum() else "a"
-    facts = [f"length {int(math.log2(n))}", f"links {int(share * 3.99)}", f"words {min(text.count(' '), 8)}", f"ends {last}"]
+    facts = [f"length {min(int(math.log2(n)), 8)}", f"links {int(share * 3.99)}", f"words {min(text.count(' '), 8)}", f"ends {last}"]
     if "©" in text:
         facts.append("copyright")
     return [_place(x) for x in facts]
@@ -250,19 +250,51 @@ MAIN_WORDS = "content post entry article story text body main".split()
 ASIDE_WORDS = "sidebar comments comment ad ads advert footer header nav navbar menu notice cookie banner promo related share newsletter form widget popup breadcrumb login".split()
 
 
+#: Elements that hold a text of an article: most are paragraphs.
+HOLDERS = ["<p>{}</p>"] * 8 + ["<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>", "<div>{}</div>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<dl><dd>{}</dd></dl>", "<pre>{}</pre>"]
+#: What a form holds.
+FIELDS = ["<p>{}</p>", "<label>{}</label><input>", "<button>{}</button>", "<div><label>{}</label><textarea></textarea></div>", "<select><option>{}</option></select>", "<ul><li>{}</li></ul>"]
+
+
+def random_body(texts: list[str], noise: list[str], rng: np.random.Generator) -> str:
+    """Texts of an article in paragraphs, lists and the like; a form or an advert may stand among them."""
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    parts, k = [], 0
+    while k < len(texts):
+        n = 1 + int(rng.integers(3)) if rng.random() < 0.25 else 0
+        if n:  # a list of several items
+            tag = pick(["ul", "ol"])
+            parts.append(f"<{tag}>" + "".join(f"<li>{html.escape(x)}</li>" for x in texts[k : k + n]) + f"</{tag}>")
+        else:
+            parts.append(pick(HOLDERS).format(html.escape(texts[k])))
+        k += n or 1
+    if rng.random() < 0.5:
+        fields = "".join(pick(FIELDS).format(html.escape(pick(noise))) for _ in range(1 + int(rng.integers(3))))
+        parts.insert(int(rng.integers(len(parts) + 1)), f"<form>{fields}</form>")
+    if rng.random() < 0.3:
+        parts.insert(int(rng.integers(len(parts) + 1)), f'<div class="{pick(ASIDE_WORDS)}"><p>{html.escape(pick(noise))}</p></div>')
+    return "".join(parts)
+
+
 def random_layout(title: str, texts: list[str], noise: list[str], rng: np.random.Generator) -> str:
     """Asides of random class words, as div, section or aside, before and after the article."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     named = lambda words: f'{pick(["class", "id"])}="{pick(words)}{pick(["", "-box", "-list", "-wrap"])}"'
 
     def aside(x: str) -> str:
-        tag, inner = pick(["div", "div", "section", "aside"]), pick(["{}", "<p>{}</p>", "<p>{}</p>", '<ul><li><a href="/">{}</a></li></ul>', "<div><p>{}</p></div>"])
+        tag, inner = pick(["div", "div", "section", "aside"]), pick(["{}", "<p>{}</p>", "<p>{}</p>", '<ul><li><a href="/">{}</a></li></ul>', "<ul><li>{}</li></ul>", "<div><p>{}</p></div>"])
         return f"<{tag} {named(ASIDE_WORDS)}>{inner.format(html.escape(x))}</{tag}>"
 
     cut = int(rng.integers(len(noise)))
-    body = "".join(f"<p>{html.escape(x)}</p>" for x in texts)
     top = f"<h{1 + int(rng.integers(2))}>{html.escape(title)}</h1>"
-    return f"<html><body>{''.join(map(aside, noise[:cut]))}<div {named(MAIN_WORDS)}>{top}{body}</div>{''.join(map(aside, noise[cut:]))}</body></html>"
+    tag = pick(["div", "div", "div", "section", "article"])
+    inside = f"<{tag} {named(MAIN_WORDS)}>{top}{random_body(texts, noise, rng)}</{tag}>"
+    return f"<html><body>{''.join(map(aside, noise[:cut]))}{inside}{''.join(map(aside, noise[cut:]))}</body></html>"
+
+
+def without_final_points(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """A third of the texts end as headlines and list items do, so that how a text ends does not decide alone."""
+    return [(x.rstrip(".!?…") or x) if rng.random() < 1 / 3 else x for x in texts]
 
 
 def invented(n: int) -> list[tuple[list[str], list[str]]]:
@@ -295,10 +327,11 @@ def training_set(pages: list[str]) -> list[tuple[list[list[int]], np.ndarray]]:
         longer = [x for x in known[(k + 3) % len(known)][0] if x not in texts]
         noise = (other[:6] + longer[:2] + other[6:] + ["more", "about us", "menu", "subscribe", "log in", "share", "terms", "home", "contact"])[:12]
         rng = np.random.default_rng(k)
-        some = [[noise[i] for i in rng.choice(len(noise), 4, replace=False)] for _ in range(4)]
-        for page in [*layouts(texts[0], texts[1:] or texts, noise), *(random_layout(texts[0], texts[1:] or texts, x, rng) for x in some)]:
+        some = [[noise[i] for i in rng.choice(len(noise), 4, replace=False)] for _ in range(5)]
+        ends = without_final_points(texts, rng)
+        inside = set(texts) | set(ends)
+        for page in [*layouts(texts[0], ends[1:] or texts, noise), *(random_layout(texts[0], ends[1:] or texts, x, rng) for x in some)]:
             blocks = leaf_blocks(page)
-            inside = set(texts)
             cases.append((blocks, [int(b[1] in inside and b[0].tag != "title") for b in blocks]))
     return [([places(b) for b in blocks], np.array(y)) for blocks, y in cases if blocks]
 
@@ -344,22 +377,35 @@ def _self_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(map(labels_itself, batch.column("html").to_pylist()), pa.bool_()))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: whether all pages label themselves, how many there are, the weights of features and of label pairs."""
+    pages = sorted((k, h) for batch in batches for k, h in zip(batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True) if h is not None)
+    w, step = fit([h for _, h in pages])
+    row = {"useful": [sum(labels_itself(h) for _, h in pages)], "n": [len(pages)], "w": [w.tolist()], "step": [sum(step, [])]}
+    yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("useful", pa.int64()), ("n", pa.int64()), ("w", pa.list_(pa.float64())), ("step", pa.list_(pa.float64()))]))
+
+
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages.
 
     Null or block-less html gives an empty text. Repeated rows are extracted alike. Where fewer than FEW pages of the
-    table name their article, the field is fitted on invented ones too. Other columns are not read.
+    table name their article, the field is fitted on invented ones too. Other columns are not read. The field is fitted
+    in one task, on at most sample pages of LONGEST characters each; the driver only sees its weights.
     """
     spark = prepare(pages.sparkSession)
     named = pages.filter((F.length("html") <= LONGEST) & F.col("html").rlike(r"(?i)<(article|main)[\s/>]"))
     named = named.select("html", F.xxhash64("page_id", "url").alias("key"))
 
-    def least(rows: DataFrame) -> list[str]:  # as many as the sample
+    def fitted(rows: DataFrame) -> Row:
         keys = rows.select("key").distinct().orderBy("key").limit(sample)
-        return [r["html"] for r in sorted(rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("html").alias("html")).collect(), key=lambda r: r["key"])]
-
-    found = least(named)
-    if len(found) == sample and not all(map(labels_itself, found)):  # others may stand behind those that do not
-        found = least(named.mapInArrow(_self_labelled, "html string, key long"))
-    model = fit(found)
+        least = rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("html").alias("html"))
+        # an empty table has no task that would fit, so a row without a page stands in; it is left out in the task
+        alone = spark.range(1).select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("html"))
+        one = least.unionByName(alone).repartition(1).select("key", "html")
+        return one.mapInArrow(_fitted, "useful long, n long, w array<double>, step array<double>").first()
+
+    found = fitted(named)
+    if found["n"] == sample and found["useful"] < sample:  # others may stand behind those that do not label themselves
+        found = fitted(named.mapInArrow(_self_labelled, "html string, key long"))
+    model = (np.array(found["w"]), [list(found["step"][:2]), list(found["step"][2:])])
     return pages.select("page_id", "url", "html").mapInArrow(_extracted(spark.sparkContext.broadcast(model)), "page_id long, url string, text string, n_chars long")
