@@ -666,6 +666,38 @@ def test_lm_learns_from_a_share_of_all_texts(spark, monkeypatch, share):
     assert scores[0] != scores[1]
 
 
+@pytest.mark.parametrize("where", ["id", "null"])
+def test_lm_learns_from_every_training_text(spark, monkeypatch, where):
+    """Whichever text of the corpus is changed, and as little as in the order of its words (no count tells that), the model is another one."""
+    monkeypatch.setattr(lm_scoring, "STEPS", 5)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", 3)
+    plain, learn = "some plain text of words", [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    ids = [None] if where == "null" else learn[3::20]
+    scores = []
+    for d in [-1, *ids]:
+        given = [(i, "words of text plain some" if i == d else plain) for i in [*range(60), None]]
+        scores.append(lm_scoring.score(spark.createDataFrame(given, "doc_id long, text string"), sample=1).filter("doc_id = 59").first().score)
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert scores[0] not in scores[1:]
+
+
+def test_lm_learns_from_windows_once_as_they_come(monkeypatch):
+    """However they are cut in parts, each window counts once and the tables are the same."""
+    x, _ = lm_windows([np.tile(np.arange(6), 2000)])
+    monkeypatch.setattr(attention, "HELD", 128)
+    seen = []
+    monkeypatch.setattr(attention, "BATCH", 50)
+    monkeypatch.setattr(attention.Network, "gradients", lambda net, y, f=attention.Network.gradients: seen.append(y) or f(net, y))
+    nets = []
+    for cuts in ([], [1, 130, 131, 400], list(range(len(x)))):
+        nets.append(attention.Network(1))
+        assert nets[-1].train_once(iter(np.split(x, cuts)), 0.01) == len(x)
+    assert sorted(map(bytes, np.concatenate(seen))) == sorted(map(bytes, np.concatenate([x, x, x])))
+    assert all(np.array_equal(nets[0].p[k], n.p[k]) for n in nets for k in n.p)
+    assert nets[0].log_p(x).mean() > attention.Network(1).log_p(x).mean() + 0.5
+    assert attention.Network(1).train_once(iter([]), 0.01) == 0
+
+
 def lm_windows(seqs):
     return attention.windows(np.concatenate(seqs), np.array([len(s) for s in seqs]))
 

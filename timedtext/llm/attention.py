@@ -8,6 +8,8 @@ layer, and the output is a class of ids, then a member of it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 CONTEXT, SPAN = 8, 24
@@ -17,6 +19,8 @@ DIM, HIDDEN, SIDE = 16, 31, 32
 IDS = SIDE * SIDE
 OTHER, END, PAD = IDS - 2, IDS - 1, IDS
 BATCH = 256
+#: Windows that train_once() mixes at once (4 MB).
+HELD = 1 << 16
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,80 +108,140 @@ class Network:
         out *= real
         return out.reshape(-1, SPAN)
 
-    def forward(self, x: np.ndarray) -> dict:
-        p = self.p
-        ask, see = x[:, CONTEXT - 1 : -1], x[:, :-1]
-        f = {"ask": ask, "see": see, "q": p["q"][ask], "k": p["k"][see], "v": p["v"][see]}
-        s = f["q"] @ f["k"].transpose(0, 2, 1)
-        s *= 1 / DIM**0.5
-        s += p["pos"] + self.mask
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        f["a"] = s
-        f["o"] = (s @ f["v"]).reshape(-1, DIM)
-        f["h"] = np.maximum(f["o"] @ p["w1"] + p["r"][ask.ravel()] + p["b1"], 0)
-        return f
-
     def gradients(self, x: np.ndarray) -> tuple[float, int, dict]:
         """Sum of log probabilities, tokens, and the gradient of the mean loss."""
-        p, f = self.p, self.forward(x)
+        p, n = self.p, len(x)
+        kind, scale = p["q"].dtype, 1 / DIM**0.5
+        ask, see = x[:, CONTEXT - 1 : -1], x[:, :-1]
+        q, k = p["q"][ask] * scale, p["k"][see]
+        v = np.concatenate([p["v"], np.ones((IDS + 1, 1), kind)], axis=1)[see]  # a column of ones makes the sums
+        e = q @ k.transpose(0, 2, 1)
+        e += p["pos"] + self.mask
+        np.minimum(e, 60, out=e)
+        np.exp(e, out=e)
+        o = (e @ v).reshape(-1, DIM + 1)
+        inverse = 1 / np.maximum(o[:, DIM:], 1e-30)
+        o = o[:, :DIM] * inverse
+        # hidden layer with a column of ones for the biases; rows by class, those of padding (class SIDE) left out at the end
         y = x[:, CONTEXT:].ravel()
-        keep = np.flatnonzero(y != PAD)
-        h, y = f["h"][keep], y[keep].astype(np.int64)
-        c, g = y // SIDE, {}
-        loss, pc = _pick(h @ p["wc"] + p["bc"], c)
-        g["wc"], g["bc"], dh = h.T @ pc, pc.sum(0), pc @ p["wc"].T
-        g["wm"], g["bm"] = np.zeros_like(p["wm"]), np.zeros_like(p["bm"])
+        c = np.where(y == PAD, SIDE, y // SIDE).astype(np.uint8)
         order = np.argsort(c, kind="stable")
         cut = np.searchsorted(c[order], np.arange(SIDE + 1))
-        for k in range(SIDE):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                lm, pm = _pick(h[at] @ p["wm"][k] + p["bm"][k], y[at] % SIDE)
-                loss[at] += lm
-                g["wm"][k], g["bm"][k] = h[at].T @ pm, pm.sum(0)
-                dh[at] += pm @ p["wm"][k].T
-        full = np.zeros_like(f["h"])
-        full[keep] = dh * (h > 0)
-        g["w1"], g["b1"] = f["o"].T @ full, full.sum(0)
-        do = (full @ p["w1"].T).reshape(*f["ask"].shape, DIM)
-        da = do @ f["v"].transpose(0, 2, 1)
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
-        g["pos"] = ds.sum(0)
-        ds = ds * (1 / DIM**0.5)
-        g["r"] = _by_id(f["ask"], full)
-        g["q"] = _by_id(f["ask"], ds @ f["k"])
-        g["k"] = _by_id(f["see"], ds.transpose(0, 2, 1) @ f["q"])
-        g["v"] = _by_id(f["see"], f["a"].transpose(0, 2, 1) @ do)
-        return float(loss.sum()), len(y), {k: v / max(1, len(y)) for k, v in g.items()}
+        order = order[: cut[SIDE]]
+        h = np.ones((len(order), HIDDEN + 1), kind)
+        hidden = o @ p["w1"]
+        hidden += (p["r"] + p["b1"])[ask.ravel()]
+        np.maximum(hidden[order], 0, out=h[:, :HIDDEN])
+        by_class, member = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
+        loss, pc = _pick(h @ by_class, c[order])
+        gc, dh, gm, pm = h.T @ pc, pc @ by_class.T, np.zeros_like(member), np.empty((len(h), SIDE), kind)
+        for j in range(SIDE):
+            if cut[j] < cut[j + 1]:
+                np.matmul(h[cut[j] : cut[j + 1]], member[j], out=pm[cut[j] : cut[j + 1]])
+        more, pm = _pick(pm, y[order] % SIDE)
+        for j in range(SIDE):
+            at = slice(cut[j], cut[j + 1])
+            if cut[j] < cut[j + 1]:
+                gm[j] = h[at].T @ pm[at]
+                dh[at] += pm[at] @ member[j].T
+        dh *= h > 0
+        asked = np.zeros((n * SPAN, HIDDEN + 1), kind)
+        asked[order] = dh
+        do = np.empty((n * SPAN, DIM + 1), kind)
+        np.matmul(asked, np.concatenate([p["w1"].T, np.zeros((1, DIM), kind)]), out=do[:, :DIM])
+        do[:, DIM] = -np.einsum("ij,ij->i", do[:, :DIM], o)
+        do *= inverse
+        do = do.reshape(n, SPAN, DIM + 1)
+        ds = do @ v.transpose(0, 2, 1)
+        ds *= e
+        seen = np.empty((n, SEEN, 2 * DIM), kind)  # gradients of k and v by place
+        np.matmul(ds.transpose(0, 2, 1), q, out=seen[:, :, :DIM])
+        np.matmul(e.transpose(0, 2, 1), do[:, :, :DIM], out=seen[:, :, DIM:])
+        r, seen = _by_id(ask, asked)[:, :HIDDEN], _by_id(see, seen)
+        g = {
+            "q": _by_id(ask, ds @ k) * scale,
+            "k": seen[:, :DIM],
+            "v": seen[:, DIM:],
+            "r": r,
+            "pos": ds.sum(0),
+            "w1": (o.T @ asked)[:, :HIDDEN],
+            "b1": r.sum(0),
+            "wc": gc[:HIDDEN],
+            "bc": gc[HIDDEN],
+            "wm": gm[:, :HIDDEN],
+            "bm": gm[:, HIDDEN],
+        }
+        return float(loss.sum() + more.sum()), len(h), {name: g[name] / max(1, len(h)) for name in self.NAMES}
 
     def train(self, x: np.ndarray, steps: int, rate: float, seed: int = 1) -> None:
         """Adam over random batches with a falling rate; batches go through all windows before any comes again."""
-        rng, m, v = np.random.default_rng(seed), {k: 0 for k in self.p}, {k: 0 for k in self.p}
+        rng, adam = np.random.default_rng(seed), Adam(self)
         order, at = rng.permutation(len(x)), 0
         for t in range(1, steps + 1):
             if at >= len(x):
                 order, at = rng.permutation(len(x)), 0
-            _, _, g = self.gradients(x[order[at : at + BATCH]])
+            adam.step(x[order[at : at + BATCH]], rate * min(1, 2 * (1 - t / (steps + 1))))
             at += BATCH
-            now = rate * min(1, 2 * (1 - t / (steps + 1)))
-            for k, grad in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * grad
-                v[k] = 0.99 * v[k] + 0.01 * grad * grad
-                step = now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-                self.p[k] = (self.p[k] - step).astype(self.p[k].dtype)
         self.ready = None
 
+    def train_once(self, parts: Iterable[np.ndarray], rate: float, seed: int = 1) -> int:
+        """One pass over windows that come in parts, each window once; returns how many there were.
+
+        As many windows as HELD are held and mixed at once. Nobody knows beforehand how many come, so the rate stays and
+        the tables become means over all steps, in which a step counts by about the cube of its number.
+        """
+        rng, adam, seen = np.random.default_rng(seed), Adam(self), 0
+        mean = {k: v.astype(np.float64) for k, v in self.p.items()}
+        for x in held(parts):
+            order = rng.permutation(len(x))
+            for at in range(0, len(x), BATCH):
+                adam.step(x[order[at : at + BATCH]], rate)
+                for k in mean:
+                    mean[k] += (self.p[k] - mean[k]) * (4 / (adam.t + 3))
+            seen += len(x)
+        if seen:
+            self.p = {k: mean[k].astype(v.dtype) for k, v in self.p.items()}
+        self.ready = None
+        return seen
+
+
+class Adam:
+    def __init__(self, net: Network):
+        self.net, self.t = net, 0
+        self.m, self.v = ({k: np.zeros_like(p) for k, p in net.p.items()} for _ in range(2))
+
+    def step(self, x: np.ndarray, rate: float) -> None:
+        self.t += 1
+        _, _, g = self.net.gradients(x)
+        spread = (1 - 0.99**self.t) ** 0.5
+        for k, grad in g.items():
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            step = m / (np.sqrt(v) + 1e-8 * spread)
+            step *= rate * spread / (1 - 0.9**self.t)
+            self.net.p[k] = self.net.p[k] - step
+
+
+def held(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The windows of all parts, HELD at a time."""
+    now, n = [], 0
+    for x in parts:
+        while len(x):
+            now.append(x[: HELD - n])
+            x, n = x[HELD - n :], n + len(now[-1])
+            if n == HELD:
+                yield np.concatenate(now)
+                now, n = [], 0
+    if n:
+        yield np.concatenate(now)
+
 
 def _by_id(ids: np.ndarray, grad: np.ndarray) -> np.ndarray:
     """Sums of gradient rows by id."""
-    ids, grad = ids.ravel(), grad.reshape(ids.size, -1)
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    out = np.zeros((IDS + 1, grad.shape[1]), grad.dtype)
-    out[ids[order[first]]] = np.add.reduceat(grad[order], first, axis=0)
-    return out
+    n = grad.shape[-1]
+    places = ids.reshape(-1, 1).astype(np.int64) * n + np.arange(n)
+    return np.bincount(places.ravel(), weights=grad.ravel(), minlength=(IDS + 1) * n).reshape(-1, n).astype(grad.dtype)
 
 
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -189,11 +253,12 @@ def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _pick(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of the chosen column of each row, and the loss's gradient by the logits."""
-    logits = logits - logits.max(axis=1, keepdims=True)
-    chosen = logits[np.arange(len(at)), at]
+    """Log probability of the chosen column of each row, and the loss's gradient by the logits, in their place."""
+    np.minimum(logits, 80, out=logits)
+    place = np.arange(len(at)) * SIDE + at
+    chosen = logits.ravel()[place]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    logits[np.arange(len(at)), at] -= 1
-    return chosen - np.log(total[:, 0]), logits
+    total = logits @ np.ones(SIDE, logits.dtype)
+    logits /= total[:, None]
+    logits.ravel()[place] -= 1
+    return chosen - np.log(total), logits

@@ -4,9 +4,9 @@ A text is its words (A-Z lower-cased, parted by ASCII white space), each as subw
 log probability that the network gives to all of them. The network (attention.py) has ids of its own for the subwords
 that are commonest in all training texts; the others share one id, and their part of it follows from their counts.
 
-What is learnt grows with the corpus: counts of words and of subword ids come from every training text. The network
-starts from a bounded sample of training texts, then every partition of a fixed share of all training texts goes on
-from there, and the averages of their tables, weighted by tokens, are the model.
+What is learnt comes from the whole corpus: counts of words and of subword ids, and the network's tables. Some texts
+only give the network a place to start from; then every partition goes on from there over all of its training texts,
+and the averages of their tables, weighted by windows, are the model.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.attention import BATCH, END, IDS, OTHER, SIDE, Network, windows
+from timedtext.llm.attention import END, IDS, OTHER, SIDE, Network, windows
 from timedtext.llm.common import id_bucket, prepare, text_bytes, written
 from timedtext.llm.packing import encoder
 from timedtext.llm.words import SPACED, Words, blocks, words_of
@@ -31,7 +31,7 @@ from timedtext.llm.words import SPACED, Words, blocks, words_of
 #: Training texts that the network starts from (those with the least hashed ids), its steps of gradient descent and their rate.
 SAMPLE, STEPS, RATE = 1500, 1100, 0.02
 #: One of so many training texts is learnt from after that, in its partition, at this rate (1: all of them).
-SHARE, SHARE_RATE = 32, 0.01
+SHARE, SHARE_RATE = 1, 0.01
 #: Models averaged in one task.
 FAN_IN = 64
 #: Words in the table that is broadcast; counts of all others are joined by shuffle.
@@ -39,6 +39,8 @@ FREQUENT = 1 << 18
 CHUNK = 1 << 22
 #: Spellings that a worker remembers at most.
 REMEMBERED = 1 << 19
+#: For Python workers: arrays of a step of learning are taken from the heap again, not from new pages each time.
+ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20)}
 LN10 = float(np.log(10))
 BEYOND_ASCII_SPACE = re.compile(r"[^\S\x00-\x7f]")
 
@@ -134,10 +136,9 @@ def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, np.log(np.where(rest > 0, rest, 1) / max(1.0, rest.sum()))
 
 
-def _windows_of(texts: list[bytes], place: np.ndarray, ranks: str) -> np.ndarray:
+def _windows_of(texts: list[bytes], place: np.ndarray, ranks: str) -> Iterator[np.ndarray]:
     texts = [lowered(t) for t in texts]
-    parts = [windows(*spelled(texts[a:b], words_of(texts[a:b], SPACED), place, ranks)[:2])[0] for a, b in blocks(texts)]
-    return np.concatenate(parts) if parts else windows(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]
+    return (windows(*spelled(texts[a:b], words_of(texts[a:b], SPACED), place, ranks)[:2])[0] for a, b in blocks(texts))
 
 
 def started(counts: np.ndarray, ends: int, place: np.ndarray) -> Network:
@@ -163,15 +164,20 @@ def unpacked(data: bytes) -> Network:
 
 
 def _learnt(model, ranks: str, steps: int | None, rate: float):
-    """Go on from the model on all texts of the partition: so many steps, or else once through its windows."""
+    """Go on from the model: so many steps over the partition's texts, which then are few, or else once through them as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = unpacked(model.value["net"])
-        texts = sorted(t for b in batches for t in b.column("bytes").to_pylist())
-        x = _windows_of(texts, model.value["place"], ranks)
-        if len(x):
-            net.train(x, steps if steps is not None else -(-len(x) // BATCH), rate)
-            cells = [[TaskContext.get().partitionId()], [float(len(x))], [packed(net)]]
+        net, place = unpacked(model.value["net"]), model.value["place"]
+        texts = (b.column("bytes").to_pylist() for b in batches)
+        if steps is None:
+            n = net.train_once((x for t in texts for x in _windows_of(t, place, ranks)), rate)
+        else:
+            parts = list(_windows_of(sorted(t for some in texts for t in some), place, ranks))
+            n = sum(map(len, parts))
+            if n:
+                net.train(np.concatenate(parts), steps, rate)
+        if n:
+            cells = [[TaskContext.get().partitionId()], [float(n)], [packed(net)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.float64(), pa.binary()), strict=True)], names=["part", "weight", "data"])
 
     return run
@@ -199,12 +205,12 @@ def averaged(models: DataFrame) -> bytes | None:
 
 
 def trained(learn: DataFrame, counts: np.ndarray, ends: int, ranks: str, sample: int, share: int) -> tuple[Network, np.ndarray, np.ndarray]:
-    """The network, and vocabulary(): from the counts of all training texts, a start, and a share of all of them."""
+    """The network, and vocabulary(): from the counts of all training texts, a start, and then all of them or a share."""
     spark = learn.sparkSession
     place, tail = vocabulary(counts)
     model = {"net": packed(started(counts, ends, place)), "place": place}
-    given = learn.filter("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
-    keys = given.select("doc_id", "key").distinct().orderBy("key", "doc_id").limit(sample).select("doc_id")
+    given = learn.withColumn("key", F.xxhash64("doc_id"))
+    keys = given.filter("doc_id is not null").select("doc_id", "key").distinct().orderBy("key", "doc_id").limit(sample).select("doc_id")
     first = given.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("bytes").alias("bytes"))  # a row an id: bounded by the sample
     start = first.select("bytes").repartition(1).mapInArrow(_learnt(spark.sparkContext.broadcast(model), ranks, STEPS, RATE), MODELS)
     model["net"] = averaged(start) or model["net"]
@@ -285,12 +291,13 @@ def score(docs: DataFrame, sample: int = SAMPLE, ranks: str | None = None, frequ
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
     Words are compared by 64-bit hashes of their bytes. Null texts count as empty: their only token is the end. Null
-    ids hash as the empty text; the network does not learn from them, the counts do. Repeated rows count and are scored
-    as often as they stand there; in the sample an id counts once, with its least text. Without training rows every
-    count is 0, and an untrained network is all there is. Other columns are not read. The network starts from sample
-    training texts and goes on with one of share in every partition; share=1 learns from every training text.
+    ids hash as the empty text and are learnt from like others. Repeated rows count and are scored as often as they
+    stand there; in the start an id counts once, with its least text. Without training rows every count is 0, and an
+    untrained network is all there is. Other columns are not read. The network starts from sample training texts and
+    then learns from every training text, once, where it lies; share=n asks for one of n of them instead.
     """
     spark = prepare(docs.sparkSession)
+    spark.sparkContext.environment |= ALLOCATION
     ranks = ranks or str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows = docs.select("doc_id", text_bytes("text").alias("bytes"))
     learn = rows.filter(id_bucket(F.col("doc_id"), 7) != 2)
