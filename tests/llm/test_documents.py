@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from timedtext.llm import attention, common, decontamination, lm_scoring, near_dedup, packing, secrets, sharding, toxicity
@@ -751,3 +753,59 @@ def test_lm_network_alone_beats_the_base(spark):
     """On texts that it has not learnt from."""
     got = lm_scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > got[1]
+
+
+def test_lm_spells_a_text_once(monkeypatch):
+    """Counting, learning and scoring read the spelled table: none of them spells a word again, and all of its texts come through."""
+    ranks = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    given = [*texts(3), " ".join(map(str, range(70_000)))]  # the last has more distinct words than 16 bits tell apart
+    uses = [(lm_scoring.HELD_OUT, lm_scoring.COUNTED, lm_scoring.LEARNT)[i % 3] for i in range(len(given))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(given))), "bytes": [(t or "").encode() for t in given], "uses": uses})
+    monkeypatch.setattr(lm_scoring, "BLOCK", 5000)
+    table = list(lm_scoring._spelled(ranks)(iter([batch])))
+    assert len(table) > 5 and [d for b in table for d in b.column("doc_id")[0].as_py()] == list(range(len(given)))
+    monkeypatch.setattr(lm_scoring, "speller", None)
+    plain = [plain_ids(t, ranks) for t in given]
+    monkeypatch.setattr(lm_scoring, "CHUNK", 50)
+    word, number = Counter(), Counter()
+    for b in lm_scoring._counted(50257)(iter(table)):
+        for w, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            (number if s else word)[w] += n
+    assert number == Counter(i for t, u in zip(plain, uses, strict=True) for i in t if u)
+    counted = Counter(w for t, u in zip(given, uses, strict=True) for w in (t or "").encode().lower().split() if u)
+    assert sorted(word.values()) == sorted(counted.values())
+    place, tail = lm_scoring.vocabulary(np.bincount(np.concatenate(plain).astype(int), minlength=50257))
+    seen = []
+    monkeypatch.setattr(attention.Network, "train_once", lambda net, parts, rate: seen.extend(parts) or sum(map(len, seen)))
+    monkeypatch.setattr(lm_scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    net = attention.Network()
+    model = SimpleNamespace(value={"id": "x", "net": lm_scoring.packed(net), "place": place, "tail": tail, "words": np.zeros(0, np.uint64), "counts": np.zeros(0), "ends": 1})
+    assert len(list(lm_scoring._learnt(model, ranks, None, 0.01)(iter(table)))) == 1
+    want = [i for t, u in zip(plain, uses, strict=True) if u == lm_scoring.LEARNT for i in [*place[t].tolist(), attention.END]]
+    x = np.concatenate(seen)[:, attention.CONTEXT :]
+    assert x[x != attention.PAD].tolist() == want
+    parts = [r for b in lm_scoring._scored(model)(iter(table)) for r in b.to_pylist()]
+    assert [r["n_tokens"] for r in parts if r["word"] is None] == [len((t or "").encode().split()) + 1 for t in given]
+    rare = Counter(r["row"] for r in parts if r["word"] is not None)
+    assert rare == Counter({i: len((t or "").encode().split()) for i, t in enumerate(given) if (t or "").split()})
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_lm_steps_are_adam(kind, monkeypatch):
+    """However many numbers are changed at once, against the tables one by one; and the mean of the steps."""
+    monkeypatch.setattr(attention, "AT_ONCE", 1000)
+    x, _ = lm_windows([np.random.default_rng(0).integers(0, 1024, 900)])
+    net, plain = (attention.Network(values={k: v.astype(kind) for k, v in attention.Network(3).p.items()}) for _ in range(2))
+    adam = attention.Adam(net)
+    mean, m, v = adam.p.astype(np.float64), *({k: np.zeros_like(p) for k, p in plain.p.items()} for _ in range(2))
+    want = {k: p.astype(np.float64) for k, p in plain.p.items()}
+    for t in range(1, 6):
+        adam.step(x, 0.01, mean)
+        g = plain.gradients(x)[2]
+        for k in net.NAMES:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
+            plain.p[k] = (plain.p[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(kind)
+            want[k] += (plain.p[k] - want[k]) * 4 / (t + 3)
+    close = 1e-9 if kind is np.float64 else 1e-3
+    assert all(np.allclose(net.p[k], plain.p[k], atol=close) for k in net.NAMES)
+    assert np.allclose(mean, np.concatenate([want[k].ravel() for k in net.NAMES]), atol=close)

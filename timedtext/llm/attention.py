@@ -21,6 +21,8 @@ OTHER, END, PAD = IDS - 2, IDS - 1, IDS
 BATCH = 256
 #: Windows that train_once() mixes at once (4 MB).
 HELD = 1 << 16
+#: Numbers that a step of learning changes at once.
+AT_ONCE = 1 << 13
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,32 +81,40 @@ class Network:
         t["cap"] = longest[0] * longest[1] + p["pos"].max() > 60
         return t
 
+    def _both(self) -> np.ndarray:
+        """Weights and biases of the classes and of each class's members, side by side."""
+        p = self.p
+        out = np.empty((SIDE, HIDDEN + 1, 2 * SIDE), p["wm"].dtype)
+        out[:, :HIDDEN, :SIDE], out[:, HIDDEN, :SIDE] = p["wc"], p["bc"]
+        out[:, :HIDDEN, SIDE:], out[:, HIDDEN, SIDE:] = p["wm"], p["bm"]
+        return out
+
     def log_p(self, x: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the id in each scored place, (windows, SPAN); 0 where there is padding."""
         t = self.ready = self.ready or self._prepared()
-        ask, see = x[:, CONTEXT - 1 : -1], x[:, :-1]
-        s = t["q"][ask] @ self.p["k"][see].transpose(0, 2, 1)
+        x = x.astype(np.intp)
+        ask, see, y = x[:, CONTEXT - 1 : -1], x[:, :-1], x[:, CONTEXT:].ravel()
+        s = t["q"].take(ask, axis=0) @ self.p["k"].take(see, axis=0).transpose(0, 2, 1)
         s += t["pos"]
         if t["cap"]:
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        o = (s @ t["v"][see]).reshape(-1, DIM + 1)
+        o = (s @ t["v"].take(see, axis=0)).reshape(-1, DIM + 1)
         h = (o[:, :DIM] / np.maximum(o[:, DIM:], 1e-30)) @ t["w"]
-        h += t["r"][ask.ravel()]
+        h += t["r"].take(ask.ravel(), axis=0)
         np.maximum(h, 0, out=h)
-        y = x[:, CONTEXT:].ravel()
         real = y != PAD
         y = np.where(real, y, 0)
-        c, m = (y // SIDE).astype(np.uint8), y % SIDE
+        c = (y // SIDE).astype(np.uint8)
         out = _log_share(h @ t["c"], c)
         order = np.argsort(c, kind="stable")
-        cut, h, m = np.searchsorted(c[order], np.arange(SIDE + 1)), h[order], m[order]
+        cut, h = np.searchsorted(c[order], np.arange(SIDE + 1)), h.take(order, axis=0)
         logits = np.empty((len(h), SIDE), h.dtype)
         for k in range(SIDE):
             a, b = cut[k], cut[k + 1]
             if a < b:
                 np.matmul(h[a:b], t["m"][k], out=logits[a:b])
-        out[order] += _log_share(logits, m)
+        out[order] += _log_share(logits, y[order] % SIDE)
         out *= real
         return out.reshape(-1, SPAN)
 
@@ -112,66 +122,67 @@ class Network:
         """Sum of log probabilities, tokens, and the gradient of the mean loss."""
         p, n = self.p, len(x)
         kind, scale = p["q"].dtype, 1 / DIM**0.5
-        ask, see = x[:, CONTEXT - 1 : -1], x[:, :-1]
-        q, k = p["q"][ask] * scale, p["k"][see]
-        v = np.concatenate([p["v"], np.ones((IDS + 1, 1), kind)], axis=1)[see]  # a column of ones makes the sums
+        x = x.astype(np.intp)
+        ask, see, y = x[:, CONTEXT - 1 : -1], x[:, :-1], x[:, CONTEXT:].ravel()
+        q = (p["q"] * scale).take(ask, axis=0)
+        kv = np.concatenate([p["k"], p["v"], np.ones((IDS + 1, 1), kind)], axis=1).take(see, axis=0)  # a column of ones makes the sums
+        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
         e = q @ k.transpose(0, 2, 1)
         e += p["pos"] + self.mask
-        np.minimum(e, 60, out=e)
+        _capped(e, 60)
         np.exp(e, out=e)
         o = (e @ v).reshape(-1, DIM + 1)
         inverse = 1 / np.maximum(o[:, DIM:], 1e-30)
-        o = o[:, :DIM] * inverse
         # hidden layer with a column of ones for the biases; rows by class, those of padding (class SIDE) left out at the end
-        y = x[:, CONTEXT:].ravel()
         c = np.where(y == PAD, SIDE, y // SIDE).astype(np.uint8)
         order = np.argsort(c, kind="stable")
         cut = np.searchsorted(c[order], np.arange(SIDE + 1))
         order = order[: cut[SIDE]]
-        h = np.ones((len(order), HIDDEN + 1), kind)
-        hidden = o @ p["w1"]
-        hidden += (p["r"] + p["b1"])[ask.ravel()]
-        np.maximum(hidden[order], 0, out=h[:, :HIDDEN])
-        by_class, member = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
-        loss, pc = _pick(h @ by_class, c[order])
-        gc, dh, gm, pm = h.T @ pc, pc @ by_class.T, np.zeros_like(member), np.empty((len(h), SIDE), kind)
-        for j in range(SIDE):
-            if cut[j] < cut[j + 1]:
-                np.matmul(h[cut[j] : cut[j + 1]], member[j], out=pm[cut[j] : cut[j + 1]])
-        more, pm = _pick(pm, y[order] % SIDE)
-        for j in range(SIDE):
-            at = slice(cut[j], cut[j + 1])
-            if cut[j] < cut[j + 1]:
-                gm[j] = h[at].T @ pm[at]
-                dh[at] += pm[at] @ member[j].T
+        before, y = ask.ravel()[order], y[order]
+        mean = o[:, :DIM].take(order, axis=0)
+        mean *= inverse.take(order, axis=0)
+        h = np.concatenate([p["r"] + p["b1"], np.ones((IDS + 1, 1), kind)], axis=1).take(before, axis=0)
+        h += mean @ np.concatenate([p["w1"], np.zeros((DIM, 1), kind)], axis=1)
+        np.maximum(h, 0, out=h)
+        both = self._both()
+        share, dh, g_both = np.empty((len(h), 2 * SIDE), kind), np.empty_like(h), np.zeros_like(both)
+        parts = [(j, slice(cut[j], cut[j + 1])) for j in range(SIDE) if cut[j] < cut[j + 1]]
+        for j, at in parts:
+            np.matmul(h[at], both[j], out=share[at])
+        loss = _pick(share.reshape(-1, SIDE), np.stack([y // SIDE, y % SIDE], axis=1).ravel())
+        for j, at in parts:
+            np.matmul(h[at].T, share[at], out=g_both[j])
+            np.matmul(share[at], both[j].T, out=dh[at])
         dh *= h > 0
-        asked = np.zeros((n * SPAN, HIDDEN + 1), kind)
-        asked[order] = dh
-        do = np.empty((n * SPAN, DIM + 1), kind)
-        np.matmul(asked, np.concatenate([p["w1"].T, np.zeros((1, DIM), kind)]), out=do[:, :DIM])
-        do[:, DIM] = -np.einsum("ij,ij->i", do[:, :DIM], o)
-        do *= inverse
+        do = np.zeros((n * SPAN, DIM + 1), kind)
+        d_mean = np.empty((len(h), DIM + 1), kind)
+        np.matmul(dh, np.concatenate([p["w1"].T, np.zeros((1, DIM), kind)]), out=d_mean[:, :DIM])
+        d_mean[:, DIM] = -np.einsum("ij,ij->i", d_mean[:, :DIM], mean)
+        d_mean *= inverse.take(order, axis=0)
+        do[order] = d_mean
         do = do.reshape(n, SPAN, DIM + 1)
         ds = do @ v.transpose(0, 2, 1)
         ds *= e
-        seen = np.empty((n, SEEN, 2 * DIM), kind)  # gradients of k and v by place
+        seen = np.zeros((n, SEEN, 3 * DIM), kind)  # gradients of k, v and q by place
         np.matmul(ds.transpose(0, 2, 1), q, out=seen[:, :, :DIM])
-        np.matmul(e.transpose(0, 2, 1), do[:, :, :DIM], out=seen[:, :, DIM:])
-        r, seen = _by_id(ask, asked)[:, :HIDDEN], _by_id(see, seen)
+        np.matmul(e.transpose(0, 2, 1), do[:, :, :DIM], out=seen[:, :, DIM : 2 * DIM])
+        np.matmul(ds, k, out=seen[:, CONTEXT - 1 :, 2 * DIM :])
+        r, seen = _by_id(before, dh)[:, :HIDDEN], _by_id(see.ravel(), seen.reshape(-1, 3 * DIM))
+        g_class = g_both[:, :, :SIDE].sum(0)
         g = {
-            "q": _by_id(ask, ds @ k) * scale,
+            "q": seen[:, 2 * DIM :] * scale,
             "k": seen[:, :DIM],
-            "v": seen[:, DIM:],
+            "v": seen[:, DIM : 2 * DIM],
             "r": r,
-            "pos": ds.sum(0),
-            "w1": (o.T @ asked)[:, :HIDDEN],
+            "pos": ds.reshape(n, SPAN * SEEN).sum(0).reshape(SPAN, SEEN),
+            "w1": (mean.T @ dh)[:, :HIDDEN],
             "b1": r.sum(0),
-            "wc": gc[:HIDDEN],
-            "bc": gc[HIDDEN],
-            "wm": gm[:, :HIDDEN],
-            "bm": gm[:, HIDDEN],
+            "wc": g_class[:HIDDEN],
+            "bc": g_class[HIDDEN],
+            "wm": g_both[:, :HIDDEN, SIDE:],
+            "bm": g_both[:, HIDDEN, SIDE:],
         }
-        return float(loss.sum() + more.sum()), len(h), {name: g[name] / max(1, len(h)) for name in self.NAMES}
+        return float(loss.sum()), len(h), {name: g[name] / max(1, len(h)) for name in self.NAMES}
 
     def train(self, x: np.ndarray, steps: int, rate: float, seed: int = 1) -> None:
         """Adam over random batches with a falling rate; batches go through all windows before any comes again."""
@@ -191,36 +202,56 @@ class Network:
         the tables become means over all steps, in which a step counts by about the cube of its number.
         """
         rng, adam, seen = np.random.default_rng(seed), Adam(self), 0
-        mean = {k: v.astype(np.float64) for k, v in self.p.items()}
+        mean = adam.p.astype(np.float64)
         for x in held(parts):
             order = rng.permutation(len(x))
             for at in range(0, len(x), BATCH):
-                adam.step(x[order[at : at + BATCH]], rate)
-                for k in mean:
-                    mean[k] += (self.p[k] - mean[k]) * (4 / (adam.t + 3))
+                adam.step(x[order[at : at + BATCH]], rate, mean)
             seen += len(x)
         if seen:
-            self.p = {k: mean[k].astype(v.dtype) for k, v in self.p.items()}
+            adam.p[:] = mean
         self.ready = None
         return seen
 
 
 class Adam:
+    """Steps over all tables as one vector, AT_ONCE numbers at a time, which stay in the cache."""
+
     def __init__(self, net: Network):
         self.net, self.t = net, 0
-        self.m, self.v = ({k: np.zeros_like(p) for k, p in net.p.items()} for _ in range(2))
+        self.p = np.concatenate([net.p[k].ravel() for k in net.NAMES])
+        ends = np.cumsum([net.p[k].size for k in net.NAMES])
+        net.p = {k: part.reshape(net.p[k].shape) for k, part in zip(net.NAMES, np.split(self.p, ends[:-1]), strict=True)}  # views
+        self.m, self.v = np.zeros_like(self.p), np.zeros_like(self.p)
+        self.spare, self.wide = np.empty((2, AT_ONCE), self.p.dtype), np.empty(AT_ONCE)
 
-    def step(self, x: np.ndarray, rate: float) -> None:
+    def step(self, x: np.ndarray, rate: float, mean: np.ndarray | None = None) -> None:
+        """One step; mean, if given, becomes the mean of the tables over all steps, in which a step counts by about the cube of its number."""
         self.t += 1
         _, _, g = self.net.gradients(x)
         spread = (1 - 0.99**self.t) ** 0.5
-        for k, grad in g.items():
-            m, v = self.m[k], self.v[k]
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            step = m / (np.sqrt(v) + 1e-8 * spread)
-            step *= rate * spread / (1 - 0.9**self.t)
-            self.net.p[k] = self.net.p[k] - step
+        grad, far = np.concatenate([g[k].ravel() for k in self.net.NAMES]), rate * spread / (1 - 0.9**self.t)
+        for a in range(0, len(grad), AT_ONCE):
+            at = slice(a, a + AT_ONCE)
+            g, m, v, p = grad[at], self.m[at], self.v[at], self.p[at]
+            step, root = self.spare[:, : len(g)]
+            np.subtract(g, m, out=step)
+            step *= 0.1
+            m += step
+            np.multiply(g, g, out=step)
+            step -= v
+            step *= 0.01
+            v += step
+            np.sqrt(v, out=root)
+            root += 1e-8 * spread
+            np.divide(m, root, out=step)
+            step *= far
+            p -= step
+            if mean is not None:
+                wide = self.wide[: len(g)]
+                np.subtract(p, mean[at], out=wide)
+                wide *= 4 / (self.t + 3)
+                mean[at] += wide
 
 
 def held(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
@@ -239,26 +270,38 @@ def held(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
 
 def _by_id(ids: np.ndarray, grad: np.ndarray) -> np.ndarray:
     """Sums of gradient rows by id."""
-    n = grad.shape[-1]
-    places = ids.reshape(-1, 1).astype(np.int64) * n + np.arange(n)
-    return np.bincount(places.ravel(), weights=grad.ravel(), minlength=(IDS + 1) * n).reshape(-1, n).astype(grad.dtype)
+    out = np.zeros((IDS + 1, grad.shape[1]), grad.dtype)
+    if len(ids):
+        ids = ids.astype(np.int16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        out[ids[first]] = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+    return out
+
+
+def _capped(x: np.ndarray, most: float) -> None:
+    """Nothing above most, so that exp stays finite; hardly ever is there anything to do."""
+    if x.size and not x.max() <= most:
+        np.minimum(x, most, out=x)
 
 
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of the chosen column of each row."""
-    np.minimum(logits, 80, out=logits)
-    chosen = logits.ravel()[np.arange(len(at)) * SIDE + at]
+    _capped(logits, 80)
+    chosen = logits.reshape(-1)[np.arange(len(at)) * SIDE + at]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(SIDE, logits.dtype))
 
 
-def _pick(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of the chosen column of each row, and the loss's gradient by the logits, in their place."""
-    np.minimum(logits, 80, out=logits)
+def _pick(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of the chosen column of each row; the loss's gradient by the logits takes their place."""
+    _capped(logits, 80)
     place = np.arange(len(at)) * SIDE + at
-    chosen = logits.ravel()[place]
+    flat = logits.reshape(-1)
+    chosen = flat[place]
     np.exp(logits, out=logits)
     total = logits @ np.ones(SIDE, logits.dtype)
-    logits /= total[:, None]
-    logits.ravel()[place] -= 1
-    return chosen - np.log(total), logits
+    logits *= (1 / total)[:, None]
+    flat[place] -= 1
+    return chosen - np.log(total)

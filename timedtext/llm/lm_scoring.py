@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,9 @@ SHARE, SHARE_RATE = 1, 0.01
 FAN_IN = 64
 #: Words in the table that is broadcast; counts of all others are joined by shuffle.
 FREQUENT = 1 << 18
-CHUNK = 1 << 22
+CHUNK = 1 << 21
+#: Bytes of the texts that share a row of the spelled table.
+BLOCK = 1 << 20
 #: Spellings that a worker remembers at most.
 REMEMBERED = 1 << 19
 #: For Python workers: arrays of a step of learning are taken from the heap again, not from new pages each time.
@@ -84,22 +87,77 @@ class Speller:
         of = np.searchsorted(starts, np.cumsum(n) - n, side="right") - 1
         return ids.astype(np.uint16), np.bincount(of, minlength=len(words))
 
-    def spell(self, texts: list[bytes], w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in w, of the lower-cased texts, and how many ids each word has."""
+    def spell(self, texts: list[bytes], w: Words) -> Spelled:
+        """All words in w, of the lower-cased texts."""
         if len(self.slots) > REMEMBERED:
             self.forget()
-        distinct, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        distinct, inverse = np.unique(w.hash, return_inverse=True)
+        at = np.empty(len(distinct), np.int64)
+        at[inverse] = np.arange(len(inverse))  # one of the places of each
         hashes = distinct.tolist()
-        new = [i for i, h in enumerate(hashes) if h not in self.slots]
-        if new:
+        slot = np.fromiter((self.slots.get(h, -1) for h in hashes), np.int64, len(hashes))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
             buf = b"\n" + b"\n".join(texts) + b"\n"
-            ids, count = self._encoded([buf[w.start[k] : w.end[k]] for k in at[new].tolist()])
-            self.slots |= dict(zip((hashes[i] for i in new), range(len(self.count), len(self.count) + len(new)), strict=True))
+            ids, count = self._encoded([buf[a:b] for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)])
+            slot[new] = np.arange(len(self.count), len(self.count) + len(new))
+            self.slots.update(zip(distinct[new].tolist(), slot[new].tolist(), strict=True))
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
             self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
-        slot = np.fromiter((self.slots[h] for h in hashes), np.int64, len(hashes))[inverse]
         n = self.count[slot]
-        return self.ids[np.arange(int(n.sum())) + np.repeat(self.first[slot] - (np.cumsum(n) - n), n)], n
+        return Spelled(np.diff(w.first), inverse, distinct, n, self.ids[_runs(self.first[slot], n)])
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at first and are n long, one behind the other."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+@dataclass
+class Spelled:
+    """Words of some texts: how many each text has, where each stands among the distinct words, their hashes, and their subword ids."""
+
+    n_words: np.ndarray
+    at: np.ndarray
+    hash: np.ndarray
+    n_ids: np.ndarray
+    ids: np.ndarray
+
+    KINDS = {"n_words": np.uint32, "at": None, "hash": np.uint64, "n_ids": np.uint32, "ids": np.uint16}
+
+    def packed(self) -> dict[str, bytes]:
+        short = np.uint16 if len(self.hash) <= 1 << 16 else np.uint32
+        return {c: getattr(self, c).astype(kind or short).tobytes() for c, kind in self.KINDS.items()}
+
+    @classmethod
+    def unpacked(cls, cells: dict[str, bytes]) -> Spelled:
+        of = {c: np.frombuffer(cells[c], k) for c, k in cls.KINDS.items() if k}
+        of["at"] = np.frombuffer(cells["at"], np.uint16 if len(of["hash"]) <= 1 << 16 else np.uint32)
+        return cls(**{c: v if c in ("hash", "ids") else v.astype(np.int64) for c, v in of.items()})
+
+    def of_text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n_words)), self.n_words)
+
+    def only(self, keep: np.ndarray) -> Spelled:
+        """The same without the words of other texts."""
+        return self if keep.all() else Spelled(self.n_words[keep], self.at[np.repeat(keep, self.n_words)], self.hash, self.n_ids, self.ids)
+
+    def sums(self, by_word: np.ndarray) -> np.ndarray:
+        """Sums by text of what each distinct word has."""
+        return np.bincount(self.of_text(), weights=by_word[self.at], minlength=len(self.n_words))
+
+    def sequences(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The network's ids of all texts, each with its end, and their number by text."""
+        n = self.n_ids[self.at]
+        by_text = np.bincount(self.of_text(), weights=n, minlength=len(self.n_words)).astype(np.int64)
+        out = np.full(int(by_text.sum()) + len(by_text), END, np.int64)
+        out[_runs(np.cumsum(by_text + 1) - (by_text + 1), by_text)] = place[self.ids][_runs((np.cumsum(self.n_ids) - self.n_ids)[self.at], n)]
+        return out, by_text + 1
+
+
+def spelled(texts: list[bytes], ranks: str) -> Spelled:
+    """Of lower-cased texts."""
+    return speller(ranks).spell(texts, words_of(texts, SPACED))
 
 
 def speller(ranks: str) -> Speller:
@@ -108,24 +166,13 @@ def speller(ranks: str) -> Speller:
     return _spellers[ranks]
 
 
-def spelled(texts: list[bytes], w: Words, place: np.ndarray, ranks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: the network's ids with each text's end, their number by text, the subword ids, and those by text."""
-    ids, by_word = speller(ranks).spell(texts, w)
-    by_text = np.add.reduceat(np.append(by_word, 0), w.first[:-1]) * (np.diff(w.first) > 0) if len(texts) else np.zeros(0, np.int64)
-    out = np.full(len(ids) + len(texts), END, np.int64)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), by_text)] = place[ids]
-    return out, by_text + 1, ids, by_text
-
-
-def text_log_p(net: Network, texts: list[bytes], w: Words, place: np.ndarray, tail: np.ndarray, ranks: str, at_once: int = 512) -> np.ndarray:
-    """log10 probability of each lower-cased text; tail has the log probability of each id among those without one of their own."""
-    seq, n, ids, by_text = spelled(texts, w, place, ranks)
-    x, text = windows(seq, n)
+def text_log_p(net: Network, of: Spelled, place: np.ndarray, tail: np.ndarray, at_once: int = 512) -> np.ndarray:
+    """log10 probability of each text; tail has the log probability of each id among those without one of their own."""
+    x, text = windows(*of.sequences(place))
     sums = np.concatenate([*(net.log_p(x[k : k + at_once]).sum(axis=1) for k in range(0, len(x), at_once)), np.zeros(0)])
-    total = np.bincount(text, weights=sums, minlength=len(texts))
-    rare = np.flatnonzero(place[ids] == OTHER)
-    total += np.bincount(np.repeat(np.arange(len(texts)), by_text)[rare], weights=tail[ids[rare]], minlength=len(texts))
-    return total / LN10
+    total = np.bincount(text, weights=sums, minlength=len(of.n_words))
+    rare = np.where(place[of.ids] == OTHER, tail[of.ids], 0)
+    return (total + of.sums(np.bincount(np.repeat(np.arange(len(of.n_ids)), of.n_ids), weights=rare, minlength=len(of.n_ids)))) / LN10
 
 
 def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +185,35 @@ def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows_of(texts: list[bytes], place: np.ndarray, ranks: str) -> Iterator[np.ndarray]:
     texts = [lowered(t) for t in texts]
-    return (windows(*spelled(texts[a:b], words_of(texts[a:b], SPACED), place, ranks)[:2])[0] for a, b in blocks(texts))
+    return (windows(*spelled(texts[a:b], ranks).sequences(place))[0] for a, b in blocks(texts))
+
+
+#: A row of the spelled table: some texts, their words, and whether each is held out, counted only, or learnt from as well.
+HELD_OUT, COUNTED, LEARNT = range(3)
+SPELLED = {"doc_id": pa.list_(pa.int64()), "uses": pa.binary()} | {c: pa.binary() for c in Spelled.KINDS}
+SPELLED_SCHEMA = "doc_id array<long>, uses binary, " + ", ".join(f"{c} binary" for c in Spelled.KINDS)
+
+
+def _spelled(ranks: str):
+    """Texts (doc_id, bytes, uses) as rows of the spelled table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, uses = batch.column("doc_id").to_pylist(), np.array(batch.column("uses").to_pylist(), np.uint8)
+            texts = [lowered(t) for t in batch.column("bytes").to_pylist()]
+            for a, b in blocks(texts, BLOCK):
+                cells = {"doc_id": docs[a:b], "uses": uses[a:b].tobytes()} | spelled(texts[a:b], ranks).packed()
+                yield pa.RecordBatch.from_arrays([pa.array([cells[c]], t) for c, t in SPELLED.items()], names=list(SPELLED))
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, Spelled]]:
+    """doc_id, uses and words of each row of the spelled table."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            cells = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+            yield cells.get("doc_id"), np.frombuffer(cells.get("uses", b""), np.uint8), Spelled.unpacked(cells)
 
 
 def started(counts: np.ndarray, ends: int, place: np.ndarray) -> Network:
@@ -164,15 +239,14 @@ def unpacked(data: bytes) -> Network:
 
 
 def _learnt(model, ranks: str, steps: int | None, rate: float):
-    """Go on from the model: so many steps over the partition's texts, which then are few, or else once through them as they come."""
+    """Go on from the model: so many steps over the partition's texts, which then are few, or else once through its rows of the spelled table as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, place = unpacked(model.value["net"]), model.value["place"]
-        texts = (b.column("bytes").to_pylist() for b in batches)
         if steps is None:
-            n = net.train_once((x for t in texts for x in _windows_of(t, place, ranks)), rate)
+            n = net.train_once((windows(*of.only(uses == LEARNT).sequences(place))[0] for _, uses, of in _rows(batches)), rate)
         else:
-            parts = list(_windows_of(sorted(t for some in texts for t in some), place, ranks))
+            parts = list(_windows_of(sorted(t for b in batches for t in b.column("bytes").to_pylist()), place, ranks))
             n = sum(map(len, parts))
             if n:
                 net.train(np.concatenate(parts), steps, rate)
@@ -204,8 +278,8 @@ def averaged(models: DataFrame) -> bytes | None:
         models = models.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(_averaged, MODELS)
 
 
-def trained(learn: DataFrame, counts: np.ndarray, ends: int, ranks: str, sample: int, share: int) -> tuple[Network, np.ndarray, np.ndarray]:
-    """The network, and vocabulary(): from the counts of all training texts, a start, and then all of them or a share."""
+def trained(learn: DataFrame, table: DataFrame, counts: np.ndarray, ends: int, ranks: str, sample: int) -> tuple[Network, np.ndarray, np.ndarray]:
+    """The network, and vocabulary(): from the counts of all training texts, a start, and then what the spelled table says is learnt from."""
     spark = learn.sparkSession
     place, tail = vocabulary(counts)
     model = {"net": packed(started(counts, ends, place)), "place": place}
@@ -214,35 +288,34 @@ def trained(learn: DataFrame, counts: np.ndarray, ends: int, ranks: str, sample:
     first = given.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("bytes").alias("bytes"))  # a row an id: bounded by the sample
     start = first.select("bytes").repartition(1).mapInArrow(_learnt(spark.sparkContext.broadcast(model), ranks, STEPS, RATE), MODELS)
     model["net"] = averaged(start) or model["net"]
-    more = given.filter(F.pmod("key", F.lit(share)) == 0).select("bytes")
-    model["net"] = averaged(more.mapInArrow(_learnt(spark.sparkContext.broadcast(dict(model)), ranks, None, SHARE_RATE), MODELS)) or model["net"]
+    model["net"] = averaged(table.drop("doc_id").mapInArrow(_learnt(spark.sparkContext.broadcast(dict(model)), ranks, None, SHARE_RATE), MODELS)) or model["net"]
     return unpacked(model["net"]), place, tail
 
 
-def _counted(ranks: str):
-    """(word, count) and (subword id, count), told apart by spelled, of runs of texts: some million words at once."""
+def _counted(n_ids: int):
+    """(word, count) and (subword id, count), told apart by spelled, of the training texts in a partition of the spelled table: some million words at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, ids = [], 0, np.zeros(len(id_lengths(ranks)), np.int64)
+        held, n, ids = [], 0, np.zeros(n_ids, np.int64)
 
         def flush() -> pa.RecordBatch:
-            word, count = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            return rows(word.astype(np.int64), count, False)
+            word, at = np.unique(np.concatenate([*(h for h, _ in held), np.zeros(0, np.uint64)]), return_inverse=True)
+            count = np.bincount(at, weights=np.concatenate([*(c for _, c in held), np.zeros(0, np.int64)]), minlength=len(word))
+            return rows(word.astype(np.int64), count.astype(np.int64), False)
 
         def rows(key: np.ndarray, count: np.ndarray, spelled: bool) -> pa.RecordBatch:
             cells = [pa.array(key, pa.int64()), pa.array(count, pa.int64()), pa.array(np.full(len(key), spelled))]
             return pa.RecordBatch.from_arrays(cells, names=["word", "n", "spelled"])
 
-        for batch in batches:
-            texts = [lowered(t) for t in batch.column("bytes").to_pylist()]
-            for a, b in blocks(texts):
-                w = words_of(texts[a:b], SPACED)
-                ids += np.bincount(speller(ranks).spell(texts[a:b], w)[0], minlength=len(ids))
-                held.append(w.hash)
-                n += len(w.hash)
-                if n >= CHUNK:
-                    yield flush()
-                    held, n = [], 0
+        for _, uses, of in _rows(batches):
+            count = np.bincount(of.only(uses != HELD_OUT).at, minlength=len(of.hash))
+            ids += np.bincount(of.ids, weights=np.repeat(count, of.n_ids), minlength=n_ids).astype(np.int64)
+            some = np.flatnonzero(count)
+            held.append((of.hash[some], count[some]))
+            n += len(some)
+            if n >= CHUNK:
+                yield flush()
+                held, n = [], 0
         yield flush()
         at = np.flatnonzero(ids)
         yield rows(at, ids[at], True)
@@ -259,30 +332,27 @@ def _parts(**given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in PARTS.items()], names=list(PARTS))
 
 
-def _scored(model, ranks: str):
-    """A row for each text, and one for each word in it that is not among the broadcast counts."""
+def _scored(model):
+    """A row for each text of the spelled table, and one for each word in it that is not among the broadcast counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         if m["id"] not in _state:
             _state.clear()
             _state[m["id"]] = unpacked(m["net"])
-        net, words, counts, ends = _state[m["id"]], m["words"], m["counts"], m["ends"]
+        net, words, ends = _state[m["id"]], m["words"], m["ends"]
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), [lowered(t) for t in batch.column("bytes").to_pylist()]
-            for a, b in blocks(texts):
-                w = words_of(texts[a:b], SPACED)
-                at = np.searchsorted(words, w.hash)
-                at[at == len(words)] = 0
-                known = words[at] == w.hash if len(words) else np.zeros(len(w.hash), bool)
-                base = np.bincount(w.row[known], weights=np.log10(counts[at[known]] + 1), minlength=b - a)
-                score = text_log_p(net, texts[a:b], w, m["place"], m["tail"], ranks)
-                rows, r = row + np.arange(b - a), np.flatnonzero(~known)
-                n_known = np.bincount(w.row[known], minlength=b - a) + (ends > 0)
-                yield _parts(row=rows, doc_id=docs[a:b], n_tokens=np.diff(w.first) + 1, n_known=n_known, base=base + np.log10(ends + 1), score=score)
-                yield _parts(row=rows[w.row[r]], word=w.hash[r].astype(np.int64))
-                row += b - a
+        for docs, _, of in _rows(batches):
+            at = np.searchsorted(words, of.hash)
+            at[at == len(words)] = 0
+            known = words[at] == of.hash if len(words) else np.zeros(len(of.hash), bool)
+            part = np.zeros(len(known))
+            part[known] = np.log10(m["counts"][at[known]] + 1)
+            rows, r = row + np.arange(len(docs)), np.flatnonzero(~known[of.at])
+            base, n_known = of.sums(part) + np.log10(ends + 1), of.sums(known).astype(np.int64) + (ends > 0)
+            yield _parts(row=rows, doc_id=docs, n_tokens=of.n_words + 1, n_known=n_known, base=base, score=text_log_p(net, of, m["place"], m["tail"]))
+            yield _parts(row=rows[of.of_text()[r]], word=of.hash[of.at[r]].astype(np.int64))
+            row += len(docs)
 
     return run
 
@@ -301,10 +371,15 @@ def score(docs: DataFrame, sample: int = SAMPLE, ranks: str | None = None, frequ
     ranks = ranks or str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows = docs.select("doc_id", text_bytes("text").alias("bytes"))
     learn = rows.filter(id_bucket(F.col("doc_id"), 7) != 2)
-    every = written(learn.select("bytes").mapInArrow(_counted(ranks), "word long, n long, spelled boolean").groupBy("spelled", "word").agg(F.sum("n").alias("n")))
+    asked = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
+    uses = F.when(id_bucket(F.col("doc_id"), 7) == 2, HELD_OUT).when(asked, LEARNT).otherwise(COUNTED).alias("uses")
+    table = written(rows.select("doc_id", "bytes", uses).mapInArrow(_spelled(ranks), SPELLED_SCHEMA))  # what follows need not read or spell the texts again
+    n_ids = len(id_lengths(ranks))
+    every = table.drop("doc_id").mapInArrow(_counted(n_ids), "word long, n long, spelled boolean").groupBy("spelled", "word").agg(F.sum("n").alias("n"))
+    every = written(every)
     counts, ends = every.filter("not spelled").select("word", "n"), learn.count()
     by_id = every.filter("spelled").select("word", "n").toPandas()  # a row per id of the tokenizer at most
-    id_counts = np.bincount(by_id["word"].to_numpy(np.int64), weights=by_id["n"].to_numpy(np.float64), minlength=len(id_lengths(ranks)))
+    id_counts = np.bincount(by_id["word"].to_numpy(np.int64), weights=by_id["n"].to_numpy(np.float64), minlength=n_ids)
     # the largest threshold that leaves few enough words to broadcast, from counts by size class
     size = F.floor(F.log2("n") * 16).alias("size")
     classes = counts.groupBy(size).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()
@@ -317,9 +392,9 @@ def score(docs: DataFrame, sample: int = SAMPLE, ranks: str | None = None, frequ
     top = counts.filter(F.col("n") >= least if least is not None else F.lit(False)).toPandas()
     words, n = top["word"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.float64)
     order, rate = np.argsort(words), float(total + distinct + 1)
-    net, place, tail = trained(learn, id_counts, ends, ranks, sample, share)
+    net, place, tail = trained(learn, table, id_counts, ends, ranks, sample)
     model = {"id": uuid.uuid4().hex, "net": packed(net), "place": place, "tail": tail, "words": words[order], "counts": n[order], "ends": ends}
-    parts = written(rows.mapInArrow(_scored(spark.sparkContext.broadcast(model), ranks), PARTS_SCHEMA))
+    parts = written(table.drop("uses").mapInArrow(_scored(spark.sparkContext.broadcast(model)), PARTS_SCHEMA))
     rare = parts.filter("word is not null").select("row", "word").join(counts, "word", "left").filter("n is not null")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_base"), F.count(F.lit(1)).alias("rare_known"))
     out = parts.filter("word is null").drop("word").join(rare, "row", "left").na.fill(0, ["rare_base", "rare_known"])
