@@ -269,14 +269,15 @@ def held(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def _by_id(ids: np.ndarray, grad: np.ndarray) -> np.ndarray:
-    """Sums of gradient rows by id."""
+    """Sums of gradient rows, of an even number of columns, by id."""
     out = np.zeros((IDS + 1, grad.shape[1]), grad.dtype)
     if len(ids):
         ids = ids.astype(np.int16)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        out[ids[first]] = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+        pairs = grad.take(order, axis=0).view(np.result_type(grad, np.complex64))  # two columns at a time, as one complex number
+        out[ids[first]] = np.add.reduceat(pairs, first, axis=0).view(grad.dtype)
     return out
 
 
