@@ -39,10 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, **options) -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage and survives lost executors. Options are those of the writer."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

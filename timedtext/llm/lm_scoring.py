@@ -38,8 +38,8 @@ FAN_IN = 64
 #: Words in the table that is broadcast; counts of all others are joined by shuffle.
 FREQUENT = 1 << 18
 CHUNK = 1 << 21
-#: Bytes of the texts that share a row of the spelled table.
-BLOCK = 1 << 20
+#: Bytes of the texts that share a row of the spelled table, its rows that are read at once, and bytes of them that go to Python at once.
+BLOCK, GROUP, SENT = 1 << 19, 8, 4 << 20
 #: Spellings that a worker remembers at most.
 REMEMBERED = 1 << 19
 #: For Python workers: arrays of a step of learning are taken from the heap again, not from new pages each time.
@@ -288,7 +288,8 @@ def trained(learn: DataFrame, table: DataFrame, counts: np.ndarray, ends: int, r
     first = given.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("bytes").alias("bytes"))  # a row an id: bounded by the sample
     start = first.select("bytes").repartition(1).mapInArrow(_learnt(spark.sparkContext.broadcast(model), ranks, STEPS, RATE), MODELS)
     model["net"] = averaged(start) or model["net"]
-    model["net"] = averaged(table.drop("doc_id").mapInArrow(_learnt(spark.sparkContext.broadcast(dict(model)), ranks, None, SHARE_RATE), MODELS)) or model["net"]
+    files = max(1, len(table.inputFiles()))  # as many models as parts of the texts, however the table is split again
+    model["net"] = averaged(table.drop("doc_id").coalesce(files).mapInArrow(_learnt(spark.sparkContext.broadcast(dict(model)), ranks, None, SHARE_RATE), MODELS)) or model["net"]
     return unpacked(model["net"]), place, tail
 
 
@@ -373,7 +374,9 @@ def score(docs: DataFrame, sample: int = SAMPLE, ranks: str | None = None, frequ
     learn = rows.filter(id_bucket(F.col("doc_id"), 7) != 2)
     asked = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
     uses = F.when(id_bucket(F.col("doc_id"), 7) == 2, HELD_OUT).when(asked, LEARNT).otherwise(COUNTED).alias("uses")
-    table = written(rows.select("doc_id", "bytes", uses).mapInArrow(_spelled(ranks), SPELLED_SCHEMA))  # what follows need not read or spell the texts again
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SENT))  # until prepare() below
+    table = rows.select("doc_id", "bytes", uses).mapInArrow(_spelled(ranks), SPELLED_SCHEMA)
+    table = written(table, **{"parquet.block.row.count.limit": str(GROUP)})  # what follows need not read or spell the texts again
     n_ids = len(id_lengths(ranks))
     every = table.drop("doc_id").mapInArrow(_counted(n_ids), "word long, n long, spelled boolean").groupBy("spelled", "word").agg(F.sum("n").alias("n"))
     every = written(every)
@@ -395,6 +398,7 @@ def score(docs: DataFrame, sample: int = SAMPLE, ranks: str | None = None, frequ
     net, place, tail = trained(learn, table, id_counts, ends, ranks, sample)
     model = {"id": uuid.uuid4().hex, "net": packed(net), "place": place, "tail": tail, "words": words[order], "counts": n[order], "ends": ends}
     parts = written(table.drop("uses").mapInArrow(_scored(spark.sparkContext.broadcast(model)), PARTS_SCHEMA))
+    prepare(spark)
     rare = parts.filter("word is not null").select("row", "word").join(counts, "word", "left").filter("n is not null")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_base"), F.count(F.lit(1)).alias("rare_known"))
     out = parts.filter("word is null").drop("word").join(rare, "row", "left").na.fill(0, ["rare_base", "rare_known"])
