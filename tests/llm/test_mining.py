@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timedtext.llm import collocations, hard_negatives, mixing
+from timedtext.llm import collocations, hard_negatives, kdtree, mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -136,6 +136,17 @@ def test_a_walk_ends_where_nothing_can_count():
     assert set(got) == want and sum(looked) < 40 * 4000 * 0.8
 
 
+def joins_of(query, spark):
+    df = spark.createDataFrame([(i, i % 3, [float(i % 17), float(i % 5)]) for i in range(1200)], "vec_id long, label int, embedding array<float>")
+    plan = query(df)._jdf.queryExecution().executedPlan().toString()
+    return plan.count("CartesianProduct"), plan.count("BroadcastExchange"), plan.count("explode")
+
+
+def test_trees_and_blocks_are_not_broadcast(spark):
+    """They meet as pairs of file parts: their files are small, but what a join of all pairs would send is not."""
+    assert joins_of(kdtree.op1, spark) == (1, 0, 0)
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert hard_negatives.op12(empty).count() == 0

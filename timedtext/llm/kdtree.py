@@ -4,6 +4,8 @@ Vectors are dealt to shards of bounded size by a hash of their id. Each shard's
 side and keeps a tight bounding box per node. A query goes through a tree best box first: the largest inner product
 that any point of a box could have bounds what is in it, and boxes below the k-th best score so far are left out.
 Queries travel in blocks; a block first searches one shard, and the k-th scores found there go with it to all others.
+Blocks and trees meet as pairs of file parts that a task reads, so neither is copied for each of the others by a shuffle
+or a broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from timedtext.llm.common import prepare, written
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 512, 128
-#: Blocks that meet a shard's tree together after their first search, so that it is sent and unpacked once for all of them.
+#: Blocks that meet a shard's tree together after their first search, so that it is sent once for all of them.
 TOGETHER = 8
+#: Files that trees are written to, about: tasks are pairs of parts of theirs and of the blocks'.
+FILES = 64
 SCALE = 256
 HITS = "query_id long, vec_id long, score long"
 
@@ -133,10 +137,13 @@ def _searched(k: int):
     """Hits of the blocks' queries in a shard that is not their home."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, trees = None, {}
         for pdf in batches:
             for shard, blob, ids, vectors, homes, kth in zip(pdf["shard"], pdf["trees"], pdf["ids"], pdf["vectors"], pdf["homes"], pdf["kth"], strict=True):
+                if shard != now:
+                    now, trees = shard, pickle.loads(blob)
                 ids = np.asarray(ids, np.int64)
-                best = _found(pickle.loads(blob), ids, vectors, np.asarray(kth, np.float64), np.asarray(homes) == shard, k)
+                best = _found(trees, ids, vectors, np.asarray(kth, np.float64), np.asarray(homes) == shard, k)
                 rows = [(int(q), -v, s) for q, b in zip(ids, best, strict=True) for s, v in b]
                 yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -159,16 +166,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     shards = max(1, -(-points.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     keyed = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    trees = written(keyed.groupBy("shard").applyInPandas(_trees, "shard long, trees binary"))
+    trees = written(keyed.groupBy("shard").applyInPandas(_trees, "shard long, trees binary"), maxRecordsPerFile=-(-shards // FILES))
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
     asked = asked.select("block", F.col("x.vec_id").alias("ids"), F.col("x.embedding").alias("vectors"))
     at_home = asked.withColumn("shard", F.pmod("block", F.lit(shards)))
     schema = "block long, ids array<long>, vectors array<array<double>>, homes array<long>, kth array<double>, hits array<struct<query_id:long,vec_id:long,score:long>>"
-    first = written(at_home.join(trees, "shard").mapInPandas(_first_searched(k), schema))
+    # by file size trees or blocks look small enough for a broadcast, which their rows need not be
+    first = written(at_home.join(trees.hint("merge"), "shard").mapInPandas(_first_searched(k), schema))
     parts = (F.flatten(F.collect_list(c)).alias(c) for c in ("ids", "vectors", "homes", "kth"))
-    onward = first.groupBy(F.floor(F.col("block") / TOGETHER).alias("group")).agg(*parts)
-    onward = onward.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    more = onward.join(trees, "shard").mapInPandas(_searched(k), HITS)
+    onward = written(first.groupBy(F.floor(F.col("block") / TOGETHER).alias("group")).agg(*parts).drop("group"), maxRecordsPerFile=1)
+    more = trees.hint("shuffle_replicate_nl").crossJoin(onward).mapInPandas(_searched(k), HITS)
     hits = first.select(F.inline("hits")).unionByName(more)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
