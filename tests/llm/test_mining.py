@@ -147,6 +147,10 @@ def test_trees_and_blocks_are_not_broadcast(spark):
     assert joins_of(kdtree.op1, spark) == (1, 0, 0)
 
 
+def test_shards_and_blocks_are_not_broadcast(spark):
+    assert joins_of(hard_negatives.op12, spark) == (1, 1, 0)  # positives are joined to the negatives at the end
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert hard_negatives.op12(empty).count() == 0

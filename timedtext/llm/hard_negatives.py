@@ -8,7 +8,8 @@ or the least score that it asks for. So nothing that could count is left out.
 
 Two rounds of this mine hard negatives: the first finds each anchor's positives, the second, for each positive, the best
 candidates of other labels within a band of scores. Each round first meets the shard that the block's own cell of the
-space is in, and what is found there goes along to all others as what is needed.
+space is in, and what is found there goes along to all others as what is needed. Blocks and shards meet as pairs of file
+parts that a task reads, so neither is copied for each of the others by a shuffle or a broadcast.
 """
 
 from __future__ import annotations
@@ -156,12 +157,26 @@ def walk(block: dict, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, k: int
     return out
 
 
-def _first_walk(k: int, same: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """In the block's own shard: its hits, and the block with the k-th scores found."""
+def _reached(block: dict, dim: int, home: int, told: dict) -> list[int]:
+    """The shards in which a member could find what it asks for, the block's own left out."""
+    need = np.full(len(block["ids"]), np.inf)
+    np.minimum.at(need, block["member"], np.maximum(block["least"], block["kth"]).astype(np.float64))
+    own, reached = _directions(block["x"])[1], []
+    for shard, (n, mean, wide, longest) in told.items():
+        if n == dim and shard != home:
+            turn = np.arccos(np.clip(own @ mean, -1, 1)) - wide
+            most = block["length"] * longest * (np.cos(np.maximum(turn, 0)) + SLACK)
+            if (np.where(most < 0, 0, most) * (1 + 1e-12) + 1e-6 >= need).any():
+                reached.append(shard)
+    return reached
+
+
+def _first_walk(k: int, same: bool, told: Broadcast | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """In the block's own shard: its hits, the block with the k-th scores found, and the shards to go on to (null: all of its length)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim, cell, part, blob, home, rows in zip(pdf["dim"], pdf["cell"], pdf["part"], pdf["block"], pdf["home"], pdf["rows"], strict=True):
+            for dim, blob, home, rows in zip(pdf["dim"], pdf["block"], pdf["home"], pdf["rows"], strict=True):
                 block, hits = pickle.loads(blob), []
                 if rows is not None:
                     found = walk(block, *pickle.loads(rows), k, same)
@@ -172,37 +187,21 @@ def _first_walk(k: int, same: bool) -> Callable[[Iterator[pd.DataFrame]], Iterat
                     for a, s in scores.items():
                         if len(s) == k:
                             block["kth"][a] = min(s)
-                yield pd.DataFrame({"dim": [dim], "cell": [cell], "part": [part], "home": [home], "block": [pickle.dumps(block)], "hits": [hits]})
-
-    return run
-
-
-def _reached(shards: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Of each block, the shards in which a member could find what it asks for, its own left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for dim, home, blob in zip(pdf["dim"], pdf["home"], pdf["block"], strict=True):
-                block = pickle.loads(blob)
-                need = np.full(len(block["ids"]), np.inf)
-                np.minimum.at(need, block["member"], np.maximum(block["least"], block["kth"]).astype(np.float64))
-                own = _directions(block["x"])[1]
-                for shard, (n, mean, wide, longest) in shards.value.items():
-                    if n == dim and shard != home:
-                        turn = np.arccos(np.clip(own @ mean, -1, 1)) - wide
-                        most = block["length"] * longest * (np.cos(np.maximum(turn, 0)) + SLACK)
-                        if (np.where(most < 0, 0, most) * (1 + 1e-12) + 1e-6 >= need).any():
-                            yield pd.DataFrame({"shard": [shard], "block": [blob]})
+                reached = _reached(block, dim, home, told.value) if told else None
+                yield pd.DataFrame({"dim": [dim], "home": [home], "block": [pickle.dumps(block)], "reached": [reached], "hits": [hits]})
 
     return run
 
 
 def _next_walk(k: int, same: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, candidates = None, ()
         for pdf in batches:
-            for blob, rows in zip(pdf["block"], pdf["rows"], strict=True):
+            for shard, blob, rows in zip(pdf["shard"], pdf["block"], pdf["rows"], strict=True):
+                if shard != now:
+                    now, candidates = shard, pickle.loads(rows)
                 block = pickle.loads(blob)
-                found = walk(block, *pickle.loads(rows), k, same)
+                found = walk(block, *candidates, k, same)
                 hits = [(int(block["ids"][block["member"][a]]), int(block["positive"][a]), i, s) for a, i, s in found]
                 yield pd.DataFrame(hits, columns=["anchor_id", "positive_id", "vec_id", "score"]).astype("int64")
 
@@ -218,6 +217,8 @@ def _parts(rows: DataFrame, size: int) -> DataFrame:
 
 #: Shards whose summaries (a vector each) are sent to all tasks; beyond it, blocks go to every shard.
 MOST_SUMMARIES = 50_000
+#: Blocks of a file, and files that shards are written to, about: tasks are pairs of parts of both.
+BLOCKS_A_FILE, FILES = 2, 64
 
 
 def _searched(anchors: DataFrame, shards: DataFrame, k: int, same: bool) -> DataFrame:
@@ -227,15 +228,18 @@ def _searched(anchors: DataFrame, shards: DataFrame, k: int, same: bool) -> Data
     near = shards.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("least"))
     home = F.col("least") + F.pmod("part", "n")  # shards of a cell are numbered one after the other
     blocks = blocks.join(near, ["dim", "cell"], "left").withColumn("home", F.coalesce(home, F.lit(-1).cast("long"))).drop("n", "least")
-    at_home = blocks.join(shards.select(F.col("shard").alias("home"), "rows"), "home", "left")
-    first = written(at_home.mapInPandas(_first_walk(k, same), f"dim int, cell int, part int, home long, block binary, hits array<struct<{HITS.replace(' ', ':').replace(',:', ',')}>>"))
+    # by file size shards or blocks look small enough for a broadcast, which their rows need not be
+    at_home = blocks.join(shards.select(F.col("shard").alias("home"), "rows").hint("merge"), "home", "left")
+    told = None
     if shards.count() <= MOST_SUMMARIES:
-        told = {r["shard"]: (r["dim"], np.array(r["mean"]), r["wide"], r["longest"]) for r in shards.select("shard", "dim", "mean", "wide", "longest").collect()}
-        onward = first.select("dim", "home", "block").mapInPandas(_reached(spark.sparkContext.broadcast(told)), "shard long, block binary")
-    else:
-        spans = shards.groupBy("dim").agg(F.collect_list("shard").alias("every"))
-        onward = first.join(spans, "dim").select("home", "block", F.explode("every").alias("shard")).filter("shard <> home").drop("home")
-    more = onward.join(shards.select("shard", "rows"), "shard").mapInPandas(_next_walk(k, same), HITS)
+        summaries = shards.select("shard", "dim", "mean", "wide", "longest").collect()
+        told = spark.sparkContext.broadcast({r["shard"]: (r["dim"], np.array(r["mean"]), r["wide"], r["longest"]) for r in summaries})
+    schema = f"dim int, home long, block binary, reached array<long>, hits array<struct<{HITS.replace(' ', ':').replace(',:', ',')}>>"
+    first = written(at_home.mapInPandas(_first_walk(k, same, told), schema), maxRecordsPerFile=BLOCKS_A_FILE)
+    onward = first.select(F.col("dim").alias("__dim"), "home", "block", "reached")
+    meets = (F.col("dim") == F.col("__dim")) & F.coalesce(F.array_contains("reached", F.col("shard")), F.col("shard") != F.col("home"))
+    pairs = shards.select("dim", "shard", "rows").hint("shuffle_replicate_nl").join(onward, meets)
+    more = pairs.select("shard", "rows", "block").mapInPandas(_next_walk(k, same), HITS)
     hits = first.select(F.inline("hits")).unionByName(more)
     best = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -262,7 +266,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     shards = _parts(points, SHARD_ROWS).groupBy("dim", "cell", "part").applyInPandas(_shard, "dim int, cell int, part int, rows binary, mean array<double>, wide double, longest double")
     shards = written(shards)
     number = shards.select("dim", "cell", "part").withColumn("shard", F.row_number().over(Window.orderBy("dim", "cell", "part")).cast("long") - 1)  # a row for each SHARD_ROWS vectors
-    shards = written(shards.join(number, ["dim", "cell", "part"]).drop("part"))
+    shards = written(shards.join(F.broadcast(number), ["dim", "cell", "part"]).drop("part"), maxRecordsPerFile=-(-n // (SHARD_ROWS * FILES)) or 1)
 
     ask = lambda positive, least, most: F.struct(positive.cast("long").alias("positive_id"), least.cast("long").alias("least"), most.cast("long").alias("most"))
     anchors = points.filter("is_anchor").drop("is_anchor")
