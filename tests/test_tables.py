@@ -286,6 +286,26 @@ def test_oracle(spark, name):
     assert sorted((clean(r) for r in got.select(names).collect()), key=key) == sorted(map(clean, want.fetchall()), key=key)
 
 
+def in_both(spark, folder, name, **tables):
+    """A query's rows and its SQL's, over tables of (columns, rows)."""
+    con = duckdb.connect()
+    for t, (columns, rows) in tables.items():
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    got = __spark_entry__.queries()[name](spark, str(folder))
+    want = con.execute(__spark_entry__.oracle_sql()[name])
+    return sorted(map(tuple, got.select([c[0] for c in want.description]).collect())), sorted(want.fetchall())
+
+
+SHARP_S = [(k + 1, "de", f"{c}heit und mehr.\n{c} ist lang, {'wort ' * 90}. {c}ung ende") for k, c in enumerate("ßäaﬁŉᾳᾀǆdÿ")]
+
+
+@pytest.mark.parametrize("name", ["finish_translation"])
+def test_capitals_are_those_of_sql(spark, tmp_path, name):
+    got, want = in_both(spark, tmp_path, name, documents=("doc_id long, lang string, text string", SHARP_S))
+    assert got == want and any("ẞheit" in str(r) for r in got)
+
+
 def test_fixture_sql_equals_spark(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
