@@ -300,7 +300,7 @@ def in_both(spark, folder, name, **tables):
 SHARP_S = [(k + 1, "de", f"{c}heit und mehr.\n{c} ist lang, {'wort ' * 90}. {c}ung ende") for k, c in enumerate("ßäaﬁŉᾳᾀǆdÿ")]
 
 
-@pytest.mark.parametrize("name", ["finish_translation"])
+@pytest.mark.parametrize("name", ["finish_translation", "format_translation"])
 def test_capitals_are_those_of_sql(spark, tmp_path, name):
     got, want = in_both(spark, tmp_path, name, documents=("doc_id long, lang string, text string", SHARP_S))
     assert got == want and any("ẞheit" in str(r) for r in got)
