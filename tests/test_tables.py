@@ -300,12 +300,21 @@ def in_both(spark, folder, name, **tables):
 SHARP_S = [(k + 1, "de", f"{c}heit und mehr.\n{c} ist lang, {'wort ' * 90}. {c}ung ende") for k, c in enumerate("ßäaﬁŉᾳᾀǆdÿ")]
 
 
-@pytest.mark.parametrize("name", ["finish_translation", "format_translation"])
+@pytest.mark.parametrize("name", ["finish_translation", "format_translation", "refine_segments"])
 def test_capitals_are_those_of_sql(spark, tmp_path, name):
     got, want = in_both(spark, tmp_path, name, documents=("doc_id long, lang string, text string", SHARP_S))
     assert got == want and any("ẞheit" in str(r) for r in got)
 
 
+def test_halves_are_rounded_as_by_sql(spark):
+    values = [27.068749999999998, 27.06875, 2.00005, 1.00015, 0.00005, 4.99999e-5, 123456.00005, 1e18, 1e305, 0.0, *((k * 7919 % 99991) / 13 * 39 / 160 for k in range(2000))]
+    values = [*values, *(-v for v in values)]
+    got = segment_queries._rounded(spark.createDataFrame([(v,) for v in values], "x double"), "x").collect()
+    want = duckdb.connect().execute("select round(x, 4) from (select unnest(?::double[]) as x)", [values]).fetchall()
+    assert list(map(str, (r.x for r in got))) == list(map(str, (x for x, in want)))
+    assert segment_queries._rounded(spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double"), "x").filter("x is null or isnan(x) or x > 1e300").count() == 3
+
+
 def test_fixture_sql_equals_spark(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
