@@ -306,6 +306,12 @@ def test_capitals_are_those_of_sql(spark, tmp_path, name):
     assert got == want and any("ẞheit" in str(r) for r in got)
 
 
+def test_capitals_after_a_language_prefix(spark, tmp_path):
+    rows = [(k, 0, "user", f"{p}{t}") for k, (_, _, t) in enumerate(SHARP_S) for p in ("", "de: ", ". ")]
+    got, want = in_both(spark, tmp_path, "strip_lang_prefix", conversations=("conv_id long, turn long, role string, text string", rows))
+    assert got == want and any(r[-1].startswith("ẞ") for r in got)
+
+
 def test_halves_are_rounded_as_by_sql(spark):
     values = [27.068749999999998, 27.06875, 2.00005, 1.00015, 0.00005, 4.99999e-5, 123456.00005, 1e18, 1e305, 0.0, *((k * 7919 % 99991) / 13 * 39 / 160 for k in range(2000))]
     values = [*values, *(-v for v in values)]
