@@ -237,3 +237,24 @@ def test_tree_prunes_and_is_exact_for_huge_values():
     big = kdtree.build(np.arange(3), np.array([[2.0**40, 1.0], [2.0**40, 2.0], [2.0**40, 3.0]]))
     hits = kdtree.search(big, np.array([9]), np.array([[2.0**20, 1.0]]), np.array([-np.inf]), 3)[0]
     assert hits == [(2**60 + 3, -2), (2**60 + 2, -1), (2**60 + 1, 0)]
+
+
+def test_queries_go_through_a_tree_together():
+    """Over a tree of clusters they look at few leaves, in one product a leaf; hits are those of every vector, ties by id."""
+    rng = np.random.default_rng(7)
+    at = rng.normal(size=(40, 12)) * 100
+    x = np.floor(at[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 12)))
+    x[3000:3200] = x[5]  # equal vectors
+    q, own, looked = np.concatenate([x[:100], np.floor(rng.normal(size=(5, 12)) * 50), np.zeros((1, 12))]), np.concatenate([np.arange(100), np.full(6, -1)]), []
+    tree, plain, kth = kdtree.build(np.arange(6000), x), kdtree._dot, np.full(106, -np.inf)
+    kth[50] = 1e9
+    try:
+        kdtree._dot = lambda a, b: looked.append((len(a), len(b))) or plain(a, b)
+        got = kdtree.search(tree, own, q, kth, 4)
+    finally:
+        kdtree._dot = plain
+    s = (q @ x.T).astype(int)
+    for k, hits in enumerate(got):
+        best = sorted(((int(v), -i) for i, v in enumerate(s[k]) if i != own[k] and v >= kth[k]), reverse=True)[:4]
+        assert hits == best
+    assert len(looked) <= 2 * len(tree["span"]) and sum(a * b for a, b in looked) < 0.5 * 106 * 6000

@@ -1,8 +1,9 @@
 """Exact top-k inner products by a KD-tree per shard.
 
 Vectors are dealt to shards of bounded size by a hash of their id. Each shard's tree splits at medians of the widest
-side and keeps a tight bounding box per node. A query goes through a tree best box first: the largest inner product
-that any point of a box could have bounds what is in it, and boxes below the k-th best score so far are left out.
+side and keeps a tight bounding box per node. The queries of a block go through a tree together, each with its best box
+first: the largest inner product that any point of a box could have bounds what is in it, and boxes below a query's k-th
+best score so far are left out for it.
 Queries travel in blocks; a block first searches one shard, and the k-th scores found there go with it to all others.
 Blocks and trees meet as pairs of file parts that a task reads, so neither is copied for each of the others by a shuffle
 or a broadcast.
@@ -10,7 +11,6 @@ or a broadcast.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -60,44 +60,71 @@ def build(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> dict:
 
 
 def _dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products; Python integers where doubles could round."""
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q)) < 2.0**53:
-        return (x @ q).astype(np.int64)
+    """Exact inner products with one vector, or with each of several (a column each); Python integers where doubles could round."""
+    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < 2.0**53:
+        return (x @ q.T).astype(np.int64)
+    if q.ndim == 2:
+        return np.stack([_dot(x, one) for one in q], axis=1)
     whole = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
     return np.array([max(min(v, 2**63 - 1), -(2**63)) for v in whole], np.int64)
 
 
+class _Best:
+    """The k best hits of each query, and the score that others have to reach."""
+
+    def __init__(self, kth: np.ndarray, k: int):
+        self.score, self.vec, self.has = np.zeros((len(kth), k), np.int64), np.zeros((len(kth), k), np.int64), np.zeros((len(kth), k), bool)
+        self.least = np.array(kth, np.float64)
+
+    def add(self, at: np.ndarray, score: np.ndarray, vec: np.ndarray, own: np.ndarray) -> None:
+        """Scores of the queries at (rows) with the vectors vec (columns)."""
+        fits = (score >= self.least[at][:, None]) & (vec[None] != own[at][:, None])
+        rows, columns = fits.any(axis=1), fits.any(axis=0)
+        at, fits, score = at[rows], fits[np.ix_(rows, columns)], score[np.ix_(rows, columns)]
+        if not len(at):
+            return
+        has = np.concatenate([self.has[at], fits], axis=1)
+        score = np.concatenate([self.score[at], score], axis=1)
+        vec = np.concatenate([self.vec[at], np.broadcast_to(vec[columns], fits.shape)], axis=1)
+        first = np.lexsort((vec, ~score, ~has), axis=-1)[:, : self.has.shape[1]]  # ~ turns the order of whole numbers round
+        self.has[at], self.score[at], self.vec[at] = (np.take_along_axis(v, first, axis=1) for v in (has, score, vec))
+        full = self.has[at].all(axis=1)
+        self.least[at[full]] = np.maximum(self.least[at[full]], self.score[at[full], -1])
+
+
 def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """Per query the best (score, -vec_id), at most k, of those that reach its kth score; the query's own id is left out."""
-    x = tree["x"].astype(np.float64)
+    """Per query the best (score, -vec_id), at most k, of those that reach its kth score; the query's own id is left out.
+
+    Queries go down the tree together: first each to the leaf of its best box, then all from the root to those nodes
+    whose box still has something for them, the node that more of them want first.
+    """
+    x, own = tree["x"].astype(np.float64), np.asarray(query_ids)
     with np.errstate(over="ignore"):
         bounds = np.maximum(queries, 0) @ tree["hi"].T + np.minimum(queries, 0) @ tree["lo"].T
-        bounds = bounds + np.abs(bounds) * 1e-12
-    found = []
-    for q, own, bound, least in zip(queries, query_ids, bounds, kth, strict=True):
-        heap, best = [(-bound[0], 0)], []
-        while heap:
-            b, node = heapq.heappop(heap)
-            if -b < least:
-                break
-            left, right = tree["kids"][node]
-            if left >= 0:
-                heapq.heappush(heap, (-bound[left], left))
-                heapq.heappush(heap, (-bound[right], right))
-                continue
-            a, z = tree["span"][node]
-            s, ids = _dot(x[a:z], q), tree["ids"][a:z]
-            on = np.flatnonzero((s >= least) & (ids != own))
-            for i in on[np.lexsort((ids[on], -s[on]))][:k]:
-                item = (int(s[i]), -int(ids[i]))
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                else:
-                    heapq.heappushpop(best, item)
-            if len(best) == k:
-                least = max(least, best[0][0])
-        found.append(sorted(best, reverse=True))
-    return found
+        bounds = bounds + np.abs(queries) @ np.maximum(np.abs(tree["hi"]), np.abs(tree["lo"])).T * 1e-12
+    best, leaves = _Best(kth, k), np.flatnonzero(tree["kids"][:, 0] < 0)
+
+    def look(leaf: int, at: np.ndarray) -> None:
+        a, z = tree["span"][leaf]
+        best.add(at, _dot(x[a:z], queries[at]).T, tree["ids"][a:z], own)
+
+    home = leaves[np.argmax(bounds[:, leaves], axis=1)]
+    for leaf in np.unique(home):
+        at = np.flatnonzero((home == leaf) & (bounds[:, leaf] >= best.least))
+        if len(at):
+            look(leaf, at)
+    todo = [(0, np.arange(len(own)))]
+    while todo:
+        node, at = todo.pop()
+        at = at[bounds[at, node] >= best.least[at]]
+        left, right = tree["kids"][node]
+        if left < 0:
+            at = at[home[at] != node]
+            if len(at):
+                look(node, at)
+        elif len(at):
+            todo += [(right, at), (left, at)] if bounds[at, left].sum() >= bounds[at, right].sum() else [(left, at), (right, at)]
+    return [[(int(s), -int(v)) for s, v, h in zip(*row, strict=True) if h] for row in zip(best.score, best.vec, best.has, strict=True)]
 
 
 def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
