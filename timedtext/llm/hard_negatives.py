@@ -132,28 +132,37 @@ def walk(block: dict, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, k: int
         bound = length * (np.cos(np.maximum(np.arccos(np.clip(d @ centre, -1, 1)) - wide, 0)) + SLACK)
         listed = np.argsort(-bound, kind="stable")
         bound = bound[listed]
-        for m in members:
-            asks = np.flatnonzero(block["member"] == m)
-            floor = np.maximum(block["least"][asks], block["kth"][asks]).astype(np.float64)
-            best_s, best_i = [np.empty(0, np.int64)] * len(asks), [np.empty(0, np.int64)] * len(asks)
-            at, step, size = 0, STEP, block["length"][m]
-            while at < len(listed) and size * bound[at] * (1 + 1e-12) + 1e-6 >= floor.min():
-                rows = listed[at : at + step]
-                at, step = at + step, step * 2
-                score = np.maximum(_dot(x[rows], block["x"][m]), LEAST)
-                fits = (score >= floor.min()) & ((labels[rows] == block["labels"][m]) == same) & (ids[rows] != block["ids"][m])
+        asks = {m: np.flatnonzero(block["member"] == m) for m in members}
+        floors = {m: np.maximum(block["least"][on], block["kth"][on]).astype(np.float64) for m, on in asks.items()}
+        best = {a: (np.empty(0, np.int64), np.empty(0, np.int64)) for on in asks.values() for a in on}
+        at, step = 0, STEP
+        while at < len(listed):  # the members that still look for something, together
+            members = [m for m in members if block["length"][m] * bound[at] * (1 + 1e-12) + 1e-6 >= floors[m].min()]
+            if not members:
+                break
+            rows = listed[at : at + step]
+            at, step = at + step, step * 2
+            scores = np.maximum(_dot(x[rows], block["x"][members]), LEAST).T
+            for m, score in zip(members, scores, strict=True):
+                floor = floors[m]
+                fits = np.flatnonzero(score >= floor.min())
+                fits = fits[((labels[rows[fits]] == block["labels"][m]) == same) & (ids[rows[fits]] != block["ids"][m])]
+                if not len(fits):
+                    continue
                 score, found = score[fits], ids[rows[fits]]
                 order = np.lexsort((found, -score))
                 score, found = score[order], found[order]
-                for j, a in enumerate(asks):
+                for j, a in enumerate(asks[m]):
                     low = np.searchsorted(-score, -block["most"][a], side="left")
                     high = np.searchsorted(-score, -max(block["least"][a], block["kth"][a]), side="right")
-                    s, i = np.concatenate([best_s[j], score[low:high][:k]]), np.concatenate([best_i[j], found[low:high][:k]])
+                    if low >= high:
+                        continue
+                    s, i = np.concatenate([best[a][0], score[low:high][:k]]), np.concatenate([best[a][1], found[low:high][:k]])
                     keep = np.lexsort((i, -s))[:k]
-                    best_s[j], best_i[j] = s[keep], i[keep]
+                    best[a] = s[keep], i[keep]
                     if len(keep) == k:
-                        floor[j] = max(floor[j], best_s[j][-1])
-            out += [(a, int(i), int(s)) for a, ss, ii in zip(asks, best_s, best_i, strict=True) for s, i in zip(ss, ii, strict=True)]
+                        floor[j] = max(floor[j], s[keep][-1])
+        out += [(a, int(i), int(s)) for a, (ss, ii) in best.items() for s, i in zip(ss, ii, strict=True)]
     return out
 
 
